@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 # query name: module of this subpackage whose function query(spark, sf_dir) answers it
 MODULES = {
     "op1_packing": "q1",
+    "op6_secrets": "q6",
     "op8_quality": "q8",
+    "op9_licenses": "q9",
     "op10_token_counts": "q10",
 }
 
