@@ -128,3 +128,32 @@ def _run(code: np.ndarray) -> int:
 def per_document(at: np.ndarray, n_docs: int) -> np.ndarray:
     """Bounds of each document in a sorted document column: rows bounds[d] to bounds[d + 1]."""
     return np.searchsorted(at, np.arange(n_docs + 1))
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Whole groups of rows that agree in the first keys columns, from batches sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        change = np.zeros(batch.num_rows - 1, bool)
+        for c in range(keys):
+            v = batch.column(c).to_numpy(zero_copy_only=False)
+            change |= v[1:] != v[:-1]
+        edges = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:], strict=False):
+            key = tuple(batch.column(c)[a].as_py() for c in range(keys))
+            if held and key != last:
+                yield joined(held)
+                held = []
+            last = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield joined(held)
+
+
+def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    if len(parts) == 1:
+        return parts[0]
+    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
