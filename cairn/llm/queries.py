@@ -12,6 +12,7 @@ MODULES = {
     "op1_packing": "q1",
     "op5_jaccard": "q5",
     "op6_secrets": "q6",
+    "op7_repeats": "q7",
     "op8_quality": "q8",
     "op9_licenses": "q9",
     "op10_token_counts": "q10",
