@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 # query name: module of this subpackage whose function query(spark, sf_dir) answers it
 MODULES = {
     "op1_packing": "q1",
+    "op2_lattice": "q2",
     "op5_jaccard": "q5",
     "op6_secrets": "q6",
     "op7_repeats": "q7",
