@@ -76,12 +76,12 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, document, start, end) of each word: bytes other than ASCII white space, A-Z lower-cased."""
+def words(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, document, start, end) of each word: bytes outside the class gap, ASCII white space by default, A-Z lower-cased."""
     if not len(data):
         return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     low = LOWER[data]
-    space = SPACE[data]
+    space = gap[data]
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True
     before = np.empty(len(data), bool)
