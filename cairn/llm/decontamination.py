@@ -15,6 +15,7 @@ larger benchmark is cut into shards, and each shard is one more map over the doc
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,8 +31,8 @@ K1, B = 1.2, 0.75
 BLOCK = 16
 PASSAGE = 128
 RUN = 5
-THETA = 0.4
-MINOR = 0.2
+THETA = 0.5
+MINOR = 0.1
 # A retrieved item is found if both parts, or the whole, have this share of their runs in the passage.
 SHARE = 0.5
 SHARD_WORDS = 2_000_000
@@ -80,6 +81,12 @@ class Index:
     whole: list[np.ndarray]
     passage: int
 
+    def lists(self) -> tuple[list, ...]:
+        """The posting lists as Python lists, in which single look-ups are quick."""
+        if not hasattr(self, "_lists"):
+            self._lists = tuple(x.tolist() for x in (self.start, self.item, self.weight, self.block_start, self.block_max, self.most))
+        return self._lists
+
 
 def build(ids: list, texts: list[str]) -> Index:
     code, at = terms(texts)
@@ -118,47 +125,45 @@ def build(ids: list, texts: list[str]) -> Index:
 
 def wand(index: Index, query: np.ndarray, theta: float) -> list[tuple[int, float]]:
     """All (item, score) with a score of theta or more for the distinct term numbers of a passage, by block-max WAND."""
-    lists = [[int(index.start[t]), int(index.start[t + 1]), int(t)] for t in query]
-    item, weight, out = index.item, index.weight, []
+    start, item, weight, block_start, block_max, most = index.lists()
+    out = []
+    # item under the cursor, cursor, end, term
+    cursors = sorted([item[start[t]], start[t], start[t + 1], t] for t in query.tolist())
     while True:
-        lists = [x for x in lists if x[0] < x[1]]
-        lists.sort(key=lambda x: item[x[0]])
         bound, pivot = 0.0, -1
-        for k, x in enumerate(lists):
-            bound += index.most[x[2]]
+        for k, x in enumerate(cursors):
+            bound += most[x[3]]
             if bound >= theta:
                 pivot = k
                 break
         if pivot < 0:
             return out
-        target = item[lists[pivot][0]]
-        while pivot + 1 < len(lists) and item[lists[pivot + 1][0]] == target:
+        target = cursors[pivot][0]
+        while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == target:
             pivot += 1
-        # blocks that would hold the pivot item
-        bound, ends = 0.0, []
-        for x in lists[: pivot + 1]:
-            place = x[0] + int(np.searchsorted(item[x[0] : x[1]], target))
-            if place < x[1]:
-                block = (place - int(index.start[x[2]])) // BLOCK
-                bound += index.block_max[index.block_start[x[2]] + block]
-                ends.append(item[min(int(index.start[x[2]]) + (block + 1) * BLOCK, int(index.start[x[2] + 1])) - 1])
+        # the blocks that would hold the target
+        bound, onward = 0.0, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else 1 << 62
+        for x in cursors[: pivot + 1]:
+            x[1] = bisect_left(item, target, x[1], x[2])
+            if x[1] < x[2]:
+                x[0] = item[x[1]]
+                block = (x[1] - start[x[3]]) // BLOCK
+                bound += block_max[block_start[x[3]] + block]
+                onward = min(onward, item[min(start[x[3]] + (block + 1) * BLOCK, x[2]) - 1] + 1)
         if bound < theta:
             # no item up to the nearest block end, or before the next list begins, can reach theta
-            onward = min(ends) + 1 if ends else target + 1
-            if pivot + 1 < len(lists):
-                onward = min(onward, item[lists[pivot + 1][0]])
             onward = max(onward, target + 1)
         else:
-            score = 0.0
-            for x in lists[: pivot + 1]:
-                x[0] += int(np.searchsorted(item[x[0] : x[1]], target))
-                if x[0] < x[1] and item[x[0]] == target:
-                    score += float(weight[x[0]])
+            score = sum(weight[x[1]] for x in cursors[: pivot + 1] if x[1] < x[2] and x[0] == target)
             if score >= theta:
-                out.append((int(target), score))
+                out.append((target, score))
             onward = target + 1
-        for x in lists[: pivot + 1]:
-            x[0] += int(np.searchsorted(item[x[0] : x[1]], onward))
+        for x in cursors[: pivot + 1]:
+            if x[1] < x[2] and x[0] < onward:
+                x[1] = bisect_left(item, onward, x[1], x[2])
+                if x[1] < x[2]:
+                    x[0] = item[x[1]]
+        cursors = sorted(x for x in cursors if x[1] < x[2])
 
 
 def hopeful(index: Index, place: np.ndarray, known: np.ndarray, doc: np.ndarray, begin: np.ndarray, windows: np.ndarray, step: int, theta: float) -> np.ndarray:
