@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op1_packing": "q1",
     "op2_lattice": "q2",
+    "op3_pii": "q3",
     "op4_decontamination": "q4",
     "op5_jaccard": "q5",
     "op6_secrets": "q6",
