@@ -49,3 +49,78 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         known = Staged(known, "known").df
         done = step.df.join(known, "up", "left").select("node", F.coalesce("component", "up").alias("component"))
     return done
+
+
+def tainted(nodes: DataFrame, components: DataFrame, node: str, exposed: str) -> DataFrame:
+    """nodes with status: exposed itself, related (another node of its component is) or clean."""
+    member = nodes.join(components.withColumnRenamed("node", node), node, "left").withColumn("component", F.coalesce("component", node))
+    any_exposed = member.groupBy("component").agg(F.bool_or(exposed).alias("__any"))
+    status = F.when(F.col(exposed), "exposed").when(F.col("__any"), "related").otherwise("clean")
+    return member.join(any_exposed, "component").withColumn("status", status).drop("__any")
+
+
+def distances(edges: DataFrame, sources: DataFrame, max_depth: int = 32) -> DataFrame:
+    """(node, depth): the least number of edges (src, dst) from any source node.
+
+    Breadth first: each round is a join of the frontier with the edges and an anti join with what is
+    known, against written tables; the reached table is appended to, never recomputed.
+    """
+    kind = edges.schema["src"].dataType
+    frontier = Staged(sources.select(F.col(sources.columns[0]).cast(kind).alias("node")).distinct().withColumn("depth", F.lit(0)), "frontier")
+    found = [frontier.df]
+    for depth in range(1, max_depth + 1):
+        seen = found[0]
+        for part in found[1:]:
+            seen = seen.unionByName(part)
+        step = edges.join(frontier.df, edges["src"] == frontier.df["node"]).select(F.col("dst").cast(kind).alias("node")).distinct()
+        frontier = Staged(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
+        if frontier.df.isEmpty():
+            return seen
+        found.append(frontier.df)
+    raise RuntimeError(f"more than {max_depth} levels")
+
+
+def simple_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_depth: int = 12, max_paths: int = 100_000) -> DataFrame:
+    """(path, length): all paths without a repeated node from a source to a target, at most max_paths on the way.
+
+    The number of paths can be exponential in a graph, so the budget fails the job rather than cutting it.
+    """
+    src, dst = F.col("src"), F.col("dst")
+    edge = edges.select(src.alias("src"), dst.alias("dst")).distinct()
+    live = sources.select(F.array(F.col(sources.columns[0])).alias("path"))
+    ends = targets.select(F.col(targets.columns[0]).alias("__end")).distinct()
+    done = None
+    for _ in range(max_depth + 1):
+        staged = Staged(live, "paths").df
+        if staged.limit(max_paths + 1).count() > max_paths:
+            raise ValueError("path budget exceeded")
+        hit = staged.join(ends, F.element_at("path", -1) == F.col("__end"), "left_semi")
+        done = hit if done is None else done.unionByName(hit)
+        grown = staged.join(edge, F.element_at("path", -1) == src).where(~F.array_contains("path", dst))
+        live = grown.select(F.concat("path", F.array(dst)).alias("path"))
+        if staged.isEmpty():
+            break
+    return done.select("path", (F.size("path") - 1).cast("long").alias("length"))
+
+
+def on_cycles(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """(node) of the nodes left when nodes without an incoming or without an outgoing edge are taken away again and
+    again; empty exactly if there is no cycle."""
+    edge = Staged(edges.select("src", "dst").distinct(), "edges")
+    for _ in range(max_rounds):
+        before = edge.df.count()
+        kept = edge.df.join(edge.df.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edge.df.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        edge = Staged(kept, "edges")
+        after = edge.df.count()
+        if after == before or after == 0:
+            return edge.df.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    raise RuntimeError("trimming did not settle")
+
+
+def invalid_edges(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:
+    """(src, dst, reason): dangling ends, loops and repeated edges."""
+    ids = nodes.select(F.col(node).alias("__id")).distinct()
+    known = edges.groupBy("src", "dst").agg(F.count("*").alias("n"))
+    known = known.join(ids.withColumnRenamed("__id", "src").withColumn("has_src", F.lit(True)), "src", "left").join(ids.withColumnRenamed("__id", "dst").withColumn("has_dst", F.lit(True)), "dst", "left")
+    reason = F.when(F.col("has_src").isNull(), "dangling_source").when(F.col("has_dst").isNull(), "dangling_target").when(F.col("src") == F.col("dst"), "loop").when(F.col("n") > 1, "repeated")
+    return known.select("src", "dst", reason.alias("reason")).where("reason is not null")
