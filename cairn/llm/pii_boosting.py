@@ -287,7 +287,7 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     trees, least = trained()
     columns = [c for c in docs.columns if c not in ("base", "added")]
     at_text = columns.index(text)
-    kind = T.ArrayType(T.StructType().add("start", "bigint").add("end", "bigint").add("rank", "int").add("kind", "string"))
+    kind = T.ArrayType(T.StructType().add("start", T.LongType()).add("end", T.LongType()).add("rank", T.IntegerType()).add("kind", T.StringType()))
     schema = T.StructType([docs.schema[c] for c in columns] + [T.StructField(c, kind) for c in ("base", "added")])
     item = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("rank", pa.int32()), ("kind", pa.string())])
 
