@@ -43,7 +43,7 @@ def key_closure(json: Column, required: list[str], optional: list[str] | None =
 
 def cover_gaps(shards: DataFrame, column: str, n: int) -> DataFrame:
     """(index, times) for each index of 0 .. n - 1 that the index lists do not hold exactly once, and for each outside."""
-    held = shards.select(F.explode(column).cast("long").alias("index")).groupBy("index").agg(F.count("*").alias("times"))
+    held = shards.select(F.explode(column).alias("index")).groupBy(F.col("index").cast("long").alias("index")).agg(F.count("*").alias("times"))
     wanted = shards.sparkSession.range(n).withColumnRenamed("id", "index").withColumn("wanted", F.lit(1))
     both = held.join(wanted, "index", "full_outer").select("index", F.coalesce("times", F.lit(0)).cast("long").alias("times"), F.coalesce("wanted", F.lit(0)).alias("wanted"))
     return both.where("times <> wanted").select("index", "times")

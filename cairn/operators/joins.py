@@ -100,7 +100,7 @@ def patterns_in(texts: DataFrame, text: str, patterns: list[str]) -> DataFrame:
 
 
 def similar_sets(tokens: DataFrame, percent: int, least: int, key: str = "id", token: str = "token") -> DataFrame:
-    """(a, b, both, either): pairs of token sets with 100 * both >= percent * either and at least least tokens each.
+    """(a, b, common, total): pairs of token sets with 100 * common >= percent * total and at least least tokens each.
 
     Exact: tokens are ordered by frequency, the rarest first, and a pair must share one of the first
     n - ceil(percent * n / 100) + 1 of each set; sizes must allow the threshold. tokens has one row for
@@ -117,5 +117,5 @@ def similar_sets(tokens: DataFrame, percent: int, least: int, key: str = "id", t
     pairs = side("a").join(side("b"), "t").where((F.col("a") < F.col("b")) & sizes).select("a", "b", "n_a", "n_b").distinct()
     held = sized.select(F.col(key).alias("a"), F.col(token).alias("t"))
     both = pairs.join(held, "a").join(sized.select(F.col(key).alias("b"), F.col(token).alias("t")), ["b", "t"])
-    out = both.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("both")).withColumn("either", F.col("n_a") + F.col("n_b") - F.col("both"))
-    return out.where(F.col("both") * 100 >= F.col("either") * percent).select("a", "b", "both", "either")
+    out = both.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("common")).withColumn("total", F.col("n_a") + F.col("n_b") - F.col("common"))
+    return out.where(F.col("common") * 100 >= F.col("total") * percent).select("a", "b", "common", "total")

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list[str] = ["metrics"]
+MODULES = ["metrics", "joins"]
 
 
 def _modules():
