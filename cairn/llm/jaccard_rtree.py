@@ -25,7 +25,8 @@ from cairn.operators.graph import connected_components
 from cairn.operators.shared import Staged
 
 U64 = np.uint64
-DIMS = 64
+DIMS = 256
+MOST = (1 << 16) - 1
 GROUPS_PER_BLOCK = 64
 RATIO = 1.25
 SPAN = 4
@@ -60,9 +61,9 @@ def signatures(h: np.ndarray, at: np.ndarray, n_docs: int) -> tuple[np.ndarray,
 
 
 def count_vectors(h: np.ndarray, at: np.ndarray, n_docs: int) -> np.ndarray:
-    """Counts of shingles in DIMS groups, one row for each document."""
+    """Counts of shingles in DIMS groups, one row for each document; a count above MOST stands as MOST."""
     group = (h >> U64(40)).astype(np.int64) % DIMS
-    return np.bincount(at * DIMS + group, minlength=n_docs * DIMS).reshape(n_docs, DIMS).astype(np.uint32)
+    return np.minimum(np.bincount(at * DIMS + group, minlength=n_docs * DIMS), MOST).reshape(n_docs, DIMS).astype(np.uint16)
 
 
 def size_classes(percent: int, most: int) -> list[tuple[int, int, int, int]]:
@@ -146,9 +147,9 @@ def facts(docs: DataFrame, width: int) -> DataFrame:
                 size, sig = signatures(h, at, j - i)
                 ids = batch.column(0).slice(i, j - i)
                 absent = (size == 0) | ids.is_null().to_numpy(zero_copy_only=False)
-                vector = count_vectors(h, at, j - i).astype(np.uint16 if size.max(initial=0) < 65536 else np.uint32)
+                vector = count_vectors(h, at, j - i)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(size, pa.int64()), pa.array(sig, pa.int64(), mask=absent), pa.array([v.astype(np.uint32).tobytes() for v in vector], pa.binary())],
+                    [ids, pa.array(size, pa.int64()), pa.array(sig, pa.int64(), mask=absent), pa.array([v.tobytes() for v in vector], pa.binary())],
                     ["doc_id", "n", "sig", "counts"],
                 )
 
@@ -299,29 +300,31 @@ def least_overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return -((-percent * (n + m)) // (100 + percent))
 
 
-def tree_pairs(counts: np.ndarray, comp: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def tree_pairs(counts: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Row pairs of different components whose summed minima reach the least overlap, by way of packed leaves.
 
     side splits the rows of a chunk pair: with two sides only pairs across them are formed. Points are
     packed along their size and leading counts; a leaf whose upper corner and least size cannot reach the
-    overlap with a point is passed over.
+    overlap with a point is passed over. Points with a cut count are held against all.
     """
-    n = counts.sum(1).astype(np.int64)
+    cut = (counts == MOST).any(1)
     order = np.lexsort((counts[:, 1], counts[:, 0], n))
     leaves = np.arange(0, len(order), LEAF)
     corner = np.maximum.reduceat(counts[order], leaves, axis=0)
     least = np.minimum.reduceat(n[order], leaves)
+    cut_leaf = np.maximum.reduceat(cut[order], leaves)
+    bound = lambda q, points: np.minimum(counts[q], points).sum(1, dtype=np.int64)
     across = side.min() != side.max()
     left, right = [], []
     for q in range(len(order)):
         if across and side[q]:
             continue
-        near = np.flatnonzero(np.minimum(counts[q], corner).sum(1) >= least_overlap(n[q], least, percent))
+        near = np.flatnonzero(cut[q] | cut_leaf | (bound(q, corner) >= least_overlap(n[q], least, percent)))
         if not len(near):
             continue
         rows = np.concatenate([order[leaves[x] : leaves[x] + LEAF] for x in near])
         rows = rows[(comp[rows] != comp[q]) & (side[rows] == 1 if across else rows > q)]
-        rows = rows[np.minimum(counts[q], counts[rows]).sum(1) >= least_overlap(n[q], n[rows], percent)]
+        rows = rows[cut[q] | cut[rows] | (bound(q, counts[rows]) >= least_overlap(n[q], n[rows], percent))]
         left.append(np.full(len(rows), q))
         right.append(rows)
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
@@ -330,24 +333,24 @@ def tree_pairs(counts: np.ndarray, comp: np.ndarray, side: np.ndarray, percent:
 def cell_pairs(points: DataFrame, percent: int, parts: int) -> DataFrame:
     """(a, b, space, need) for each cell and pair of its points, of different components, that passes the bound.
 
-    points has cell, sig, space, need, comp, counts. Cells of more than CHUNK points are split into chunks
+    points has cell, sig, space, need, comp, n, counts. Cells of more than CHUNK points are split into chunks
     and every pair of chunks is a piece of work of its own.
     """
     sizes = points.groupBy("cell").agg(F.count("*").alias("m"))
     cut = points.join(sizes, "cell").withColumn("c", F.ceil(F.col("m") / CHUNK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("sig"), F.col("c")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("c") - 1))
     dealt = cut.withColumn("other", other).select(
-        "cell", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "sig", "space", "need", "comp", "counts"
+        "cell", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "sig", "space", "need", "comp", "n", "counts"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in K.runs(batches, 3):
-            sig, space, need, comp = (rows.column(c).to_numpy() for c in (4, 5, 6, 7))
-            counts = np.frombuffer(b"".join(rows.column(8).to_pylist()), np.uint32).reshape(-1, DIMS)
+            sig, space, need, comp, n = (rows.column(c).to_numpy() for c in (4, 5, 6, 7, 8))
+            counts = np.frombuffer(b"".join(rows.column(9).to_pylist()), np.uint16).reshape(-1, DIMS)
             side = (rows.column(3).to_numpy() != rows.column(1).to_numpy()).astype(int)
             if len(sig) < 2 or (rows.column(1)[0] != rows.column(2)[0] and side.min() == side.max()):
                 continue
-            x, y = tree_pairs(counts, comp, side, percent)
+            x, y = tree_pairs(counts, n, comp, side, percent)
             if len(x):
                 a, b = np.minimum(sig[x], sig[y]), np.maximum(sig[x], sig[y])
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(space[x]), pa.array(np.maximum(need[x], need[y]))], ["a", "b", "space", "need"])
@@ -370,8 +373,11 @@ def classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     found = Staged(members(docs.where("doc_id is not null and text is not null"), width, percent, 2 * parts).distinct(), "members")
     enough = found.df.groupBy("sig", "space").agg(F.count("*").alias("c"), F.max("need").alias("least")).where("c >= least").select("sig", "space")
     kept = Staged(found.df.join(enough, ["sig", "space"]), "kept")
-    # first: each set against the first set of the cells that it shares with it most often
-    lead = kept.df.groupBy("cell").agg(F.min("sig").alias("a"))
+    # first: each set against the leading set of the cells that it shares with it most often; sets whose cells
+    # hold the most others lead, as the common origin of near copies does
+    sizes = kept.df.groupBy("cell").agg(F.count("*").alias("m"))
+    weight = kept.df.join(sizes, "cell").groupBy("sig").agg(F.sum("m").alias("w"))
+    lead = kept.df.join(weight, "sig").groupBy("cell").agg(F.max_by("sig", F.struct("w", "sig")).alias("a"))
     stars = kept.df.join(lead, "cell").where("a <> sig").groupBy("sig", "a", "space").agg(F.count("*").alias("c"), F.max("need").alias("least")).where("c >= least")
     stars = Staged(stars.groupBy("sig").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", F.col("sig").alias("b")), "stars")
     links = Staged(verified(stars.df, docs, known.df, width, percent), "links")
@@ -381,7 +387,7 @@ def classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     named = Staged(named, "named")
     mixed = named.df.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("cell")
     points = named.df.join(mixed, "cell")
-    vectors = known.df.join(points.select("sig").distinct(), "sig").groupBy("sig").agg(F.first("counts").alias("counts"))
+    vectors = known.df.join(points.select("sig").distinct(), "sig").groupBy("sig").agg(F.first("n").alias("n"), F.first("counts").alias("counts"))
     pairs = cell_pairs(points.join(vectors, "sig"), percent, parts)
     pairs = Staged(pairs.groupBy("a", "b", "space").agg(F.count("*").alias("c"), F.max("need").alias("least")).where("c >= least").select("a", "b").distinct(), "pairs")
     tested = pairs.df.join(stars.df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
