@@ -72,7 +72,7 @@ def distances(edges: DataFrame, sources: DataFrame, max_depth: int = 32) -> Data
         seen = found[0]
         for part in found[1:]:
             seen = seen.unionByName(part)
-        step = edges.join(frontier.df, edges["src"] == frontier.df["node"]).select(F.col("dst").cast(kind).alias("node")).distinct()
+        step = edges.join(frontier.df.select(F.col("node").alias("src")), "src").select(F.col("dst").cast(kind).alias("node")).distinct()
         frontier = Staged(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
         if frontier.df.isEmpty():
             return seen

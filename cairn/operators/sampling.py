@@ -50,4 +50,5 @@ def greedy_families(df: DataFrame, stratum: str, family: str, key: str, per_stra
                 out.append(i)
         return rows.loc[out]
 
-    return some.groupBy(F.lit(1)).applyInPandas(choose, some.schema).drop("rank")
+    one = some.withColumn("__one", F.lit(1))
+    return one.groupBy("__one").applyInPandas(choose, one.schema).drop("__one", "rank")

@@ -19,8 +19,15 @@ def shared_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get().rstrip("/")
 
 
+# With this setting Spark deletes the shuffle files of a query when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Staged:
-    """A DataFrame written once as Parquet in the shared folder, so that a lost executor costs no recomputation."""
+    """A DataFrame written once as Parquet in the shared folder, so that a lost executor costs no recomputation.
+
+    What the write has shuffled is deleted after it, as later reads take the written files.
+    """
 
     def __init__(self, df: DataFrame, name: str = "stage", partition_by: list[str] | None = None):
         self.spark = df.sparkSession
@@ -28,7 +35,12 @@ class Staged:
         writer = df.write.option("compression", "zstd")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        writer.parquet(self.path)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            writer.parquet(self.path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         self.schema = df.schema
         self.split = bool(partition_by)
 
