@@ -11,10 +11,11 @@ from cairn.operators.shared import Staged
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 64) -> DataFrame:
     """(node, component) for every node of an edge; component is the smallest node that can be reached.
 
-    Contraction: each round maps a node to the smallest node next to it, relabels the edges and drops
-    loops, so the edge table shrinks until it is empty; the maps are then composed from the last to the
-    first. Every round is an aggregate and two joins against a written table, so a hub node is combined
-    before the shuffle and adaptive execution may split its join partition. Rows with a null end are ignored.
+    Contraction: each round gives the nodes a new random order, maps a node to the first one next to it or
+    itself, relabels the edges and drops loops, so long chains shrink by a share each round, and the edge
+    table until it is empty; the maps are then composed from the last to the first. Every round is an
+    aggregate and two joins against a written table, so a hub node is combined before the shuffle and
+    adaptive execution may split its join partition. Rows with a null end are ignored.
     """
     spark = edges.sparkSession
     kind = edges.schema[src].dataType
@@ -23,11 +24,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         "edges",
     )
     maps: list[Staged] = []
-    for _ in range(max_rounds):
+    for turn in range(max_rounds):
         if edge.df.isEmpty():
             break
+        placed = lambda c, t=turn: F.struct(F.xxhash64(c, F.lit(t)).alias("place"), F.col(c).alias("node"))
         both = edge.df.unionByName(edge.df.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = Staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("up")), "hook")
+        first = both.groupBy("a").agg(F.min(placed("b")).alias("first"))
+        step = Staged(first.select(F.col("a").alias("node"), F.least("first", placed("a"))["node"].alias("up")), "hook")
         maps.append(step)
         left = step.df.select(F.col("node").alias("a"), F.col("up").alias("ua"))
         right = step.df.select(F.col("node").alias("b"), F.col("up").alias("ub"))
@@ -42,13 +45,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     edge.drop()
     if not maps:
         return spark.createDataFrame([], f"node {kind.simpleString()}, component {kind.simpleString()}")
-    done = maps[-1].df.select("node", F.col("up").alias("component"))
+    done = maps[-1].df.select("node", F.col("up").alias("root"))
     for step in reversed(maps[:-1]):
-        known = done.select(F.col("node").alias("up"), "component")
         # a hub is the target of many nodes: the deeper map is written so that this join can be split
-        known = Staged(known, "known").df
-        done = step.df.join(known, "up", "left").select("node", F.coalesce("component", "up").alias("component"))
-    return done
+        known = Staged(done.select(F.col("node").alias("up"), "root"), "known").df
+        done = step.df.join(known, "up", "left").select("node", F.coalesce("root", "up").alias("root"))
+    done = Staged(done, "roots").df
+    return done.join(done.groupBy("root").agg(F.min("node").alias("component")), "root").select("node", "component")
 
 
 def tainted(nodes: DataFrame, components: DataFrame, node: str, exposed: str) -> DataFrame:
