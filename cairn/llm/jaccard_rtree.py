@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.llm import kernels as K
@@ -84,7 +84,8 @@ def cells(h: np.ndarray, at: np.ndarray, size: np.ndarray, percent: int) -> Iter
     A block with fewer than LEAST_IN_CELL shingles is read together with the next ones, at most SPAN.
     Each differing block spoils the cells that read it; what is left of a document's cells after the
     worst choice of differing blocks must be shared with every linked document. Where nothing is left
-    for certain, single blocks form cells of a second space, where plain counting holds.
+    for certain, single blocks form cells of a second space, where plain counting holds. Spaces are 0 and 1
+    in the own class, 2 and 3 in the next; documents that share a cell share its class.
     """
     classes = size_classes(percent, int(size.max(initial=1)) * 2)
     lows = np.array([c[0] for c in classes])
@@ -129,10 +130,10 @@ def cells(h: np.ndarray, at: np.ndarray, size: np.ndarray, percent: int) -> Iter
             spoilt = spoilt + np.minimum(apart[docs], np.bincount(of, weights=cover >= step, minlength=len(docs)).astype(np.int64))
         need = k - spoilt
         stamp = K.mix(seed[of] + number.astype(U64))
-        yield docs[of], (scheme[docs] * 2)[of], K.mix(stamp + K.mix(merged)), np.clip(need, 0, 255)[of]
+        yield docs[of], np.full(total, 2 * up), K.mix(stamp + K.mix(merged)), np.clip(need, 0, 63)[of]
         unsafe = (need <= 0)[of]
         if unsafe.any():
-            yield docs[of][unsafe], (scheme[docs] * 2 + 1)[of][unsafe], K.mix(stamp + K.mix(code, 9))[unsafe], np.ones(int(unsafe.sum()), np.int64)
+            yield docs[of][unsafe], np.full(int(unsafe.sum()), 2 * up + 1), K.mix(stamp + K.mix(code, 9))[unsafe], np.ones(int(unsafe.sum()), np.int64)
 
 
 def facts(docs: DataFrame, width: int) -> DataFrame:
@@ -156,9 +157,9 @@ def facts(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, sig long, counts binary")
 
 
-ENTRY = np.dtype([("cell", "<u8"), ("sig", "<i8"), ("space", "u1"), ("need", "u1")])
-# As written between tasks: the upper cell bits follow from the slice.
-BRIEF = np.dtype([("low", "<u4"), ("mid", "u1"), ("sig", "<i8"), ("space", "u1"), ("need", "u1")])
+ENTRY = np.dtype([("cell", "<u8"), ("sig", "<i8"), ("mark", "u1")])
+# As written between tasks: the upper cell bits follow from the slice. mark is 4 * need + space, with need cut to 63.
+BRIEF = np.dtype([("low", "<u4"), ("mid", "u1"), ("sig", "<i8"), ("mark", "u1")])
 
 
 def members(docs: DataFrame, width: int, percent: int, n_slices: int) -> DataFrame:
@@ -182,7 +183,7 @@ def members(docs: DataFrame, width: int, percent: int, n_slices: int) -> DataFra
         edges = np.searchsorted(lead["cell"] >> U64(44), np.arange(n_slices + 1, dtype=U64))
         brief = np.zeros(len(lead), BRIEF)
         brief["low"], brief["mid"] = lead["cell"] & U64(0xFFFFFFFF), (lead["cell"] >> U64(32)) & U64(0xFF)
-        for c in ("sig", "space", "need"):
+        for c in ("sig", "mark"):
             brief[c] = lead[c]
         rows = [(s, 0, brief[a:b].tobytes()) for s, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
         rows += [((salt + lo) % n_slices, 1, local[lo : lo + 65536].tobytes()) for lo in range(0, len(local), 65536)]
@@ -206,7 +207,7 @@ def members(docs: DataFrame, width: int, percent: int, n_slices: int) -> DataFra
                 keep = size[at] > 0
                 for doc, space, cell, need in cells(h[keep], at[keep], size, percent):
                     entry = np.zeros(len(doc), ENTRY)
-                    entry["cell"], entry["sig"], entry["space"], entry["need"] = cell, sig[doc], space, need
+                    entry["cell"], entry["sig"], entry["mark"] = cell, sig[doc], 4 * need + space
                     held.append(entry)
                 texts += int(offsets[j] - offsets[i])
                 if texts >= SLICE_BYTES and held:
@@ -236,13 +237,13 @@ def members(docs: DataFrame, width: int, percent: int, n_slices: int) -> DataFra
             shared = same[1:] | same[:-1]
             out = np.zeros(int(shared.sum()), ENTRY)
             out["cell"] = cell[shared]
-            for c in ("sig", "space", "need"):
+            for c in ("sig", "mark"):
                 out[c] = brief[c][shared]
             yield table(out)
 
     def table(entry: np.ndarray) -> pa.RecordBatch:
         cell = np.ascontiguousarray(entry["cell"]).view(np.int64)
-        columns = [pa.array(cell), pa.array(np.ascontiguousarray(entry["sig"])), pa.array(entry["space"].astype(np.int32)), pa.array(entry["need"].astype(np.int32))]
+        columns = [pa.array(cell), pa.array(np.ascontiguousarray(entry["sig"])), pa.array((entry["mark"] & 3).astype(np.int32)), pa.array((entry["mark"] >> 2).astype(np.int32))]
         return pa.RecordBatch.from_arrays(columns, ["cell", "sig", "space", "need"])
 
     blocks = docs.select("text").mapInArrow(scatter, "slice int, local int, block binary").repartition(n_slices, "slice")
@@ -331,32 +332,32 @@ def tree_pairs(counts: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.nda
 
 
 def cell_pairs(points: DataFrame, percent: int, parts: int) -> DataFrame:
-    """(a, b, space, need) for each cell and pair of its points, of different components, that passes the bound.
+    """(a, b) for each cell and pair of its points, of different components, that passes the bound.
 
-    points has cell, sig, space, need, comp, n, counts. Cells of more than CHUNK points are split into chunks
+    points has cell, sig, comp, n, counts. Cells of more than CHUNK points are split into chunks
     and every pair of chunks is a piece of work of its own.
     """
     sizes = points.groupBy("cell").agg(F.count("*").alias("m"))
     cut = points.join(sizes, "cell").withColumn("c", F.ceil(F.col("m") / CHUNK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("sig"), F.col("c")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("c") - 1))
     dealt = cut.withColumn("other", other).select(
-        "cell", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "sig", "space", "need", "comp", "n", "counts"
+        "cell", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "sig", "comp", "n", "counts"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in K.runs(batches, 3):
-            sig, space, need, comp, n = (rows.column(c).to_numpy() for c in (4, 5, 6, 7, 8))
-            counts = np.frombuffer(b"".join(rows.column(9).to_pylist()), np.uint16).reshape(-1, DIMS)
+            sig, comp, n = (rows.column(c).to_numpy() for c in (4, 5, 6))
+            counts = np.frombuffer(b"".join(rows.column(7).to_pylist()), np.uint16).reshape(-1, DIMS)
             side = (rows.column(3).to_numpy() != rows.column(1).to_numpy()).astype(int)
             if len(sig) < 2 or (rows.column(1)[0] != rows.column(2)[0] and side.min() == side.max()):
                 continue
             x, y = tree_pairs(counts, n, comp, side, percent)
             if len(x):
                 a, b = np.minimum(sig[x], sig[y]), np.maximum(sig[x], sig[y])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(space[x]), pa.array(np.maximum(need[x], need[y]))], ["a", "b", "space", "need"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     ordered = dealt.repartition(parts, "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    return ordered.mapInArrow(run, "a long, b long, space int, need int")
+    return ordered.mapInArrow(run, "a long, b long")
 
 
 def classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
@@ -370,15 +371,15 @@ def classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     known = Staged(facts(docs, width), "facts")
-    found = Staged(members(docs.where("doc_id is not null and text is not null"), width, percent, 2 * parts).distinct(), "members")
-    enough = found.df.groupBy("sig", "space").agg(F.count("*").alias("c"), F.max("need").alias("least")).where("c >= least").select("sig", "space")
-    kept = Staged(found.df.join(enough, ["sig", "space"]), "kept")
-    # first: each set against the leading set of the cells that it shares with it most often; sets whose cells
-    # hold the most others lead, as the common origin of near copies does
-    sizes = kept.df.groupBy("cell").agg(F.count("*").alias("m"))
-    weight = kept.df.join(sizes, "cell").groupBy("sig").agg(F.sum("m").alias("w"))
-    lead = kept.df.join(weight, "sig").groupBy("cell").agg(F.max_by("sig", F.struct("w", "sig")).alias("a"))
-    stars = kept.df.join(lead, "cell").where("a <> sig").groupBy("sig", "a", "space").agg(F.count("*").alias("c"), F.max("need").alias("least")).where("c >= least")
+    found = Staged(members(docs.where("doc_id is not null and text is not null"), width, percent, 2 * parts), "members")
+    # a set's own cells: far fewer than a partition holds
+    own = Window.partitionBy("sig", "space")
+    enough = found.df.withColumns({"c": F.count("*").over(own), "least": F.max("need").over(own)}).where("c >= least").drop("least")
+    kept = Staged(enough, "kept")
+    # first: each set against the leading set of the cells that it shares with it most often; sets with the most
+    # shared cells lead, as the common origin of near copies has
+    lead = kept.df.groupBy("cell").agg(F.max_by("sig", F.struct("c", "sig")).alias("a"))
+    stars = kept.df.join(lead, "cell").where("a <> sig").groupBy("sig", "a").agg(F.count("*").alias("c"))
     stars = Staged(stars.groupBy("sig").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", F.col("sig").alias("b")), "stars")
     links = Staged(verified(stars.df, docs, known.df, width, percent), "links")
     near = Staged(connected_components(links.df, "a", "b"), "near")
@@ -386,10 +387,10 @@ def classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     named = kept.df.join(near.df.withColumnRenamed("node", "sig").withColumnRenamed("component", "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     named = Staged(named, "named")
     mixed = named.df.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("cell")
-    points = named.df.join(mixed, "cell")
+    points = named.df.drop("c").join(mixed, "cell")
     vectors = known.df.join(points.select("sig").distinct(), "sig").groupBy("sig").agg(F.first("n").alias("n"), F.first("counts").alias("counts"))
     pairs = cell_pairs(points.join(vectors, "sig"), percent, parts)
-    pairs = Staged(pairs.groupBy("a", "b", "space").agg(F.count("*").alias("c"), F.max("need").alias("least")).where("c >= least").select("a", "b").distinct(), "pairs")
+    pairs = Staged(pairs.distinct(), "pairs")
     tested = pairs.df.join(stars.df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = Staged(verified(tested, docs, known.df, width, percent), "links")
     joined = Staged(connected_components(links.df.unionByName(more.df), "a", "b"), "joined")
