@@ -25,8 +25,8 @@ from cairn.operators.graph import connected_components
 from cairn.operators.shared import Staged
 
 U64 = np.uint64
-DIMS = 256
-MOST = (1 << 16) - 1
+DIMS = 128
+MOST = (1 << 8) - 1
 GROUPS_PER_BLOCK = 64
 RATIO = 1.25
 SPAN = 4
@@ -63,7 +63,7 @@ def signatures(h: np.ndarray, at: np.ndarray, n_docs: int) -> tuple[np.ndarray,
 def count_vectors(h: np.ndarray, at: np.ndarray, n_docs: int) -> np.ndarray:
     """Counts of shingles in DIMS groups, one row for each document; a count above MOST stands as MOST."""
     group = (h >> U64(40)).astype(np.int64) % DIMS
-    return np.minimum(np.bincount(at * DIMS + group, minlength=n_docs * DIMS), MOST).reshape(n_docs, DIMS).astype(np.uint16)
+    return np.minimum(np.bincount(at * DIMS + group, minlength=n_docs * DIMS), MOST).reshape(n_docs, DIMS).astype(np.uint8)
 
 
 def size_classes(percent: int, most: int) -> list[tuple[int, int, int, int]]:
@@ -331,23 +331,25 @@ def tree_pairs(counts: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.nda
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
 
 
-def cell_pairs(points: DataFrame, percent: int, parts: int) -> DataFrame:
-    """(a, b) for each cell and pair of its points, of different components, that passes the bound.
+def work_of(named: DataFrame) -> DataFrame:
+    """(cell, i, j, chunk, sig, comp): the points of cells with several components, dealt to pairs of chunks.
 
-    points has cell, sig, comp, n, counts. Cells of more than CHUNK points are split into chunks
-    and every pair of chunks is a piece of work of its own.
+    named has cell, sig, comp. Cells of more than CHUNK points are split into chunks, and every pair of
+    chunks is a piece of work of its own.
     """
-    sizes = points.groupBy("cell").agg(F.count("*").alias("m"))
-    cut = points.join(sizes, "cell").withColumn("c", F.ceil(F.col("m") / CHUNK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("sig"), F.col("c")).cast("int"))
+    mixed = named.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
+    cut = named.join(mixed.select("cell", F.ceil(F.col("m") / CHUNK).cast("int").alias("c")), "cell").withColumn("chunk", F.pmod(F.xxhash64("sig"), F.col("c")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("c") - 1))
-    dealt = cut.withColumn("other", other).select(
-        "cell", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "sig", "comp", "n", "counts"
-    )
+    return cut.withColumn("other", other).select("cell", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "sig", "comp")
+
+
+def cell_pairs(work: DataFrame, vectors: DataFrame, percent: int, parts: int) -> DataFrame:
+    """(a, b) for each cell and pair of its points, of different components, that passes the bound; vectors has sig, n, counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in K.runs(batches, 3):
             sig, comp, n = (rows.column(c).to_numpy() for c in (4, 5, 6))
-            counts = np.frombuffer(b"".join(rows.column(7).to_pylist()), np.uint16).reshape(-1, DIMS)
+            counts = np.frombuffer(b"".join(rows.column(7).to_pylist()), np.uint8).reshape(-1, DIMS)
             side = (rows.column(3).to_numpy() != rows.column(1).to_numpy()).astype(int)
             if len(sig) < 2 or (rows.column(1)[0] != rows.column(2)[0] and side.min() == side.max()):
                 continue
@@ -356,6 +358,7 @@ def cell_pairs(points: DataFrame, percent: int, parts: int) -> DataFrame:
                 a, b = np.minimum(sig[x], sig[y]), np.maximum(sig[x], sig[y])
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
+    dealt = work.join(vectors, "sig").select("cell", "i", "j", "chunk", "sig", "comp", "n", "counts")
     ordered = dealt.repartition(parts, "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
     return ordered.mapInArrow(run, "a long, b long")
 
@@ -375,7 +378,8 @@ def classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     # a set's own cells: far fewer than a partition holds
     own = Window.partitionBy("sig", "space")
     enough = found.df.withColumns({"c": F.count("*").over(own), "least": F.max("need").over(own)}).where("c >= least").drop("least")
-    kept = Staged(enough, "kept")
+    kept = Staged(enough.select("cell", "sig", "c"), "kept")
+    found.drop()
     # first: each set against the leading set of the cells that it shares with it most often; sets with the most
     # shared cells lead, as the common origin of near copies has
     lead = kept.df.groupBy("cell").agg(F.max_by("sig", F.struct("c", "sig")).alias("a"))
@@ -385,12 +389,14 @@ def classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     near = Staged(connected_components(links.df, "a", "b"), "near")
     # then: all pairs of a cell that are still in different components
     named = kept.df.join(near.df.withColumnRenamed("node", "sig").withColumnRenamed("component", "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    named = Staged(named, "named")
-    mixed = named.df.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("cell")
-    points = named.df.drop("c").join(mixed, "cell")
-    vectors = known.df.join(points.select("sig").distinct(), "sig").groupBy("sig").agg(F.first("n").alias("n"), F.first("counts").alias("counts"))
-    pairs = cell_pairs(points.join(vectors, "sig"), percent, parts)
+    named = Staged(named.select("cell", "sig", "comp"), "named")
+    kept.drop()
+    work = Staged(work_of(named.df), "work")
+    named.drop()
+    vectors = known.df.join(work.df.select("sig").distinct(), "sig").groupBy("sig").agg(F.first("n").alias("n"), F.first("counts").alias("counts"))
+    pairs = cell_pairs(work.df, vectors, percent, parts)
     pairs = Staged(pairs.distinct(), "pairs")
+    work.drop()
     tested = pairs.df.join(stars.df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = Staged(verified(tested, docs, known.df, width, percent), "links")
     joined = Staged(connected_components(links.df.unionByName(more.df), "a", "b"), "joined")
