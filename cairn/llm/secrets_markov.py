@@ -1,7 +1,8 @@
 """Secret scans with DataFrame functions only: fixed formats, and two character Markov models.
 
 Long tokens are scored by the log-likelihood ratio of a first-order model of random strings against one
-of ordinary identifiers. Both models are counted from labelled samples with DataFrame operations; the
+of ordinary identifiers, as a whole and, where the whole is ordinary, by their best-scoring windows, so that
+a key among ordinary parts is not averaged away. Both models are counted from labelled samples with DataFrame operations; the
 table of log ratios has len(ALPHABET) ** 2 entries, whatever the size of the corpus.
 """
 
@@ -25,6 +26,8 @@ FOLD_FROM = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_="
 FOLD_TO = "U" * 26 + "9" * 10 + "-" * 4
 # A token is random if the ratio summed over it reaches LEAST nats and LEAST_EACH nats a character.
 LEAST, LEAST_EACH = 12.0, 0.35
+# Least length of what is judged, and least number of distinct letters and digits in it: rules and borders are no secrets.
+LENGTH, DISTINCT = 20, 5
 N_SAMPLES = 2000
 # Ordinary identifier parts from which the labelled ordinary sample is built.
 PARTS = """account action active address agent amount array average balance batch before between binary block body
@@ -85,12 +88,95 @@ def log_ratios(labelled: DataFrame) -> list[float]:
     return out
 
 
-def ratio(token: Column, table: Column) -> Column:
-    """The log-likelihood ratio of a token; 0 for one of fewer than two characters."""
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def ratios(token: Column, table: Column) -> Column:
+    """The log-likelihood ratio of each pair of neighbours in a token; 0 for two signs, which say nothing about the rest."""
     code = lambda c: F.instr(F.lit(ALPHABET), c)
-    symbols = F.transform(F.split(folded(token), ""), code)
-    pairs = F.zip_with(symbols, F.slice(symbols, 2, 1 << 30), lambda a, b: F.when(b.isNotNull(), F.element_at(table, (a - 1) * len(ALPHABET) + b)).otherwise(0.0))
-    return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
+    symbols = F.filter(F.transform(F.split(folded(token), ""), code), lambda c: c > 0)
+    n = len(ALPHABET)
+    of = lambda a, b: F.when((a == n) & (b == n), 0.0).otherwise(F.element_at(table, (a - 1) * n + b))
+    return let(symbols, lambda x: F.zip_with(F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0))), F.slice(x, 2, 1 << 30), of))
+
+
+def windows(values: Column) -> Column:
+    """Windows (start, end) of a token, by the ratios of its pairs, in which the ratio sums to LEAST or more at LEAST_EACH a character.
+
+    The running sum of what exceeds LEAST_EACH opens a window where it leaves 0 and closes it at its peak,
+    once it is 0 or LEAST below the peak; the next window begins behind.
+    """
+    kind = "array<struct<start:int,end:int>>"
+    zero = F.struct(*[F.lit(0).alias(c) for c in ("at", "start", "end")], *[F.lit(0.0).alias(c) for c in ("run", "peak")], F.expr(f"cast(array() as {kind})").alias("out"))
+
+    def closed(acc: Column) -> Column:
+        one = F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"))).cast(kind)
+        enough = acc["peak"] + LEAST_EACH * (acc["end"] - acc["start"]) >= LEAST
+        return F.when((acc["peak"] > 0) & enough, F.concat(acc["out"], one)).otherwise(acc["out"])
+
+    def step(acc: Column, x: Column) -> Column:
+        def onward(run: Column) -> Column:
+            at = acc["at"] + 1
+            done = (run <= 0) | (run <= acc["peak"] - LEAST)
+            higher = run > acc["peak"]
+            fresh = F.when(acc["run"] <= 0, acc["at"]).otherwise(acc["start"])
+            return F.when(
+                done, F.struct(at.alias("at"), at.alias("start"), at.alias("end"), F.lit(0.0).alias("run"), F.lit(0.0).alias("peak"), closed(acc).alias("out"))
+            ).otherwise(
+                F.struct(at.alias("at"), fresh.alias("start"), F.when(higher, at + 1).otherwise(acc["end"]).alias("end"), run.alias("run"), F.greatest(run, acc["peak"]).alias("peak"), acc["out"].alias("out"))
+            )
+
+        return let(acc["run"] + x - LEAST_EACH, onward)
+
+    return F.aggregate(values, zero, step, closed)
+
+
+def varied(token: Column) -> Column:
+    """Whether a token has DISTINCT different letters and digits or more."""
+    return F.size(F.array_distinct(F.split(F.regexp_replace(token, "[^A-Za-z0-9]", ""), ""))) >= DISTINCT
+
+
+def rests(base: Column, x: Column) -> Column:
+    """The stretches (start, end) of candidate x outside the base spans that are LENGTH long or more."""
+    kind = "array<struct<start:bigint,end:bigint>>"
+    piece = lambda a, b: F.array(F.struct(a.alias("start"), b.alias("end"))).cast(kind)
+    start = F.struct(x["start"].alias("at"), F.expr(f"cast(array() as {kind})").alias("out"))
+    touching = F.array_sort(F.filter(base, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
+    step = lambda acc, y: F.struct(F.greatest(acc["at"], y["end"]).alias("at"), F.concat(acc["out"], piece(acc["at"], y["start"])).alias("out"))
+    cut = F.aggregate(touching, start, step, lambda acc: F.concat(acc["out"], piece(acc["at"], x["end"])))
+    return F.filter(cut, lambda y: y["end"] - y["start"] >= LENGTH)
+
+
+def random_in(token: Column, table: Column) -> Column:
+    """Stretches (start, end) of a token judged random: the whole token, else its windows, each fitted to the signs around it."""
+    kind = "array<struct<start:int,end:int>>"
+    size = F.length(token)
+    none = F.expr(f"cast(array() as {kind})")
+
+    def widened(w: Column) -> Column:
+        inside = F.substr(token, w["start"] + 1, w["end"] - w["start"])
+        length = lambda part, pattern: F.length(F.regexp_extract(part, pattern, 0))
+        before = length(F.substr(token, F.lit(1), w["start"]), "[A-Za-z0-9]*$")
+        after = length(F.substr(token, w["end"] + 1), "^[A-Za-z0-9]*")
+        # a part of which the smaller half lies in the window is left out with its sign, any other is taken whole
+        head, tail = length(inside, "^[A-Za-z0-9]*(?=[+/_=-])"), length(inside, "(?<=[+/_=-])[A-Za-z0-9]*$")
+        signed = inside.rlike("[+/_=-]")
+        start = F.when(signed & (head < before), w["start"] + length(inside, "^[A-Za-z0-9]*[+/_=-]+")).otherwise(w["start"] - before)
+        end = F.when(signed & (tail < after), w["end"] - length(inside, "[+/_=-]+[A-Za-z0-9]*$")).otherwise(w["end"] + after)
+        return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
+
+    def fits(w: Column) -> Column:
+        return (w["end"] - w["start"] >= LENGTH) & varied(F.substr(token, w["start"] + 1, w["end"] - w["start"]))
+
+    def judged(values: Column) -> Column:
+        score = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
+        whole = let(score, lambda v: (v >= LEAST) & (v >= LEAST_EACH * size))
+        parts = F.array_distinct(F.filter(F.transform(windows(values), widened), fits))
+        return F.when(whole, F.array(F.struct(F.lit(0).alias("start"), size.alias("end"))).cast(kind)).otherwise(parts)
+
+    return F.when(varied(token), let(ratios(token, table), judged)).otherwise(none)
 
 
 def with_spans(docs: DataFrame, text: str = "text", labelled: DataFrame | None = None) -> DataFrame:
@@ -109,11 +195,11 @@ def with_spans(docs: DataFrame, text: str = "text", labelled: DataFrame | None =
 
     def added(x: Column) -> Column:
         token = F.substr(F.col(text), (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int"))
-        score = ratio(token, table)
-        apart = ~F.exists(F.col("base"), lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
-        return apart & (score >= LEAST) & (score >= LEAST_EACH * (x["end"] - x["start"]))
+        one = lambda w: F.struct((x["start"] + w["start"]).alias("start"), (x["start"] + w["end"]).alias("end"), F.lit(3).alias("rank"), F.lit("random").alias("kind")).cast(S.SPAN)
+        return let(token, lambda t: F.transform(random_in(t, table), one))
 
-    return out.withColumn("added", F.filter("candidates", added)).drop("candidates")
+    pieces = F.flatten(F.transform("candidates", lambda x: rests(F.col("base"), x)))
+    return out.withColumn("added", F.flatten(F.transform(pieces, added))).drop("candidates")
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:

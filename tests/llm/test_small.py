@@ -118,6 +118,15 @@ def test_pii_and_secrets(spark):
     assert "hunter2" not in secrets_markov.redact(df).where("doc_id = 4").first().text
 
 
+def test_secrets_among_ordinary_parts(spark):
+    key = "Q7xK2mZp9RvT4wLs8NcB"
+    path, setting, hexed = f"/services/production/deployment/credentials/{key}", f"internal_service_authorization_header={key}", "0123456789abcdef" * 2 + "/" + key
+    rows = [path, setting, hexed, f"{path}/backup/of/the/default/connection/settings/{key[::-1]}", "-" * 40, "=" * 25 + " " + "_" * 30 + " " + "/" * 22, "/usr/local/share/applications/default/settings", "password_reset_request_handler_factory", key]
+    got = dict(secrets_markov.with_spans(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).select("doc_id", joined(F.col("added"))).collect())
+    found = {i: [rows[i][int(x.split(":")[1]) : int(x.split(":")[2])] for x in s.split(",") if x] for i, s in got.items()}
+    assert found == {0: [key], 1: [key], 2: ["/" + key], 3: [key, key[::-1]], 4: [], 5: [], 6: [], 7: [], 8: [key]}
+
+
 def test_wand_is_exhaustive():
     rng = np.random.default_rng(2)
     items = [prose(rng, int(n)) for n in rng.integers(5, 40, 300)]
