@@ -12,7 +12,7 @@ import functools
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
@@ -81,8 +81,14 @@ OTHER = [
     "Software costs and documentation were part of the budget.",
 ]
 ANCHOR = r"(?i)licen[sc]|copyright|all rights reserved|permission|warrant|redistribut|public domain|creative commons|spdx|mozilla public|proprietary"
+# The same with any signs between its words, as a line break and a comment mark may come there.
+WRAPPED = ANCHOR.replace(" ", r"\W+")
+# A word mark of a comment at the beginning of a line; signs are no words.
+MARK = r"(?i)^\s*(?:dnl|rem)\s"
 WORD = r"[a-z0-9]+"
 CONFIRM = 0.6
+# Words of the windows that are classified. One begins every quarter of its width, so that a notice of up to three quarters of it lies whole in one.
+WIDTHS = [12, 16, 24, 36, 48]
 
 
 def grams(text: str) -> set[str]:
@@ -144,39 +150,136 @@ def trained() -> tuple[list[str], dict[str, np.ndarray], np.ndarray, float]:
     return families, kept, b, min(least, 0.95)
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def words_of(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), F.lit(1))
+
+
+def grams_of(words: Column) -> Column:
+    """As grams(), of an array of words."""
+
+    def both(w: Column) -> Column:
+        pairs = F.zip_with(w, F.slice(w, 2, 1 << 30), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
+        return F.array_distinct(F.concat(w, F.filter(pairs, lambda g: g.isNotNull())))
+
+    return let(words, both)
+
+
+def spoken(lines: Column) -> Column:
+    """(paragraph, before, line, after) of the lines in which words of a licence begin; before and after are the words around in its block.
+
+    A block is a run of lines with a letter or digit. before and after have at most the widest window.
+    """
+    reach = WIDTHS[-1]
+    none = F.expr("cast(array() as array<string>)")
+    blank = lambda x: ~x.rlike(r"[\p{L}\p{N}]")
+    plain = lambda x: words_of(F.regexp_replace(x, MARK, " "))
+
+    def before(i: Column) -> Column:
+        above = F.slice(lines, F.greatest(i - reach + 1, F.lit(1)), F.least(i, F.lit(reach)))
+        last = lambda w: F.slice(w, F.greatest(F.size(w) - reach + 1, F.lit(1)), reach)
+        return F.aggregate(above, none, lambda acc, x: F.when(blank(x), none).otherwise(let(F.concat(acc, plain(x)), last)))
+
+    def after(i: Column) -> Column:
+        below = F.slice(lines, i + 2, reach)
+        start = F.struct(F.lit(False).alias("over"), none.alias("words"))
+        step = lambda acc, x: F.struct((acc["over"] | blank(x)).alias("over"), F.when(acc["over"] | blank(x), acc["words"]).otherwise(F.slice(F.concat(acc["words"], plain(x)), 1, reach)).alias("words"))
+        return F.aggregate(below, start, step)["words"]
+
+    def speaks(x: Column, i: Column) -> Column:
+        return F.concat_ws("\n", x, F.slice(lines, i + 2, 2)).rlike(r"\A[^\n]*?(?:" + WRAPPED + ")")
+
+    numbered = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), speaks(x, i).alias("yes"))), lambda y: y["yes"])
+    return F.transform(
+        numbered, lambda y: F.struct(y["i"].alias("paragraph"), before(y["i"]).alias("before"), words_of(F.element_at(lines, y["i"] + 1)).alias("line"), after(y["i"]).alias("after"))
+    )
+
+
+def windows_of(every: Column, first: Column, n: Column, notices: Column) -> Column:
+    """(anchor, words) of the windows around each of the n words from place first on at which words of a licence begin.
+
+    Only those that hold CONFIRM of a notice's n-grams: others cannot be confirmed.
+    """
+    reach = WIDTHS[-1]
+    share = lambda g, notice: F.size(F.array_intersect(g, notice)) / F.size(notice)
+    three = lambda p: F.concat_ws(" ", F.slice(every, p + 1, 3))
+    anchors = F.filter(F.sequence(first, first + n - 1), lambda p: three(p).rlike(r"\A[a-z0-9]*?(?:" + ANCHOR + ")"))
+
+    def grid(p: Column, width: int) -> Column:
+        step = width // 4
+        number = F.sequence(F.greatest(F.floor((p - width) / step) + 1, F.lit(0)).cast("int"), F.floor(p / step).cast("int"))
+        return F.transform(number, lambda q: F.struct((q * step).alias("start"), F.lit(width).alias("width")))
+
+    def at(p: Column) -> Column:
+        low = F.greatest(p - reach, F.lit(0))
+        region = F.slice(every, low + 1, 2 * reach)
+        near = let(grams_of(region), lambda g: F.filter(notices, lambda x: share(g, x) >= CONFIRM))
+        begins = F.flatten(F.array(*[grid(p, w) for w in WIDTHS]))
+        window = lambda b: F.struct(p.alias("anchor"), F.slice(every, b["start"] + 1, b["width"]).alias("words"))
+        holds = lambda y, some: let(grams_of(y["words"]), lambda g: F.exists(some, lambda x: share(g, x) >= CONFIRM))
+        return let(near, lambda some: F.when(F.size(some) > 0, F.filter(F.transform(begins, window), lambda y: holds(y, some))))
+
+    found = F.flatten(F.filter(F.transform(anchors, at), lambda x: x.isNotNull()))
+    return F.when(n > 0, found)
+
+
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, paragraph, family, probability, similarity) for each paragraph that speaks of a licence.
 
-    A paragraph is a line; paragraph is its number from 0. family is "unknown" unless the model's
-    probability reaches the calibrated threshold and similarity, the largest share of a family notice's
-    n-grams that the paragraph holds, is CONFIRM or more. Null and empty texts have no paragraphs; each
-    repeated row is scanned; an empty table gives no rows; other columns are not read.
+    A paragraph is a line in which words of a licence begin; paragraph is its number from 0. Judged are the
+    line and, around each such word, windows of the block of lines around it, since notices are wrapped. A
+    family is right where the model's probability reaches the calibrated threshold and similarity, the
+    largest share of a family notice's n-grams that is there, is CONFIRM or more; at each word the most
+    similar one counts. A line has one row for each family, or one with "unknown". Null and empty texts
+    have no paragraphs; each repeated row is scanned; an empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     families, weights, intercept, least = trained()
-    # one row for each n-gram of the training vocabulary: a fixed size
-    model = spark.createDataFrame([(g, [float(v) for v in w]) for g, w in weights.items()], "gram string, w array<double>")
-    notices = spark.createDataFrame([(f, sorted(grams(t))) for f, ts in NOTICES.items() for t in ts], "family string, notice array<string>")
+    texts = [(f, sorted(grams(t))) for f, ts in NOTICES.items() for t in ts]
+    # one row for each n-gram of the training vocabulary or of a notice: a fixed size
+    zero = np.zeros(len(families))
+    rows = [(g, [float(v) for v in weights.get(g, zero)], [int(g in t) for _, t in texts]) for g in sorted(set(weights) | {g for _, t in texts for g in t})]
+    model = spark.createDataFrame(rows, "gram string, w array<double>, held array<int>")
+    notices = F.array(*[F.array(*[F.lit(g) for g in t]) for _, t in texts])
     lines = (
-        docs.where(F.col(text).rlike(ANCHOR))
-        .select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("paragraph", "line"))
-        .where(F.col("line").rlike(ANCHOR))
+        docs.where(F.col(text).rlike(WRAPPED))
+        .select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.split(text, "\n").alias("lines"))
+        .select("row", "doc_id", F.explode(spoken(F.col("lines"))).alias("x"))
+        .select("row", "doc_id", "x.*")
     )
-    words = F.regexp_extract_all(F.lower("line"), F.lit(f"({WORD})"), F.lit(1))
-    pairs = F.zip_with("words", F.slice("words", 2, 1 << 30), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
-    known = lines.withColumn("words", words).select("row", "doc_id", "paragraph", F.array_distinct(F.concat("words", F.filter(pairs, lambda g: g.isNotNull()))).alias("grams"))
+    whole = F.struct(F.lit(-1).alias("anchor"), F.col("line").alias("words"))
+    around = windows_of(F.concat("before", "line", "after"), F.size("before"), F.size("line"), notices)
+    pieces = F.concat(F.array(whole), F.coalesce(around, F.expr("cast(array() as array<struct<anchor:int,words:array<string>>>)")))
+    known = lines.select("row", "doc_id", "paragraph", F.posexplode(pieces).alias("piece", "y")).select("row", "doc_id", "paragraph", "piece", "y.anchor", grams_of(F.col("y.words")).alias("grams"))
     # outer: a paragraph without any known n-gram keeps the intercepts
-    each = known.select("row", "doc_id", "paragraph", F.size("grams").alias("n"), F.explode_outer("grams").alias("gram"))
+    each = known.select("row", "doc_id", "paragraph", "piece", "anchor", F.size("grams").alias("n"), F.explode_outer("grams").alias("gram"))
     met = each.join(F.broadcast(model), "gram", "left")
     logits = [(F.lit(float(b)) + F.coalesce(F.sum(F.col("w")[i]), F.lit(0.0)) / F.sqrt(F.greatest(F.first("n"), F.lit(1)))).alias(f"z{i}") for i, b in enumerate(intercept)]
-    scored = met.groupBy("row", "paragraph").agg(F.first("doc_id").alias("doc_id"), *logits, F.collect_set("gram").alias("grams"))
+    shares = [(F.coalesce(F.sum(F.col("held")[i]), F.lit(0)) / len(t)).alias(f"s{i}") for i, (_, t) in enumerate(texts)]
+    scored = met.groupBy("row", "paragraph", "piece").agg(F.first("doc_id").alias("doc_id"), F.first("anchor").alias("anchor"), *logits, *shares)
     z = F.array(*[F.col(f"z{i}") for i in range(len(families))])
     top = F.array_max(z)
     total = F.aggregate(F.transform(z, lambda v: F.exp(v - top)), F.lit(0.0), lambda a, v: a + v)
-    guess = scored.select("row", "doc_id", "paragraph", "grams", (1 / total).alias("probability"), F.element_at(F.lit(families), F.array_position(z, top).cast("int")).alias("guess"))
-    share = F.size(F.array_intersect("grams", "notice")) / F.size("notice")
-    compared = guess.join(F.broadcast(notices), F.col("guess") == F.col("family"), "left").groupBy("row", "paragraph").agg(
-        F.first("doc_id").alias("doc_id"), F.first("probability").alias("probability"), F.first("guess").alias("guess"), F.coalesce(F.max(share), F.lit(0.0)).alias("similarity")
-    )
-    sure = (F.col("probability") >= least) & (F.col("similarity") >= CONFIRM)
-    return compared.select("doc_id", "paragraph", F.when(sure, F.col("guess")).otherwise(UNKNOWN).alias("family"), "probability", "similarity")
+    alike = [F.greatest(F.lit(0.0), *[F.col(f"s{i}") for i, (f, _) in enumerate(texts) if f == family], F.lit(0.0)) for family in families]
+    guess = scored.select(
+        "row", "doc_id", "paragraph", "anchor", (1 / total).alias("probability"), F.element_at(F.lit(families), F.array_position(z, top).cast("int")).alias("guess"),
+        F.element_at(F.array(*alike), F.array_position(z, top).cast("int")).alias("similarity"),
+    )
+    sure = (F.col("probability") >= least) & (F.col("similarity") >= CONFIRM) & (F.col("guess") != UNKNOWN)
+    judged = F.struct("similarity", "probability", F.when(sure, F.col("guess")).otherwise(UNKNOWN).alias("family"), "anchor")
+    listed = guess.groupBy("row", "paragraph").agg(F.first("doc_id").alias("doc_id"), F.collect_list(judged).alias("all"))
+    right = F.filter("all", lambda x: x["family"] != UNKNOWN)
+    best = lambda xs: F.array_max(xs)
+    at = lambda a: best(F.filter(right, lambda x: (x["anchor"] == a) | (x["anchor"] == -1)))
+    # the line as a whole counts by itself only if no window is right
+    windowed = F.exists(right, lambda x: x["anchor"] >= 0)
+    chosen = F.transform(F.array_distinct(F.transform(F.filter(right, lambda x: ~windowed | (x["anchor"] >= 0)), lambda x: x["anchor"])), at)
+    one = lambda f: best(F.filter(F.col("chosen"), lambda x: x["family"] == f))
+    single = F.transform(F.array_distinct(F.transform("chosen", lambda x: x["family"])), one)
+    unsure = F.filter("all", lambda x: x["anchor"] == -1)
+    out = listed.withColumn("chosen", chosen).select("doc_id", "paragraph", F.explode(F.when(F.size("chosen") > 0, single).otherwise(unsure)).alias("x"))
+    return out.select("doc_id", "paragraph", "x.family", "x.probability", "x.similarity")

@@ -179,6 +179,20 @@ def test_quality_and_licences(spark, texts):
     assert {(r.doc_id, r.paragraph, r.family) for r in found} == {(1, 1, "mit"), (2, 0, "unknown")}
 
 
+def test_wrapped_licences(spark):
+    mit = "/*\n * Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files to deal in the\n * Software without restriction\n */\nint x;"
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License\n\ncode"
+    long = " ".join(WORDS * 200) + " Licensed under the Apache License, Version 2.0. " + " ".join(WORDS * 200)
+    two = "Released under the MIT License. " + " ".join(WORDS * 20) + " Licensed under the GNU Affero General Public License, version 3."
+    domain = "// This work has been dedicated to the public\n// domain under CC0."
+    rows = [(1, mit), (2, gpl), (3, long), (4, two), (5, domain), (6, "The committee discussed\nwhich license the project\nshould choose."), (7, "Released under the\n\nMIT License.")]
+    got = {}
+    for r in license_regression.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, set()).add((r.paragraph, r.family))
+    assert got[1] == {(1, "mit")} and got[2] == {(0, "gpl-3.0"), (1, "gpl-3.0"), (2, "gpl-3.0")} and got[3] == {(0, "apache-2.0")}
+    assert got[4] == {(0, "mit"), (0, "agpl-3.0")} and got[5] == {(0, "cc0")} and got[6] == {(1, "unknown")} and got[7] == {(2, "unknown")}
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_rtree.classes(docs).count() == 0 and prefix_free.remove_repeats(docs).count() == 0 and packing_hilbert.pack(docs).count() == 0
