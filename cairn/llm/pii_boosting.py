@@ -5,7 +5,7 @@ a national telephone number, an account number, an identity number, a birth date
 address; proposals may overlap. Boosted trees score each from its format and the words before it, a
 threshold calibrated on held-out samples for each kind accepts, and the best of overlapping ones stays.
 
-Only stretches around digits, @ and bracketed "at" are looked at with regular expressions: the matches of a
+Only stretches around digits, account starts, @ and bracketed "at" are looked at with regular expressions: the matches of a
 format lie within runs of its characters, so runs found on the bytes give the same matches as whole texts.
 """
 
@@ -51,6 +51,8 @@ IN_RUN = np.zeros(256, bool)
 IN_RUN[[*range(48, 58), *b" ().-/+"]] = True
 DIGIT = np.zeros(256, bool)
 DIGIT[48:58] = True
+UPPER = np.zeros(256, bool)
+UPPER[65:91] = True
 
 
 def luhn(digits: bytes) -> bool:
@@ -156,8 +158,11 @@ def labelled(seed: int = 3, rows: int = 3000) -> Iterator[tuple[int, bytes]]:
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
 
     def account() -> str:
-        body, country = digits(18), pick(["DE", "FR", "ES", "GB", "NL"])
-        check = 98 - int(body + "".join(str(int(c, 36)) for c in country) + "00") % 97
+        country = pick(["DE", "FR", "ES", "GB", "NL"])
+        # the bank is four letters in GB and NL
+        bank = "".join(chr(65 + int(k)) for k in rng.integers(0, 26, 4)) if country in ("GB", "NL") else ""
+        body = bank + digits({"GB": 14, "NL": 10}.get(country, 18))
+        check = 98 - int("".join(str(int(c, 36)) for c in body + country) + "00") % 97
         text = f"{country}{check:02d}{body}"
         return " ".join(text[i : i + 4] for i in range(0, len(text), 4)) if rng.random() < 0.5 else text
 
@@ -176,19 +181,38 @@ def labelled(seed: int = 3, rows: int = 3000) -> Iterator[tuple[int, bytes]]:
         yield label, f"{words()} {pick(leads)}\x02{make()}\x03{pick([' ', '. ', ', '])}{words()}".encode()
 
 
-def proposals(data: bytes, runs: list[tuple[int, int]], ats: list[int]) -> Iterator[tuple[str, int, int]]:
+def account_starts(data: np.ndarray) -> list[int]:
+    """Places of two capitals before two digits."""
+    if len(data) < 4:
+        return []
+    up, digit = UPPER[data], DIGIT[data]
+    return np.flatnonzero(up[:-3] & up[1:-2] & digit[2:-1] & digit[3:]).tolist()
+
+
+def proposals(data: bytes, runs: list[tuple[int, int]], ats: list[int], starts: list[int], offsets: np.ndarray) -> Iterator[tuple[str, int, int]]:
+    """Proposals in the documents that offsets bound; none reaches over a bound, so each document has its own whatever lies beside it."""
+    bounds = lambda at: tuple(offsets[(k := int(np.searchsorted(offsets, at, "right"))) - 1 : k + 1].tolist())
     for a, b in runs:
         run = data[a:b]
         for kind, pattern in PROPOSE.items():
             for m in pattern.finditer(run):
                 if kind == "birth" or len(only_digits(m[0])) >= 7:
                     yield kind, a + m.start(), a + m.end()
-        if data[a - 2 : a].isupper() and not data[max(0, a - 3) : a - 2].isalnum():
-            m = ACCOUNT.match(data, a - 2)
-            if m:
-                yield "account", m.start(), m.end()
+    for a in starts:
+        floor, ceiling = bounds(a)
+        if a > floor and data[a - 1 : a].isalnum():
+            continue
+        m = ACCOUNT.match(data, a, ceiling)
+        if m:
+            yield "account", m.start(), m.end()
+            # words in capitals may follow the number: what is right up to a blank is proposed too
+            for blank in re.finditer(b" ", m[0]):
+                part = m[0][: blank.start()]
+                if len(part) - part.count(b" ") >= 15 and mod97(part):
+                    yield "account", a, a + len(part)
     for at in ats:
-        for m in MAIL.finditer(data, max(0, at - 70), min(len(data), at + 140)):
+        floor, ceiling = bounds(at)
+        for m in MAIL.finditer(data, max(floor, at - 70), min(ceiling, at + 140)):
             if m.start() <= at < m.end():
                 yield "mail", m.start(), m.end()
 
@@ -201,8 +225,9 @@ def trained() -> tuple[Trees, dict[str, float]]:
         a, b = text.index(b"\x02"), text.index(b"\x03") - 1
         text = text.replace(b"\x02", b"").replace(b"\x03", b"")
         data = np.frombuffer(text, np.uint8)
-        runs, _, ats = stretches(data, np.array([0, len(data)]))
-        for kind, start, end in proposals(text, runs, ats):
+        offsets = np.array([0, len(data)])
+        runs, _, ats = stretches(data, offsets)
+        for kind, start, end in proposals(text, runs, ats, account_starts(data), offsets):
             # a proposal is right if it covers the labelled span but for two signs
             right = label and start <= a + 2 and end >= b - 2 and start < b and end > a
             rows.append(features(kind, text[start:end], text[max(0, start - 40) : start], text[end : end + 3]))
@@ -258,12 +283,11 @@ def spans_of(data: np.ndarray, offsets: np.ndarray, trees: Trees, least: dict[st
     base = [(doc_of(a), a + s, a + e, kind) for a, b in runs for kind, s, e in base_in_run(text[a:b])]
     base += [(doc_of(a), a + m.start(), a + m.end(), "email") for a, b in mails for m in EMAIL.finditer(text[a:b])]
     some, rows = [], []
-    for kind, start, end in proposals(text, runs, ats):
+    for kind, start, end in proposals(text, runs, ats, account_starts(data), offsets):
         doc = doc_of(start)
         floor, ceiling = int(offsets[doc]), int(offsets[doc + 1])
-        if end <= ceiling and start >= floor:
-            some.append((doc, start, end, kind))
-            rows.append(features(kind, text[start:end], text[max(floor, start - 40) : start], text[end : min(ceiling, end + 3)]))
+        some.append((doc, start, end, kind))
+        rows.append(features(kind, text[start:end], text[max(floor, start - 40) : start], text[end : min(ceiling, end + 3)]))
     added: list[tuple] = []
     if some:
         p = trees.probability(np.array(rows))

@@ -118,6 +118,21 @@ def test_pii_and_secrets(spark):
     assert "hunter2" not in secrets_markov.redact(df).where("doc_id = 4").first().text
 
 
+def test_pii_whatever_lies_beside():
+    texts = ["iban NL91ABNA0417164300", "Zebra", "my bank account GB82 WEST 1234 5698 7654 32", "9 lives", "iban DE89370400440532013000", "7", "write to ann (at) mail.com", "next", "bank account GB82WEST12345698765432 IS MINE"]
+    trees, least = pii_boosting.trained()
+
+    def added(some):
+        raw = [t.encode() for t in some]
+        data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+        _, found = pii_boosting.spans_of(data, offsets, trees, least)
+        return {(some[d], some[d][int(a - offsets[d]) : int(b - offsets[d])]) for d, a, b, kind in found if kind in ("account", "mail")}
+
+    alone = set().union(*[added([t]) for t in texts])
+    assert added(texts) == alone == added(texts[::-1])
+    assert {found for _, found in alone} >= {"NL91ABNA0417164300", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "ann (at) mail.com", "GB82WEST12345698765432"}
+
+
 def test_secrets_among_ordinary_parts(spark):
     key = "Q7xK2mZp9RvT4wLs8NcB"
     path, setting, hexed = f"/services/production/deployment/credentials/{key}", f"internal_service_authorization_header={key}", "0123456789abcdef" * 2 + "/" + key
