@@ -39,15 +39,35 @@ def near_copy_components(s, d):
     return G.tainted(nodes, comps, "doc_id", "exposed").groupBy("status").agg(F.count("*").alias("n"))
 
 
+def _words(text):
+    return F.regexp_extract_all(text, F.lit(r"(?U)(\w+)"), F.lit(1))
+
+
+def contained(docs, benchmark):
+    """(doc_id, item_id) of the documents that hold an item's whole text.
+
+    Looked up are the words 2 to 7 of an item, its last word left out: whatever stands around the item,
+    these are words of the document too. An item of under three words has none and is compared with all.
+    """
+    items = benchmark.where("text is not null").select("item_id", F.col("text").alias("item"), _words("text").alias("v"))
+    inner = F.slice("v", 2, F.least(F.lit(6), F.size("v") - 2))
+    long = items.where("size(v) >= 3").select("item_id", "item", F.array_join(inner, " ").alias("head"), F.size(inner).alias("n"))
+    sizes = sorted(r["n"] for r in long.select("n").distinct().collect())  # six at most
+    every = docs.where("text is not null").select("doc_id", "text")
+    short = every.join(F.broadcast(items.where("size(v) < 3")), F.contains("text", F.col("item"))).select("doc_id", "item_id")
+    if not sizes:
+        return short.distinct()
+    heads = lambda k: F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda i: F.array_join(F.slice("w", i, F.lit(k)), " "))
+    none = F.expr("cast(array() as array<string>)")
+    pieces = every.select("doc_id", _words("text").alias("w")).select("doc_id", F.explode(F.array_distinct(F.concat(*[F.when(F.size("w") >= k, heads(k)).otherwise(none) for k in sizes]))).alias("head"))
+    pairs = pieces.join(long, "head").select(F.col("doc_id").alias("of"), "item_id", "item").distinct()
+    found = every.join(pairs, F.col("doc_id").eqNullSafe(F.col("of"))).where(F.contains("text", F.col("item"))).select("doc_id", "item_id")
+    return found.unionByName(short).distinct()
+
+
 def contamination(s, d):
     """Records that hold the whole text of a benchmark item."""
-    words = F.slice(F.split("text", " "), 1, 6)
-    items = table(s, d, "benchmark").select("item_id", F.col("text").alias("item"), F.array_join(words, " ").alias("head"))
-    pieces = _docs(s, d).select("doc_id", "text", F.split("text", " ").alias("w")).select("doc_id", "text", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 5))).alias("i"))
-    heads = pieces.select("doc_id", F.array_join(F.slice("w", F.col("i"), F.lit(6)), " ").alias("head"), "text")
-    # an item's first words may follow a line break
-    last = F.regexp_replace("head", r"^[^\n]*\n", "")
-    return heads.withColumn("head", last).join(items, "head").where(F.contains("text", F.col("item"))).select("doc_id", "item_id").distinct()
+    return contained(_docs(s, d), table(s, d, "benchmark"))
 
 
 def _edges(s, d):

@@ -41,3 +41,14 @@ def test_query(spark, duck, name):
         names = [x[0] for x in found.description]
         assert sorted(names) == sorted(df.columns)
         assert rows(df.columns, got, sorted(names)) == rows(names, found.fetchall(), sorted(names))
+
+
+def test_contamination_whatever_stands_around(spark):
+    from cairn.plans.graphs import contained
+
+    items = [(1, "Where does the old copper river bend near Harrow?"), (2, "Two words"), (3, "What is\nthe name of this long river?"), (4, "Name the bridge"), (5, "x"), (6, None), (7, "(see) über den alten Fluss hinaus gehen")]
+    around = ["{}", "\n\n{}", "a\t{}.", 'said "{}"', "({})", "one\ntwo\nthree {}\nfour", "pre{}post", "{}\n\nmore words follow here"]
+    docs = [(100 * i + k, form.format(text)) for i, text in items if text for k, form in enumerate(around)] + [(1, None), (2, ""), (None, "Name the bridge")]
+    want = {(d, i) for d, text in docs for i, item in items if text is not None and item is not None and item in text}
+    got = contained(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
