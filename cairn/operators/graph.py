@@ -46,11 +46,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     if not maps:
         return spark.createDataFrame([], f"node {kind.simpleString()}, component {kind.simpleString()}")
     done = maps[-1].df.select("node", F.col("up").alias("root"))
+    used = list(maps)
     for step in reversed(maps[:-1]):
         # a hub is the target of many nodes: the deeper map is written so that this join can be split
-        known = Staged(done.select(F.col("node").alias("up"), "root"), "known").df
-        done = step.df.join(known, "up", "left").select("node", F.coalesce("root", "up").alias("root"))
+        known = Staged(done.select(F.col("node").alias("up"), "root"), "known")
+        used.append(known)
+        done = step.df.join(known.df, "up", "left").select("node", F.coalesce("root", "up").alias("root"))
     done = Staged(done, "roots").df
+    for table in used:
+        table.drop()
     return done.join(done.groupBy("root").agg(F.min("node").alias("component")), "root").select("node", "component")
 
 
