@@ -1,14 +1,21 @@
 """Set-similarity self-join on word shingles by count vectors, bounds on summed minima, and verification.
 
-Shingles hash into groups, and a document is the point of its group counts. The groups are dealt to k
-blocks of coordinates, with k above the largest difference that a link allows, so two linked documents
-have equal counts in some blocks; (block, its counts) is a cell of the index directory. A cell that more
-than one distinct set falls into is a node of the tree: its points are packed into leaves with upper
-corners, and a pair is a candidate only if the sum of coordinate minima reaches the overlap that the
-threshold asks for. Candidates are verified on the exact shingle sets.
-
-Exact copies fold into one point before the index, near copies that link to the first point of their
-cells fold into components before pairs are formed, and what remains in a hot cell is split in chunks.
+Shingles hash into groups, and a document is the point of its group counts. Two sets of n and m shingles link
+only if their overlap reaches percent / (100 + percent) * (n + m), and the overlap is at most the sum of the
+coordinate minima of their points.
+
+1. Directory. The fine groups are put in one order for the whole corpus, rarest total first. Minima that sum to
+   the overlap leave no room for two points that differ in all of their first coordinates: of n shingles in
+   this order, the first n * (100 - percent) / 100 + 1 must hold one of any linked set. Each is a cell of the
+   directory; shingles that many documents share come last and so open no cells.
+2. Nodes. Exact copies fold into one point. Each set is bounded against the leading set of its cells, verified, and linked sets fold into components. A cell that still holds several components is a node of
+   the tree: its points are packed into leaves with upper corners, a leaf whose corner cannot reach the
+   overlap is passed over, and so is a pair. Large cells are split in chunks, each pair of chunks a piece of work.
+3. Verification on the exact shingle sets of what passes the bound.
+
+Points hold 64 coarse counts of one byte, which may stand for more (MOST); the bound then stays one, as it is
+written as n - sum of the excess of one point over the other, and cut counts only lower an excess.
+Sets are told apart by 64-bit codes. Rows with one id but different texts are different rows throughout.
 """
 
 from __future__ import annotations
@@ -19,30 +26,35 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairn.llm import kernels as K
 from cairn.operators.graph import connected_components
 from cairn.operators.shared import Staged
 
 U64 = np.uint64
-DIMS = 256
-MOST = (1 << 16) - 1
-GROUPS_PER_BLOCK = 64
-RATIO = 1.25
-SPAN = 4
-LEAST_IN_CELL = 2
-CHUNK = 512
+# Coordinates of a point, and what a count is cut to.
+DIMS = 64
+MOST = 255
+# Fine groups, whose totals over all documents order the directory: 1 MB, whatever the corpus.
+GROUP_BITS = 17
+GROUPS = 1 << GROUP_BITS
+TOTAL_PARTS = 64
+CHUNK = 2048
 LEAF = 32
-# Identifier lists of at most this many rows are broadcast; longer ones are joined by a shuffle.
-BROADCAST_ROWS = 400_000
+# Identifier lists of at most this many bytes, by a count of rows and the length of their texts, are broadcast; longer ones are joined by a shuffle.
+BROADCAST_BYTES = 4 << 20
 SLICE_BYTES = 8 << 20
 
 
-def sorted_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, document) of the distinct shingles, sorted by document and hash."""
+def sorted_sets(data: np.ndarray, offsets: np.ndarray, width: int, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, document) of the distinct shingles, sorted by document and hash; with the ranks of the fine groups, in their order."""
     n_docs = len(offsets) - 1
     code, doc, _, _ = K.words(data, offsets)
     h, at = K.shingles(code, doc, n_docs, width)
+    if rank is not None:
+        shift = U64(64 - GROUP_BITS)
+        h = (rank[h >> shift] << shift) | (h & U64((1 << (64 - GROUP_BITS)) - 1))
     order = np.lexsort((h, at))
     h, at = h[order], at[order]
     fresh = np.ones(len(h), bool)
@@ -62,108 +74,66 @@ def signatures(h: np.ndarray, at: np.ndarray, n_docs: int) -> tuple[np.ndarray,
 
 def count_vectors(h: np.ndarray, at: np.ndarray, n_docs: int) -> np.ndarray:
     """Counts of shingles in DIMS groups, one row for each document; a count above MOST stands as MOST."""
-    group = (h >> U64(40)).astype(np.int64) % DIMS
-    return np.minimum(np.bincount(at * DIMS + group, minlength=n_docs * DIMS), MOST).reshape(n_docs, DIMS).astype(np.uint16)
-
-
-def size_classes(percent: int, most: int) -> list[tuple[int, int, int, int]]:
-    """(least size, largest size, differences allowed, blocks) of each class of set sizes, up to most."""
-    out, least = [], 1
-    while not out or out[-1][1] < most:
-        largest = max(least, int(least * max(RATIO, 100 / percent)))
-        # |A| + |B| - 2 overlap, with overlap >= percent / (100 + percent) * (|A| + |B|)
-        apart = (100 - percent) * 2 * largest // (100 + percent)
-        out.append((least, largest, apart, apart + 1 + apart // 4 + (3 if apart >= 6 else 0)))
-        least = largest + 1
-    return out
+    group = (h & U64(DIMS - 1)).astype(np.int64)
+    return np.minimum(np.bincount(at * DIMS + group, minlength=n_docs * DIMS), MOST).reshape(n_docs, DIMS).astype(np.uint8)
 
 
-def cells(h: np.ndarray, at: np.ndarray, size: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(document, space, cell code, least cells to share) for the documents' own class and, near its upper end, the next.
+def facts(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, n, sig, counts) of each row, and with part set, totals of a part of the fine groups in a task.
 
-    A block with fewer than LEAST_IN_CELL shingles is read together with the next ones, at most SPAN.
-    Each differing block spoils the cells that read it; what is left of a document's cells after the
-    worst choice of differing blocks must be shared with every linked document. Where nothing is left
-    for certain, single blocks form cells of a second space, where plain counting holds. Spaces are 0 and 1
-    in the own class, 2 and 3 in the next; documents that share a cell share its class.
+    sig is null for a row without shingles or without an id.
     """
-    classes = size_classes(percent, int(size.max(initial=1)) * 2)
-    lows = np.array([c[0] for c in classes])
-    own = np.searchsorted(lows, size, "right") - 1
-    begin = K.per_document(at, len(size))
-    for up in (0, 1):
-        scheme = own + up
-        apart = np.array([c[2] for c in classes])[scheme]
-        blocks = np.array([c[3] for c in classes])[scheme]
-        take = (size > 0) & (apart > 0)
-        if up:
-            take &= 100 * size >= percent * lows[scheme]
-        docs = np.flatnonzero(take)
-        if not len(docs):
-            continue
-        n, k = size[docs], blocks[docs]
-        rows = np.repeat(begin[docs] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        which = np.repeat(np.arange(len(docs)), n)
-        seed = K.mix(scheme[docs].astype(U64) + U64(1000 * percent))
-        group = ((K.mix(h[rows] ^ seed[which]) >> U64(32)) * (k[which] * GROUPS_PER_BLOCK).astype(U64)) >> U64(32)
-        base = np.cumsum(k) - k
-        total = int(k.sum())
-        place = base[which] + (group // U64(GROUPS_PER_BLOCK)).astype(np.int64)
-        count = np.bincount(place, minlength=total)
-        code = np.zeros(total, U64)
-        np.add.at(code, place, K.mix(group, 7))
-        of = np.repeat(np.arange(len(docs)), k)
-        number = np.arange(total) - base[of]
-        merged, held, span = code.copy(), count.copy(), np.ones(total, np.int64)
-        for step in range(1, SPAN):
-            nxt = base[of] + (number + step) % k[of]
-            thin = (held < LEAST_IN_CELL) & (span == step) & (step < k[of])
-            merged = np.where(thin, K.mix(merged, 8) + code[nxt], merged)
-            held = held + np.where(thin, count[nxt], 0)
-            span += thin
-        # how many cells besides its own read a block
-        cover = np.zeros(total, np.int64)
-        for step in range(1, SPAN):
-            np.add.at(cover, base[of] + (number + step) % k[of], (span > step).astype(np.int64))
-        spoilt = np.minimum(apart[docs], k)
-        for step in range(1, SPAN):
-            spoilt = spoilt + np.minimum(apart[docs], np.bincount(of, weights=cover >= step, minlength=len(docs)).astype(np.int64))
-        need = k - spoilt
-        stamp = K.mix(seed[of] + number.astype(U64))
-        yield docs[of], np.full(total, 2 * up), K.mix(stamp + K.mix(merged)), np.clip(need, 0, 63)[of]
-        unsafe = (need <= 0)[of]
-        if unsafe.any():
-            yield docs[of][unsafe], np.full(int(unsafe.sum()), 2 * up + 1), K.mix(stamp + K.mix(code, 9))[unsafe], np.ones(int(unsafe.sum()), np.int64)
-
-
-def facts(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, sig, counts) of each row; sig is null for a row without shingles or without an id."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "n", "sig", "counts", "part"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, ids = np.zeros(GROUPS, np.int64), None
         for batch in batches:
             data, offsets = K.text_bytes(batch.column(1))
             for i, j in K.slices(offsets):
                 h, at = sorted_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
                 size, sig = signatures(h, at, j - i)
+                total += np.bincount((h >> U64(64 - GROUP_BITS)).astype(np.int64), minlength=GROUPS)
                 ids = batch.column(0).slice(i, j - i)
                 absent = (size == 0) | ids.is_null().to_numpy(zero_copy_only=False)
-                vector = count_vectors(h, at, j - i)
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(size, pa.int64()), pa.array(sig, pa.int64(), mask=absent), pa.array([v.tobytes() for v in vector], pa.binary())],
-                    ["doc_id", "n", "sig", "counts"],
-                )
+                vector = pa.array([v.tobytes() for v in count_vectors(h, at, j - i)], pa.binary())
+                yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(sig, pa.int64(), mask=absent), vector, pa.nulls(j - i, pa.int32())], names)
+        if ids is not None:
+            cut = [x.astype(np.min_scalar_type(x.max())).tobytes() for x in np.split(total, TOTAL_PARTS)]
+            none = lambda t: pa.nulls(TOTAL_PARTS, t)
+            yield pa.RecordBatch.from_arrays([none(ids.type), none(pa.int64()), none(pa.int64()), pa.array(cut, pa.binary()), pa.array(range(TOTAL_PARTS), pa.int32())], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, sig long, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, sig long, counts binary, part int")
 
 
-ENTRY = np.dtype([("cell", "<u8"), ("sig", "<i8"), ("mark", "u1")])
-# As written between tasks: the upper cell bits follow from the slice. mark is 4 * need + space, with need cut to 63.
-BRIEF = np.dtype([("low", "<u4"), ("mid", "u1"), ("sig", "<i8"), ("mark", "u1")])
+def ranks(known: DataFrame) -> np.ndarray:
+    """The rank of each fine group by its total over all documents, the rarest first. TOTAL_PARTS rows reach the driver, 1 MB together."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                width = 8 * len(counts) * TOTAL_PARTS // GROUPS
+                total[part] = total.get(part, 0) + np.frombuffer(counts, f"uint{width}").astype(np.int64)
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["part", "counts"])
+
+    parts = known.where("part is not null").select("part", "counts").repartition(TOTAL_PARTS, "part")
+    total = np.zeros(GROUPS, np.int64)
+    for row in parts.mapInArrow(run, "part int, counts binary").collect():
+        total[row["part"] * (GROUPS // TOTAL_PARTS) :][: GROUPS // TOTAL_PARTS] = np.frombuffer(row["counts"], np.int64)
+    out = np.empty(GROUPS, U64)
+    out[np.argsort(total, kind="stable")] = np.arange(GROUPS, dtype=U64)
+    return out
 
-def members(docs: DataFrame, width: int, percent: int, n_slices: int) -> DataFrame:
-    """(cell, sig, space, need) for every cell that more than one distinct set falls into.
+
+ENTRY = np.dtype([("cell", "<u8"), ("sig", "<i8")])
+# As written between tasks: the upper cell bits follow from the slice.
+BRIEF = np.dtype([("low", "<u4"), ("mid", "u1"), ("sig", "<i8")])
+
+
+def members(docs: DataFrame, width: int, percent: int, rank: np.ndarray, n_slices: int) -> DataFrame:
+    """(cell, sig) for every cell that more than one distinct set falls into.
 
     Tasks send their cells in blocks of one slice of the code space, one entry for each cell and task
     chunk, so a slice gets at most as many entries of a cell as there are chunks, whatever the group of
@@ -182,9 +152,7 @@ def members(docs: DataFrame, width: int, percent: int, n_slices: int) -> DataFra
         lead = found[first]
         edges = np.searchsorted(lead["cell"] >> U64(44), np.arange(n_slices + 1, dtype=U64))
         brief = np.zeros(len(lead), BRIEF)
-        brief["low"], brief["mid"] = lead["cell"] & U64(0xFFFFFFFF), (lead["cell"] >> U64(32)) & U64(0xFF)
-        for c in ("sig", "mark"):
-            brief[c] = lead[c]
+        brief["low"], brief["mid"], brief["sig"] = lead["cell"] & U64(0xFFFFFFFF), (lead["cell"] >> U64(32)) & U64(0xFF), lead["sig"]
         rows = [(s, 0, brief[a:b].tobytes()) for s, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
         rows += [((salt + lo) % n_slices, 1, local[lo : lo + 65536].tobytes()) for lo in range(0, len(local), 65536)]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["slice", "local", "block"])
@@ -196,37 +164,37 @@ def members(docs: DataFrame, width: int, percent: int, n_slices: int) -> DataFra
         for batch in batches:
             data, offsets = K.text_bytes(batch.column(0))
             for i, j in K.slices(offsets):
-                h, at = sorted_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
-                size, sig = signatures(h, at, j - i)
+                h, at = sorted_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width, rank)
+                # the codes of facts() are of the hashes before the order
+                size = np.bincount(at, minlength=j - i)
+                sig = signatures(unranked(h, rank), at, j - i)[1]
                 if len(seen) > 200_000:
                     seen.clear()
+                first = np.where(size > 0, size * (100 - percent) // 100 + 1, 0)
                 for d, s in enumerate(sig.tolist()):
                     if s in seen:
-                        size[d] = 0  # an exact copy met before in this task
+                        first[d] = 0  # an exact copy met before in this task
                     seen.add(s)
-                keep = size[at] > 0
-                for doc, space, cell, need in cells(h[keep], at[keep], size, percent):
-                    entry = np.zeros(len(doc), ENTRY)
-                    entry["cell"], entry["sig"], entry["mark"] = cell, sig[doc], 4 * need + space
-                    held.append(entry)
+                begin = np.cumsum(size) - size
+                take = np.arange(len(h)) - begin[at] < first[at]
+                entry = np.zeros(int(take.sum()), ENTRY)
+                entry["cell"], entry["sig"] = K.mix(h[take], 5), sig[at[take]]
+                held.append(entry)
                 texts += int(offsets[j] - offsets[i])
-                if texts >= SLICE_BYTES and held:
+                if texts >= SLICE_BYTES:
                     yield emit(np.concatenate(held), salt)
                     held, texts, salt = [], 0, salt + 7919
         if held:
             yield emit(np.concatenate(held), salt)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            for s, local, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if local:
-                    yield table(np.frombuffer(block, ENTRY))
-                else:
-                    blocks.setdefault(s, []).append(np.frombuffer(block, BRIEF))
-        for s, parts in blocks.items():
-            brief = np.concatenate(parts)
-            cell = (U64(s) << U64(44)) | (brief["mid"].astype(U64) << U64(32)) | brief["low"].astype(U64)
+        for rows in K.runs(batches, 2):
+            blocks = rows.column(2).to_pylist()
+            if rows.column(1)[0].as_py():
+                yield from (table(np.frombuffer(x, ENTRY)) for x in blocks)
+                continue
+            brief = np.concatenate([np.frombuffer(x, BRIEF) for x in blocks])
+            cell = (U64(rows.column(0)[0].as_py()) << U64(44)) | (brief["mid"].astype(U64) << U64(32)) | brief["low"].astype(U64)
             order = np.lexsort((brief["sig"], cell))
             cell, brief = cell[order], brief[order]
             fresh = np.ones(len(cell), bool)
@@ -236,30 +204,69 @@ def members(docs: DataFrame, width: int, percent: int, n_slices: int) -> DataFra
             same[1:-1] = cell[1:] == cell[:-1]
             shared = same[1:] | same[:-1]
             out = np.zeros(int(shared.sum()), ENTRY)
-            out["cell"] = cell[shared]
-            for c in ("sig", "mark"):
-                out[c] = brief[c][shared]
+            out["cell"], out["sig"] = cell[shared], brief["sig"][shared]
             yield table(out)
 
     def table(entry: np.ndarray) -> pa.RecordBatch:
-        cell = np.ascontiguousarray(entry["cell"]).view(np.int64)
-        columns = [pa.array(cell), pa.array(np.ascontiguousarray(entry["sig"])), pa.array((entry["mark"] & 3).astype(np.int32)), pa.array((entry["mark"] >> 2).astype(np.int32))]
-        return pa.RecordBatch.from_arrays(columns, ["cell", "sig", "space", "need"])
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(entry["cell"]).view(np.int64)), pa.array(np.ascontiguousarray(entry["sig"]))], ["cell", "sig"])
+
+    blocks = docs.select("text").mapInArrow(scatter, "slice int, local int, block binary")
+    # a task takes several slices, one after the other, in the order of a sort that may spill
+    return blocks.repartition(max(1, n_slices // 4), "slice").sortWithinPartitions("slice", "local").mapInArrow(gather, "cell long, sig long")
 
-    blocks = docs.select("text").mapInArrow(scatter, "slice int, local int, block binary").repartition(n_slices, "slice")
-    return blocks.mapInArrow(gather, "cell long, sig long, space int, need int")
+
+def unranked(h: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The hashes whose fine groups were put in the order of rank."""
+    shift = U64(64 - GROUP_BITS)
+    group = np.empty(GROUPS, U64)
+    group[rank.astype(np.int64)] = np.arange(GROUPS, dtype=U64)
+    return (group[(h >> shift).astype(np.int64)] << shift) | (h & U64((1 << (64 - GROUP_BITS)) - 1))
 
 
 def listed(df: DataFrame, column: str) -> DataFrame:
-    """df marked for broadcast if it has at most BROADCAST_ROWS rows of one identifier; else as it is."""
-    few = df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return F.broadcast(df.select(column)) if few else df.select(column)
+    """The identifiers of df, marked for broadcast if they take at most BROADCAST_BYTES; else as they are."""
+    found = df.select(column)
+    rows, size = found.agg(F.count("*"), F.sum(F.octet_length(F.col(column).cast("string")))).first()
+    return F.broadcast(found) if 16 * rows + (size or 0) <= BROADCAST_BYTES else found
+
+
+def excess(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """How much points p exceed q, coordinate by coordinate, summed."""
+    return (np.maximum(p, q) - q).sum(-1, dtype=np.int64)
+
+
+def bound(n: np.ndarray, p: np.ndarray, m: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The largest overlap of sets of n and m shingles with points p and q: the sum of coordinate minima, as n less the excess of p, or m less that of q."""
+    return np.minimum(n - excess(p, q), m - excess(q, p))
+
+
+def least_overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    return -((-percent * (n + m)) // (100 + percent))
+
+
+def points_of(column: pa.Array) -> np.ndarray:
+    return K.text_bytes(column)[0].reshape(-1, DIMS)
+
 
+def within_bound(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose points leave the least overlap in reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n, m = (batch.column(c).to_numpy() for c in range(4))
+            good = bound(n, points_of(batch.column(4)), m, points_of(batch.column(5))) >= least_overlap(n, m, percent) if len(a) else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
 
-def verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of set codes whose shingle sets reach the threshold."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    holders = Staged(known.where("sig is not null").join(needed, "sig").groupBy("sig").agg(F.min("doc_id").alias("doc_id")), "holders")
+    left = sets.select(F.col("sig").alias("a"), F.col("n"), F.col("counts").alias("p"))
+    right = sets.select(F.col("sig").alias("b"), F.col("n").alias("m"), F.col("counts").alias("q"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "p", "q").mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, percent: int) -> Staged:
+    """The pairs (a, b) of set codes whose points leave the overlap in reach and whose shingle sets have it."""
+    near = Staged(within_bound(pairs, sets, percent), "near")
+    needed = near.df.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    holders = Staged(sets.join(needed, "sig").select("sig", F.col("first").alias("doc_id")), "holders")
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -285,7 +292,10 @@ def verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, width: int, pe
 
     left = texts.df.select(F.col("sig").alias("a"), F.col("text").alias("left_text"))
     right = texts.df.select(F.col("sig").alias("b"), F.col("text").alias("right_text"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left_text", "right_text").mapInArrow(judge, "a long, b long")
+    out = Staged(near.df.join(left, "a").join(right, "b").select("a", "b", "left_text", "right_text").mapInArrow(judge, "a long, b long"), "links")
+    for used in (near, holders, texts):
+        used.drop()
+    return out
 
 
 def _set_of(kept: dict[int, np.ndarray], sig: int, texts: pa.Array, row: int, width: int) -> np.ndarray:
@@ -297,118 +307,171 @@ def _set_of(kept: dict[int, np.ndarray], sig: int, texts: pa.Array, row: int, wi
     return kept[sig]
 
 
-def least_overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
-    return -((-percent * (n + m)) // (100 + percent))
-
-
 def tree_pairs(counts: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Row pairs of different components whose summed minima reach the least overlap, by way of packed leaves.
 
     side splits the rows of a chunk pair: with two sides only pairs across them are formed. Points are
     packed along their size and leading counts; a leaf whose upper corner and least size cannot reach the
-    overlap with a point is passed over. Points with a cut count are held against all.
+    overlap with a point is passed over.
     """
-    cut = (counts == MOST).any(1)
     order = np.lexsort((counts[:, 1], counts[:, 0], n))
     leaves = np.arange(0, len(order), LEAF)
     corner = np.maximum.reduceat(counts[order], leaves, axis=0)
     least = np.minimum.reduceat(n[order], leaves)
-    cut_leaf = np.maximum.reduceat(cut[order], leaves)
-    bound = lambda q, points: np.minimum(counts[q], points).sum(1, dtype=np.int64)
     across = side.min() != side.max()
     left, right = [], []
     for q in range(len(order)):
         if across and side[q]:
             continue
-        near = np.flatnonzero(cut[q] | cut_leaf | (bound(q, corner) >= least_overlap(n[q], least, percent)))
+        near = np.flatnonzero(n[q] - excess(counts[q], corner) >= least_overlap(n[q], least, percent))
         if not len(near):
             continue
         rows = np.concatenate([order[leaves[x] : leaves[x] + LEAF] for x in near])
         rows = rows[(comp[rows] != comp[q]) & (side[rows] == 1 if across else rows > q)]
-        rows = rows[cut[q] | cut[rows] | (bound(q, counts[rows]) >= least_overlap(n[q], n[rows], percent))]
+        rows = rows[bound(n[q], counts[q], n[rows], counts[rows]) >= least_overlap(n[q], n[rows], percent)]
         left.append(np.full(len(rows), q))
         right.append(rows)
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
 
 
+def leaf_pairs(counts: np.ndarray, n: np.ndarray, comp: np.ndarray, leaf: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs of different components in one leaf (-1: none) of at most LEAF rows whose summed minima reach the least overlap."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for apart in range(1, LEAF):
+        x = np.flatnonzero((leaf[:-apart] == leaf[apart:]) & (leaf[apart:] >= 0))
+        if not len(x):
+            break
+        x = x[comp[x] != comp[x + apart]]
+        x = x[np.minimum(n[x], n[x + apart]) >= least_overlap(n[x], n[x + apart], percent)]
+        x = x[bound(n[x], counts[x], n[x + apart], counts[x + apart]) >= least_overlap(n[x], n[x + apart], percent)]
+        left.append(x)
+        right.append(x + apart)
+    return np.concatenate(left), np.concatenate(right)
+
+
 def cell_pairs(points: DataFrame, percent: int, parts: int) -> DataFrame:
     """(a, b) for each cell and pair of its points, of different components, that passes the bound.
 
     points has cell, sig, comp, n, counts. Cells of more than CHUNK points are split into chunks
     and every pair of chunks is a piece of work of its own.
     """
-    sizes = points.groupBy("cell").agg(F.count("*").alias("m"))
-    cut = points.join(sizes, "cell").withColumn("c", F.ceil(F.col("m") / CHUNK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("sig"), F.col("c")).cast("int"))
+    sizes = points.groupBy("cell").agg(F.count("*").alias("held"))
+    cut = points.join(sizes, "cell").withColumn("c", F.ceil(F.col("held") / CHUNK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("sig"), F.col("c")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("c") - 1))
     dealt = cut.withColumn("other", other).select(
         "cell", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "sig", "comp", "n", "counts"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in K.runs(batches, 3):
+        for rows in K.whole_runs(batches, 3):
             sig, comp, n = (rows.column(c).to_numpy() for c in (4, 5, 6))
-            counts = np.frombuffer(b"".join(rows.column(7).to_pylist()), np.uint16).reshape(-1, DIMS)
-            side = (rows.column(3).to_numpy() != rows.column(1).to_numpy()).astype(int)
-            if len(sig) < 2 or (rows.column(1)[0] != rows.column(2)[0] and side.min() == side.max()):
-                continue
-            x, y = tree_pairs(counts, n, comp, side, percent)
-            if len(x):
-                a, b = np.minimum(sig[x], sig[y]), np.maximum(sig[x], sig[y])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            counts = points_of(rows.column(7))
+            i, j, chunk = (rows.column(c).to_numpy() for c in (1, 2, 3))
+            edges = K.run_edges(rows, 3)
+            size = np.diff(edges)
+            found = [leaf_pairs(counts, n, comp, np.repeat(np.where((size <= LEAF) & (i[edges[:-1]] == j[edges[:-1]]), np.arange(len(size)), -1), size), percent)]
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                side = (chunk[a:b] != i[a]).astype(int)
+                if (b - a <= LEAF and i[a] == j[a]) or (i[a] != j[a] and side.min() == side.max()):
+                    continue
+                x, y = tree_pairs(counts[a:b], n[a:b], comp[a:b], side, percent)
+                found.append((x + a, y + a))
+            x, y = (np.concatenate(c) for c in zip(*found, strict=True))
+            # a pair may pass in many cells
+            pairs = np.unique(np.stack([np.minimum(sig[x], sig[y]), np.maximum(sig[x], sig[y])]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
     ordered = dealt.repartition(parts, "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
     return ordered.mapInArrow(run, "a long, b long")
 
 
-def classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row: documents whose shingle sets have a Jaccard similarity of
-    percent / 100 or more are linked, and component_id is the smallest doc_id that links reach.
+def grouped(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, sig) of each row, and (sig, first, component_id, leads) of each distinct set.
 
-    A row without words has an empty set, links with nothing and is its own component; so is a row
-    without an id, whose component is null. Repeated rows are given each; an empty table gives no rows;
-    other columns are not read.
+    first is a set's smallest doc_id, component_id the smallest doc_id that links reach, and leads marks one set of each component, whose first is component_id.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     known = Staged(facts(docs, width), "facts")
-    found = Staged(members(docs.where("doc_id is not null and text is not null"), width, percent, 2 * parts), "members")
-    # a set's own cells: far fewer than a partition holds
-    own = Window.partitionBy("sig", "space")
-    enough = found.df.withColumns({"c": F.count("*").over(own), "least": F.max("need").over(own)}).where("c >= least").drop("least")
-    kept = Staged(enough, "kept")
+    rank = ranks(known.df)
+    rows = known.df.where("part is null")
+    sets = Staged(rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("counts").alias("counts")), "sets")
+    found = Staged(members(docs.where("doc_id is not null and text is not null"), width, percent, rank, 8 * parts), "members")
     # first: each set against the leading set of the cells that it shares with it most often; sets with the most
-    # shared cells lead, as the common origin of near copies has
-    lead = kept.df.groupBy("cell").agg(F.max_by("sig", F.struct("c", "sig")).alias("a"))
-    stars = kept.df.join(lead, "cell").where("a <> sig").groupBy("sig", "a").agg(F.count("*").alias("c"))
-    stars = Staged(stars.groupBy("sig").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", F.col("sig").alias("b")), "stars")
-    links = Staged(verified(stars.df, docs, known.df, width, percent), "links")
+    # shared cells lead, as the common origin of near copies has. A set's own cells are far fewer than a partition holds
+    kept = found.df.withColumn("c", F.count("*").over(Window.partitionBy("sig")))
+    lead = kept.groupBy("cell").agg(F.max_by("sig", F.struct("c", "sig")).alias("a"))
+    shared = found.df.join(lead, "cell").where("a <> sig").groupBy("sig", "a").agg(F.count("*").alias("c"))
+    stars = Staged(shared.groupBy("sig").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", F.col("sig").alias("b")), "stars")
+    links = verified(stars.df, docs, sets.df, width, percent)
     near = Staged(connected_components(links.df, "a", "b"), "near")
     # then: all pairs of a cell that are still in different components
-    named = kept.df.join(near.df.withColumnRenamed("node", "sig").withColumnRenamed("component", "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+    named = found.df.join(near.df.withColumnRenamed("node", "sig").withColumnRenamed("component", "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     named = Staged(named, "named")
     mixed = named.df.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("cell")
-    points = named.df.drop("c").join(mixed, "cell")
-    vectors = known.df.join(points.select("sig").distinct(), "sig").groupBy("sig").agg(F.first("n").alias("n"), F.first("counts").alias("counts"))
-    pairs = cell_pairs(points.join(vectors, "sig"), percent, parts)
-    pairs = Staged(pairs.distinct(), "pairs")
+    points = named.df.join(mixed, "cell").join(sets.df.select("sig", "n", "counts"), "sig")
+    pairs = Staged(cell_pairs(points, percent, parts).distinct(), "pairs")
     tested = pairs.df.join(stars.df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = Staged(verified(tested, docs, known.df, width, percent), "links")
+    more = verified(tested, docs, sets.df, width, percent)
     joined = Staged(connected_components(links.df.unionByName(more.df), "a", "b"), "joined")
-    # a code's smallest document, a component's smallest document, and back to the rows
-    least = known.df.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("first"))
-    least = least.join(joined.df.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-    least = Staged(least, "least").df
-    roots = least.groupBy("component").agg(F.min("first").alias("component_id"))
-    ends = Staged(least.join(roots, "component").select("sig", "component_id"), "ends").df
-    return known.df.join(ends, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    # a component's smallest document
+    least = sets.df.select("sig", "first").join(joined.df.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    least = Staged(least, "least")
+    roots = least.df.groupBy("component").agg(F.min(F.struct("first", "sig")).alias("root"))
+    ends = Staged(least.df.join(roots, "component").select("sig", "first", F.col("root.first").alias("component_id"), (F.col("sig") == F.col("root.sig")).alias("leads")), "ends")
+    out = Staged(rows.select("doc_id", "n", "sig"), "rows")
+    for used in (known, sets, found, stars, links, near, named, pairs, more, joined, least):
+        used.drop()
+    return out.df, ends.df
+
+
+def classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row: documents whose shingle sets have a Jaccard similarity of
+    percent / 100 or more are linked, and component_id is the smallest doc_id that links reach.
+
+    A row without words has an empty set, links with nothing and is its own component; so is a row
+    without an id, whose component is null. Repeated rows are given each, and so are rows that share an id but
+    not a text; an empty table gives no rows; other columns are not read. A text is held whole by its task,
+    with about 60 bytes for each of its words.
+    """
+    rows, ends = grouped(docs, width, percent)
+    return rows.join(ends, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each group: the one with the smallest doc_id. Rows without an id stay, as do rows without words."""
-    found = classes(docs, width, percent).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    found = Staged(found, "chosen").df
-    kept = docs.join(listed(found.where("rows = 1"), "doc_id"), "doc_id", "left_semi").select(docs.columns)
-    repeated = found.where("rows > 1").select("doc_id")
+    """docs with one row of each group of linked texts: one with the smallest doc_id, and of its texts, if the id is
+    repeated, one. Rows without an id stay, as do rows without words; other columns may have any names.
+    """
+    rows, ends = grouped(docs, width, percent)
+    stays = F.col("sig").isNull() | (F.col("leads") & (F.col("doc_id") == F.col("first")))
+    judged = rows.where("doc_id is not null").join(ends.select("sig", "first", "leads"), "sig", "left").select("doc_id", "sig", stays.alias("stays"))
+    by_id = Staged(judged.groupBy("doc_id").agg(F.count("*").alias("held"), F.bool_or("stays").alias("stays")).where("stays"), "chosen").df
+    single = listed(by_id.where("held = 1"), "doc_id")
+    kept = docs.join(single, "doc_id", "left_semi").select(docs.columns)
+    repeated = by_id.where("held > 1").select("doc_id")
     if not repeated.isEmpty():
-        kept = kept.unionByName(docs.join(listed(repeated, "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
+        mark = "sig"
+        while mark.lower() in map(str.lower, docs.columns):
+            mark += "_"
+        some = docs.join(listed(repeated, "doc_id"), "doc_id", "left_semi").select(docs.columns)
+        some = with_codes(some, width, mark)
+        right = judged.where("stays and sig is not null").join(repeated, "doc_id", "left_semi").select("doc_id", F.col("sig").alias(mark)).distinct()
+        texts = some.join(right, ["doc_id", mark], "left_semi").dropDuplicates(["doc_id", mark])
+        kept = kept.unionByName(texts.select(docs.columns)).unionByName(some.where(F.col(mark).isNull()).select(docs.columns))
     return kept.unionByName(docs.where("doc_id is null"))
+
+
+def with_codes(docs: DataFrame, width: int, name: str) -> DataFrame:
+    """docs with the code of each row's set in column name, null without words."""
+    at_text = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = K.text_bytes(batch.column(at_text))
+            for i, j in K.slices(offsets):
+                h, at = sorted_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
+                size, sig = signatures(h, at, j - i)
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sig, pa.int64(), mask=size == 0)], [*docs.columns, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))

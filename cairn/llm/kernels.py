@@ -153,6 +153,33 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatc
         yield joined(held)
 
 
+def run_edges(rows: pa.RecordBatch, keys: int) -> np.ndarray:
+    """Bounds of the groups of neighbouring rows that agree in the first keys columns."""
+    change = np.zeros(max(rows.num_rows - 1, 0), bool)
+    for c in range(keys):
+        v = rows.column(c).to_numpy(zero_copy_only=False)
+        change |= v[1:] != v[:-1]
+    return np.concatenate([[0], np.flatnonzero(change) + 1, [rows.num_rows]])
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Batches of whole groups of rows that agree in the first keys columns, from batches sorted by them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and any(batch.column(c)[0] != held[0].column(c)[0] for c in range(keys)):
+            yield joined(held)
+            held = []
+        last = int(run_edges(batch, keys)[-2])
+        if last:
+            yield joined([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield joined(held)
+
+
 def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     if len(parts) == 1:
         return parts[0]

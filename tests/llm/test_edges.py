@@ -1,0 +1,20 @@
+"""Odd inputs of the operators and stages: repeated rows and ids, clashing names, empty tables, long texts, ties."""
+
+import numpy as np
+
+from cairn.llm import jaccard_rtree
+
+WORDS = "the of and river stone quiet lamp copper window morning seven garden letter bridge silver cloud winter paper road music".split()
+
+
+def prose(seed, n):
+    return " ".join(np.random.default_rng(seed).choice(WORDS, n))
+
+
+def test_keep_one_chooses_rows_and_not_ids(spark):
+    a, b, c = (prose(k, 80) for k in (1, 2, 3))
+    kept = lambda rows: sorted(map(tuple, jaccard_rtree.keep_one(spark.createDataFrame(rows, "doc_id long, text string, Sig string")).collect()), key=str)
+    assert kept([(1, a, "x"), (1, b, "y"), (2, c, "z"), (3, a, "w")]) == sorted([(1, a, "x"), (1, b, "y"), (2, c, "z")], key=str)
+    assert kept([(1, a, "x"), (2, a, "x"), (2, b, "y")]) == sorted([(1, a, "x"), (2, b, "y")], key=str)
+    assert kept([(1, a, "x"), (1, a, "x"), (None, a, "n"), (4, None, "e"), (4, "", "e"), (4, a, "q")]) == sorted([(1, a, "x"), (None, a, "n"), (4, None, "e"), (4, "", "e")], key=str)
+    assert kept([]) == []
