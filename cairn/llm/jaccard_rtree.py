@@ -463,7 +463,8 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
 def with_codes(docs: DataFrame, width: int, name: str) -> DataFrame:
     """docs with the code of each row's set in column name, null without words."""
-    at_text = docs.columns.index("text")
+    names = [*docs.columns, name]
+    at_text = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -472,6 +473,6 @@ def with_codes(docs: DataFrame, width: int, name: str) -> DataFrame:
                 h, at = sorted_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
                 size, sig = signatures(h, at, j - i)
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sig, pa.int64(), mask=size == 0)], [*docs.columns, name])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sig, pa.int64(), mask=size == 0)], names)
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
