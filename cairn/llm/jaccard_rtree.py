@@ -13,7 +13,9 @@ coordinate minima of their points.
    overlap is passed over, and so is a pair. Large cells are split in chunks, each pair of chunks a piece of work.
 3. Verification on the exact shingle sets of what passes the bound.
 
-Points hold 64 coarse counts of one byte, which may stand for more (MOST); the bound then stays one, as it is
+In the cells points hold 64 coarse counts of one byte. Candidate pairs are then bounded once more on fine
+points with a count for every four shingles, so what reaches the texts is nearly all linked. Of two points the finer folds into
+the groups of the other. A count of one byte may stand for more (MOST); the bound then stays one, as it is
 written as n - sum of the excess of one point over the other, and cut counts only lower an excess.
 Sets are told apart by 64-bit codes. Rows with one id but different texts are different rows throughout.
 """
@@ -78,13 +80,27 @@ def count_vectors(h: np.ndarray, at: np.ndarray, n_docs: int) -> np.ndarray:
     return np.minimum(np.bincount(at * DIMS + group, minlength=n_docs * DIMS), MOST).reshape(n_docs, DIMS).astype(np.uint8)
 
 
+def fine_points(h: np.ndarray, at: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """The counts of each document in fine_dims() groups."""
+    dims = fine_dims(size)
+    begin = np.cumsum(dims) - dims
+    group = (h & (dims[at] - 1).astype(U64)).astype(np.int64)
+    counts = np.minimum(np.bincount(begin[at] + group, minlength=int(dims.sum())), MOST).astype(np.uint8)
+    return [counts[a : a + n].tobytes() for a, n in zip(begin.tolist(), dims.tolist(), strict=True)]
+
+
+def fine_dims(size: np.ndarray) -> np.ndarray:
+    """A power of two of at least a quarter of the set size, DIMS at least."""
+    return np.maximum(DIMS, 2 ** np.ceil(np.log2(np.maximum(size, 1) / 4))).astype(np.int64)
+
+
 def facts(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, sig, counts) of each row, and with part set, totals of a part of the fine groups in a task.
+    """(doc_id, n, sig, counts, fine) of each row, and with part set, totals of a part of the fine groups in a task.
 
     sig is null for a row without shingles or without an id.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n", "sig", "counts", "part"]
+    names = ["doc_id", "n", "sig", "counts", "fine", "part"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, ids = np.zeros(GROUPS, np.int64), None
@@ -97,13 +113,13 @@ def facts(docs: DataFrame, width: int) -> DataFrame:
                 ids = batch.column(0).slice(i, j - i)
                 absent = (size == 0) | ids.is_null().to_numpy(zero_copy_only=False)
                 vector = pa.array([v.tobytes() for v in count_vectors(h, at, j - i)], pa.binary())
-                yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(sig, pa.int64(), mask=absent), vector, pa.nulls(j - i, pa.int32())], names)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(sig, pa.int64(), mask=absent), vector, pa.array(fine_points(h, at, size), pa.binary()), pa.nulls(j - i, pa.int32())], names)
         if ids is not None:
             cut = [x.astype(np.min_scalar_type(x.max())).tobytes() for x in np.split(total, TOTAL_PARTS)]
             none = lambda t: pa.nulls(TOTAL_PARTS, t)
-            yield pa.RecordBatch.from_arrays([none(ids.type), none(pa.int64()), none(pa.int64()), pa.array(cut, pa.binary()), pa.array(range(TOTAL_PARTS), pa.int32())], names)
+            yield pa.RecordBatch.from_arrays([none(ids.type), none(pa.int64()), none(pa.int64()), pa.array(cut, pa.binary()), none(pa.binary()), pa.array(range(TOTAL_PARTS), pa.int32())], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, sig long, counts binary, part int")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, sig long, counts binary, fine binary, part int")
 
 
 def ranks(known: DataFrame) -> np.ndarray:
@@ -249,16 +265,21 @@ def points_of(column: pa.Array) -> np.ndarray:
 
 
 def within_bound(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose points leave the least overlap in reach."""
+    """The pairs (a, b) whose fine points leave the least overlap in reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, n, m = (batch.column(c).to_numpy() for c in range(4))
-            good = bound(n, points_of(batch.column(4)), m, points_of(batch.column(5))) >= least_overlap(n, m, percent) if len(a) else np.zeros(0, bool)
+            good = np.zeros(len(a), bool)
+            for x, (p, q) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+                p, q = (np.frombuffer(y, np.uint8) for y in (p, q))
+                dims = min(len(p), len(q))
+                p, q = (y if len(y) == dims else np.minimum(y.reshape(-1, dims).sum(0, dtype=np.int64), MOST).astype(np.uint8) for y in (p, q))
+                good[x] = bound(n[x], p, m[x], q) >= least_overlap(n[x], m[x], percent)
             yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
 
-    left = sets.select(F.col("sig").alias("a"), F.col("n"), F.col("counts").alias("p"))
-    right = sets.select(F.col("sig").alias("b"), F.col("n").alias("m"), F.col("counts").alias("q"))
+    left = sets.select(F.col("sig").alias("a"), F.col("n"), F.col("fine").alias("p"))
+    right = sets.select(F.col("sig").alias("b"), F.col("n").alias("m"), F.col("fine").alias("q"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "p", "q").mapInArrow(run, "a long, b long")
 
 
@@ -395,7 +416,7 @@ def grouped(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
     known = Staged(facts(docs, width), "facts")
     rank = ranks(known.df)
     rows = known.df.where("part is null")
-    sets = Staged(rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("counts").alias("counts")), "sets")
+    sets = Staged(rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("fine").alias("fine")), "sets")
     found = Staged(members(docs.where("doc_id is not null and text is not null"), width, percent, rank, 8 * parts), "members")
     # first: each set against the leading set of the cells that it shares with it most often; sets with the most
     # shared cells lead, as the common origin of near copies has. A set's own cells are far fewer than a partition holds
