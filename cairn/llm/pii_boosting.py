@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,10 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.llm import kernels as K
+from cairn.llm.spans import free_names, masked
 
-# Fixed formats of the contract.
-EMAIL = re.compile(rb"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(rb"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# Fixed formats of the contract. An address is looked for from its @, and an ip from the first of its digits, so that
+# long runs of letters or digits are read once and not from each of their places.
+DOMAIN = re.compile(rb"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(rb"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(rb"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
 BASE_KINDS = ["email", "ip", "card", "phone"]
@@ -70,7 +73,7 @@ def only_digits(x: bytes) -> bytes:
 def base_in_run(run: bytes) -> Iterator[tuple[str, int, int]]:
     """ip, card and phone spans of a run."""
     for m in IP.finditer(run):
-        if all(len(p.lstrip(b"0")) <= 3 and int(p) <= 255 for p in m[0].split(b".")):
+        if all(len(p) <= 3 and int(p or b"0") <= 255 for p in (x.lstrip(b"0") for x in m[0].split(b"."))):
             yield "ip", m.start(), m.end()
     for m in CARD.finditer(run):
         digits = only_digits(m[0])
@@ -81,6 +84,41 @@ def base_in_run(run: bytes) -> Iterator[tuple[str, int, int]]:
             yield "phone", m.start(), m.end()
 
 
+def emails_in(run: bytes) -> Iterator[tuple[int, int]]:
+    """Leftmost non-overlapping addresses of a run of mail characters: a local part reaches back to the last @ or match."""
+    floor = 0
+    at = run.find(b"@")
+    while at >= 0:
+        m = DOMAIN.match(run, at + 1) if at > floor else None
+        if m:
+            yield floor, m.end()
+        floor = m.end() if m else at + 1
+        at = run.find(b"@", floor)
+
+
+class Taken:
+    """Stretches of one document that are taken, apart from each other, in order."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, end in sorted(spans):
+            if self.ends and start < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def add(self, start: int, end: int) -> bool:
+        """Take start to end if it is free."""
+        k = bisect_right(self.starts, start)
+        if (k and self.ends[k - 1] > start) or (k < len(self.starts) and self.starts[k] < end):
+            return False
+        self.starts.insert(k, start)
+        self.ends.insert(k, end)
+        return True
+
+
 def mod97(x: bytes) -> bool:
     text = bytes(c for c in x if c != 32)
     moved = text[4:] + text[:4]
@@ -281,7 +319,7 @@ def spans_of(data: np.ndarray, offsets: np.ndarray, trees: Trees, least: dict[st
     runs, mails, ats = stretches(data, offsets)
     doc_of = lambda at: int(np.searchsorted(offsets, at, "right")) - 1
     base = [(doc_of(a), a + s, a + e, kind) for a, b in runs for kind, s, e in base_in_run(text[a:b])]
-    base += [(doc_of(a), a + m.start(), a + m.end(), "email") for a, b in mails for m in EMAIL.finditer(text[a:b])]
+    base += [(doc_of(a), a + s, a + e, "email") for a, b in mails for s, e in emails_in(text[a:b])]
     some, rows = [], []
     for kind, start, end in proposals(text, runs, ats, account_starts(data), offsets):
         doc = doc_of(start)
@@ -291,28 +329,31 @@ def spans_of(data: np.ndarray, offsets: np.ndarray, trees: Trees, least: dict[st
     added: list[tuple] = []
     if some:
         p = trees.probability(np.array(rows))
-        taken: dict[int, list[tuple[int, int]]] = {}
+        good = np.flatnonzero(p >= np.array([least[x[3]] for x in some]))
+        fixed: dict[int, list[tuple[int, int]]] = {some[i][0]: [] for i in good}
         for doc, start, end, _ in base:
-            taken.setdefault(doc, []).append((start, end))
-        for i in np.argsort(-p, kind="stable"):
-            doc, start, end, kind = some[i]
-            if p[i] >= least[kind] and all(end <= a or b <= start for a, b in taken.get(doc, [])):
-                taken.setdefault(doc, []).append((start, end))
+            if doc in fixed:
+                fixed[doc].append((start, end))
+        taken = {doc: Taken(spans) for doc, spans in fixed.items()}
+        for i in good[np.argsort(-p[good], kind="stable")]:
+            doc, start, end, _ = some[i]
+            if taken[doc].add(start, end):
                 added.append(some[i])
     return base, added
 
 
-def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
+def with_spans(docs: DataFrame, text: str = "text", names: tuple[str, str] = ("base", "added")) -> DataFrame:
     """docs with base and added: arrays of (start, end, rank, kind) in code points, end exclusive, by start and rank.
 
     A null text counts as empty and has no spans; repeated rows are scanned each; an empty table gives no
-    rows. Columns of docs named like a new one are replaced.
+    rows. Columns of docs named like a new one, in any case, are replaced; names gives the new ones other names.
+    A text is held whole by its task, with some tens of bytes for each run of digits in it.
     """
     trees, least = trained()
-    columns = [c for c in docs.columns if c not in ("base", "added")]
+    columns = [c for c in docs.columns if c.lower() not in (x.lower() for x in names)]
     at_text = columns.index(text)
     kind = T.ArrayType(T.StructType().add("start", T.LongType()).add("end", T.LongType()).add("rank", T.IntegerType()).add("kind", T.StringType()))
-    schema = T.StructType([docs.schema[c] for c in columns] + [T.StructField(c, kind) for c in ("base", "added")])
+    schema = T.StructType([docs.schema[c] for c in columns] + [T.StructField(c, kind) for c in names])
     item = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("rank", pa.int32()), ("kind", pa.string())])
 
     def listed(found: list[tuple], points: np.ndarray, offsets: np.ndarray) -> pa.Array:
@@ -330,13 +371,12 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
                 points = np.zeros(len(part) + 1, np.int64)
                 np.cumsum((part & 0xC0) != 0x80, out=points[1:])
                 base, added = spans_of(part, at, trees, least)
-                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns), listed(base, points, at), listed(added, points, at)], [*columns, "base", "added"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns), listed(base, points, at), listed(added, points, at)], [*columns, *names])
 
     return docs.select(columns).mapInArrow(run, schema)
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[PII]") -> DataFrame:
-    """docs with every span of the text, of either sort, replaced by mark."""
-    from cairn.llm.spans import masked
-
-    return with_spans(docs, text).withColumn(text, masked(F.col(text), F.concat("base", "added"), mark)).select(docs.columns)
+    """docs with every span of the text, of either sort, replaced by mark; other columns stay as they are, whatever their names."""
+    base, added = free_names(docs, "base", "added")
+    return with_spans(docs, text, (base, added)).withColumn(text, masked(F.col(text), F.concat(base, added), mark)).select(docs.columns)
