@@ -14,11 +14,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import spans as S
+from cairn.llm.spans import let
 
 # Fixed formats of the contract.
 ASSIGN = r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"
+# Kind, pattern, the group that is judged and its least length, in the order of the contract.
+FIXED = [("assign", ASSIGN, 2, 8), ("access", ACCESS, 0, 16), ("hex", HEX, 0, 32)]
 # Tokens that the models judge.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzU9-"
@@ -88,11 +91,6 @@ def log_ratios(labelled: DataFrame) -> list[float]:
     return out
 
 
-def let(value: Column, body) -> Column:
-    """body(value), with value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def ratios(token: Column, table: Column) -> Column:
     """The log-likelihood ratio of each pair of neighbours in a token; 0 for two signs, which say nothing about the rest."""
     code = lambda c: F.instr(F.lit(ALPHABET), c)
@@ -138,17 +136,6 @@ def varied(token: Column) -> Column:
     return F.size(F.array_distinct(F.split(F.regexp_replace(token, "[^A-Za-z0-9]", ""), ""))) >= DISTINCT
 
 
-def rests(base: Column, x: Column) -> Column:
-    """The stretches (start, end) of candidate x outside the base spans that are LENGTH long or more."""
-    kind = "array<struct<start:bigint,end:bigint>>"
-    piece = lambda a, b: F.array(F.struct(a.alias("start"), b.alias("end"))).cast(kind)
-    start = F.struct(x["start"].alias("at"), F.expr(f"cast(array() as {kind})").alias("out"))
-    touching = F.array_sort(F.filter(base, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    step = lambda acc, y: F.struct(F.greatest(acc["at"], y["end"]).alias("at"), F.concat(acc["out"], piece(acc["at"], y["start"])).alias("out"))
-    cut = F.aggregate(touching, start, step, lambda acc: F.concat(acc["out"], piece(acc["at"], x["end"])))
-    return F.filter(cut, lambda y: y["end"] - y["start"] >= LENGTH)
-
-
 def random_in(token: Column, table: Column) -> Column:
     """Stretches (start, end) of a token judged random: the whole token, else its windows, each fitted to the signs around it."""
     kind = "array<struct<start:int,end:int>>"
@@ -179,37 +166,42 @@ def random_in(token: Column, table: Column) -> Column:
     return F.when(varied(token), let(ratios(token, table), judged)).otherwise(none)
 
 
-def with_spans(docs: DataFrame, text: str = "text", labelled: DataFrame | None = None) -> DataFrame:
-    """docs with base (spans of the fixed formats) and added (spans of random tokens outside them).
+def with_spans(docs: DataFrame, text: str = "text", labelled: DataFrame | None = None, names: tuple[str, str] = ("base", "added")) -> DataFrame:
+    """docs with base (spans of the fixed formats) and added (spans of random tokens in what the base spans leave).
 
+    Tokens are sought in the text with the base spans blanked out, so each stretch beside one is judged on its own.
     A null text counts as empty and has no spans; repeated rows are scanned each; an empty table gives no
-    rows. Columns of docs named like a new one are replaced.
+    rows. Columns of docs named like a new one, in any case, are replaced; names gives the new ones other names.
+    A text's matches are gathered in steps of S.STEP, so work grows with its length, whatever the number of matches.
     """
     spark = docs.sparkSession
     table = F.lit([float(x) for x in log_ratios(labelled if labelled is not None else samples(spark))])
     body = F.coalesce(F.col(text), F.lit(""))
-    base = F.concat(
-        S.match_spans(body, ASSIGN, "assign", 0, 2, 8), S.match_spans(body, ACCESS, "access", 1, 0, 16), S.match_spans(body, HEX, "hex", 2, 0, 32)
-    )
-    out = docs.select(*[c for c in docs.columns if c not in ("base", "added", "candidates")], base.alias("base"), S.match_spans(body, CANDIDATE, "random", 3).alias("candidates"))
+    base = F.concat(*[S.match_spans(body, pattern, kind, rank, group, least) for rank, (kind, pattern, group, least) in enumerate(FIXED)])
+    blank = lambda rest, pattern, group, least: let(rest, lambda t: S.blanked(t, pattern, group, least))
+    rest = body
+    for _, pattern, group, least in FIXED:
+        rest = blank(rest, pattern, group, least)
+    candidates, = S.free_names(docs, "candidates")
+    kept = [c for c in docs.columns if c.lower() not in (x.lower() for x in names)]
+    out = docs.select(*kept, base.alias(names[0]), let(rest, lambda t: S.match_texts(t, CANDIDATE)).alias(candidates))
 
     def added(x: Column) -> Column:
-        token = F.substr(F.col(text), (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int"))
         one = lambda w: F.struct((x["start"] + w["start"]).alias("start"), (x["start"] + w["end"]).alias("end"), F.lit(3).alias("rank"), F.lit("random").alias("kind")).cast(S.SPAN)
-        return let(token, lambda t: F.transform(random_in(t, table), one))
+        return F.transform(random_in(x["hit"], table), one)
 
-    pieces = F.flatten(F.transform("candidates", lambda x: rests(F.col("base"), x)))
-    return out.withColumn("added", F.flatten(F.transform(pieces, added))).drop("candidates")
+    return out.select(*kept, names[0], F.flatten(F.transform(candidates, added)).alias(names[1]))
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every secret in text replaced by mark and n_chars set to the new length; texts without a secret stay as they are."""
-    every = F.concat("base", "added")
-    found = with_spans(docs)
-    some = F.size(every) > 0
-    text = F.when(some, S.masked(F.col("text"), every, mark)).otherwise(F.col("text"))
-    out = found.withColumn("text", text)
+    """docs with every secret in text replaced by mark and n_chars set to the new length; texts without a secret stay as they are.
+
+    Other columns stay as they are, whatever their names.
+    """
+    base, added = S.free_names(docs, "base", "added")
+    found = with_spans(docs, names=(base, added)).withColumn(base, F.concat(base, added))
+    out = found.withColumn("text", F.when(F.size(base) > 0, S.masked(F.col("text"), F.col(base), mark)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(some, F.length("text")).otherwise(F.col("n_chars")).cast(kind))
+        out = out.withColumn("n_chars", F.when(F.size(base) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(kind))
     return out.select(docs.columns)

@@ -2,10 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN = "struct<start:bigint,end:bigint,rank:int,kind:string>"
+# Matches that are gathered in one array before it is added to the others.
+STEP = 128
+
+
+def free_names(docs: DataFrame, *wanted: str) -> list[str]:
+    """The wanted column names, each with as many signs after it as it takes to differ from those of docs in any case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(items: Column, state: Column, out_type: str, step: Callable[[Column, Column], tuple[Column, Column, Column]]) -> Column:
+    """What step gives for each item in turn, from (state, item) to (next state, whether something is given, what).
+
+    Items are taken STEP at a time: an array of n is copied n / STEP times, and not n times. items has one element or more.
+    """
+    none = lambda kind: F.expr(f"cast(array() as {kind})")
+    slices = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / STEP).cast("int")), lambda k: F.slice(items, k * STEP + 1, STEP))
+
+    def inner(acc: Column, x: Column) -> Column:
+        after, given, what = step(acc["state"], x)
+        return F.struct(after.alias("state"), F.when(given, F.concat(acc["out"], F.array(what.cast(out_type)))).otherwise(acc["out"]).alias("out"))
+
+    def outer(acc: Column, part: Column) -> Column:
+        done = F.aggregate(part, F.struct(acc["state"].alias("state"), none(f"array<{out_type}>").alias("out")), inner)
+        return let(done, lambda v: F.struct(v["state"].alias("state"), F.concat(acc["out"], F.array(v["out"])).alias("out")))
+
+    start = F.struct(state.alias("state"), none(f"array<array<{out_type}>>").alias("out"))
+    return F.flatten(F.aggregate(slices, start, outer)["out"])
+
+
+def _steps(text: Column, pattern: str, keep_group: int) -> Column:
+    """The text before each match, the match, and the group that is judged; last, the text behind all, with nulls."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    judged = F.regexp_extract_all(text, F.lit(pattern), F.lit(keep_group)) if keep_group else found
+    return F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("hit"), judged.alias("part"))
 
 
 def match_spans(text: Column, pattern: str, kind: str, rank: int, keep_group: int = 0, at_least: int = 0) -> Column:
@@ -14,21 +61,34 @@ def match_spans(text: Column, pattern: str, kind: str, rank: int, keep_group: in
     The text between matches and the matches alternate, so that a running sum of both lengths gives the
     places. Matches that fail the length are dropped after matching, without a retry.
     """
-    none = F.expr(f"cast(array() as array<{SPAN}>)")
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    judged = F.regexp_extract_all(text, F.lit(pattern), F.lit(keep_group)) if keep_group else found
-    between = F.split(text, pattern, -1)
-    steps = F.arrays_zip(between.alias("gap"), found.alias("hit"), judged.alias("part"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
+    one = lambda begin, end, x: F.struct(begin.alias("start"), end.alias("end"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"))
+    return _matches(text, pattern, SPAN, one, keep_group, at_least)
+
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
+def match_texts(text: Column, pattern: str) -> Column:
+    """start, end and the text itself (hit) of each match."""
+    one = lambda begin, end, x: F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("hit"))
+    return _matches(text, pattern, "struct<start:bigint,end:bigint,hit:string>", one)
+
+
+def _matches(text: Column, pattern: str, kind: str, one: Callable, keep_group: int = 0, at_least: int = 0) -> Column:
+    def step(at: Column, x: Column) -> tuple[Column, Column, Column]:
+        begin = at + F.length(x["gap"])
         end = begin + F.coalesce(F.length(x["hit"]), F.lit(0))
-        one = F.struct(begin.alias("start"), end.alias("end"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"))
-        good = x["hit"].isNotNull() & (F.length(x["part"]) >= at_least)
-        return F.struct(end.cast("long").alias("at"), F.when(good, F.concat(acc["out"], F.array(one.cast(SPAN)))).otherwise(acc["out"]).alias("out"))
+        return end, x["hit"].isNotNull() & (F.length(x["part"]) >= at_least), one(begin, end, x)
+
+    found = let(_steps(text, pattern, keep_group), lambda steps: running(steps, F.lit(0).cast("long"), kind, step))
+    return F.when(text.rlike(pattern), found).otherwise(F.expr(f"cast(array() as array<{kind}>)"))
+
+
+def blanked(text: Column, pattern: str, keep_group: int = 0, at_least: int = 0) -> Column:
+    """text with every code point of such a match replaced by \\x01, so that what lies beside keeps its place."""
+
+    def one(x: Column) -> Column:
+        hit = F.coalesce(x["hit"], F.lit(""))
+        return F.concat(x["gap"], F.when(F.length(x["part"]) >= at_least, F.repeat(F.lit("\x01"), F.length(hit))).otherwise(hit))
 
-    return F.when(text.rlike(pattern), F.aggregate(steps, start, step)["out"]).otherwise(none)
+    return F.when(text.rlike(pattern), F.array_join(F.transform(_steps(text, pattern, keep_group), one), "")).otherwise(text)
 
 
 def joined(spans: Column) -> Column:
@@ -39,15 +99,15 @@ def joined(spans: Column) -> Column:
 
 
 def masked(text: Column, spans: Column, mark: str) -> Column:
-    """text with each maximal run of overlapping or touching spans replaced by mark."""
+    """text with each maximal run of overlapping or touching spans replaced by mark. Work grows with spans times length."""
     order = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
-    start = F.struct(F.lit(0).cast("long").alias("done"), F.lit("").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substr(text, (acc["done"] + 1).cast("int"), (x["start"] - acc["done"]).cast("int"))
-        fresh = (x["start"] > acc["done"]) | (acc["out"] == "")
-        out = F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["done"], x["end"]).alias("done"), out.alias("out"))
+    def step(done: Column, x: Column) -> tuple[Column, Column, Column]:
+        # a run opens behind the end of the last, or at the start of the text
+        fresh = (x["start"] > done) | done.isNull()
+        gap = F.substr(text, (F.coalesce(done, F.lit(0)) + 1).cast("int"), (x["start"] - F.coalesce(done, F.lit(0))).cast("int"))
+        return F.greatest(done, x["end"]), fresh, F.concat(gap, F.lit(mark))
 
-    whole = F.aggregate(order, start, step)
-    return F.when(F.size(spans) > 0, F.concat(whole["out"], F.substr(text, (whole["done"] + 1).cast("int")))).otherwise(text)
+    pieces = F.array_join(let(order, lambda x: running(x, F.lit(None).cast("long"), "string", step)), "")
+    rest = F.substr(text, (F.array_max(F.transform(spans, lambda x: x["end"])) + 1).cast("int"))
+    return F.when(F.size(spans) > 0, F.concat(pieces, rest)).otherwise(text)
