@@ -6,10 +6,12 @@ An item's lightest terms, MINOR of its weight, cannot lift it over the threshold
 other, essential terms are summed for many passages at once, and only passages that could hold an item go
 to block-max WAND, which skips the blocks of a posting list that cannot lift an item over the threshold.
 What is retrieved is verified
-on five-word runs of the item's question (all sentences but the last) and answer (the last one).
+on five-word runs of the item's question (all sentences but the last) and answer (the last one); both must
+be there. A part of fewer words is one run of all its words.
 
 Documents are mapped, never shuffled. The index of at most SHARD_WORDS item words goes to the tasks; a
-larger benchmark is cut into shards, and each shard is one more map over the documents.
+larger benchmark is cut into shards, and each shard is one more map over the documents. Document
+frequencies, the number of items and their mean length are those of the whole benchmark in every shard.
 """
 
 from __future__ import annotations
@@ -26,14 +28,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.llm import kernels as K
+from cairn.operators.shared import Staged
 
+U64 = np.uint64
 K1, B = 1.2, 0.75
 BLOCK = 16
 PASSAGE = 128
 RUN = 5
 THETA = 0.5
 MINOR = 0.1
-# A retrieved item is found if both parts, or the whole, have this share of their runs in the passage.
+# A retrieved item is found if both parts have this share of their runs in the passage.
 SHARE = 0.5
 SHARD_WORDS = 2_000_000
 GAP = np.ones(128, bool)
@@ -54,11 +58,30 @@ def terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return code, doc
 
 
-def run_sets(texts: list[str]) -> list[np.ndarray]:
+def run_sets(texts: list[str]) -> list[tuple[int, np.ndarray]]:
+    """(words in a run, distinct runs) of each text: RUN words, or all of a shorter text."""
     code, doc = terms(texts)
-    h, at = K.shingles(code, doc, len(texts), RUN)
-    bounds = K.per_document(at, len(texts))
-    return [np.unique(h[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    bounds = K.per_document(doc, len(texts))
+    out = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        width = min(RUN, b - a)
+        out.append((width, runs_of(code[a:b], width)))
+    return out
+
+
+def runs_of(code: np.ndarray, width: int) -> np.ndarray:
+    """The distinct runs of width words; none in a shorter text or for a width of 0."""
+    return np.unique(K.shingles(code, np.zeros(len(code), np.int64), 1, width)[0]) if 0 < width <= len(code) else np.zeros(0, U64)
+
+
+@dataclass
+class Statistics:
+    """Number and mean length of all items, and the document frequencies of terms, in the order of their codes."""
+
+    items: int
+    mean: float
+    code: np.ndarray
+    df: np.ndarray
 
 
 @dataclass
@@ -76,9 +99,8 @@ class Index:
     major_start: np.ndarray
     major_item: np.ndarray
     major_weight: np.ndarray
-    question: list[np.ndarray]
-    answer: list[np.ndarray]
-    whole: list[np.ndarray]
+    question: list[tuple[int, np.ndarray]]
+    answer: list[tuple[int, np.ndarray]]
     passage: int
 
     def lists(self) -> tuple[list, ...]:
@@ -88,7 +110,8 @@ class Index:
         return self._lists
 
 
-def build(ids: list, texts: list[str]) -> Index:
+def build(ids: list, texts: list[str], whole: Statistics | None = None) -> Index:
+    """The index of some items; whole has the statistics of the benchmark, where these are not all of its items."""
     code, at = terms(texts)
     n = len(texts)
     order = np.lexsort((at, code))
@@ -102,8 +125,11 @@ def build(ids: list, texts: list[str]) -> Index:
     start = np.append(start, len(code))
     df = np.diff(start)
     size = np.bincount(at, minlength=n)
-    idf = np.log1p((n - df + 0.5) / (df + 0.5))
-    norm = K1 * (1 - B + B * size / max(1.0, size.mean() if n else 1.0))
+    if whole is None:
+        whole = Statistics(n, float(size.mean()) if n else 1.0, term, df)
+    among = whole.df[np.searchsorted(whole.code, term)]
+    idf = np.log1p((whole.items - among + 0.5) / (among + 0.5))
+    norm = K1 * (1 - B + B * size / max(1.0, whole.mean))
     weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[item])
     weight /= np.bincount(item, weights=weight, minlength=n)[item]
     blocks = np.concatenate([np.arange(a, b, BLOCK) for a, b in zip(start[:-1], start[1:], strict=True)]) if len(term) else np.zeros(0, int)
@@ -120,7 +146,7 @@ def build(ids: list, texts: list[str]) -> Index:
     major_start = np.concatenate([[0], np.cumsum(major)])[start]
     split = [parts(x) for x in texts]
     longest = int(size.max(initial=0))
-    return Index(ids, term, start, item, weight, block_start, block_max, most, major_start, item[major], weight[major], run_sets([q for q, _ in split]), run_sets([a for _, a in split]), run_sets(texts), max(PASSAGE, 2 * longest))
+    return Index(ids, term, start, item, weight, block_start, block_max, most, major_start, item[major], weight[major], run_sets([q for q, _ in split]), run_sets([a for _, a in split]), max(PASSAGE, 2 * longest))
 
 
 def wand(index: Index, query: np.ndarray, theta: float) -> list[tuple[int, float]]:
@@ -218,10 +244,14 @@ def found_in(index: Index, data: np.ndarray, offsets: np.ndarray, theta: float)
         hits = wand(index, query, theta)
         if not hits:
             continue
-        runs = np.unique(K.shingles(code[a:b], np.zeros(b - a, np.int64), 1, RUN)[0])
+        runs: dict[int, np.ndarray] = {}
         for item, score in hits:
-            shares = [_share(s, runs) for s in (index.question[item], index.answer[item], index.whole[item])]
-            if min(shares[:2]) >= SHARE or shares[2] >= SHARE:
+            shares = []
+            for width, wanted in (index.question[item], index.answer[item]):
+                if width not in runs:
+                    runs[width] = runs_of(code[a:b], width)
+                shares.append(_share(wanted, runs[width]))
+            if min(shares) >= SHARE:
                 key = (int(of[w]), item)
                 row = (*key, a - int(begin[of[w]]), score, shares[0], shares[1])
                 if key not in best or (row[3], -row[2]) > (best[key][3], -best[key][2]):
@@ -238,24 +268,52 @@ def indexes(benchmark: DataFrame, shard_words: int = SHARD_WORDS) -> Iterator[In
     items = benchmark.where("text is not null and trim(text) <> ''").select("item_id", "text")
     words = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     shards = -(-int(words) // shard_words)
+    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, shards))).cast("int"))
+    counted = Staged(postings(items), "postings").df if shards > 1 else None
+    frequency = counted.where("code is not null").groupBy("code").agg(F.count("*").alias("df")) if shards > 1 else None
     for s in range(shards):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == s).collect()
+        rows = items.where(F.col("shard") == s).collect()
         rows.sort(key=lambda r: (str(r["item_id"]), r["text"]))
-        if rows:
-            yield build([r["item_id"] for r in rows], [r["text"] for r in rows])
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, theta: float = THETA) -> DataFrame:
+        if not rows:
+            continue
+        whole = None
+        if shards > 1:
+            n, mean = counted.where("code is null").agg(F.count("*"), F.avg("words")).first()
+            own = frequency.join(counted.where((F.col("shard") == s) & F.col("code").isNotNull()).select("code").distinct(), "code").toArrow()
+            code = own.column("code").to_numpy().view(U64)
+            order = np.argsort(code)
+            whole = Statistics(n, mean, code[order], own.column("df").to_numpy()[order])
+        yield build([r["item_id"] for r in rows], [r["text"] for r in rows], whole)
+
+
+def postings(items: DataFrame) -> DataFrame:
+    """(shard, code) of each distinct term of each item, and (shard, words) of each item, with no code."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code, at = terms(batch.column(1).to_pylist())
+            pair = np.unique(np.stack([at.astype(U64), code]), axis=1)
+            shard = batch.column(0).to_numpy()
+            size = np.bincount(at, minlength=batch.num_rows)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([shard[pair[0].astype(np.int64)], shard])), pa.concat_arrays([pa.array(pair[1].view(np.int64)), pa.nulls(len(shard), pa.int64())]), pa.concat_arrays([pa.nulls(pair.shape[1], pa.int64()), pa.array(size)])],
+                ["shard", "code", "words"],
+            )
+
+    return items.select("shard", "text").mapInArrow(run, "shard int, code long, words long")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, theta: float = THETA, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(doc_id, item_id, passage, score, question_share, answer_share) of each document and item found in it.
 
-    passage is the first word of the best window. Null and empty texts hold no item, and items without a
-    text are found nowhere; repeated rows are searched each, and repeated items found each; empty tables
-    give no rows; other columns are not read.
+    passage is the first word of the best window, the first of equal ones. Null and empty texts hold no item, and items without a
+    text are found nowhere; an item of one word is found wherever that word stands; repeated rows are searched each, and repeated items found each; empty tables
+    give no rows; other columns are not read. A text is held whole by its task, with about 60 bytes for each of its words.
     """
     ids, items = docs.schema["doc_id"].dataType, benchmark.schema["item_id"].dataType
     schema = T.StructType([T.StructField("doc_id", ids), T.StructField("item_id", items), T.StructField("passage", T.LongType())] + [T.StructField(c, T.DoubleType()) for c in ("score", "question_share", "answer_share")])
     out = None
-    for index in indexes(benchmark):
+    for index in indexes(benchmark, shard_words):
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             names = pa.array(index.ids)
@@ -273,10 +331,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, theta: float = THETA) -> DataFr
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, theta: float = THETA) -> DataFrame:
-    """The rows of docs in which no item is found, with their own columns."""
+def keep_clean(docs: DataFrame, benchmark: DataFrame, theta: float = THETA, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """The rows of docs in which no item is found, with their own columns, whatever their names."""
     at_text = docs.columns.index("text")
-    for index in indexes(benchmark):
+    for index in indexes(benchmark, shard_words):
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
