@@ -131,3 +131,50 @@ def invalid_edges(nodes: DataFrame, edges: DataFrame, node: str = "node") -> Dat
     known = known.join(ids.withColumnRenamed("__id", "src").withColumn("has_src", F.lit(True)), "src", "left").join(ids.withColumnRenamed("__id", "dst").withColumn("has_dst", F.lit(True)), "dst", "left")
     reason = F.when(F.col("has_src").isNull(), "dangling_source").when(F.col("has_dst").isNull(), "dangling_target").when(F.col("src") == F.col("dst"), "loop").when(F.col("n") > 1, "repeated")
     return known.select("src", "dst", reason.alias("reason")).where("reason is not null")
+
+
+def shortest_uncovered(paths: DataFrame, by: str, covered: str) -> DataFrame:
+    """(by, paths, uncovered, counterexample): the least path (length, then nodes) that nothing covers, or null. paths has path (array)."""
+    rank = F.struct(F.size("path").alias("n"), F.col("path").alias("p"))
+    return paths.groupBy(by).agg(F.count("*").alias("paths"), F.count_if(~F.col(covered)).alias("uncovered"), F.min(F.when(~F.col(covered), rank))["p"].alias("counterexample"))
+
+
+def closure(edges: DataFrame, marks: DataFrame, mark: str, max_depth: int = 64) -> DataFrame:
+    """(node, mark, depth): the marks (node, mark) that each node reaches along edges (src, dst), with the least number of steps.
+
+    Marks travel against the edges, only new pairs of node and mark in each round; every round is a join of the last round's
+    pairs with the edges and an anti join with all found, against written tables.
+    """
+    kind = edges.schema["src"].dataType
+    back = edges.select("src", F.col("dst").alias("node")).distinct()
+    fresh = Staged(marks.select(F.col("node").cast(kind).alias("node"), mark).distinct().withColumn("depth", F.lit(0)), "marks")
+    found = [fresh.df]
+    for depth in range(1, max_depth + 1):
+        known = found[0]
+        for part in found[1:]:
+            known = known.unionByName(part)
+        step = back.join(fresh.df.select("node", mark), "node").select(F.col("src").alias("node"), mark).distinct()
+        fresh = Staged(step.join(known.select("node", mark), ["node", mark], "left_anti").withColumn("depth", F.lit(depth)), "marks")
+        if fresh.df.isEmpty():
+            return known
+        found.append(fresh.df)
+    raise RuntimeError(f"more than {max_depth} levels")
+
+
+def chains(edges: DataFrame, roots: DataFrame, max_depth: int = 64) -> DataFrame:
+    """(root, node, chain): every node that a root reaches, with the first of its shortest chains of nodes in array order."""
+    kind = edges.schema["src"].dataType
+    root = F.col(roots.columns[0]).cast(kind)
+    fresh = Staged(roots.select(root.alias("root"), root.alias("node"), F.array(root).alias("chain")).distinct(), "chains")
+    found = [fresh.df]
+    for _ in range(max_depth):
+        known = found[0]
+        for part in found[1:]:
+            known = known.unionByName(part)
+        step = fresh.df.join(edges.select(F.col("src").alias("node"), "dst").distinct(), "node").select("root", F.col("dst").alias("node"), F.concat("chain", F.array("dst")).alias("chain"))
+        step = step.groupBy("root", "node").agg(F.min("chain").alias("chain"))
+        fresh = Staged(step.join(known.select("root", "node"), ["root", "node"], "left_anti"), "chains")
+        if fresh.df.isEmpty():
+            return known
+        found.append(fresh.df)
+    raise RuntimeError(f"more than {max_depth} levels")

@@ -6,7 +6,7 @@ import hashlib
 import json
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -26,6 +26,18 @@ def list_digest(values: Column) -> Column:
     return F.sha2(F.to_json(F.array_sort(values)), 256)
 
 
+def set_digest(df: DataFrame, by: list[str], value: Column, name: str) -> DataFrame:
+    """(by, name): one digest of all values of a group, repeated ones included, whatever their order and partitioning.
+
+    The sha256 of each value is gathered in 256 buckets by its first byte, and the buckets' digests by group, so a
+    group of any size is spread over 256 rows. It is not the digest of one list of all values: that needs one task for each group.
+    """
+    each = df.select(*by, F.sha2(value, 256).alias("__d"))
+    bucket = each.groupBy(*by, F.substring("__d", 1, 2).alias("__b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("__d")), ""), 256).alias("__d"))
+    gathered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__b", "__d"))), lambda x: x["__d"]), "")
+    return bucket.groupBy(*by).agg(F.sha2(gathered, 256).alias(name))
+
+
 def canonical_digest(ascii_only: bool = False):
     """A pandas UDF: sha256 of a JSON text written with sorted keys and without blanks. No built-in sorts keys."""
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.operators.checks import key_differences, repeated_keys, require
+from cairn.operators.shared import Staged
 
 
 def strict_one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -72,7 +73,7 @@ def innermost(points: DataFrame, spans: DataFrame, keys: list[str], point: str,
     return points.join(best, [*keys, *point_id], "left")
 
 
-def unique_match(left: DataFrame, right: DataFrame, on: Column, left_id: list[str]) -> DataFrame:
+def unique_match(left: DataFrame, right: DataFrame, on: Column | list[str], left_id: list[str]) -> DataFrame:
     """Pairs of left rows with their match where there is exactly one."""
     w = Window.partitionBy(*left_id)
     return left.join(right, on).withColumn("__n", F.count("*").over(w)).where("__n = 1").drop("__n")
@@ -99,23 +100,52 @@ def patterns_in(texts: DataFrame, text: str, patterns: list[str]) -> DataFrame:
     return texts.withColumn("hits", F.array_sort(F.filter(F.array(*map(F.lit, patterns)), lambda p: F.contains(low, p))))
 
 
+def token_sets(tokens: DataFrame, least: int, key: str = "id", token: str = "token") -> tuple[DataFrame, DataFrame]:
+    """((a, n, tokens) of each distinct set of at least least tokens, under its smallest key; (key, a) of every key with such a set).
+
+    tokens has one row for each key and distinct token. Equal sets are one row, however many keys have them.
+    """
+    sets = tokens.groupBy(key).agg(F.array_sort(F.collect_list(token)).alias("tokens")).where(F.size("tokens") >= least)
+    coded = Staged(sets.withColumn("__code", F.sha2(F.array_join(F.transform("tokens", lambda t: t.cast("string")), ","), 256)), "sets").df
+    first = coded.groupBy("__code").agg(F.min(key).alias("a"))
+    member = Staged(coded.select(key, "__code").join(first, "__code").select(key, "a"), "member").df
+    kept = coded.join(member.where(F.col(key) == F.col("a")), key).select("a", F.size("tokens").alias("n"), "tokens")
+    return Staged(kept, "kept").df, member
+
+
 def similar_sets(tokens: DataFrame, percent: int, least: int, key: str = "id", token: str = "token") -> DataFrame:
-    """(a, b, common, total): pairs of token sets with 100 * common >= percent * total and at least least tokens each.
+    """(a, b, common, total): pairs of distinct token sets, under their smallest keys, with 100 * common >= percent * total
+    and at least least tokens each. token_sets() tells which keys share a set.
 
-    Exact: tokens are ordered by frequency, the rarest first, and a pair must share one of the first
-    n - ceil(percent * n / 100) + 1 of each set; sizes must allow the threshold. tokens has one row for
-    each set and distinct token.
+    Exact: tokens are ordered by the number of sets that have them, the rarest first, and a pair must share one of
+    the first n - ceil(percent * n / 100) + 1 of each set; sizes must allow the threshold. A token that is
+    first in many sets meets all of them in the join on it, which adaptive execution may split.
     """
-    sized = tokens.withColumn("n", F.count("*").over(Window.partitionBy(key))).where(F.col("n") >= least)
-    often = sized.groupBy(token).agg(F.count("*").alias("f"))
-    place = F.row_number().over(Window.partitionBy(key).orderBy("f", token))
-    # a token of one set joins nothing, but its rank counts
-    ranked = sized.join(often, token).withColumn("place", place)
-    prefix = ranked.where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("f") > 1))
-    side = lambda x: prefix.select(F.col(token).alias("t"), F.col(key).alias(x), F.col("n").alias(f"n_{x}"))
+    sets, _ = token_sets(tokens, least, key, token)
+    rows = sets.select("a", "n", F.explode("tokens").alias("t"))
+    often = Staged(rows.groupBy("t").agg(F.count("*").alias("f")).where("f > 1"), "often").df
+    # a token of one set joins nothing, but its rank, before all others, counts
+    shared = rows.join(often, "t").groupBy("a", "n").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("held"))
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("held"))
+    prefix = Staged(shared.where(first > 0).select("a", "n", F.explode(F.slice("held", F.lit(1), first.cast("int"))).alias("h")).select("a", "n", "h.t"), "prefix").df
     sizes = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
-    pairs = side("a").join(side("b"), "t").where((F.col("a") < F.col("b")) & sizes).select("a", "b", "n_a", "n_b").distinct()
-    held = sized.select(F.col(key).alias("a"), F.col(token).alias("t"))
-    both = pairs.join(held, "a").join(sized.select(F.col(key).alias("b"), F.col(token).alias("t")), ["b", "t"])
-    out = both.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("common")).withColumn("total", F.col("n_a") + F.col("n_b") - F.col("common"))
-    return out.where(F.col("common") * 100 >= F.col("total") * percent).select("a", "b", "common", "total")
+    left, right = prefix.select("t", "a", F.col("n").alias("n_a")), prefix.select("t", F.col("a").alias("b"), F.col("n").alias("n_b"))
+    pairs = left.join(right, "t").where((F.col("a") < F.col("b")) & sizes).select("a", "b").distinct()
+    both = pairs.join(sets.select("a", F.col("tokens").alias("x")), "a").join(sets.select(F.col("a").alias("b"), F.col("tokens").alias("y")), "b")
+    counted = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("common"), (F.size("x") + F.size("y")).alias("__n"))
+    out = counted.select("a", "b", "common", (F.col("__n") - F.col("common")).alias("total"))
+    return out.where(F.col("common") * 100 >= F.col("total") * percent)
+
+
+def banded(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str, width: float) -> DataFrame:
+    """Pairs within equal keys whose values a (left) and b (right) differ by at most width, by an equal join on bands of that width."""
+    x = left.withColumn("__band", F.floor(F.col(a) / width))
+    near = F.explode(F.array(*[F.floor(F.col(b) / width) + k for k in (-1, 0, 1)]))
+    return x.join(right.withColumn("__band", near), [*keys, "__band"]).where(F.abs(F.col(a) - F.col(b)) <= width).drop("__band")
+
+
+def pairs_across(df: DataFrame, group: list[str], side: str) -> DataFrame:
+    """(group, pairs): pairs of rows of one group on different sides, from counts: no pair is formed."""
+    each = df.groupBy(*group, side).agg(F.count("*").alias("n"))
+    square = F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))
+    return each.groupBy(*group).agg((square / 2).cast("long").alias("pairs"))

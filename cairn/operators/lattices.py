@@ -68,6 +68,12 @@ def logical_verdict(states: Column) -> Column:
     return F.when(some, "present").when(every, "blocked").otherwise("unknown")
 
 
+def verdict_of(state: Column) -> Column:
+    """logical_verdict over the rows of a group, as an aggregate."""
+    some, every = F.bool_or(F.coalesce(state == "present", F.lit(False))), F.bool_and(F.coalesce(state == "blocked", F.lit(False)))
+    return F.when(some, "present").when(every, "blocked").otherwise("unknown")
+
+
 def agree_or_unknown(*predictions: Column) -> Column:
     """The common value of the predictions if all are decided and equal."""
     first = predictions[0]

@@ -5,11 +5,11 @@ Ratios are null where their denominator is 0. The three ways to treat abstention
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.operators.windows import globally_numbered
+
 LABELS = ["present", "absent", "unknown"]
 
 
@@ -115,25 +115,19 @@ def cluster_bounds(df: DataFrame, cluster: str, label: str = "label") -> DataFra
     return out.withColumns({"lower": ratio(F.col("with_positive"), F.col("clusters")), "upper": ratio(F.col("with_possible"), F.col("clusters"))})
 
 
-def cluster_bootstrap(df: DataFrame, cluster: str, numerator: Column, denominator: Column, iterations: int = 200, seed: int = 7, most_clusters: int = 100_000) -> DataFrame:
+def cluster_bootstrap(df: DataFrame, cluster: str, numerator: Column, denominator: Column, iterations: int = 200, seed: str = "bootstrap") -> DataFrame:
     """(point, lower, upper): a ratio of sums with the percentile interval of clusters drawn with replacement.
 
-    The rows are summed by cluster first; only the distinct cluster names, at most most_clusters, come to
-    the driver, which draws the multiplicities.
+    The rows are summed by cluster and the clusters numbered; draw k of an iteration takes the cluster whose number is a
+    sha256 of seed, iteration and k, modulo the number of clusters. Draws are made and counted in tasks.
     """
-    spark = df.sparkSession
     sums = df.groupBy(cluster).agg(F.sum(numerator).cast("double").alias("a"), F.sum(denominator).cast("double").alias("b"))
-    names = [r[0] for r in sums.select(cluster).orderBy(cluster).limit(most_clusters + 1).collect()]
-    if len(names) > most_clusters:
-        raise ValueError("too many clusters for driver-side draws")
-    kind, rng, draws = df.schema[cluster].dataType.simpleString(), random.Random(seed), []
-    for i in range(iterations):
-        times: dict = {}
-        for _ in names:
-            name = names[rng.randrange(len(names))]
-            times[name] = times.get(name, 0) + 1
-        draws += [(i, name, k) for name, k in times.items()]
-    drawn = spark.createDataFrame(draws, f"i int, {cluster} {kind}, k int").join(sums, cluster).groupBy("i").agg(ratio(F.sum(F.col("a") * F.col("k")), F.sum(F.col("b") * F.col("k"))).alias("r"))
+    clusters = globally_numbered(sums, [cluster], "__k").withColumn("__k", F.col("__k") - 1)
+    n = clusters.count()
+    draws = df.sparkSession.range(iterations * n).select(F.floor(F.col("id") / n).alias("i"), (F.col("id") % n).alias("d"))
+    digest = F.sha2(F.concat_ws("\x00", F.lit(seed), F.col("i").cast("string"), F.col("d").cast("string")), 256)
+    taken = draws.select("i", (F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") % n).alias("__k")).groupBy("i", "__k").agg(F.count("*").alias("m"))
+    drawn = taken.join(clusters, "__k").groupBy("i").agg(ratio(F.sum(F.col("a") * F.col("m")), F.sum(F.col("b") * F.col("m"))).alias("r"))
     interval = drawn.agg(F.percentile("r", 0.025).alias("lower"), F.percentile("r", 0.975).alias("upper"))
     return sums.agg(ratio(F.sum("a"), F.sum("b")).alias("point")).crossJoin(interval)
 

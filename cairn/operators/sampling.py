@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.operators.checks import require
+from cairn.operators.joins import first_reason
+from cairn.operators.shared import Staged
 from cairn.operators.windows import hash_rank, hash_sample
 
 
@@ -27,28 +29,38 @@ def multi_arm(df: DataFrame, arms: list[str], key: str, k: int, seed: str) -> Da
     return hash_sample(df.withColumn("vector", F.to_json(F.array(*arms))), "vector", key, k, seed)
 
 
+def one_per_family(df: DataFrame, stratum: str, family: str, order: list[str], k: int) -> DataFrame:
+    """The first k rows, in order, of each stratum, the strata in theirs, skipping families that a row was taken of before.
+
+    Within a stratum only a family's first row can be taken, so one aggregate keeps these, and each stratum is a top-k
+    of its families without those of the strata before. The loop is over strata; no task sees more than a sort of one.
+    """
+    row = F.struct(*order, *[c for c in df.columns if c not in order])
+    best = Staged(df.groupBy(stratum, family).agg(F.min(row).alias("row")).select(*[F.col(f"row.{c}").alias(c) for c in df.columns]), "best").df
+    chosen = None
+    for value in sorted(r[0] for r in best.select(stratum).where(F.col(stratum).isNotNull()).distinct().collect()):
+        pool = best.where(F.col(stratum) == value)
+        if chosen is not None:
+            pool = pool.join(chosen.select(family), family, "left_anti").select(df.columns)
+        taken = Staged(pool.orderBy(*order).limit(k), "taken").df
+        chosen = taken if chosen is None else chosen.unionByName(taken)
+    return chosen if chosen is not None else best
+
+
 def greedy_families(df: DataFrame, stratum: str, family: str, key: str, per_stratum: int, seed: str) -> DataFrame:
-    """Rows taken in hash order until a stratum has its number, skipping families already taken in any stratum.
+    """(stratum, family, key) of the rows taken in hash order until a stratum has its number, skipping families already taken in any stratum."""
+    ranked = df.select(stratum, family, key, hash_rank(seed, stratum, key).alias("__rank"))
+    return one_per_family(ranked, stratum, family, ["__rank", key], per_stratum).drop("__rank")
+
+
+def balanced(df: DataFrame, stratum: str, key: str, rules: list[tuple[Column, str]], k: int, seed: str) -> tuple[DataFrame, DataFrame]:
+    """(k rows of each stratum in hash order, with rank; (reason, n) of rows left out by the first rule that holds).
 
-    The order decides what later rows may do, so the choice is sequential. A family can give at most one
-    row, and a stratum needs at most per_stratum rows plus one for each family taken elsewhere, so the
-    first row of each family and stratum, of the first strata * per_stratum families, is all that the one
-    sequential group sees, whatever the size of the table.
+    ValueError if a stratum has fewer than k rows left.
     """
-    rank = hash_rank(seed, stratum, key)
-    best = df.select(stratum, family, key).withColumn("rank", rank)
-    best = best.groupBy(stratum, family).agg(F.min(F.struct("rank", key)).alias("m")).select(stratum, family, f"m.{key}", "m.rank")
-    n_strata = df.agg(F.count_distinct(stratum)).first()[0]
-    some = best.withColumn("__r", F.row_number().over(Window.partitionBy(stratum).orderBy("rank"))).where(F.col("__r") <= n_strata * per_stratum).drop("__r")
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        taken, count, out = set(), {}, []
-        for i, row in rows.sort_values([stratum, "rank"]).iterrows():
-            if row[family] not in taken and count.get(row[stratum], 0) < per_stratum:
-                taken.add(row[family])
-                count[row[stratum]] = count.get(row[stratum], 0) + 1
-                out.append(i)
-        return rows.loc[out]
-
-    one = some.withColumn("__one", F.lit(1))
-    return one.groupBy("__one").applyInPandas(choose, one.schema).drop("__one", "rank")
+    judged = df.withColumn("reason", first_reason(rules))
+    left = judged.where("reason is null").drop("reason")
+    sizes = df.select(stratum).distinct().join(left.groupBy(stratum).agg(F.count("*").alias("n")), stratum, "left").where(f"coalesce(n, 0) < {k}")
+    require(sizes, "too few rows in a stratum")
+    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(hash_rank(seed, stratum, key), key))
+    return left.withColumn("rank", rank).where(F.col("rank") <= k), judged.where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))

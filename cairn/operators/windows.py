@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.operators.shared import staged
+
 NUL = "\x00"
 
 
@@ -32,15 +34,44 @@ def fraction_split(df: DataFrame, stratum: str, key: str, fraction: float, least
 def cumulative_split(df: DataFrame, family: str, fraction: float, seed: str) -> DataFrame:
     """df with side: whole families, in hash order, are development until a fraction of all rows is reached.
 
-    The window is over one row for each family, after the count; families are far fewer than rows.
+    The running sum is over one row for each family, in a range sort.
     """
     sizes = df.groupBy(family).agg(F.count("*").alias("size"))
-    before = F.sum("size").over(Window.orderBy(hash_rank(seed, family), family).rowsBetween(Window.unboundedPreceding, -1))
-    total = F.sum("size").over(Window.partitionBy())
-    sides = sizes.select(family, F.when(F.coalesce(before, F.lit(0)) < total * fraction, "development").otherwise("confirmation").alias("side"))
+    placed = running_before(sizes, [hash_rank(seed, family), family], "size", "__sum_before")
+    sides = placed.select(family, F.when(F.col("__sum_before") < F.col("__total") * fraction, "development").otherwise("confirmation").alias("side"))
     return df.join(sides, family)
 
 
+def range_sorted(df: DataFrame, order: list) -> tuple[DataFrame, DataFrame]:
+    """(df with __place, one row (__part, rows) for each partition): rows in a global order over many tasks.
+
+    A range partitioning is sorted within its partitions and written once; __place holds the partition and
+    the row's place in it, so that what was written is what later passes see.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__place", F.monotonically_increasing_id())
+    done = staged(placed, "ordered")
+    return done.withColumn("__part", F.shiftright("__place", 33)), done.groupBy(F.shiftright("__place", 33).alias("__part")).agg(F.count("*").alias("__rows"))
+
+
+def globally_numbered(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
+    """df with the number of each row in a full order, from 1. Only one row for each partition meets in a task."""
+    rows, parts = range_sorted(df, order)
+    before = F.coalesce(F.sum("__rows").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = parts.select("__part", before.alias("__before"))
+    number = F.col("__before") + F.col("__place").bitwiseAND((1 << 33) - 1) + 1
+    return rows.join(F.broadcast(offsets), "__part").withColumn(name, number).drop("__part", "__place", "__before")
+
+
+def running_before(df: DataFrame, order: list, value: str, name: str) -> DataFrame:
+    """df with the sum of value over all rows before each in a full order, and __total over all. Sums run within partitions, on top of those of the partitions before."""
+    rows, _ = range_sorted(df, order)
+    parts = rows.groupBy("__part").agg(F.sum(value).alias("__sum"))
+    w = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("__part", F.coalesce(F.sum("__sum").over(w), F.lit(0)).alias("__before"), F.sum("__sum").over(Window.partitionBy()).alias("__total"))
+    own = F.coalesce(F.sum(value).over(Window.partitionBy("__part").orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn(name, own).join(F.broadcast(offsets), "__part").withColumn(name, F.col(name) + F.col("__before")).drop("__part", "__place", "__before")
+
+
 def numbered(df: DataFrame, by: list[str], order: list, name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
@@ -73,12 +104,50 @@ def outer_spans(spans: Column) -> Column:
 
 
 def round_robin(df: DataFrame, stratum: str, key: str) -> DataFrame:
-    """df with turn (number of the row in its stratum) and place (number in the interleaved order).
+    """df with turn (number of the row in its stratum) and place (number in the interleaved order: turn by turn, the strata in theirs).
 
-    The interleaved order is one global sort, so place is meant for a sample, not for a corpus.
+    Rows are numbered once in the order of stratum and key; a stratum may hold most of them. turn is what is left
+    of the number after the strata before, and place follows from the strata's sizes: all rows of earlier turns,
+    and the strata up to the row's own that have this turn. The list of sizes, one for each stratum, goes to every row.
+    """
+    sizes = df.groupBy(stratum).agg(F.count("*").alias("size"))
+    listed = sizes.agg(F.array_sort(F.collect_list(F.struct(F.col(stratum).alias("s"), F.col("size").alias("size")))).alias("__sizes"))
+    rows = globally_numbered(df, [stratum, key], "__number").crossJoin(F.broadcast(listed))
+    add = lambda condition, value: F.aggregate("__sizes", F.lit(0).cast("long"), lambda acc, x: acc + F.when(condition(x), value(x)).otherwise(0))
+    turn = F.col("__number") - add(lambda x: x["s"] < F.col(stratum), lambda x: x["size"])
+    rows = rows.withColumn("turn", turn)
+    earlier = add(lambda x: F.lit(True), lambda x: F.least(x["size"], F.col("turn") - 1))
+    return rows.withColumn("place", earlier + add(lambda x: (x["s"] <= F.col(stratum)) & (x["size"] >= F.col("turn")), lambda x: F.lit(1))).drop("__number", "__sizes")
+
+
+def family_round_robin(df: DataFrame, stratum: str, family: str, order: list[str], target: int) -> DataFrame:
+    """Rows taken in turns, one of each stratum in their order, until there are target rows: a row is passed over if its family was taken.
+
+    A turn takes at most one row of each stratum, and what may be taken in it depends on all before, so the work is a
+    loop over turns; it reads one row for each family and stratum, of each stratum no more than target families.
+    Meant for targets that are small against the table, as the result is.
     """
-    turns = numbered(df, [stratum], [key], "turn")
-    return turns.withColumn("place", F.row_number().over(Window.orderBy("turn", stratum)))
+    row = F.struct(*order, *[c for c in df.columns if c not in order])
+    best = df.groupBy(stratum, family).agg(F.min(row).alias("row")).select(*[F.col(f"row.{c}").alias(c) for c in df.columns])
+    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(*order))
+    pool = best.withColumn("__r", rank).where(F.col("__r") <= target).orderBy(stratum, "__r")
+    queues: dict = {}
+    for r in pool.select(stratum, family, "__r").toLocalIterator():  # strata * target names at most
+        queues.setdefault(r[0], []).append((r[1], r[2]))
+    taken, chosen, progressed = set(), [], True
+    while progressed and len(chosen) < target:
+        progressed = False
+        for s in sorted(queues):
+            queue = queues[s]
+            while queue and queue[0][0] in taken:
+                queue.pop(0)
+            if queue and len(chosen) < target:
+                name, r = queue.pop(0)
+                taken.add(name)
+                chosen.append((s, r, len(chosen) + 1))
+                progressed = True
+    kinds = f"{stratum} {df.schema[stratum].dataType.simpleString()}, __r int, place int"
+    return pool.join(F.broadcast(df.sparkSession.createDataFrame(chosen, kinds)), [stratum, "__r"]).select(*df.columns, "place")
 
 
 def top_with_ties(df: DataFrame, keys: list[str], score: str) -> DataFrame:

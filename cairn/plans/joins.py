@@ -112,9 +112,8 @@ def j_guard_commit_pairs(s, d):
 
 
 def j_theta_pairs(s, d):
-    supp, cust = table(s, d, "supplier"), table(s, d, "customer")
-    near = F.abs(F.col("s_acctbal") - F.col("c_acctbal")) <= 50
-    return supp.join(cust, (F.col("s_nationkey") == F.col("c_nationkey")) & near).groupBy("s_nationkey").agg(F.count("*").alias("pairs"))
+    supp, cust = table(s, d, "supplier"), table(s, d, "customer").withColumnRenamed("c_nationkey", "s_nationkey")
+    return J.banded(supp, cust, ["s_nationkey"], "s_acctbal", "c_acctbal", 50).groupBy("s_nationkey").agg(F.count("*").alias("pairs"))
 
 
 def j_guard_effect_cross(s, d):
@@ -137,21 +136,31 @@ def _tokens(s, d):
 
 
 def near_copy_pairs(s, d):
-    """Pairs of records with a Jaccard similarity of 0.9 or more on five-word runs, at least 40 runs each."""
+    """Pairs of sets of five-word runs, at least 40 each, with a Jaccard similarity of 0.9 or more, by their first records."""
     return J.similar_sets(_tokens(s, d), 90, 40)
 
 
+def near_copy_members(s, d):
+    """The records whose set of five-word runs is that of an earlier record."""
+    return J.token_sets(_tokens(s, d), 40)[1].where("id <> a").select("id", "a")
+
+
 def j_fingerprint_bucket(s, d):
     f = _docs(s, d).select("doc_id", "lang", "source", F.sha2(F.regexp_replace(F.lower("text"), r"\s+", " "), 256).alias("norm"), F.sha2("text", 256).alias("exact"))
-    a, b = (f.select("lang", "norm", *[F.col(c).alias(f"{x}_{c}") for c in ("doc_id", "source", "exact")]) for x in "ab")
-    kind = F.when(F.col("a_exact") == F.col("b_exact"), "literal").otherwise("normalised")
-    return a.join(b, ["lang", "norm"]).where("a_doc_id < b_doc_id and a_source <> b_source").groupBy("lang", kind.alias("kind")).agg(F.count("*").alias("pairs"))
+    every, literal = J.pairs_across(f, ["lang", "norm"], "source"), J.pairs_across(f, ["lang", "norm", "exact"], "source")
+    total, same = (x.groupBy("lang").agg(F.sum("pairs").alias(n)) for x, n in ((every, "every"), (literal, "literal")))
+    rows = total.join(same, "lang").select("lang", F.explode(F.array(F.struct(F.lit("literal").alias("kind"), F.col("literal").alias("pairs")), F.struct(F.lit("normalised").alias("kind"), (F.col("every") - F.col("literal")).alias("pairs")))).alias("x"))
+    return rows.select("lang", "x.kind", "x.pairs").where("pairs > 0")
 
 
 def j_suffix_module(s, d):
-    parts = table(s, d, "part").select("p_partkey", F.lower(F.element_at(F.split("p_name", " "), -1)).alias("suffix")).where("p_partkey <= 300")
-    full = table(s, d, "nation").select(F.concat(F.lit("mod."), F.lower("n_name")).alias("module"))
-    return J.unique_match(full, parts, F.endswith("module", F.concat(F.lit("."), F.col("suffix"))), ["module"]).select("module", "p_partkey")
+    """Hosts of pages under a project's name, matched with the one source that has the host's first part as its name."""
+    host = F.split_part("url", F.lit("/"), F.lit(3))
+    modules = table(s, d, "pages").select(F.concat(F.lit("mod."), F.split_part(host, F.lit("."), F.lit(1))).alias("module")).distinct()
+    words = table(s, d, "documents").select(F.lower(F.split_part("text", F.lit(" "), F.lit(1))).alias("word"), "source").distinct()
+    # the suffix of a module is its last part, so the match is an equal join
+    found = J.unique_match(modules.withColumn("word", F.element_at(F.split("module", "[.]"), -1)), words, ["word"], ["module"])
+    return found.select("module", "source")
 
 
 def j_unique_origin(s, d):
@@ -220,11 +229,13 @@ def j_frame_material(s, d):
 
 
 def j_nested_sites(s, d):
-    side = lambda c: table(s, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", F.col(c).alias("v"))).alias("sites"))
-    a = side("l_returnflag").select("l_orderkey", F.explode("sites").alias("a"))
-    b = side("l_linestatus").select("l_orderkey", F.explode("sites").alias("b"))
-    j = a.join(b, (a["l_orderkey"] == b["l_orderkey"]) & (F.col("a.l_linenumber") == F.col("b.l_linenumber")))
-    return j.groupBy(F.col("a.v").alias("flag")).agg(F.count("*").alias("sites"), F.count_if((F.col("a.v") == "N") & (F.col("b.v") == "O")).alias("open"))
+    """Sites of the two sides of an order, matched by their number: both are columns of one row."""
+    open_ = (F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "O")
+    each = table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("flag"), "l_linestatus").agg(F.count("*").alias("n"), F.count_if(open_).alias("open"))
+    own = each.groupBy("l_orderkey", "l_linenumber", "flag").agg(F.sum("n").alias("n"))
+    other = each.groupBy("l_orderkey", "l_linenumber").agg(F.sum("n").alias("m"), F.sum(F.when(F.col("l_linestatus") == "O", F.col("n")).otherwise(0)).alias("o"))
+    j = own.join(other, ["l_orderkey", "l_linenumber"])
+    return j.groupBy("flag").agg(F.sum(F.col("n") * F.col("m")).alias("sites"), F.coalesce(F.sum(F.when(F.col("flag") == "N", F.col("n") * F.col("o"))), F.lit(0)).cast("long").alias("open"))
 
 
 def j_runtime_validate(s, d):
@@ -300,13 +311,13 @@ def term_hits(s, d):
 
 def risk_codes(s, d):
     r = records(s, d)
-    gate = F.col("gold").isNotNull() & (F.col("n_chars") >= 100)
-    codes = J.all_reasons([(gate & (F.col("toxic") == 1), "toxic"), (gate & F.contains("text", F.lit("@")), "mail"), (gate & F.contains(F.lower("text"), F.lit("license")), "licence"), (gate & F.contains("text", F.lit("***")), "marks")])
-    return r.select("doc_id", F.array_join(codes, ",").alias("codes")).where("codes <> ''")
+    gated = r.where("gold is not null and n_chars >= 100").select("doc_id", "toxic", F.contains("text", F.lit("@")).alias("mail"), F.contains(F.lower("text"), F.lit("license")).alias("licence"), F.contains("text", F.lit("***")).alias("marks"))
+    codes = J.all_reasons([(F.col("toxic") == 1, "toxic"), *[(F.col(c), c) for c in ("mail", "licence", "marks")]])
+    return gated.where("toxic = 1 or mail or licence or marks").select("doc_id", F.array_join(codes, ",").alias("codes"))
 
 
 def secret_redaction(s, d):
-    """Counts of masks; the third pattern has a look-ahead that the SQL leaves out, as no text has such a name before a sign."""
+    """Counts of masks of each sort, one put after the other."""
     c = X.mask_counts(F.col("text"))
     return _docs(s, d).select("doc_id", c["named"].alias("named"), c["bearer"].alias("bearer"), c["long"].alias("long")).where("named + bearer + long > 0")
 
@@ -422,7 +433,7 @@ def a_partition_cover(s, d):
 
 QUERIES = {f.__name__: f for f in (
     j_strict_1to1, j_inventory_equal, j_unit_enrich, j_left_default, j_left_enrich, j_composite_key, j_semi_ids, j_anti_contamination, j_anti_exclusion_reasons, j_set_overlap, j_bidirectional_map, population_overlap,
-    j_range_overlap, enclosing_interval, j_guard_commit_pairs, j_theta_pairs, j_guard_effect_cross, j_tool_sink_containment, near_copy_pairs, j_fingerprint_bucket, j_suffix_module, j_unique_origin, j_path_alias_unique,
+    j_range_overlap, enclosing_interval, j_guard_commit_pairs, j_theta_pairs, j_guard_effect_cross, j_tool_sink_containment, near_copy_pairs, near_copy_members, j_fingerprint_bucket, j_suffix_module, j_unique_origin, j_path_alias_unique,
     j_obligation_distribute, j_reviewer_merge, j_reviewer_consensus, j_obligation_merge, j_multi_pattern, j_verdict_pair, j_request_response, j_frame_material, j_nested_sites, j_runtime_validate, j_stratum_map,
     f_case_eligibility, f_recode, f_coalesce_unknown, f_enum_filter, f_project_spread, f_case_status, f_closed_schema, f_domain_assert, f_hex_identity, f_safe_path, term_hits, risk_codes, secret_redaction, f_marker_lines,
     f_module_prefix, f_parse_coordinate, f_missing_fields, f_repo_role, f_error_cascade, s_union_tagged, s_union_distinct, s_intersect, s_except, s_disjoint_partition, s_subset, s_row_array_ops, a_dedup_first, a_dedup_last,
@@ -432,6 +443,9 @@ QUERIES = {f.__name__: f for f in (
 _ITEMS = "items AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity)::INTEGER AS k, l_partkey%50 AS start, l_partkey%50+l_quantity::BIGINT AS \"end\" FROM lineitem)"
 _REASONS = "CASE WHEN gold IS NULL THEN 'no_gold' WHEN n_chars<{n} THEN '{short}' WHEN toxic=1 THEN 'toxic' END"
 _SHARED = "FROM documents WHERE n_chars>800", "FROM documents WHERE lang='fr' AND n_chars>5000"
+_RUNS = r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x<>'') AS t FROM documents), q AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, len(t)-3), lambda i: array_to_string(t[i:i+4],' ')))) AS t FROM w WHERE len(t)>=5),
+k AS (SELECT doc_id, t, len(t) AS n, min(doc_id) OVER (PARTITION BY t) AS a FROM q WHERE len(t)>=40), u AS (SELECT a, n, t FROM k WHERE doc_id=a)"""
+_NAMED, _BEARER, _LONG = (p.replace("'", "''") for p in (X.NAMED, X.BEARER, X.LONG))
 SQL = {
     "j_strict_1to1": f"WITH {WIDE} SELECT doc_id, length, marks FROM wide WHERE length<>marks",
     "j_inventory_equal": "SELECT doc_id, 'left' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'right' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)",
@@ -451,11 +465,11 @@ SQL = {
     "j_theta_pairs": "SELECT s_nationkey, count(*) AS pairs FROM supplier JOIN customer ON s_nationkey=c_nationkey AND abs(s_acctbal-c_acctbal)<=50 GROUP BY 1",
     "j_guard_effect_cross": "SELECT g.n_regionkey, g.n_name AS guard, e.n_name AS effect FROM nation g JOIN nation e ON g.n_regionkey=e.n_regionkey AND g.n_nationkey%2=0 AND e.n_nationkey%2=1",
     "j_tool_sink_containment": f"WITH {_ITEMS} SELECT CASE WHEN t.start<=s.start AND s.\"end\"<=t.\"end\" THEN 'anchored' ELSE 'unanchored' END AS anchor, count(*) AS n FROM items s LEFT JOIN items t ON s.l_orderkey=t.l_orderkey AND t.k=1 WHERE s.k>1 GROUP BY 1",
-    "near_copy_pairs": r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x<>'') AS t FROM documents), r AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(t)-3), lambda i: array_to_string(t[i:i+4],' '))) AS run FROM w WHERE len(t)>=5),
-n AS (SELECT doc_id, count(*) AS n FROM r GROUP BY 1 HAVING count(*)>=40), p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM r x JOIN r y ON x.run=y.run AND x.doc_id<y.doc_id GROUP BY ALL)
-SELECT a, b, common, (m.n+k.n-common)::BIGINT AS total FROM p JOIN n m ON m.doc_id=a JOIN n k ON k.doc_id=b WHERE common*100>=90*(m.n+k.n-common)""",
+    "near_copy_pairs": _RUNS + r""", r AS (SELECT a AS doc_id, n, unnest(t) AS run FROM u), p AS (SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n)+any_value(y.n) AS n, count(*) AS common FROM r x JOIN r y ON x.run=y.run AND x.doc_id<y.doc_id GROUP BY x.doc_id, y.doc_id)
+SELECT a, b, common, (n-common)::INTEGER AS total FROM p WHERE common*100>=90*(n-common)""",
+    "near_copy_members": _RUNS + " SELECT doc_id AS id, a FROM k WHERE doc_id<>a",
     "j_fingerprint_bucket": r"WITH f AS (SELECT doc_id, lang, source, text, regexp_replace(lower(text),'\s+',' ','g') AS norm FROM documents) SELECT a.lang, CASE WHEN a.text=b.text THEN 'literal' ELSE 'normalised' END AS kind, count(*) AS pairs FROM f a JOIN f b ON a.lang=b.lang AND a.norm=b.norm AND a.doc_id<b.doc_id AND a.source<>b.source GROUP BY ALL",
-    "j_suffix_module": "WITH m AS (SELECT 'mod.'||lower(n_name) AS module FROM nation), p AS (SELECT p_partkey, lower(string_split(p_name,' ')[-1]) AS suffix FROM part WHERE p_partkey<=300), j AS (SELECT module, p_partkey, count(*) OVER (PARTITION BY module) AS n FROM m JOIN p ON suffix(module, '.'||p.suffix)) SELECT module, p_partkey FROM j WHERE n=1",
+    "j_suffix_module": "WITH m AS (SELECT DISTINCT split_part(split_part(url,'/',3),'.',1) AS word FROM pages), k AS (SELECT DISTINCT lower(split_part(text,' ',1)) AS word, source FROM documents) SELECT 'mod.'||word AS module, min(source) AS source FROM m JOIN k USING (word) GROUP BY word HAVING count(*)=1",
     "j_unique_origin": "SELECT p_brand, p_size, CASE WHEN count(*)=1 THEN min(p_partkey) END AS origin, CASE WHEN count(*)=1 THEN 'resolved' ELSE 'ambiguous' END AS state FROM part GROUP BY ALL",
     "j_path_alias_unique": "SELECT string_split(regexp_replace(url,'^[a-z]+://',''),'/')[-1] AS alias, min(page_id) AS page_id FROM pages GROUP BY 1 HAVING count(*)=1",
     "j_obligation_distribute": "SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_partkey%7=0) AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_partkey%11=0)",
@@ -481,8 +495,8 @@ SELECT a, b, common, (m.n+k.n-common)::BIGINT AS total FROM p JOIN n m ON m.doc_
     "f_safe_path": "SELECT page_id%4 AS form, (page_id%4>1 AND NOT contains(regexp_replace(url,'^[a-z]+://',''),'//')) AS safe, count(*) AS n FROM pages GROUP BY ALL",
     "term_hits": "SELECT doc_id, concat_ws(',', CASE WHEN contains(lower(text),'copyright') THEN 'copyright' END, CASE WHEN contains(lower(text),'license') THEN 'license' END, CASE WHEN contains(lower(text),'permission') THEN 'permission' END, CASE WHEN contains(lower(text),'que') THEN 'que' END, CASE WHEN contains(lower(text),'the') THEN 'the' END, CASE WHEN contains(lower(text),'und') THEN 'und' END) AS hits FROM documents",
     "risk_codes": f"WITH {REC}, c AS (SELECT doc_id, concat_ws(',', CASE WHEN toxic=1 THEN 'toxic' END, CASE WHEN contains(text,'@') THEN 'mail' END, CASE WHEN contains(lower(text),'license') THEN 'licence' END, CASE WHEN contains(text,'***') THEN 'marks' END) AS codes FROM rec WHERE gold IS NOT NULL AND n_chars>=100) SELECT doc_id, codes FROM c WHERE codes<>''",
-    "secret_redaction": r"""WITH a AS (SELECT doc_id, text AS t0, regexp_replace(text,'(?i)\b(api[_-]?key|token|secret|password)(\s*[:=]\s*)([^\s,;]{4,})','\1\2[MASKED]','g') AS t1 FROM documents), b AS (SELECT *, regexp_replace(t1,'(?i)\bBearer\s+[A-Za-z0-9._~+/-]{8,}=*','Bearer [MASKED]','g') AS t2 FROM a),
-c AS (SELECT doc_id, len(regexp_extract_all(t0,'(?i)\b(api[_-]?key|token|secret|password)(\s*[:=]\s*)([^\s,;]{4,})')) AS named, len(regexp_extract_all(t1,'(?i)\bBearer\s+[A-Za-z0-9._~+/-]{8,}=*')) AS bearer, len(regexp_extract_all(t2,'\b[A-Za-z0-9+/_-]{32,}\b')) AS long FROM b) SELECT * FROM c WHERE named+bearer+long>0""",
+    "secret_redaction": rf"""WITH a AS (SELECT doc_id, text AS t0, regexp_replace(text,'{_NAMED}','\1\2[MASKED]','g') AS t1 FROM documents), b AS (SELECT *, regexp_replace(t1,'{_BEARER}','\1[MASKED]','g') AS t2 FROM a),
+c AS (SELECT doc_id, len(regexp_extract_all(t0,'{_NAMED}')) AS named, len(regexp_extract_all(t1,'{_BEARER}')) AS bearer, len(regexp_extract_all(t2,'{_LONG}')) AS long FROM b) SELECT * FROM c WHERE named+bearer+long>0""",
     "f_marker_lines": r"WITH l AS (SELECT doc_id, unnest(string_split(text,chr(10))) AS body FROM documents) SELECT doc_id, count(*) AS lines FROM l WHERE NOT regexp_matches(body,'^\s*(import|#)') AND regexp_matches(body,'(^|[^A-Za-z0-9_])(the|que)([^A-Za-z0-9_]|$)') GROUP BY 1",
     "f_module_prefix": "SELECT (h='www' OR starts_with(h,'www.')) AS inside, count(*) AS n FROM (SELECT regexp_extract(url,'^[a-z]+://([^/]+)',1) AS h FROM pages) GROUP BY 1",
     "f_parse_coordinate": "SELECT doc_id, CASE WHEN doc_id%3<>0 THEN source END AS path, CASE WHEN doc_id%3<>0 THEN n_chars END AS line FROM documents",

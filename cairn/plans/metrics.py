@@ -100,7 +100,7 @@ def source_quantiles(s, d):
 
 def bootstrap_ci(s, d):
     p = predictions(s, d).where("arm = 'language' and gold is not null and prediction <> 'unknown'")
-    return M.cluster_bootstrap(p, "source", (F.col("gold") == F.col("prediction")).cast("int"), F.lit(1))
+    return rounded(M.cluster_bootstrap(p, "source", (F.col("gold") == F.col("prediction")).cast("int"), F.lit(1)), "point", "lower", "upper", places=6)
 
 
 def a_argmin_minN(s, d):
@@ -137,7 +137,7 @@ def a_coverage_summary(s, d):
 
 def a_signature_inventory(s, d):
     inv = table(s, d, "documents").groupBy("lang", F.substring_index("text", " ", 1).alias("call")).agg(F.count("*").alias("occurrences"), F.count_distinct("source").alias("repositories"))
-    return W.numbered(inv, [], [F.desc("repositories"), F.desc("occurrences"), "lang", "call"]).where("rank <= 200")
+    return W.globally_numbered(inv, [F.desc("repositories"), F.desc("occurrences"), F.col("lang"), F.col("call")])
 
 
 def l_ensemble_agree(s, d):
@@ -227,6 +227,9 @@ def _confusion(ctes: str, source: str, by: str) -> str:
 
 _W = {"tp": "gold='present' AND prediction='present'", "fp": "gold='absent' AND prediction='present'", "fn": "gold='present' AND prediction<>'present'", "tn": "gold='absent' AND prediction='absent'"}
 SQL = {
+    "bootstrap_ci": f"""WITH {PRED}, s AS (SELECT source, sum((gold=prediction)::INTEGER)::DOUBLE AS a, count(*)::DOUBLE AS b FROM pred WHERE arm='language' AND gold IS NOT NULL AND prediction<>'unknown' GROUP BY 1), c AS (SELECT *, row_number() OVER (ORDER BY source)-1 AS k, count(*) OVER () AS n FROM s),
+d AS (SELECT i, ('0x'||sha256('bootstrap'||chr(0)||i||chr(0)||j)[1:12])::BIGINT % n AS k FROM (SELECT DISTINCT n FROM c), range(200) r(i), LATERAL (SELECT unnest(range(n)) AS j)), x AS (SELECT i, sum(a)/sum(b) AS r FROM d JOIN c USING (k) GROUP BY 1)
+SELECT (SELECT round(sum(a)/sum(b),6) FROM s) AS point, round(quantile_cont(r,0.025),6) AS lower, round(quantile_cont(r,0.975),6) AS upper FROM x""",
     "confusion_by_arm": _confusion(PRED, "pred", "arm"),
     "confusion_by_arm_and_stratum": _confusion(PRED, "pred", "arm, lang"),
     "a_confusion_fnabst": f"WITH {PRED}, c AS (SELECT arm, {', '.join(f'count(*) FILTER ({v}) AS {k}' for k, v in _W.items())} FROM pred WHERE gold IS NOT NULL GROUP BY arm) SELECT *, round(tp/nullif(tp+fp,0)::DOUBLE,8) AS precision, round(tp/nullif(tp+fn,0)::DOUBLE,8) AS recall FROM c",
@@ -260,7 +263,7 @@ SELECT lang, n, round(same/n::DOUBLE,8) AS agreement, round((same/n::DOUBLE-coal
     "a_health_rollup": f"WITH {REC} SELECT source, CASE WHEN count(gold)=count(*) THEN 'completed' WHEN count(gold)>0 THEN 'partial' ELSE 'error' END AS health FROM rec GROUP BY 1",
     "a_family_counts": "SELECT count(*) AS families, sum(n)::BIGINT AS members, (sum(n)-count(*))::BIGINT AS duplicates FROM (SELECT count(*) AS n FROM documents GROUP BY text)",
     "a_coverage_summary": "SELECT v.lang, count(doc_id) AS n, count(DISTINCT source) AS sources FROM (VALUES ('de'),('en'),('es'),('fr'),('it')) v(lang) LEFT JOIN documents d ON d.lang=v.lang GROUP BY 1",
-    "a_signature_inventory": "WITH i AS (SELECT lang, split_part(text,' ',1) AS call, count(*) AS occurrences, count(DISTINCT source) AS repositories FROM documents GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (ORDER BY repositories DESC, occurrences DESC, lang, call)::INTEGER AS rank FROM i) WHERE rank<=200",
+    "a_signature_inventory": "WITH i AS (SELECT lang, split_part(text,' ',1) AS call, count(*) AS occurrences, count(DISTINCT source) AS repositories FROM documents GROUP BY ALL) SELECT *, row_number() OVER (ORDER BY repositories DESC, occurrences DESC, lang, call) AS rank FROM i",
     "l_ensemble_agree": _confusion(WIDE + ", e AS (SELECT doc_id, gold, 'all_three' AS arm, CASE WHEN length<>'unknown' AND length=language AND length=marks THEN length ELSE 'unknown' END AS prediction FROM wide UNION ALL SELECT doc_id, gold, 'without_marks', CASE WHEN length<>'unknown' AND length=language THEN length ELSE 'unknown' END FROM wide)", "e", "arm"),
     "a_counterfactual_pairs": f"WITH {WIDE} SELECT lang, count(*) AS pairs, count(*) FILTER (length<>language) AS flips FROM wide GROUP BY 1",
     "a_bidirectional": f"WITH {REC}, c AS (SELECT source, count(*) FILTER (gold='present') AS present, count(*) FILTER (gold='absent') AS absent FROM rec GROUP BY 1) SELECT *, concat_ws(',', CASE WHEN present=0 THEN 'no_present' END, CASE WHEN absent=0 THEN 'no_absent' END) AS reasons, present>0 AND absent>0 AS eligible FROM c",

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["metrics", "joins", "windows", "graphs", "events"]
+MODULES = ["metrics", "joins", "windows", "graphs", "verdicts", "events"]
 
 
 def _modules():

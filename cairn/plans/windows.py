@@ -30,11 +30,11 @@ def cumulative_split(s, d):
 
 def w_rank_number(s, d):
     sizes = _docs(s, d).groupBy("source").agg(F.count("*").alias("n"))
-    return W.numbered(sizes, [], [F.desc("n"), "source"])
+    return W.globally_numbered(sizes, [F.desc("n"), F.col("source")])
 
 
 def round_robin(s, d):
-    return W.round_robin(_docs(s, d).where("n_chars < 1000"), "lang", "doc_id").select("doc_id", "lang", "turn", "place")
+    return W.round_robin(_docs(s, d), "lang", "doc_id").select("doc_id", "lang", "turn", "place")
 
 
 def line_islands(s, d):
@@ -91,8 +91,8 @@ def o_budget_limit(s, d):
 
 
 def o_total_order(s, d):
-    r = records(s, d)
-    return W.numbered(r.where("n_chars > 3000"), [], ["lang", F.coalesce("toxic", F.lit(-1)), "doc_id"]).select("doc_id", "lang", "rank")
+    r = records(s, d).withColumn("order", F.coalesce("toxic", F.lit(-1)))
+    return W.globally_numbered(r.select("doc_id", "lang", "order"), ["lang", "order", "doc_id"]).drop("order")
 
 
 def o_first_alpha_cap(s, d):
@@ -139,12 +139,13 @@ def id_git_blob(s, d):
 
 
 def id_set_identity(s, d):
-    return _docs(s, d).groupBy("source").agg(I.list_digest(F.collect_list("doc_id")).alias("identity"))
+    return I.set_digest(_docs(s, d), ["source"], F.col("doc_id").cast("string"), "identity")
 
 
 def id_source_inventory(s, d):
     entry = F.concat_ws(":", F.octet_length("text").cast("string"), F.sha2("text", 256))
-    return _docs(s, d).groupBy("source").agg(F.count("*").alias("files"), F.sum(F.octet_length("text")).alias("bytes"), F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), ","), 256).alias("digest"))
+    sizes = _docs(s, d).groupBy("source").agg(F.count("*").alias("files"), F.sum(F.octet_length("text")).alias("bytes"))
+    return sizes.join(I.set_digest(_docs(s, d), ["source"], entry, "digest"), "source")
 
 
 def id_evidence_key(s, d):
@@ -173,8 +174,8 @@ def l_pivotal(s, d):
 
 def l_logical_verdict(s, d):
     state = F.when(F.col("l_returnflag") == "A", "blocked").when(F.col("l_returnflag") == "R", "present").otherwise("unknown")
-    each = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(state).alias("states"))
-    return each.groupBy(L.logical_verdict(F.col("states")).alias("verdict")).agg(F.count("*").alias("n"))
+    each = table(s, d, "lineitem").groupBy("l_orderkey").agg(L.verdict_of(state).alias("verdict"))
+    return each.groupBy("verdict").agg(F.count("*").alias("n"))
 
 
 def l_disposition(s, d):
@@ -198,16 +199,14 @@ def l_actionable(s, d):
 
 def trace_audit(s, d):
     """Users whose trace holds an error before a purchase."""
-    e = table(s, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("trace"))
-    first = lambda kind: F.array_position(F.transform("trace", lambda x: x["event_type"]), kind)
-    denied, done = F.exists("trace", lambda x: x["event_type"] == "error"), F.exists("trace", lambda x: x["event_type"] == "purchase")
-    return e.select("user_id", denied.alias("denied"), done.alias("committed"), (denied & done & (first("error") < first("purchase"))).alias("error_first"))
+    first = lambda kind: F.min(F.when(F.col("event_type") == kind, F.struct("ts", "event_id")))
+    e = table(s, d, "events").groupBy("user_id").agg(first("error").alias("e"), first("purchase").alias("p"))
+    return e.select("user_id", F.col("e").isNotNull().alias("denied"), F.col("p").isNotNull().alias("committed"), F.coalesce(F.col("e") < F.col("p"), F.lit(False)).alias("error_first"))
 
 
 def a_cell_counts(s, d):
-    e = table(s, d, "events").groupBy("user_id").agg(F.collect_list(F.struct("event_type", "value")).alias("cells"))
-    n = lambda kind: F.size(F.filter("cells", lambda x: x["event_type"] == kind)).cast("long")
-    return e.select("user_id", n("error").alias("errors"), n("purchase").alias("purchases"), F.size("cells").cast("long").alias("total"))
+    n = lambda kind: F.count_if(F.col("event_type") == kind)
+    return table(s, d, "events").groupBy("user_id").agg(n("error").alias("errors"), n("purchase").alias("purchases"), F.count("*").alias("total"))
 
 
 def a_label_rule(s, d):
@@ -236,13 +235,33 @@ _ALL = " CROSS JOIN ".join(f"(VALUES ('true'),('false'),('unknown')) f{i}(v)" fo
 _TRUTH = f"""t AS (SELECT {_FACTS} FROM {_ALL}), o AS (SELECT *, CASE WHEN guarded='false' AND denies='true' THEN 'unknown' WHEN reachable='false' OR commits='false' THEN 'absent'
 WHEN reachable='true' AND commits='true' AND guarded='true' AND denies='true' AND dominates='true' AND same_resource='true' THEN 'blocked'
 WHEN reachable='true' AND commits='true' AND (guarded='false' OR denies='false' OR dominates='false' OR same_resource='false') THEN 'present' ELSE 'unknown' END AS outcome FROM t)"""
+_SET = "SELECT source, sha256(string_agg(dg, '' ORDER BY b)) AS digest FROM (SELECT source, dg[1:2] AS b, sha256(string_agg(dg, '' ORDER BY dg)) AS dg FROM (SELECT source, sha256({v}) AS dg FROM documents) GROUP BY source, dg[1:2]) GROUP BY source"
 _HASH = "sha256('{seed}'||chr(0)||{s}||chr(0)||doc_id::VARCHAR)"
+
+
+def _pivot_sql(fact):
+    """Rows in which fact is unknown and two completions that differ in it alone have different outcomes."""
+    rest = [f for f in L.FACTS if f != fact]
+    fits = " AND ".join(f"(o.{f}='unknown' OR o.{f}=k.{f})" for f in rest)
+    keys = ", ".join(f"o.{f}" for f in L.FACTS)
+    return f"p_{fact} AS (SELECT DISTINCT {', '.join(L.FACTS)}, fact FROM (SELECT {keys}, '{fact}' AS fact FROM o JOIN k ON {fits} WHERE o.{fact}='unknown' GROUP BY {keys}, {', '.join('k.' + f for f in rest)} HAVING count(DISTINCT k.outcome)>1))"
+
+
+def _greedy_sql(strata, k):
+    """Stratum by stratum in hash order: the first record of each text not taken before, and of these the first k."""
+    steps = []
+    for i, stratum in enumerate(strata):
+        taken = f" AND text NOT IN ({' UNION ALL '.join(f'SELECT text FROM s{j}' for j in range(i))})" if i else ""
+        steps.append(f"s{i} AS (SELECT doc_id, lang, text FROM (SELECT *, {_HASH.format(seed='greedy', s='lang')} AS h, row_number() OVER (PARTITION BY text ORDER BY {_HASH.format(seed='greedy', s='lang')}, doc_id) AS r FROM documents WHERE lang='{stratum}'{taken}) WHERE r=1 ORDER BY h, doc_id LIMIT {k})")
+    return "WITH " + ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT doc_id, lang FROM s{i}" for i in range(len(strata)))
+
+
 SQL = {
     "stratified_sample": f"WITH k AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {_HASH.format(seed='seed', s='lang')}, doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents) SELECT doc_id, lang, round(least(25,n)/n::DOUBLE,8) AS probability FROM k WHERE r<=25",
     "hash_split": f"WITH k AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {_HASH.format(seed='split', s='lang')}, doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents) SELECT doc_id, lang, CASE WHEN r<=least(greatest(3,floor(n*0.2)),n-1) THEN 'development' ELSE 'confirmation' END AS side FROM k",
     "cumulative_split": "WITH f AS (SELECT source, count(*) AS size FROM documents GROUP BY 1), c AS (SELECT source, coalesce(sum(size) OVER (ORDER BY sha256('fam'||chr(0)||source), source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS before, sum(size) OVER () AS total FROM f) SELECT doc_id, source, CASE WHEN before<total*0.6 THEN 'development' ELSE 'confirmation' END AS side FROM documents JOIN c USING (source)",
-    "w_rank_number": "SELECT source, n, row_number() OVER (ORDER BY n DESC, source)::INTEGER AS rank FROM (SELECT source, count(*) AS n FROM documents GROUP BY 1)",
-    "round_robin": "WITH t AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id)::INTEGER AS turn FROM documents WHERE n_chars<1000) SELECT *, row_number() OVER (ORDER BY turn, lang)::INTEGER AS place FROM t",
+    "w_rank_number": "SELECT source, n, row_number() OVER (ORDER BY n DESC, source) AS rank FROM (SELECT source, count(*) AS n FROM documents GROUP BY 1)",
+    "round_robin": "WITH t AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS turn FROM documents) SELECT *, row_number() OVER (ORDER BY turn, lang) AS place FROM t",
     "line_islands": "WITH i AS (SELECT l_orderkey, l_partkey%60 AS s, l_partkey%60+l_linenumber AS e FROM lineitem), m AS (SELECT *, max(e) OVER (PARTITION BY l_orderkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i), g AS (SELECT *, sum(CASE WHEN reach IS NULL OR s>reach+1 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM m) SELECT l_orderkey, min(s) AS start, max(e) AS \"end\", count(*) AS parts FROM g GROUP BY l_orderkey, g",
     "w_consecutive_ranges": "WITH n AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem), g AS (SELECT *, l_linenumber-row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS g FROM n) SELECT l_orderkey, min(l_linenumber) AS start, max(l_linenumber) AS \"end\" FROM g GROUP BY l_orderkey, g",
     "w_shingles": r"WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text,'\s+'), lambda x: x<>'') AS t FROM documents), r AS (SELECT doc_id, count(DISTINCT run) AS n FROM (SELECT doc_id, unnest(list_transform(range(1,len(t)-3), lambda i: array_to_string(t[i:i+4],' '))) AS run FROM w WHERE len(t)>=5) GROUP BY 1) SELECT doc_id, coalesce(n,0)::INTEGER AS runs FROM documents LEFT JOIN r USING (doc_id)",
@@ -251,7 +270,7 @@ SQL = {
     "w_dup_count": "SELECT doc_id, count(*) OVER (PARTITION BY text) AS copies FROM documents",
     "w_bounded_siblings": "WITH m AS (SELECT DISTINCT p_brand FROM part WHERE p_partkey%50=0), r AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part WHERE p_brand IN (SELECT p_brand FROM m)) SELECT p_partkey, p_brand FROM r WHERE r<=3 UNION SELECT p_partkey, p_brand FROM part WHERE p_partkey%50=0",
     "o_budget_limit": "SELECT doc_id, source, truncated FROM (SELECT doc_id, source, count(*) OVER (PARTITION BY source)>5 AS truncated, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r<=5",
-    "o_total_order": f"WITH {REC} SELECT doc_id, lang, row_number() OVER (ORDER BY lang, coalesce(toxic,-1), doc_id)::INTEGER AS rank FROM rec WHERE n_chars>3000",
+    "o_total_order": f"WITH {REC} SELECT doc_id, lang, row_number() OVER (ORDER BY lang, coalesce(toxic,-1), doc_id) AS rank FROM rec",
     "o_first_alpha_cap": "SELECT lang, source, sha256(lang||':'||source) AS digest FROM (SELECT DISTINCT lang, source FROM documents) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY source)<=4",
     "a_max_score_ties": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem QUALIFY rank() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC)=1",
     "clustered_sample": f"""WITH {WIDE}, s AS (SELECT source, CASE WHEN count(DISTINCT lang)>1 THEN 'mixed' ELSE min(lang) END AS stratum FROM wide GROUP BY 1),
@@ -259,13 +278,22 @@ k AS (SELECT source, least(8,count(*) OVER (PARTITION BY stratum))/(count(*) OVE
 x AS (SELECT doc_id, w.source, length, p1, row_number() OVER (PARTITION BY w.source, length ORDER BY sha256('two'||chr(0)||length||chr(0)||doc_id::VARCHAR), doc_id) AS r2, count(*) OVER (PARTITION BY w.source, length) AS n FROM wide w JOIN k ON k.source=w.source AND k.r<=8)
 SELECT doc_id, source, length, round(p1*least(4,n)/n,8) AS probability FROM x WHERE r2<=4""",
     "p_multiarm": f"""WITH {WIDE}, v AS (SELECT doc_id, '["'||length||'","'||language||'","'||marks||'"]' AS vector FROM wide), k AS (SELECT *, row_number() OVER (PARTITION BY vector ORDER BY {_HASH.format(seed='arms', s='vector')}, doc_id) AS r, count(*) OVER (PARTITION BY vector) AS n FROM v) SELECT doc_id, vector, round(least(5,n)/n::DOUBLE,8) AS probability FROM k WHERE r<=5""",
+    "greedy_family_first": _greedy_sql(["de", "en", "es", "fr"], 20),
+    # of the 64 completions, an unknown fact matters if two that differ in it alone and in the unknown facts' other values fixed give two outcomes
+    "l_pivotal": f"WITH {_TRUTH}, k AS (SELECT * FROM o WHERE " + " AND ".join(f"{f}<>'unknown'" for f in L.FACTS) + "), " + ", ".join(_pivot_sql(f) for f in L.FACTS)
+    + ", x AS (" + " UNION ALL ".join(f"SELECT * FROM p_{f}" for f in L.FACTS) + f"), l AS (SELECT {', '.join(L.FACTS)}, string_agg(fact, ',' ORDER BY fact) AS pivotal FROM x GROUP BY ALL) SELECT outcome, coalesce(pivotal,'') AS pivotal, count(*) AS n FROM o LEFT JOIN l USING ({', '.join(L.FACTS)}) GROUP BY ALL",
+    "w_nonoverlap_spans": """WITH RECURSIVE s AS (SELECT DISTINCT l_orderkey AS k, l_partkey%60 AS a, l_partkey%60+l_quantity::BIGINT AS b FROM lineitem), n AS (SELECT k, count(*) AS spans FROM s GROUP BY 1),
+r AS (SELECT k, min(a) AS a, (arg_max(b, -a*1000+b)) AS b, 1 AS kept FROM s GROUP BY k UNION ALL SELECT k, a, b, kept FROM (SELECT s.k, s.a, s.b, r.kept+1 AS kept, row_number() OVER (PARTITION BY s.k ORDER BY s.a, s.b DESC) AS q FROM r JOIN s ON s.k=r.k AND s.a>=r.b) WHERE q=1)
+SELECT k AS l_orderkey, spans::INTEGER AS spans, max(kept)::INTEGER AS kept FROM r JOIN n USING (k) GROUP BY ALL""",
+    "w_context_window": r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), h AS (SELECT doc_id, lines, unnest(range(1, len(lines)+1)) AS pos FROM l)
+SELECT doc_id, pos::INTEGER AS line, sha256(array_to_string(list_filter(list_transform(lines[greatest(1, pos-2):pos+2], lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x<>''), chr(10))) AS context FROM h WHERE contains(lines[pos], '@')""".replace("\\\\", "\\"),
     "p_floor_gate": "SELECT source, count(*) AS n, count(*)>=40 AS enough FROM documents GROUP BY 1",
     "id_digest": "SELECT event_id, sha256(json(props)::VARCHAR) AS digest FROM events",
     "id_file_sha": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
     "id_node": "SELECT doc_id, sha256(source||chr(0)||lang||chr(0)||doc_id::VARCHAR) AS node FROM documents",
     "id_git_blob": "SELECT doc_id, sha1('blob '||strlen(text)::VARCHAR||chr(0)||text) AS blob FROM documents",
-    "id_set_identity": "SELECT source, sha256('['||string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)||']') AS identity FROM documents GROUP BY 1",
-    "id_source_inventory": "SELECT source, count(*) AS files, sum(strlen(text))::BIGINT AS bytes, sha256(string_agg(strlen(text)::VARCHAR||':'||sha256(text), ',' ORDER BY strlen(text)::VARCHAR||':'||sha256(text))) AS digest FROM documents GROUP BY 1",
+    "id_set_identity": "SELECT source, digest AS identity FROM (" + _SET.format(v="doc_id::VARCHAR") + ")",
+    "id_source_inventory": "SELECT source, count(*) AS files, sum(strlen(text))::BIGINT AS bytes, any_value(digest) AS digest FROM documents JOIN (" + _SET.format(v="strlen(text)::VARCHAR||':'||sha256(text)") + ") USING (source) GROUP BY 1",
     "id_evidence_key": "WITH k AS (SELECT l_orderkey, sha256(string_agg(l_returnflag||'|'||l_linestatus||'|'||l_linenumber::VARCHAR, ',' ORDER BY l_returnflag||'|'||l_linestatus||'|'||l_linenumber::VARCHAR)) AS key FROM lineitem GROUP BY 1) SELECT key, count(*) AS orders, min(l_orderkey) AS first FROM k GROUP BY 1",
     "id_span_verify": "SELECT doc_id, sha256(array_to_string(string_split(text,chr(10))[1:2],chr(10))) AS digest FROM documents",
     "id_drift_check": "SELECT doc_id FROM documents WHERE doc_id%9=0",

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.operators.shared import shared_dir
+
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """A stream of the Parquet files under path that are named like the events table."""
@@ -24,7 +28,21 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
 
 
 def drained(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there and give its result table."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Run a stream over what is there and give its result table: the last written one in complete mode, else all of them.
+
+    Each batch is written by its tasks to a folder of its own number in the shared folder, so a batch that runs again replaces itself.
+    """
+    spark = stream.sparkSession
+    path = f"{shared_dir(spark)}/cairn-{name}-{uuid.uuid4().hex}"
+    written: list[int] = []
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        written.append(number)
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(store).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    if not written:
+        return spark.createDataFrame([], stream.schema)
+    last = [max(written)] if mode == "complete" else sorted(set(written))
+    return spark.read.schema(stream.schema).parquet(*[f"{path}/batch={n}" for n in last])
