@@ -8,12 +8,14 @@ coordinate minima of their points.
    the overlap leave no room for two points that differ in all of their first coordinates: of n shingles in
    this order, the first n * (100 - percent) / 100 + 1 must hold one of any linked set. Each is a cell of the
    directory; shingles that many documents share come last and so open no cells.
-2. Nodes. Exact copies fold into one point. Each set is bounded against the leading set of its cells, verified, and linked sets fold into components. A cell that still holds several components is a node of
-   the tree: its points are packed into leaves with upper corners, a leaf whose corner cannot reach the
-   overlap is passed over, and so is a pair. Large cells are split in chunks, each pair of chunks a piece of work.
+2. Nodes. Exact copies fold into one point. The set with the most shared cells leads a cell, and all that share a
+   cell with a leading set are a node of the tree. Each set is bounded against a leading set, verified, and linked sets
+   fold into components. In a node that still holds several components the points are packed into leaves with upper
+   corners, a leaf whose corner cannot reach the overlap is passed over, and so is a pair. Large nodes are split
+   in chunks, each pair of chunks a piece of work.
 3. Verification on the exact shingle sets of what passes the bound.
 
-In the cells points hold 64 coarse counts of one byte. Candidate pairs are then bounded once more on fine
+In the nodes points hold 64 coarse counts of one byte. Candidate pairs are then bounded once more on fine
 points with a count for every four shingles, so what reaches the texts is nearly all linked. Of two points the finer folds into
 the groups of the other. A count of one byte may stand for more (MOST); the bound then stays one, as it is
 written as n - sum of the excess of one point over the other, and cut counts only lower an excess.
@@ -30,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cairn.llm import cells as C
 from cairn.llm import kernels as K
 from cairn.operators.graph import connected_components
 from cairn.operators.shared import Staged
@@ -38,8 +41,8 @@ U64 = np.uint64
 # Coordinates of a point, and what a count is cut to.
 DIMS = 64
 MOST = 255
-# Fine groups, whose totals over all documents order the directory: 1 MB, whatever the corpus.
-GROUP_BITS = 17
+# Fine groups, whose totals over all documents order the directory: 8 MB, whatever the corpus.
+GROUP_BITS = 20
 GROUPS = 1 << GROUP_BITS
 TOTAL_PARTS = 64
 CHUNK = 2048
@@ -56,7 +59,7 @@ def sorted_sets(data: np.ndarray, offsets: np.ndarray, width: int, rank: np.ndar
     h, at = K.shingles(code, doc, n_docs, width)
     if rank is not None:
         shift = U64(64 - GROUP_BITS)
-        h = (rank[h >> shift] << shift) | (h & U64((1 << (64 - GROUP_BITS)) - 1))
+        h = (rank[(h >> shift).astype(np.int64)].astype(U64) << shift) | (h & U64((1 << (64 - GROUP_BITS)) - 1))
     order = np.lexsort((h, at))
     h, at = h[order], at[order]
     fresh = np.ones(len(h), bool)
@@ -123,7 +126,7 @@ def facts(docs: DataFrame, width: int) -> DataFrame:
 
 
 def ranks(known: DataFrame) -> np.ndarray:
-    """The rank of each fine group by its total over all documents, the rarest first. TOTAL_PARTS rows reach the driver, 1 MB together."""
+    """The rank of each fine group by its total over all documents, the rarest first. TOTAL_PARTS rows reach the driver, 8 MB together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -138,41 +141,15 @@ def ranks(known: DataFrame) -> np.ndarray:
     total = np.zeros(GROUPS, np.int64)
     for row in parts.mapInArrow(run, "part int, counts binary").collect():
         total[row["part"] * (GROUPS // TOTAL_PARTS) :][: GROUPS // TOTAL_PARTS] = np.frombuffer(row["counts"], np.int64)
-    out = np.empty(GROUPS, U64)
-    out[np.argsort(total, kind="stable")] = np.arange(GROUPS, dtype=U64)
+    out = np.empty(GROUPS, np.uint32)
+    out[np.argsort(total, kind="stable")] = np.arange(GROUPS, dtype=np.uint32)
     return out
 
 
-ENTRY = np.dtype([("cell", "<u8"), ("sig", "<i8")])
-# As written between tasks: the upper cell bits follow from the slice.
-BRIEF = np.dtype([("low", "<u4"), ("mid", "u1"), ("sig", "<i8")])
-
-
 def members(docs: DataFrame, width: int, percent: int, rank: np.ndarray, n_slices: int) -> DataFrame:
-    """(cell, sig) for every cell that more than one distinct set falls into.
-
-    Tasks send their cells in blocks of one slice of the code space, one entry for each cell and task
-    chunk, so a slice gets at most as many entries of a cell as there are chunks, whatever the group of
-    near copies; the other sets of a cell met within a chunk travel beside, in blocks dealt at random.
-    """
+    """(cell, sig) for every cell that more than one distinct set falls into; an entry may come twice."""
     n_slices = max(1, min(n_slices, 1 << 20))
 
-    def emit(found: np.ndarray, salt: int) -> pa.RecordBatch:
-        # a code is cut to its slice and 40 bits; the few different ones that meet are told apart by verification
-        part = ((found["cell"] >> U64(32)) * U64(n_slices)) >> U64(32)
-        found["cell"] = (part << U64(44)) | (found["cell"] & U64((1 << 40) - 1))
-        found = found[np.lexsort((found["sig"], found["cell"]))]
-        first = np.ones(len(found), bool)
-        first[1:] = found["cell"][1:] != found["cell"][:-1]
-        local = found[~(first & np.append(first[1:], True))]
-        lead = found[first]
-        edges = np.searchsorted(lead["cell"] >> U64(44), np.arange(n_slices + 1, dtype=U64))
-        brief = np.zeros(len(lead), BRIEF)
-        brief["low"], brief["mid"], brief["sig"] = lead["cell"] & U64(0xFFFFFFFF), (lead["cell"] >> U64(32)) & U64(0xFF), lead["sig"]
-        rows = [(s, 0, brief[a:b].tobytes()) for s, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
-        rows += [((salt + lo) % n_slices, 1, local[lo : lo + 65536].tobytes()) for lo in range(0, len(local), 65536)]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["slice", "local", "block"])
-
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         seen: set[int] = set()
@@ -193,40 +170,19 @@ def members(docs: DataFrame, width: int, percent: int, rank: np.ndarray, n_slice
                     seen.add(s)
                 begin = np.cumsum(size) - size
                 take = np.arange(len(h)) - begin[at] < first[at]
-                entry = np.zeros(int(take.sum()), ENTRY)
-                entry["cell"], entry["sig"] = K.mix(h[take], 5), sig[at[take]]
-                held.append(entry)
+                held.append(C.entries(K.mix(h[take], 5), sig[at[take]]))
                 texts += int(offsets[j] - offsets[i])
                 if texts >= SLICE_BYTES:
-                    yield emit(np.concatenate(held), salt)
+                    yield C.blocks(np.concatenate(held), n_slices, salt)
                     held, texts, salt = [], 0, salt + 7919
         if held:
-            yield emit(np.concatenate(held), salt)
+            yield C.blocks(np.concatenate(held), n_slices, salt)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in K.runs(batches, 2):
-            blocks = rows.column(2).to_pylist()
-            if rows.column(1)[0].as_py():
-                yield from (table(np.frombuffer(x, ENTRY)) for x in blocks)
-                continue
-            brief = np.concatenate([np.frombuffer(x, BRIEF) for x in blocks])
-            cell = (U64(rows.column(0)[0].as_py()) << U64(44)) | (brief["mid"].astype(U64) << U64(32)) | brief["low"].astype(U64)
-            order = np.lexsort((brief["sig"], cell))
-            cell, brief = cell[order], brief[order]
-            fresh = np.ones(len(cell), bool)
-            fresh[1:] = (cell[1:] != cell[:-1]) | (brief["sig"][1:] != brief["sig"][:-1])
-            cell, brief = cell[fresh], brief[fresh]
-            same = np.zeros(len(cell) + 1, bool)
-            same[1:-1] = cell[1:] == cell[:-1]
-            shared = same[1:] | same[:-1]
-            out = np.zeros(int(shared.sum()), ENTRY)
-            out["cell"], out["sig"] = cell[shared], brief["sig"][shared]
-            yield table(out)
-
-    def table(entry: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(entry["cell"]).view(np.int64)), pa.array(np.ascontiguousarray(entry["sig"]))], ["cell", "sig"])
-
-    blocks = docs.select("text").mapInArrow(scatter, "slice int, local int, block binary")
+        for x in C.shared(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x["cell"]).view(np.int64)), pa.array(np.ascontiguousarray(x["row"]))], ["cell", "sig"])
+
+    blocks = docs.select("text").mapInArrow(scatter, C.SCHEMA)
     # a task takes several slices, one after the other, in the order of a sort that may spill
     return blocks.repartition(max(1, n_slices // 4), "slice").sortWithinPartitions("slice", "local").mapInArrow(gather, "cell long, sig long")
 
@@ -234,9 +190,9 @@ def members(docs: DataFrame, width: int, percent: int, rank: np.ndarray, n_slice
 def unranked(h: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The hashes whose fine groups were put in the order of rank."""
     shift = U64(64 - GROUP_BITS)
-    group = np.empty(GROUPS, U64)
-    group[rank.astype(np.int64)] = np.arange(GROUPS, dtype=U64)
-    return (group[(h >> shift).astype(np.int64)] << shift) | (h & U64((1 << (64 - GROUP_BITS)) - 1))
+    group = np.empty(GROUPS, np.uint32)
+    group[rank] = np.arange(GROUPS, dtype=np.uint32)
+    return (group[(h >> shift).astype(np.int64)].astype(U64) << shift) | (h & U64((1 << (64 - GROUP_BITS)) - 1))
 
 
 def listed(df: DataFrame, column: str) -> DataFrame:
@@ -371,9 +327,9 @@ def leaf_pairs(counts: np.ndarray, n: np.ndarray, comp: np.ndarray, leaf: np.nda
 
 
 def cell_pairs(points: DataFrame, percent: int, parts: int) -> DataFrame:
-    """(a, b) for each cell and pair of its points, of different components, that passes the bound.
+    """(a, b) for each node (cell) and pair of its points, of different components, that passes the bound.
 
-    points has cell, sig, comp, n, counts. Cells of more than CHUNK points are split into chunks
+    points has cell, sig, comp, n, counts. Nodes of more than CHUNK points are split into chunks
     and every pair of chunks is a piece of work of its own.
     """
     sizes = points.groupBy("cell").agg(F.count("*").alias("held"))
@@ -422,12 +378,15 @@ def grouped(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
     # shared cells lead, as the common origin of near copies has. A set's own cells are far fewer than a partition holds
     kept = found.df.withColumn("c", F.count("*").over(Window.partitionBy("sig")))
     lead = kept.groupBy("cell").agg(F.max_by("sig", F.struct("c", "sig")).alias("a"))
-    shared = found.df.join(lead, "cell").where("a <> sig").groupBy("sig", "a").agg(F.count("*").alias("c"))
-    stars = Staged(shared.groupBy("sig").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", F.col("sig").alias("b")), "stars")
+    # a node is all that shares a cell with its leading set: whatever shares a cell is in a node together, once and not in each of its cells
+    nodes = Staged(found.df.join(lead, "cell").groupBy("sig", "a").agg(F.count("*").alias("c")), "nodes")
+    found.drop()
+    stars = nodes.df.where("a <> sig").groupBy("sig").agg(F.max_by("a", F.struct("c", "a")).alias("a"))
+    stars = Staged(stars.select("a", F.col("sig").alias("b")), "stars")
     links = verified(stars.df, docs, sets.df, width, percent)
     near = Staged(connected_components(links.df, "a", "b"), "near")
-    # then: all pairs of a cell that are still in different components
-    named = found.df.join(near.df.withColumnRenamed("node", "sig").withColumnRenamed("component", "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+    # then: all pairs of a node that are still in different components
+    named = nodes.df.select(F.col("a").alias("cell"), "sig").join(near.df.withColumnRenamed("node", "sig").withColumnRenamed("component", "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     named = Staged(named, "named")
     mixed = named.df.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("cell")
     points = named.df.join(mixed, "cell").join(sets.df.select("sig", "n", "counts"), "sig")
@@ -441,7 +400,7 @@ def grouped(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
     roots = least.df.groupBy("component").agg(F.min(F.struct("first", "sig")).alias("root"))
     ends = Staged(least.df.join(roots, "component").select("sig", "first", F.col("root.first").alias("component_id"), (F.col("sig") == F.col("root.sig")).alias("leads")), "ends")
     out = Staged(rows.select("doc_id", "n", "sig"), "rows")
-    for used in (known, sets, found, stars, links, near, named, pairs, more, joined, least):
+    for used in (known, sets, nodes, stars, links, near, named, pairs, more, joined, least):
         used.drop()
     return out.df, ends.df
 
