@@ -59,7 +59,7 @@ NOTICES = {
     "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "cc0": ["Released under CC0 1.0 Universal, dedicated to the public domain.", "This work has been dedicated to the public domain under CC0."],
     "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Licensed under the ISC License."],
-    "proprietary": ["All rights reserved. Unauthorized copying of this file is strictly prohibited.", "Proprietary and confidential. All rights reserved."],
+    "proprietary": ["All rights reserved.", "All rights reserved. Unauthorized copying of this file is strictly prohibited.", "Proprietary and confidential. All rights reserved."],
 }
 # Prose that mentions licences without granting one.
 OTHER = [

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import kernels as K
+from cairn.llm.spans import free_names
 from cairn.operators.shared import Staged
 
 U64 = np.uint64
@@ -32,7 +33,7 @@ REACH, GRAM, PIECE = 128, 16, 8
 CONTEXTS = 4
 CHUNK_BYTES = 8 << 20
 # Reference lists of at most this many rows are broadcast; longer ones are joined by a shuffle.
-BROADCAST_ROWS = 400_000
+BROADCAST_BYTES = 6 << 20
 SEGMENT = "ref long, lo int, n int, back int, full boolean, open boolean"
 ENTRY = np.dtype([("core", "<u8"), ("whole", "<u8"), ("ref", "<i8"), ("lo", "<i4"), ("n", "u1"), ("back", "u1"), ("many", "?"), ("open", "?")])
 # As written between tasks: the upper bits of core follow from the slice.
@@ -178,13 +179,15 @@ def entries_of(ref: np.ndarray, lo: np.ndarray, n: np.ndarray, back: np.ndarray,
     return out
 
 
-def referred(docs: DataFrame) -> DataFrame:
-    """docs with ref, a 64-bit code of id and text: rows that share it have the same bytes and the same answer."""
-    return docs.withColumn("ref", F.xxhash64("doc_id", "text"))
+def referred(docs: DataFrame, name: str = "ref") -> DataFrame:
+    """docs with ref, or another name, a 64-bit code of id and text: rows that share it have the same bytes and the same answer."""
+    return docs.withColumn(name, F.xxhash64("doc_id", "text"))
 
 
 def listed(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """A table of one 64-bit code in each row, marked for broadcast if it takes at most BROADCAST_BYTES."""
+    most = BROADCAST_BYTES // 16
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def parsed(docs: DataFrame, length: int, n_slices: int) -> DataFrame:
@@ -248,15 +251,18 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     Every byte covered by a string of length bytes that also starts elsewhere in the column, the same
     text included, is removed. A null or empty text, and one shorter than length, keeps its bytes.
     Repeated rows count as occurrences of each other, so whole copies lose all they hold; rows are given
-    each; an empty table gives no rows; columns of docs named like a new one are replaced.
+    each; an empty table gives no rows; columns of docs named like a new one, in any case, are replaced, others stay.
+    A text is held whole by its task, several times over.
     """
-    new = ["kept", "n_bytes", "n_removed", "n_spans", "spans", "ref"]
-    base = docs.select([c for c in docs.columns if c not in new])
-    spans = Staged(repeated_spans(base.select("doc_id", "text"), length), "spans")
-    refs, names = listed(spans.df.select("ref")), [*base.columns, *new[:4]]
-    rows = referred(base)
+    new = ["kept", "n_bytes", "n_removed", "n_spans"]
+    base = docs.select([c for c in docs.columns if c.lower() not in new])
+    ref, held, body = free_names(docs, "ref", "spans", "body")
+    found = Staged(repeated_spans(base.select("doc_id", "text"), length), "spans").df
+    spans = found.select(F.col("ref").alias(ref), F.col("spans").alias(held))
+    refs, names = listed(spans.select(ref)), [*base.columns, *new]
+    rows = referred(base, ref)
     text = F.coalesce("text", F.lit("")).cast("binary")
-    untouched = rows.join(refs, "ref", "left_anti").select(
+    untouched = rows.join(refs, ref, "left_anti").select(
         *base.columns, text.alias("kept"), F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans")
     )
 
@@ -281,6 +287,6 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
             columns = [*batch.columns[:width], pa.array(kept, pa.binary()), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    hit = rows.join(refs, "ref", "left_semi").join(spans.df, "ref").select(*base.columns, F.col("text").alias("__text"), "spans")
+    hit = rows.join(refs, ref, "left_semi").join(spans, ref).select(*base.columns, F.col("text").alias(body), held)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
     return untouched.unionByName(hit.mapInArrow(cut, f"{fields}, kept binary, n_bytes long, n_removed long, n_spans long"))
