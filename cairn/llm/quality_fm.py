@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.llm import kernels as K
+from cairn.llm.spans import free_names
 
 WORDS = 1 << 12
 BINS = 16
@@ -42,7 +43,9 @@ _stop[[46, 44, 63, 59, 58]] = True
 _sign = ~(_upper | _lower | _digit | _high | K.SPACE | _stop)
 CLASSES = [_upper, _lower, _digit, _high, _line, _stop, _sign, K.SPACE]
 N_STATS = len(CLASSES) + 5
-N_FEATURES = WORDS + N_STATS * BINS
+# The metadata: the class of the number of characters that the table gives (n_chars), 0 where it gives none.
+META = WORDS + N_STATS * BINS
+N_FEATURES = META + BINS
 
 
 def per_text(data: np.ndarray, offsets: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -51,7 +54,15 @@ def per_text(data: np.ndarray, offsets: np.ndarray, values: np.ndarray) -> np.nd
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def size_class(n_chars: pa.Array | None, n_docs: int) -> np.ndarray:
+    """Bins of the given numbers of characters, by their logarithm; 0 for none or a negative one."""
+    if n_chars is None:
+        return np.zeros(n_docs, np.int64)
+    n = np.maximum(n_chars.cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False), -1)
+    return np.where(n < 0, 0, np.minimum(1 + (0.75 * np.log2(n + 1.5)).astype(np.int64), BINS - 1))
+
+
+def features(data: np.ndarray, offsets: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, feature, value), sorted by document. Word values are relative counts, so whole texts of any length count alike."""
     n_docs = len(offsets) - 1
     size = np.diff(offsets)
@@ -69,9 +80,9 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     stats += [np.log1p(size) / 14, np.log1p(n_words) / 12, distinct / words, np.minimum(length / words / 16, 1), np.log1p(longest) / 8]
     bins = np.clip((np.array(stats).T * BINS).astype(np.int64), 0, BINS - 1) + np.arange(N_STATS) * BINS + WORDS
     x_doc = pair // WORDS
-    at = np.concatenate([x_doc, np.repeat(np.arange(n_docs), N_STATS)])
-    which = np.concatenate([pair % WORDS, bins.ravel()])
-    value = np.concatenate([np.sqrt(times / words[x_doc]), np.full(n_docs * N_STATS, 0.5)])
+    at = np.concatenate([x_doc, np.repeat(np.arange(n_docs), N_STATS), np.arange(n_docs)])
+    which = np.concatenate([pair % WORDS, bins.ravel(), META + meta])
+    value = np.concatenate([np.sqrt(times / words[x_doc]), np.full(n_docs * (N_STATS + 1), 0.5)])
     order = np.argsort(at, kind="stable")
     return at[order], which[order], value[order]
 
@@ -131,18 +142,24 @@ def fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % HOLDOUT, F.lit(0))
 
 
+def given_size(docs: DataFrame) -> Column:
+    """The column n_chars, or null where docs has none that is a number."""
+    whole = "n_chars" in docs.columns and isinstance(docs.schema["n_chars"].dataType, T.IntegralType)
+    return F.col("n_chars").cast("long") if whole else F.lit(None).cast("long")
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from at most sample labelled documents, those with the smallest hash of the id, outside the held-out fold."""
     usable = labels.where(F.col("quality").isin(0, 1) & (fold(F.col("doc_id")) != 0)).select("doc_id", "quality")
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "quality")
+    picked = docs.select("doc_id", "text", given_size(docs).alias("n")).join(F.broadcast(chosen), "doc_id").select("text", "quality", "n")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = K.text_bytes(batch.column(0))
             quality = batch.column(1).cast(pa.int32())
             for i, j in K.slices(offsets):
-                at, which, value = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                at, which, value = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size_class(batch.column(2).slice(i, j - i), j - i))
                 bounds = pa.array(K.per_document(at, j - i), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [quality.slice(i, j - i), pa.ListArray.from_arrays(bounds, pa.array(which, pa.int32())), pa.ListArray.from_arrays(bounds, pa.array(value, pa.float32()))],
@@ -156,35 +173,40 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return fit([rows[i] for i in order], np.array([got["quality"][i].as_py() for i in order], float))
 
 
-def with_scores(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with a column score: the probability of label 1. Nulls and empty texts are scored as texts without words."""
-    columns = [c for c in docs.columns if c != "score"]
+def with_scores(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
+    """docs with a column score: the probability of label 1. Nulls and empty texts are scored as texts without words.
+
+    A column of docs named like the new one, in any case, is replaced. A text is held whole by its task, with about 100 bytes for each of its words.
+    """
+    columns = [c for c in docs.columns if c.lower() != name.lower()]
     at_text = columns.index(text)
-    schema = T.StructType([docs.schema[c] for c in columns] + [T.StructField("score", T.DoubleType())])
+    schema = T.StructType([docs.schema[c] for c in columns] + [T.StructField(name, T.DoubleType())])
+    given, = free_names(docs, "given")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = K.text_bytes(batch.column(at_text))
             score = np.zeros(batch.num_rows)
             for i, j in K.slices(offsets):
-                found = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                found = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size_class(batch.column(len(columns)).slice(i, j - i), j - i))
                 score[i:j] = 1 / (1 + np.exp(-np.clip(model.logits(*found, j - i), -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*columns, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(score)], [*columns, name])
 
-    return docs.select(columns).mapInArrow(run, schema)
+    return docs.select(*columns, given_size(docs).alias(given)).mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """docs with score, held_out and predicted (1 if score >= threshold).
 
     Repeated rows are scored each; a repeated label row counts as often as it stands. Without any usable
-    label every score is 0.5. Columns of docs named like a new one are replaced; an empty table gives no rows.
+    label every score is 0.5. Columns of docs named like a new one, in any case, are replaced; an empty table gives no rows.
     """
     model = train(docs, labels, sample)
-    out = with_scores(docs, model)
+    out = with_scores(docs.select([c for c in docs.columns if c.lower() not in ("held_out", "predicted")]), model)
     return out.withColumns({"held_out": fold(F.col("doc_id")) == 0, "predicted": (F.col("score") >= threshold).cast("int")})
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents predicted as good, with their own columns."""
-    return classify(docs, labels, threshold).where("predicted = 1").select(docs.columns)
+    """The documents predicted as good, with their own columns, whatever their names."""
+    score, = free_names(docs, "score")
+    return with_scores(docs, train(docs, labels), name=score).where(F.col(score) >= threshold).select(docs.columns)
