@@ -1,7 +1,7 @@
 """Token counts: batch encoding inside Arrow functions that return lengths only.
 
 A map over the documents, without a shuffle. Texts are cut into parts of at most MAX_PART characters
-at safe boundaries, parts are packed into batches of about BATCH_CHARS characters, and each batch is
+at safe boundaries, parts are packed into batches of about BATCH_BYTES bytes, and each batch is
 encoded at once, so neither one long text nor many short ones make a batch large.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BATCH_CHARS = 1 << 20
+BATCH_BYTES = 1 << 20
 MAX_PART = 1 << 16
 # A blank between two characters that are neither blanks nor part of a "<|...|>" string: no token of a
 # byte-level vocabulary crosses it, as a blank can only begin a piece.
@@ -85,7 +85,7 @@ def _load(name: str) -> Callable[[list[str]], list[int]]:
 
 
 def count_texts(texts: list[str], tokenizer: str) -> list[int]:
-    """Token counts of whole texts, encoded in batches of about BATCH_CHARS characters."""
+    """Token counts of whole texts, encoded in batches of about BATCH_BYTES bytes."""
     count = counter(tokenizer)
     cut = tokenizer.startswith("byte_bpe")
     out = [0] * len(texts)
@@ -103,8 +103,8 @@ def count_texts(texts: list[str], tokenizer: str) -> list[int]:
         for part in parts(text) if cut and len(text) > MAX_PART else [text]:
             batch.append(part)
             owner.append(i)
-            held += len(part)
-            if held >= BATCH_CHARS:
+            held += len(part) if part.isascii() else len(part.encode())
+            if held >= BATCH_BYTES:
                 flush()
     if batch:
         flush()
@@ -115,11 +115,12 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
     """All columns of docs but the text, with n_bytes, n_tokens and over_limit (n_tokens > limit).
 
     Nulls and empty texts have 0 bytes and 0 tokens; repeated rows are counted each; an empty table gives
-    no rows. Columns of docs that are named like a new one are replaced. A special string inside a text
-    counts as the library's default has it: one token.
+    no rows. Columns of docs that are named like a new one, in any case, are replaced. A special string inside a text
+    counts as the library's default has it: one token. A text is held whole by its task and encoded in parts of about
+    MAX_PART characters.
     """
     new = ["n_bytes", "n_tokens", "over_limit"]
-    keep = [c for c in docs.columns if c != text and c not in new]
+    keep = [c for c in docs.columns if c != text and c.lower() not in new]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
