@@ -3,9 +3,10 @@
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from cairn.llm import decontamination, jaccard_rtree, kernels, pii_boosting, secrets_markov
+from cairn.llm import decontamination, jaccard_rtree, kernels, lattice_e8, license_regression, packing_hilbert, pii_boosting, prefix_free, quality_fm, secrets_markov, token_counts
 from cairn.llm.spans import joined
 
 WORDS = "the of and river stone quiet lamp copper window morning seven garden letter bridge silver cloud winter paper road music".split()
@@ -123,3 +124,77 @@ def test_passages_against_exhaustive_scoring():
                 if min(shares) >= decontamination.SHARE and (d, i) not in want or (d, i) in want and min(shares) >= decontamination.SHARE and round(score[i], 9) > want[d, i][1]:
                     want[d, int(i)] = (a, round(float(score[i]), 9))
     assert got == want and len(got) >= 15
+
+
+def pairs_at(cosine, n, dim, seed):
+    """n vectors and n others, each with this cosine to its own."""
+    rng = np.random.default_rng(seed)
+    a, g = rng.normal(size=(n, dim)), rng.normal(size=(n, dim))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    g -= (g * a).sum(1)[:, None] * a
+    g /= np.linalg.norm(g, axis=1)[:, None]
+    return np.concatenate([a, cosine * a + np.sqrt(1 - cosine**2) * g])
+
+
+@pytest.mark.parametrize("setting", lattice_e8.SETTINGS)
+@pytest.mark.parametrize("dim", [64, 384])
+def test_lattice_recall_at_the_threshold(setting, dim):
+    blocks, probes, scale, tables, _ = setting
+    for cosine in (0.9, 0.92):
+        v = pairs_at(cosine, 400, dim, 3)
+        met = np.zeros(400, bool)
+        for table in range(tables):
+            code = lattice_e8.cell_codes(v, table, blocks, probes, scale)
+            a, b = code[:400], code[400:]
+            met |= (a[:, :1] == b).any(1) | (b[:, :1] == a).any(1)
+        assert met.mean() >= 0.94
+
+
+def test_lattice_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    v = np.concatenate([pairs_at(0.96, 60, 48, 4), rng.normal(size=(60, 48)), np.tile(rng.normal(size=48), (40, 1)) + 0.02 * rng.normal(size=(40, 48)), np.zeros((1, 48))])
+    v[5] = v[4]
+    unit = v / np.maximum(np.linalg.norm(v, axis=1), 1e-300)[:, None]
+    linked = (unit @ unit.T >= 0.9) & ~np.eye(len(v), dtype=bool)
+    comp = np.arange(len(v))
+    for _ in v:
+        for i, j in zip(*np.nonzero(linked), strict=True):
+            comp[i] = comp[j] = min(comp[i], comp[j])
+    docs = spark.createDataFrame([(i, [float(y) for y in x], "c") for i, x in enumerate(v)], "vec_id long, embedding array<double>, Cell string").repartition(5)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in lattice_e8.near_duplicates(docs).collect()}
+    assert got == {i: (int(linked[i].sum()), int(comp[i]), bool(comp[i] == i)) for i in range(len(v))}
+
+
+def test_names_that_clash_in_the_others(spark):
+    rows = [(1, prose(1, 90), "s", "k", "r", "p", "n"), (2, prose(1, 90), "s", "k", "r", "p", "n"), (3, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, Score string, candidates string, ref string, spans string, N_Tokens string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 40)], "doc_id long, quality int")
+    kept = quality_fm.keep_good(docs, labels, 0.0).collect()
+    assert {(r.doc_id, r.Score, r.ref) for r in kept} == {(1, "s", "r"), (2, "s", "r"), (3, None, None)}
+    cut = prefix_free.remove_repeats(docs).collect()
+    assert {(r.doc_id, r.ref, r.spans, r.n_removed > 0) for r in cut} == {(1, "r", "p", True), (2, "r", "p", True), (3, None, None, False)}
+    assert token_counts.token_counts(docs).columns == ["doc_id", "Score", "candidates", "ref", "spans", "n_bytes", "n_tokens", "over_limit"]
+    assert packing_hilbert.pack(docs).count() == 3 and license_regression.scan(docs).count() == 0
+
+
+def test_factorisation_machine_against_pairwise_sums():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    model = quality_fm.Model(0.3, rng.normal(size=quality_fm.N_FEATURES), rng.normal(size=(quality_fm.N_FEATURES, quality_fm.FACTORS)))
+    data, offsets = kernels.text_bytes(pa.array([prose(1, 12), "", "One two ! 3"]))
+    at, which, value = quality_fm.features(data, offsets, quality_fm.size_class(pa.array([5, None, 900]), 3))
+    for d, z in enumerate(model.logits(at, which, value, 3)):
+        i, x = which[at == d], value[at == d]
+        plain = 0.3 + sum(model.weight[i] * x) + sum(model.factor[i[p]] @ model.factor[i[q]] * x[p] * x[q] for p in range(len(i)) for q in range(p))
+        assert abs(plain - z) < 1e-9
+
+
+def test_token_counts_of_long_texts_and_special_strings(spark):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    texts = [prose(5, 30_000), "x<|endoftext|>y " * 30, "é漢" * 40_000, "a" * 70_000]
+    exact = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: len(exact.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
