@@ -57,7 +57,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-# Training, the tokenizer and the Hilbert order have no SQL; the stages are tested against brute force.
+# Training, the tokenizer and the Hilbert order have no SQL: tests/llm/test_pipeline.py compares run() with plain Python.
 ORACLE_SQL = None
 
 
