@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cairn.functions import text as X
 from cairn.operators import graph as G
+from cairn.operators import metrics as M
 from cairn.operators import records as R
 from cairn.operators import sampling as S
 from cairn.operators import verdicts as V
+from cairn.operators import windows as W
 from cairn.operators.joins import first_reason
 from cairn.plans.base import REC, WIDE, arms, records, table
 from cairn.plans.graphs import _EDGES, _edges
@@ -298,6 +301,22 @@ def p_family_aware(s, d):
     return S.one_per_family(table(s, d, "documents"), "lang", "source", ["n_chars", "doc_id"], 3).select("doc_id", "lang", "source")
 
 
+def a_wilson(s, d):
+    each = records(s, d).where("gold is not null").groupBy("source").agg(F.count_if(F.col("gold") == "present").alias("k"), F.count("*").alias("n"))
+    low, high = M.wilson(F.col("k") / F.col("n"), F.col("n"))
+    return each.select("source", "k", "n", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+
+
+def f_structured_redact(s, d):
+    """Records whose text changes, by the digest of what is left."""
+    r = table(s, d, "documents").select("doc_id", "text", X.redact_structured(F.col("text")).alias("left"))
+    return r.where("text <> left").select("doc_id", F.sha2("left", 256).alias("digest"))
+
+
+def p_round_robin(s, d):
+    return W.family_round_robin(table(s, d, "documents").select("doc_id", "lang", "source", "n_chars"), "lang", "source", ["n_chars", "doc_id"], 15).select("doc_id", "lang", "source", "place")
+
+
 def j_first_reasons(s, d):
     """Records by the first rule that leaves them out."""
     return _counts(_candidates(s, d).select(first_reason([(F.expr(c), n) for n, c in _OUT]).alias("reason")), "reason")
@@ -307,7 +326,7 @@ QUERIES = {f.__name__: f for f in (
     l_check, l_actionable_effects, l_attest_merge, attestation_faults, l_observation, l_fixture_pair, l_static_prediction, l_dec_verify, l_pair_proof_reduce, l_critic_gate, l_scoped_finalize, l_four_arms, l_assemble,
     f_lifecycle_class, l_guard_lifecycle, l_revalidate, f_adjudicate, f_priority_rank_key, f_static_frame_gate, f_repo_policy_flags, f_repair_class, f_hypothesis, id_gold_admit, u_decode_contracts, u_decode_units, id_contract,
     id_citation_valid, id_tree_inventory, id_seal, id_manifest_freeze, id_oracle_queue, src_model_replay, o_islice, o_min_counterexample, g_effect_reach, g_local_calls, p_identity_freeze, p_identity_exclusions, p_family_aware,
-    j_first_reasons,
+    j_first_reasons, a_wilson, f_structured_redact, p_round_robin,
 )}
 
 _T = "CASE {c} WHEN 'present' THEN 'true' WHEN 'absent' THEN 'false' ELSE 'unknown' END AS t_{c}"
@@ -335,6 +354,8 @@ def _one_per_family_sql(strata):
     return "WITH " + ", ".join(steps).replace("SELECT doc_id, lang, source FROM (SELECT *", "SELECT doc_id, lang, source FROM (SELECT *") + " " + " UNION ALL ".join(f"SELECT * FROM s{i}" for i in before)
 
 
+_KEY = r"(?i)(\"[^\"\n]*(?:" + "|".join(X.SECRET_WORDS) + r")[^\"\n]*\"|[a-z0-9_.-]*(?:" + "|".join(X.SECRET_WORDS) + r")[a-z0-9_.-]*)"
+_BEARER = X.BEARER
 SQL = {
     "l_check": f"""WITH {WIDE}, t AS (SELECT {_TRIS} FROM wide), c AS (SELECT *, concat_ws(',', CASE WHEN t_gold='true' AND t_language='false' THEN 'language' END, CASE WHEN t_gold='true' AND t_length='false' THEN 'length' END, CASE WHEN t_gold='true' AND t_marks='false' THEN 'marks' END) AS contradictions FROM t)
 SELECT contradictions='' AS consistent, contradictions, CASE WHEN contradictions<>'' OR NOT (t_length='true' AND t_language='true' AND t_marks='true') THEN 'unknown' WHEN t_gold='true' THEN 'present' WHEN t_gold='false' THEN 'absent' ELSE 'unknown' END AS claim, count(*) AS n FROM c GROUP BY ALL""",
@@ -405,4 +426,11 @@ SELECT CASE WHEN m IS NULL THEN 'missing' WHEN m>1 THEN 'ambiguous' WHEN bad THE
     "p_identity_exclusions": f"WITH c AS (SELECT {_WHY} FROM documents d LEFT JOIN labels l USING (doc_id)) SELECT reason, count(*) AS n FROM c WHERE reason IS NOT NULL GROUP BY 1",
     "p_family_aware": _one_per_family_sql(["de", "en", "es", "fr"]),
     "j_first_reasons": f"WITH c AS (SELECT {_WHY} FROM documents d LEFT JOIN labels l USING (doc_id)) SELECT reason, count(*) AS n FROM c GROUP BY 1",
+    "a_wilson": f"WITH {REC}, g AS (SELECT source, count(*) FILTER (gold='present') AS k, count(*) AS n, count(*) FILTER (gold='present')/count(*)::DOUBLE AS p FROM rec WHERE gold IS NOT NULL GROUP BY 1), w AS (SELECT *, (p+1.96*1.96/(2*n))/(1+1.96*1.96/n) AS c, 1.96/(1+1.96*1.96/n)*sqrt(p*(1-p)/n+1.96*1.96/(4*n*n)) AS h FROM g) SELECT source, k, n, round(greatest(0,least(p,c-h)),6) AS low, round(least(1,greatest(p,c+h)),6) AS high FROM w",
+    # a value that is true, false or null stays: here a mark is put before it and taken away again
+    "f_structured_redact": rf"""WITH a AS (SELECT doc_id, text, regexp_replace(text,'-----BEGIN [A-Z0-9 ]+-----[^-]*(?:-[^-]+)*-----END [A-Z0-9 ]+-----','[MASKED]','g') AS t FROM documents),
+b AS (SELECT doc_id, text, regexp_replace(regexp_replace(t,'{_KEY}(\s*[:=]\s*)"(?:[^"\\\n]|\\.)*"','\1\2"[MASKED]"','g'),'{_KEY}(\s*[:=]\s*)''[^''\n]*''','\1\2''[MASKED]''','g') AS t FROM a),
+c AS (SELECT doc_id, text, regexp_replace(t,'{_KEY}([ \t]*[:=][ \t]*)(true|false|null)\b','\1\2{{\3','g') AS t FROM b),
+e AS (SELECT doc_id, text, regexp_replace(regexp_replace(t,'{_KEY}([ \t]*[:=][ \t]*)([^\s"''\[{{,}}\]][^\n,}}\]]*)','\1\2[MASKED]','g'),'{_KEY}([ \t]*[:=][ \t]*)\{{(true|false|null)\b','\1\2\3','g') AS t FROM c),
+f AS (SELECT doc_id, text, regexp_replace(t,'{_BEARER}','\1[MASKED]','g') AS t FROM e) SELECT doc_id, sha256(t) AS digest FROM f WHERE t<>text""",
 }

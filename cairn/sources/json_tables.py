@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cairn.operators.checks import require
+
 
 def read_document(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """One JSON document for each file of path; a file that breaks the schema fails the job."""
@@ -40,6 +42,19 @@ def digest_mismatches(actual: DataFrame, manifest: DataFrame) -> DataFrame:
     return both.select("path", reason.alias("reason")).where("reason is not null")
 
 
+def read_verified(spark: SparkSession, path: str, manifest: DataFrame, schema: T.StructType | str) -> DataFrame:
+    """The JSON documents under path with their file names, parsed from the very bytes whose sha256 the manifest (path, sha256) gives.
+
+    paths in the manifest are relative to path. A file that is missing, not planned or changed fails the job before a row is read.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    root = "^.*?" + path.rstrip("/").replace("file:", "") + "/"
+    held = files.select(F.regexp_replace("path", root, "").alias("path"), F.sha2("content", 256).alias("sha256"), "content")
+    require(digest_mismatches(held, manifest), "file and manifest differ")
+    # the digest is of the bytes that are parsed, so a change between the two reads loses the row and is found by the count
+    return held.join(manifest.select("path", "sha256"), ["path", "sha256"]).select("path", F.from_json(F.col("content").cast("string"), schema, {"mode": "FAILFAST"}).alias("row")).select("path", "row.*")
+
+
 def read_jsonl(spark: SparkSession, path: str, prefix_bytes: int | None = None) -> DataFrame:
     """(file, line, event) of JSON lines; with a prefix, only lines that end within that many bytes of their file."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
@@ -64,14 +79,22 @@ def write_checkpoint(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def parts_digest(spark: SparkSession, path: str) -> str:
+    """One digest of the part files of a folder, whatever their order."""
+    return file_digests(spark, path, "part-*").agg(F.sha2(F.to_json(F.array_sort(F.collect_list("sha256"))), 256)).first()[0]
+
+
 def write_run(df: DataFrame, plan: dict, path: str) -> dict:
-    """PLAN, RESULT and MANIFEST folders under path, each with the digest of the one before; returns the manifest."""
+    """PLAN, RESULT and MANIFEST folders under path, the last with the digests of the others; returns the manifest."""
+    write_once(df, f"{path}/RESULT")
+    return add_sidecar(df.sparkSession, plan, path)
+
+
+def add_sidecar(spark: SparkSession, plan: dict, path: str) -> dict:
+    """PLAN and MANIFEST for a RESULT folder that is already under path; neither may exist yet."""
     import json
 
-    spark = df.sparkSession
     write_once(spark.createDataFrame([(json.dumps(plan, sort_keys=True),)], "plan string"), f"{path}/PLAN")
-    write_once(df, f"{path}/RESULT")
-    parts = lambda name: file_digests(spark, f"{path}/{name}", "part-*").agg(F.sha2(F.to_json(F.array_sort(F.collect_list("sha256"))), 256)).first()[0]
-    manifest = {"plan_sha256": parts("PLAN"), "result_sha256": parts("RESULT")}
+    manifest = {"plan_sha256": parts_digest(spark, f"{path}/PLAN"), "result_sha256": parts_digest(spark, f"{path}/RESULT")}
     write_once(spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "manifest string"), f"{path}/MANIFEST")
     return manifest

@@ -1,5 +1,6 @@
 """Hand-computed cases of the rules that are easy to get wrong."""
 
+import hashlib
 import json
 
 import pytest
@@ -11,6 +12,7 @@ from cairn.operators import graph as G
 from cairn.operators import joins as J
 from cairn.operators import lattices as L
 from cairn.operators import metrics as M
+from cairn.operators import records as R
 from cairn.operators import sampling as S
 from cairn.operators import windows as W
 from cairn.sources import code_trees, json_tables
@@ -155,3 +157,71 @@ def test_sources_and_sinks(spark, tmp_path):
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_text("import os\n")
     assert [r.path for r in code_trees.read_tree(spark, str(tmp_path / "src")).select("path").collect()] == ["m.py"]
+
+
+def test_verified_reads_and_sidecars(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.json").write_text('{"unit": "a"}')
+    digest = hashlib.sha256(b'{"unit": "a"}').hexdigest()
+    plan = lambda d: spark.createDataFrame([("a.json", d)], "path string, sha256 string")
+    assert [tuple(r) for r in json_tables.read_verified(spark, str(folder), plan(digest), "unit string").collect()] == [("a.json", "a")]
+    with pytest.raises(ValueError, match="differ"):
+        json_tables.read_verified(spark, str(folder), plan("0" * 64), "unit string")
+    spark.range(2).write.json(str(tmp_path / "run" / "RESULT"))
+    assert set(json_tables.add_sidecar(spark, {"seed": 1}, str(tmp_path / "run"))) == {"plan_sha256", "result_sha256"}
+    with pytest.raises(Exception, match="exist"):
+        json_tables.add_sidecar(spark, {"seed": 1}, str(tmp_path / "run"))
+
+
+def test_imports_packages_and_configs(spark):
+    files = lambda *rows: spark.createDataFrame([(p, bytearray(t.encode())) for p, t in rows], "path string, content binary")
+    found = lambda text, language: {r.module for r in code_trees.imported_modules(files(("f", text)), language).collect()}
+    assert found("import a from 'x/y'\nimport \"side\"\nexport * from 'z'\nconst q = require('r'); await import('d')\n/* import 'no' */", "typescript") == {"x/y", "side", "z", "r", "d"}
+    assert found("import java.util.List;\nimport static a.B.*;\nclass X {}", "java") == {"java.util.List", "a.B.*"}
+    assert found("import kotlin.io.path\nimport a.b.C as D", "kotlin") == {"kotlin.io.path", "a.b.C"}
+    assert found("global using System;\nusing X = A.B;\nusing static M.N;\nusing (var f = Open()) {}\nusing var g = f;", "csharp") == {"System", "A.B", "M.N"}
+    toml = '[tool.setuptools.packages.find]\nwhere = ["src", "src"]\n[[tool.poetry.packages]]\ninclude = "p"\nfrom = "lib"\n[tool.hatch.build.targets.wheel]\npackages = 3'
+    roots = {tuple(r) for r in code_trees.package_roots(files(("p.toml", toml), ("q.toml", "= broken"))).collect()}
+    assert roots == {("p.toml", "setuptools.find", "src", None), ("p.toml", "poetry.packages", "lib", None), ("p.toml", "hatch.wheel", None, "not_names"), ("q.toml", "file", None, "not_toml")}
+    rows = {tuple(r) for r in code_trees.config_values(files(("a.json", '{"x": {"y": [1, null]}}'), ("b.toml", 'k = "v"'), ("c.json", "{"), ("d.json", " " * 50)), 40).collect()}
+    assert rows == {("a.json", "x.y.0", "1", None), ("a.json", "x.y.1", None, None), ("b.toml", "k", "v", None), ("c.json", None, None, "JSONDecodeError"), ("d.json", None, None, "too_large")}
+
+
+def test_structured_redaction(spark):
+    texts = {
+        '{"api_key": "a\\"b", "n": 1, "is_token": true}': '{"api_key": "[MASKED]", "n": 1, "is_token": true}',
+        "password: hunter2 # x\nuser: me": "password: [MASKED]\nuser: me",
+        "my_secret = 'q w'\n": "my_secret = '[MASKED]'\n",
+        "-----BEGIN RSA PRIVATE KEY-----\nAB-C\n-----END RSA PRIVATE KEY-----\nrest": "[MASKED]\nrest",
+        "Authorization: Bearer abc.def": "Authorization: Bearer [MASKED]",
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.m for r in df.select("t", X.redact_structured(F.col("t")).alias("m")).collect()} == texts
+
+
+def test_global_numbers_and_turns(spark):
+    rows = [("a", i, f"f{i % 3}") for i in range(50)] + [("b", i, f"f{i % 5}") for i in range(7)] + [("c", 1, "g")]
+    df = spark.createDataFrame(rows, "s string, k int, f string").repartition(5)
+    assert {(r.s, r.k): r.rank for r in W.globally_numbered(df, ["s", "k"]).collect()} == {(s, k): n for n, (s, k, _) in enumerate(sorted(rows), 1)}
+    turns = sorted((k, s) for s, k in [(s, sorted(x[1] for x in rows if x[0] == s).index(k) + 1) for s, k, _ in rows])
+    assert sorted((r.turn, r.s, r.place) for r in W.round_robin(df, "s", "k").collect()) == [(t, s, n) for n, (t, s) in enumerate(turns, 1)]
+    queues, taken, chosen = {s: sorted(x for x in rows if x[0] == s) for s in "abc"}, set(), []
+    while len(chosen) < 6 and any(queues.values()):
+        for s in "abc":
+            while queues[s] and queues[s][0][2] in taken:
+                queues[s].pop(0)
+            if queues[s] and len(chosen) < 6:
+                chosen.append(queues[s].pop(0))
+                taken.add(chosen[-1][2])
+    got = W.family_round_robin(df, "s", "f", ["k"], 6).orderBy("place").collect()
+    assert [(r.s, r.k, r.f) for r in got] == chosen
+
+
+def test_decoded_records_count_in_full_or_not_at_all(spark):
+    rows = [(1, '{"items": [{"a": 1}, {"a": 2}]}'), (2, '{"items": [{"a": 1}, {"a": -2}]}'), (3, "{"), (4, '{"items": []}'), (5, '{"items": [{"a": null}]}')]
+    df = spark.createDataFrame(rows, "id int, j string")
+    good, down = R.decoded(df, "j", "items array<struct<a:int>>", "items", [("positive", "item.a > 0")], ["id"])
+    assert {tuple(r) for r in good.collect()} == {(1, 1), (1, 2)} and {tuple(r) for r in down.collect()} == {(2, "positive"), (3, "shape"), (5, "positive")}
+    each = R.isolated(df, "j", "items array<struct<a:int>>", "items", [("positive", "item.a > 0")], ["id"]).collect()
+    assert {(r.id, r.a, r.error) for r in each} == {(1, 1, None), (1, 2, None), (2, 1, None), (2, None, "positive"), (3, None, "shape"), (5, None, "positive")}
