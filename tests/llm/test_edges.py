@@ -198,3 +198,16 @@ def test_token_counts_of_long_texts_and_special_strings(spark):
     exact = Tokenizer.from_file(path("byte_bpe_50k.json"))
     got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == {i: len(exact.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
+def test_pii_on_phrases_that_training_never_had():
+    trees, least = pii_boosting.trained()
+    found = marked = labelled = clean = 0
+    for label, text in pii_boosting.labelled(seed=23, rows=800, other=True):
+        a, b = text.index(b"\x02"), text.index(b"\x03") - 1
+        data = np.frombuffer(text.replace(b"\x02", b"").replace(b"\x03", b""), np.uint8)
+        base, added = pii_boosting.spans_of(data, np.array([0, len(data)]), trees, least)
+        labelled, clean = labelled + label, clean + 1 - label
+        found += bool(label) and any(s <= a + 2 and e >= b - 2 for _, s, e, _ in base + added)
+        marked += not label and bool(added)
+    assert found >= 0.75 * labelled and marked <= 0.02 * clean
