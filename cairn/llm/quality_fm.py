@@ -7,6 +7,7 @@ model is fitted on a bounded sample of labelled rows and travels with the scorin
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -117,7 +118,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, seed: int
         for lo in range(0, len(order), 64):
             batch = order[lo : lo + 64]
             which = np.concatenate([rows[i][0] for i in batch])
-            value = np.concatenate([rows[i][1] for i in batch])
+            value = np.concatenate([rows[i][1] for i in batch]).astype(float)
             at = np.repeat(np.arange(len(batch)), [len(rows[i][0]) for i in batch])
             begin = np.searchsorted(at, np.arange(len(batch)))
             vx = model.factor[which] * value[:, None]
@@ -167,10 +168,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 )
 
     got = picked.mapInArrow(extract, "quality int, which array<int>, value array<float>").toArrow()
-    rows = [(w.values.to_numpy(), v.values.to_numpy().astype(float)) for w, v in zip(got["which"], got["value"], strict=True)]
+    label = got["quality"].to_numpy()
+    # views of what has arrived: about 8 bytes for each feature of a sampled text
+    rows = [(w.values.to_numpy(), v.values.to_numpy()) for w, v in zip(got["which"], got["value"], strict=True)]
     # the order in which executors answer must not change the model
-    order = sorted(range(len(rows)), key=lambda i: (len(rows[i][0]), rows[i][0].tobytes(), rows[i][1].tobytes(), got["quality"][i].as_py()))
-    return fit([rows[i] for i in order], np.array([got["quality"][i].as_py() for i in order], float))
+    order = sorted(range(len(rows)), key=lambda i: (len(rows[i][0]), hashlib.sha256(rows[i][0].tobytes() + rows[i][1].tobytes()).digest(), int(label[i])))
+    return fit([rows[i] for i in order], label[order].astype(float))
 
 
 def with_scores(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
