@@ -3,7 +3,8 @@
 Every document's tokens are hashed into a count vector, the unit vector is projected to a few
 dimensions, and its cell's Hilbert key orders the corpus. Laid end to end in that order the documents
 form one stream; a sequence is a stretch of max_tokens ids of it, so only the last one is padded.
-Each text is encoded once and the ids are written; the range sort moves only keys and lengths.
+Each text is encoded once and the ids are written; the range sort moves only keys and lengths, and one join brings the
+places back to the ids.
 """
 
 from __future__ import annotations
