@@ -19,6 +19,9 @@ MODULES = {
     "op8_quality": "q8",
     "op9_licenses": "q9",
     "op10_token_counts": "q10",
+    "op11_hard_negatives": "q11",
+    "op12_fingerprints": "q12",
+    "op13_resampling": "q13",
 }
 
 

@@ -12,7 +12,7 @@ SQL = llm.oracle_sql()
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     df = llm.queries()[name](spark, DIR)
     found = c.execute(SQL[name])
