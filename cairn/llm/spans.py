@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 SPAN = "struct<start:bigint,end:bigint,rank:int,kind:string>"
 # Matches that are gathered in one array before it is added to the others.
 STEP = 128
+# Code points of the pieces in which a text is masked.
+PIECE = 4096
 
 
 def free_names(docs: DataFrame, *wanted: str) -> list[str]:
@@ -99,15 +101,28 @@ def joined(spans: Column) -> Column:
 
 
 def masked(text: Column, spans: Column, mark: str) -> Column:
-    """text with each maximal run of overlapping or touching spans replaced by mark. Work grows with spans times length."""
-    order = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
-
-    def step(done: Column, x: Column) -> tuple[Column, Column, Column]:
-        # a run opens behind the end of the last, or at the start of the text
-        fresh = (x["start"] > done) | done.isNull()
-        gap = F.substr(text, (F.coalesce(done, F.lit(0)) + 1).cast("int"), (x["start"] - F.coalesce(done, F.lit(0))).cast("int"))
-        return F.greatest(done, x["end"]), fresh, F.concat(gap, F.lit(mark))
-
-    pieces = F.array_join(let(order, lambda x: running(x, F.lit(None).cast("long"), "string", step)), "")
-    rest = F.substr(text, (F.array_max(F.transform(spans, lambda x: x["end"])) + 1).cast("int"))
-    return F.when(F.size(spans) > 0, F.concat(pieces, rest)).otherwise(text)
+    """text with each maximal run of overlapping or touching spans replaced by mark.
+
+    The text is cut once into pieces of PIECE code points and what stands between spans is taken from its piece, so
+    work grows with the length and the number of spans, and not with their product.
+    """
+    one = lambda start, end, run: F.struct(start.alias("start"), run.alias("run"), end.alias("end"))
+    border = lambda at: one(at, at, F.lit(False))
+    starts = F.transform(spans, lambda x: one(x["start"], x["end"], F.lit(True)))
+    size = F.length(text).cast("long")
+    # the borders of the pieces and the end of the text, before a span that begins there
+    borders = F.concat(F.transform(F.sequence(F.lit(0).cast("long"), F.floor(size / PIECE)), lambda k: border(k * PIECE)), F.array(border(size)))
+
+    def over(pieces: Column) -> Column:
+        def step(state: Column, x: Column) -> tuple[Column, Column, Column]:
+            done = state["done"]
+            opens = x["run"] & ((x["start"] > done) | ~state["run"])
+            gap = F.substr(F.get(pieces, F.floor(done / PIECE).cast("int")), (done % PIECE + 1).cast("int"), (x["start"] - done).cast("int"))
+            kept = F.when(x["start"] > done, gap).otherwise("")
+            after = F.struct(F.greatest(done, x["end"]).alias("done"), (x["run"] | (state["run"] & (x["start"] <= done))).alias("run"))
+            return after, opens | (x["start"] > done), F.concat(kept, F.when(opens, F.lit(mark)).otherwise(""))
+
+        state = F.struct(F.lit(0).cast("long").alias("done"), F.lit(False).alias("run"))
+        return F.array_join(running(F.array_sort(F.concat(starts, borders)), state, "string", step), "")
+
+    return F.when(F.size(spans) > 0, let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), over)).otherwise(text)
