@@ -110,8 +110,29 @@ class Index:
         return self._lists
 
 
+def width_of(words: int) -> int:
+    """Words of the windows in which an item of so many words is sought: PASSAGE, or twice the next power of two for a longer item."""
+    return max(PASSAGE, 2 << max(0, words - 1).bit_length())
+
+
+def statistics(texts: list[str]) -> Statistics:
+    code, at = terms(texts)
+    pair = np.unique(np.stack([code, at.astype(U64)]), axis=1)
+    term, df = np.unique(pair[0], return_counts=True)
+    return Statistics(len(texts), len(code) / len(texts) if texts else 1.0, term, df)
+
+
+def by_width(ids: list, texts: list[str], whole: Statistics | None = None) -> list[Index]:
+    """An index for each width of window that the items ask for, all with the same statistics, so no item changes how another is sought."""
+    code, at = terms(texts)
+    widths = [width_of(n) for n in np.bincount(at, minlength=len(texts)).tolist()]
+    whole = whole or statistics(texts)
+    of = {w: [k for k, x in enumerate(widths) if x == w] for w in sorted(set(widths))}
+    return [build([ids[k] for k in held], [texts[k] for k in held], whole) for held in of.values()]
+
+
 def build(ids: list, texts: list[str], whole: Statistics | None = None) -> Index:
-    """The index of some items; whole has the statistics of the benchmark, where these are not all of its items."""
+    """The index of some items, sought in the windows of the longest; whole has the statistics of the benchmark, where these are not all of its items."""
     code, at = terms(texts)
     n = len(texts)
     order = np.lexsort((at, code))
@@ -145,8 +166,7 @@ def build(ids: list, texts: list[str], whole: Statistics | None = None) -> Index
     major[light] = summed - before[item[light]] > MINOR
     major_start = np.concatenate([[0], np.cumsum(major)])[start]
     split = [parts(x) for x in texts]
-    longest = int(size.max(initial=0))
-    return Index(ids, term, start, item, weight, block_start, block_max, most, major_start, item[major], weight[major], run_sets([q for q, _ in split]), run_sets([a for _, a in split]), max(PASSAGE, 2 * longest))
+    return Index(ids, term, start, item, weight, block_start, block_max, most, major_start, item[major], weight[major], run_sets([q for q, _ in split]), run_sets([a for _, a in split]), width_of(int(size.max(initial=0))))
 
 
 def wand(index: Index, query: np.ndarray, theta: float) -> list[tuple[int, float]]:
@@ -221,11 +241,14 @@ def hopeful(index: Index, place: np.ndarray, known: np.ndarray, doc: np.ndarray,
     return np.unique(np.concatenate([(opened[owner] + local)[forth], (opened[owner] + local - 1)[back]]))
 
 
-def found_in(index: Index, data: np.ndarray, offsets: np.ndarray, theta: float) -> list[tuple[int, int, int, float, float, float]]:
-    """(document, item, first word of the passage, score, question share, answer share) of what is verified, best passage of each pair."""
+def found_in(index: Index, data: np.ndarray, offsets: np.ndarray, theta: float, tokens: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[int, int, int, float, float, float]]:
+    """(document, item, first word of the passage, score, question share, answer share) of what is verified, best passage of each pair.
+
+    tokens are codes and documents of the words, where the caller has them.
+    """
     if not len(index.term):
         return []
-    code, doc, _, _ = K.words(data, offsets, GAP)
+    code, doc = tokens or K.words(data, offsets, GAP)[:2]
     if not len(code):
         return []
     place = np.minimum(np.searchsorted(index.term, code), len(index.term) - 1)
@@ -263,8 +286,16 @@ def _share(runs: np.ndarray, there: np.ndarray) -> float:
     return len(np.intersect1d(runs, there, assume_unique=True)) / len(runs) if len(runs) else 0.0
 
 
-def indexes(benchmark: DataFrame, shard_words: int = SHARD_WORDS) -> Iterator[Index]:
-    """One index for each shard of items; a shard has about shard_words words, so its size is bounded."""
+def found_by_any(indexes: list[Index], data: np.ndarray, offsets: np.ndarray, theta: float) -> Iterator[tuple]:
+    """What each index finds: (document, item id, first word, score, question share, answer share)."""
+    tokens = K.words(data, offsets, GAP)[:2]
+    for index in indexes:
+        for row in found_in(index, data, offsets, theta, tokens):
+            yield row[0], index.ids[row[1]], *row[2:]
+
+
+def indexes(benchmark: DataFrame, shard_words: int = SHARD_WORDS) -> Iterator[list[Index]]:
+    """The indexes of each shard of items; a shard has about shard_words words, so its size is bounded."""
     items = benchmark.where("text is not null and trim(text) <> ''").select("item_id", "text")
     words = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     shards = -(-int(words) // shard_words)
@@ -283,7 +314,7 @@ def indexes(benchmark: DataFrame, shard_words: int = SHARD_WORDS) -> Iterator[In
             code = own.column("code").to_numpy().view(U64)
             order = np.argsort(code)
             whole = Statistics(n, mean, code[order], own.column("df").to_numpy()[order])
-        yield build([r["item_id"] for r in rows], [r["text"] for r in rows], whole)
+        yield by_width([r["item_id"] for r in rows], [r["text"] for r in rows], whole)
 
 
 def postings(items: DataFrame) -> DataFrame:
@@ -313,17 +344,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, theta: float = THETA, shard_wor
     ids, items = docs.schema["doc_id"].dataType, benchmark.schema["item_id"].dataType
     schema = T.StructType([T.StructField("doc_id", ids), T.StructField("item_id", items), T.StructField("passage", T.LongType())] + [T.StructField(c, T.DoubleType()) for c in ("score", "question_share", "answer_share")])
     out = None
-    for index in indexes(benchmark, shard_words):
+    for shard in indexes(benchmark, shard_words):
 
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            names = pa.array(index.ids)
+        def run(batches: Iterator[pa.RecordBatch], shard: list[Index] = shard) -> Iterator[pa.RecordBatch]:
+            kind = pa.array([x for index in shard for x in index.ids]).type
             for batch in batches:
                 data, offsets = K.text_bytes(batch.column(1))
                 for i, j in K.slices(offsets):
-                    rows = found_in(index, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], theta)
+                    rows = sorted(found_by_any(shard, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], theta), key=lambda r: (r[0], r[2]))
                     if rows:
-                        doc, item, *rest = (np.array(c) for c in zip(*rows, strict=True))
-                        columns = [batch.column(0).take(pa.array(doc + i)), names.take(pa.array(item)), *(pa.array(c) for c in rest)]
+                        doc, item, *rest = zip(*rows, strict=True)
+                        columns = [batch.column(0).take(pa.array(np.array(doc) + i)), pa.array(item, kind), *(pa.array(np.array(c)) for c in rest)]
                         yield pa.RecordBatch.from_arrays(columns, schema.fieldNames())
 
         found = docs.select("doc_id", "text").mapInArrow(run, schema)
@@ -334,14 +365,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, theta: float = THETA, shard_wor
 def keep_clean(docs: DataFrame, benchmark: DataFrame, theta: float = THETA, shard_words: int = SHARD_WORDS) -> DataFrame:
     """The rows of docs in which no item is found, with their own columns, whatever their names."""
     at_text = docs.columns.index("text")
-    for index in indexes(benchmark, shard_words):
+    for shard in indexes(benchmark, shard_words):
 
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shard: list[Index] = shard) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 data, offsets = K.text_bytes(batch.column(at_text))
                 clean = np.ones(batch.num_rows, bool)
                 for i, j in K.slices(offsets):
-                    for row in found_in(index, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], theta):
+                    for row in found_by_any(shard, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], theta):
                         clean[i + row[0]] = False
                 yield batch.filter(pa.array(clean))
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.llm import decontamination, jaccard_rtree, kernels, lattice_e8, license_regression, packing_hilbert, pii_boosting, prefix_free, quality_fm, secrets_markov, token_counts
+from cairn.llm import spans as S
 from cairn.llm.spans import joined
 
 WORDS = "the of and river stone quiet lamp copper window morning seven garden letter bridge silver cloud winter paper road music".split()
@@ -211,3 +212,61 @@ def test_pii_on_phrases_that_training_never_had():
         found += bool(label) and any(s <= a + 2 and e >= b - 2 for _, s, e, _ in base + added)
         marked += not label and bool(added)
     assert found >= 0.75 * labelled and marked <= 0.02 * clean
+
+
+def test_no_item_changes_how_another_is_found(spark):
+    far = "The quick river crosses seven silent valleys. {} It ends near old Harbor town."
+    near, apart = (f"{prose(1, 300)} {far.format(prose(2, n))} {prose(3, 300)}" for n in (20, 150))
+    item = far.format("").replace("  ", " ")
+    docs = spark.createDataFrame([(1, near), (2, apart), (3, prose(4, 900))], "doc_id long, text string")
+    long = prose(77, 400)
+    found = lambda items, **more: {tuple(r)[:3] for r in decontamination.leaks(docs, spark.createDataFrame(items, "item_id long, text string"), **more).collect()}
+    alone = found([(1, item)])
+    assert {r[:2] for r in alone} == {(1, 1)}
+    beside = found([(1, item), (2, long + ".")])
+    assert beside == alone == found([(1, item), (2, long + ".")], shard_words=50)
+    # the long one is found whole, across the windows of the short one
+    held = spark.createDataFrame([(9, f"{prose(5, 333)} {long}. {prose(6, 222)}")], "doc_id long, text string")
+    for words in (2_000_000, 50):
+        assert {tuple(r)[:2] for r in decontamination.leaks(held, spark.createDataFrame([(1, item), (2, long + ".")], "item_id long, text string"), shard_words=words).collect()} == {(9, 2)}
+
+
+def test_regular_words_have_codes_of_their_own(spark):
+    """Texts on which polynomial hashes modulo 2^64 agree, whatever the base."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    a, b = "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+    rows = [(1, a), (2, b), (3, f"{a} {b} c d"), (4, f"{b} {a} c d"), (5, a)]
+    got = {r.doc_id: r.component_id for r in jaccard_rtree.classes(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+
+
+def test_masks_of_many_spans(spark):
+    import re as regex
+
+    rng = np.random.default_rng(5)
+    text = "é𝔘\n".join("x" * int(n) + ("SECRET" * int(k)) for n, k in zip(rng.integers(0, 30, 9000), rng.integers(0, 3, 9000), strict=True))
+    rows = [(text, [m.span() for m in regex.finditer("SECRET", text)])]
+    for _ in range(60):  # spans in any order, overlapping, touching, at both ends and across the borders of pieces
+        n = int(rng.integers(1, 30))
+        t = "".join(rng.choice(list("abé\x01𝔘\n"), n))
+        spans = [sorted(rng.integers(0, n + 1, 2).tolist()) for _ in range(int(rng.integers(0, 6)))]
+        rows.append((t, [x for x in spans if x[0] < x[1]]))
+
+    def plain(t, spans):
+        gone = np.zeros(len(t) + 1, bool)
+        for a, b in spans:
+            gone[a:b] = True
+        return "".join("[M]" if g and not (i and gone[i - 1]) else "" if g else c for i, (c, g) in enumerate(zip(t, gone, strict=False)))
+
+    frame = spark.createDataFrame([(i, t, [(int(a), int(b)) for a, b in s]) for i, (t, s) in enumerate(rows)], "i int, text string, spans array<struct<start:bigint,end:bigint>>")
+    for piece in (S.PIECE, 7):
+        old, S.PIECE = S.PIECE, piece
+        got = {r[0]: r[1] for r in frame.select("i", S.masked(F.col("text"), F.col("spans"), "[M]")).collect()}
+        S.PIECE = old
+        assert got == {i: plain(t, s) for i, (t, s) in enumerate(rows)}
+
+
+def test_redaction_of_many_secrets(spark):
+    text = "token=abcdefgh12 " * 16_000
+    got = secrets_markov.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text
+    assert got == "[SECRET] " * 16_000
