@@ -61,18 +61,6 @@ def population(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return both.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
 
 
-def range_overlap(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs of closed intervals (a_start, a_end) and (b_start, b_end) that share a point, within equal keys."""
-    return left.join(right, keys).where((F.col("a_start") <= F.col("b_end")) & (F.col("b_start") <= F.col("a_end")))
-
-
-def innermost(points: DataFrame, spans: DataFrame, keys: list[str], point: str, point_id: list[str]) -> DataFrame:
-    """points with the name of the narrowest span (start, end, name) that holds each; ties go to the smaller name."""
-    inside = points.join(spans, keys).where((F.col("start") <= F.col(point)) & (F.col(point) <= F.col("end")))
-    best = inside.groupBy(*keys, *point_id).agg(F.min_by("name", F.struct(F.col("end") - F.col("start"), "name")).alias("name"))
-    return points.join(best, [*keys, *point_id], "left")
-
-
 def unique_match(left: DataFrame, right: DataFrame, on: Column | list[str], left_id: list[str]) -> DataFrame:
     """Pairs of left rows with their match where there is exactly one."""
     w = Window.partitionBy(*left_id)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text as X
 from cairn.operators import checks as C
+from cairn.operators import intervals as V
 from cairn.operators import joins as J
 from cairn.plans.base import REC, WIDE, arms, records, table
 
@@ -93,14 +94,14 @@ def j_range_overlap(s, d):
     i = _items(s, d)
     a = i.select("l_orderkey", F.col("k").alias("a"), F.col("start").alias("a_start"), F.col("end").alias("a_end"))
     b = i.select("l_orderkey", F.col("k").alias("b"), F.col("start").alias("b_start"), F.col("end").alias("b_end"))
-    return J.range_overlap(a, b, ["l_orderkey"]).where("a < b").groupBy("l_orderkey").agg(F.count("*").alias("pairs"))
+    return V.range_overlap(a, b, ["l_orderkey"]).where("a < b").groupBy("l_orderkey").agg(F.count("*").alias("pairs"))
 
 
 def enclosing_interval(s, d):
     """For each line span's middle the narrowest other span of its order."""
     i = _items(s, d)
     points = i.select("l_orderkey", "k", F.floor((F.col("start") + F.col("end")) / 2).alias("at"))
-    return J.innermost(points, i.select("l_orderkey", "start", "end", F.col("k").alias("name")), ["l_orderkey"], "at", ["k"]).select("l_orderkey", "k", "name")
+    return V.innermost(points, i.select("l_orderkey", "start", "end", F.col("k").alias("name")), ["l_orderkey"], "at", ["k"]).select("l_orderkey", "k", "name")
 
 
 def j_guard_commit_pairs(s, d):

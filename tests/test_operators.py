@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cairn.functions import text as X
 from cairn.operators import checks as C
 from cairn.operators import graph as G
+from cairn.operators import intervals
 from cairn.operators import joins as J
 from cairn.operators import lattices as L
 from cairn.operators import metrics as M
@@ -74,7 +75,7 @@ def test_ranges_and_spans(spark):
 def test_innermost_tie_goes_to_the_smaller_name(spark):
     spans = spark.createDataFrame([(1, 9, "outer"), (3, 5, "b"), (4, 6, "a")], "start int, end int, name string").withColumn("path", F.lit("p"))
     points = spark.createDataFrame([(1, 4), (2, 20)], "id int, line int").withColumn("path", F.lit("p"))
-    assert {r.id: r.name for r in J.innermost(points, spans, ["path"], "line", ["id"]).collect()} == {1: "a", 2: None}
+    assert {r.id: r.name for r in intervals.innermost(points, spans, ["path"], "line", ["id"]).collect()} == {1: "a", 2: None}
 
 
 def test_similarity_boundary(spark):
