@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.operators.shared import Staged
@@ -66,7 +66,7 @@ def tainted(nodes: DataFrame, components: DataFrame, node: str, exposed: str) ->
     return member.join(any_exposed, "component").withColumn("status", status).drop("__any")
 
 
-def distances(edges: DataFrame, sources: DataFrame, max_depth: int = 32) -> DataFrame:
+def distances(edges: DataFrame, sources: DataFrame, max_depth: int = 10_000) -> DataFrame:
     """(node, depth): the least number of edges (src, dst) from any source node.
 
     Breadth first: each round is a join of the frontier with the edges and an anti join with what is
@@ -87,30 +87,94 @@ def distances(edges: DataFrame, sources: DataFrame, max_depth: int = 32) -> Data
     raise RuntimeError(f"more than {max_depth} levels")
 
 
-def simple_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_depth: int = 12, max_paths: int = 100_000) -> DataFrame:
-    """(path, length): all paths without a repeated node from a source to a target, at most max_paths on the way.
+def simple_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_paths: int = 100_000) -> DataFrame:
+    """(path, length): all paths without a repeated node from a source to a target, however long.
 
-    The number of paths can be exponential in a graph, so the budget fails the job rather than cutting it.
+    Only edges from which a target can be reached are followed, a longer step in each round, until no path grows. The
+    number of paths can be exponential in a graph: ValueError if more than max_paths grow at once or are found, and never
+    a part of them. path_counts() counts without listing, and first_paths() lists the first few.
     """
     src, dst = F.col("src"), F.col("dst")
-    edge = edges.select(src.alias("src"), dst.alias("dst")).distinct()
-    live = sources.select(F.array(F.col(sources.columns[0])).alias("path"))
     ends = targets.select(F.col(targets.columns[0]).alias("__end")).distinct()
+    useful = distances(edges.select(dst.alias("src"), src.alias("dst")), ends).select(F.col("node").alias("__useful"))
+    edge = Staged(edges.select(src, dst).distinct().join(useful, dst == F.col("__useful"), "left_semi"), "edges").df
+    live = Staged(sources.select(F.array(F.col(sources.columns[0])).alias("path")).distinct(), "paths").df
+    done, found = None, 0
+    while True:
+        hit = live.join(ends, F.element_at("path", -1) == F.col("__end"), "left_semi")
+        done = hit if done is None else done.unionByName(hit)
+        found += hit.count()
+        grown = live.join(edge, F.element_at("path", -1) == src).where(~F.array_contains("path", dst))
+        live = Staged(grown.select(F.concat("path", F.array(dst)).alias("path")), "paths").df
+        alive = live.count()
+        if max(found, alive) > max_paths:
+            raise ValueError(f"more than {max_paths} paths")
+        if not alive:
+            return done.select("path", (F.size("path") - 1).cast("long").alias("length"))
+
+
+def _acyclic(edges: DataFrame) -> None:
+    if not on_cycles(edges).isEmpty():
+        raise ValueError("the edges have a cycle")
+
+
+def path_counts(edges: DataFrame, sources: DataFrame, targets: DataFrame, mediators: DataFrame) -> DataFrame:
+    """(node, paths, mediated): for each target that is reached, how many paths lead to it from the sources, and how many of them hold a mediator.
+
+    Counts by dynamic programming over an acyclic graph, one round for each length: nodes, and never paths, are rows, so a
+    graph with 10^30 paths is no more work than one with few. Numbers are decimals of 38 digits; sources and targets count
+    among a path's nodes. ValueError if the edges have a cycle.
+    """
+    edge = Staged(edges.select("src", "dst").distinct(), "edges").df
+    _acyclic(edge)
+    stop = mediators.select(F.col(mediators.columns[0]).alias("node")).distinct().withColumn("__stop", F.lit(True))
+    number = lambda x: x.cast("decimal(38,0)")
+    # of the paths to a node those without a mediator end where the node is one
+    through = lambda df: df.join(stop, "node", "left").withColumn("clear", F.when(F.col("__stop"), number(F.lit(0))).otherwise(F.col("clear"))).drop("__stop")
+    one = sources.select(F.col(sources.columns[0]).cast(edges.schema["src"].dataType).alias("node")).distinct()
+    live = Staged(through(one.withColumns({"paths": number(F.lit(1)), "clear": number(F.lit(1))})), "counts").df
+    ends = targets.select(F.col(targets.columns[0]).alias("node")).distinct()
+    done = None
+    while not live.isEmpty():
+        hit = live.join(ends, "node", "left_semi")
+        done = hit if done is None else done.unionByName(hit)
+        step = live.withColumnRenamed("node", "src").join(edge, "src").groupBy(F.col("dst").alias("node")).agg(number(F.sum("paths")).alias("paths"), number(F.sum("clear")).alias("clear"))
+        live = Staged(through(step), "counts").df
+    if done is None:
+        return ends.limit(0).select("node", number(F.lit(0)).alias("paths"), number(F.lit(0)).alias("mediated"))
+    total = done.groupBy("node").agg(number(F.sum("paths")).alias("paths"), number(F.sum("clear")).alias("clear"))
+    return total.select("node", "paths", number(F.col("paths") - F.col("clear")).alias("mediated"))
+
+
+def first_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, k: int = 1) -> DataFrame:
+    """(node, rank, path): for each target the k first paths from a source, by length and then by their nodes in order.
+
+    Grown on demand over an acyclic graph: each round keeps k paths of its length for each node, as the first paths to a node
+    pass through first paths of one edge less, and the rounds end when all targets that can be reached have k or nothing grows. ValueError
+    if the edges have a cycle.
+    """
+    edge = Staged(edges.select("src", "dst").distinct(), "edges").df
+    _acyclic(edge)
+    kind = edges.schema["src"].dataType
+    rank = lambda by: F.row_number().over(Window.partitionBy("node").orderBy(*by))
+    ends = targets.select(F.col(targets.columns[0]).cast(kind).alias("node")).distinct()
+    source = F.col(sources.columns[0]).cast(kind)
+    live = Staged(sources.select(source.alias("node"), F.array(source).alias("path")).distinct(), "first").df
     done = None
-    for _ in range(max_depth + 1):
-        staged = Staged(live, "paths").df
-        if staged.limit(max_paths + 1).count() > max_paths:
-            raise ValueError("path budget exceeded")
-        hit = staged.join(ends, F.element_at("path", -1) == F.col("__end"), "left_semi")
+    while not live.isEmpty():
+        hit = live.join(ends, "node", "left_semi")
         done = hit if done is None else done.unionByName(hit)
-        grown = staged.join(edge, F.element_at("path", -1) == src).where(~F.array_contains("path", dst))
-        live = grown.select(F.concat("path", F.array(dst)).alias("path"))
-        if staged.isEmpty():
+        full = done.groupBy("node").count().where(F.col("count") >= k)
+        if ends.join(full, "node", "left_anti").isEmpty():
             break
-    return done.select("path", (F.size("path") - 1).cast("long").alias("length"))
+        step = live.withColumnRenamed("node", "src").join(edge, "src").select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
+        live = Staged(step.withColumn("rank", rank(["path"])).where(F.col("rank") <= k).drop("rank"), "first").df
+    if done is None:
+        return ends.limit(0).select("node", F.lit(1).alias("rank"), F.array("node").alias("path"))
+    return done.withColumn("rank", rank([F.size("path"), "path"])).where(F.col("rank") <= k).select("node", "rank", "path")
 
 
-def on_cycles(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def on_cycles(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """(node) of the nodes left when nodes without an incoming or without an outgoing edge are taken away again and
     again; empty exactly if there is no cycle."""
     edge = Staged(edges.select("src", "dst").distinct(), "edges")
@@ -133,13 +197,17 @@ def invalid_edges(nodes: DataFrame, edges: DataFrame, node: str = "node") -> Dat
     return known.select("src", "dst", reason.alias("reason")).where("reason is not null")
 
 
-def shortest_uncovered(paths: DataFrame, by: str, covered: str) -> DataFrame:
-    """(by, paths, uncovered, counterexample): the least path (length, then nodes) that nothing covers, or null. paths has path (array)."""
-    rank = F.struct(F.size("path").alias("n"), F.col("path").alias("p"))
-    return paths.groupBy(by).agg(F.count("*").alias("paths"), F.count_if(~F.col(covered)).alias("uncovered"), F.min(F.when(~F.col(covered), rank))["p"].alias("counterexample"))
+def shortest_uncovered(edges: DataFrame, sources: DataFrame, targets: DataFrame, covering: DataFrame) -> DataFrame:
+    """(node, paths, uncovered, counterexample): the paths to each target, those that hold no covering node, and the first of them by length and nodes, or null."""
+    counts = path_counts(edges, sources, targets, covering)
+    bare = covering.select(F.col(covering.columns[0]).alias("__c")).distinct()
+    off = lambda df, c: df.join(bare, F.col(c) == F.col("__c"), "left_anti")
+    first = first_paths(off(off(edges, "src"), "dst"), off(sources, sources.columns[0]), off(targets, targets.columns[0]))
+    out = counts.join(first.select("node", F.col("path").alias("counterexample")), "node", "left")
+    return out.select("node", "paths", (F.col("paths") - F.col("mediated")).cast("decimal(38,0)").alias("uncovered"), "counterexample")
 
 
-def closure(edges: DataFrame, marks: DataFrame, mark: str, max_depth: int = 64) -> DataFrame:
+def closure(edges: DataFrame, marks: DataFrame, mark: str, max_depth: int = 10_000) -> DataFrame:
     """(node, mark, depth): the marks (node, mark) that each node reaches along edges (src, dst), with the least number of steps.
 
     Marks travel against the edges, only new pairs of node and mark in each round; every round is a join of the last round's
@@ -161,7 +229,7 @@ def closure(edges: DataFrame, marks: DataFrame, mark: str, max_depth: int = 64)
     raise RuntimeError(f"more than {max_depth} levels")
 
 
-def chains(edges: DataFrame, roots: DataFrame, max_depth: int = 64) -> DataFrame:
+def chains(edges: DataFrame, roots: DataFrame, max_depth: int = 10_000) -> DataFrame:
     """(root, node, chain): every node that a root reaches, with the first of its shortest chains of nodes in array order."""
     kind = edges.schema["src"].dataType
     root = F.col(roots.columns[0]).cast(kind)

@@ -83,12 +83,23 @@ def agree_or_unknown(*predictions: Column) -> Column:
     return F.when(same, first).otherwise("unknown")
 
 
-def disposition(rules: list[tuple[Column, str, str]]) -> Column:
-    """struct(label, authority) of the first rule (condition, label, authority) that holds."""
-    out = F.struct(F.lit("unknown").alias("label"), F.lit("none").alias("authority"))
-    for condition, label, authority in reversed(rules):
-        out = F.when(condition, F.struct(F.lit(label).alias("label"), F.lit(authority).alias("authority"))).otherwise(out)
-    return out
+def disposition(rules: list[tuple[Column, str, str, bool]], strict: bool = False) -> Column:
+    """struct(label, authority, candidate) of the first rule (condition, label, authority, mechanical) that holds.
+
+    A rule is mechanical if its condition is a recorded fact or a proof, and not what models or reviewers agree on. In
+    strict mode only these release a label: without one it is unknown, and the first other rule that holds gives the candidate, which
+    waits for a witness. Outside strict mode every rule releases and there is no candidate.
+    """
+    text = lambda x: F.lit(x).cast("string")
+    label, authority, candidate = text("unknown"), text("none"), text(None)
+    for condition, name, source, mechanical in reversed(rules):
+        if mechanical or not strict:
+            label, authority = F.when(condition, name).otherwise(label), F.when(condition, source).otherwise(authority)
+            candidate = F.when(condition, text(None)).otherwise(candidate)
+        else:
+            candidate = F.when(condition, name).otherwise(candidate)
+    # a candidate is told only of what stays unknown
+    return F.struct(label.alias("label"), authority.alias("authority"), F.when(authority == "none", candidate).alias("candidate"))
 
 
 def scope_verdict(some_present: Column, every_absent: Column, quantifier: Column, exhaustive: Column) -> Column:

@@ -5,10 +5,13 @@ Ratios are null where their denominator is 0. The three ways to treat abstention
 
 from __future__ import annotations
 
+import functools
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.operators.windows import globally_numbered
+from cairn.operators.windows import numbered_within
 
 LABELS = ["present", "absent", "unknown"]
 
@@ -115,27 +118,56 @@ def cluster_bounds(df: DataFrame, cluster: str, label: str = "label") -> DataFra
     return out.withColumns({"lower": ratio(F.col("with_positive"), F.col("clusters")), "upper": ratio(F.col("with_possible"), F.col("clusters"))})
 
 
+def poisson_steps(digits: int = 12) -> list[int]:
+    """The numbers of so many hexadecimal digits at which a Poisson variate of mean 1 gets one more: 16^digits times its distribution function."""
+    steps, term, total = [], math.exp(-1), math.exp(-1)
+    while int(total * 16**digits) < 16**digits - 1 and len(steps) < 16:
+        steps.append(int(total * 16**digits))
+        term /= len(steps)
+        total += term
+    return steps
+
+
 def cluster_bootstrap(df: DataFrame, cluster: str, numerator: Column, denominator: Column, iterations: int = 200, seed: str = "bootstrap") -> DataFrame:
-    """(point, lower, upper): a ratio of sums with the percentile interval of clusters drawn with replacement.
+    """(point, lower, upper): a ratio of sums with the percentile interval of resampled clusters.
 
-    The rows are summed by cluster and the clusters numbered; draw k of an iteration takes the cluster whose number is a
-    sha256 of seed, iteration and k, modulo the number of clusters. Draws are made and counted in tasks.
+    In each iteration a cluster has a weight: a Poisson variate of mean 1 from a sha256 of seed, iteration and cluster, as
+    the number of times that a draw with replacement from many clusters takes one. Rows are summed by cluster, and
+    every task adds its clusters' weighted sums for all iterations before anything is shuffled.
     """
     sums = df.groupBy(cluster).agg(F.sum(numerator).cast("double").alias("a"), F.sum(denominator).cast("double").alias("b"))
-    clusters = globally_numbered(sums, [cluster], "__k").withColumn("__k", F.col("__k") - 1)
-    n = clusters.count()
-    draws = df.sparkSession.range(iterations * n).select(F.floor(F.col("id") / n).alias("i"), (F.col("id") % n).alias("d"))
-    digest = F.sha2(F.concat_ws("\x00", F.lit(seed), F.col("i").cast("string"), F.col("d").cast("string")), 256)
-    taken = draws.select("i", (F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") % n).alias("__k")).groupBy("i", "__k").agg(F.count("*").alias("m"))
-    drawn = taken.join(clusters, "__k").groupBy("i").agg(ratio(F.sum(F.col("a") * F.col("m")), F.sum(F.col("b") * F.col("m"))).alias("r"))
+    each = sums.select("*", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("i"))
+    digest = F.sha2(F.concat_ws("\x00", F.lit(seed), F.col("i").cast("string"), F.col(cluster).cast("string")), 256)
+    number = F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")
+    weight = sum(((number >= step).cast("int") for step in poisson_steps()[1:]), (number >= poisson_steps()[0]).cast("int"))
+    drawn = each.groupBy("i").agg(ratio(F.sum(F.col("a") * weight), F.sum(F.col("b") * weight)).alias("r"))
     interval = drawn.agg(F.percentile("r", 0.025).alias("lower"), F.percentile("r", 0.975).alias("upper"))
     return sums.agg(ratio(F.sum("a"), F.sum("b")).alias("point")).crossJoin(interval)
 
 
+def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(by, n, a column for each share): exact quantiles by linear interpolation between order statistics (type 7); null without values.
+
+    Values are sorted by group over all tasks and numbered; of each group only the two rows beside each share's place are
+    kept, so a group of any size meets in no task. Nulls are not counted; NaN is the largest value.
+    """
+    n = df.groupBy(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(by)]).agg(F.count(value).alias("n"))
+    rows = numbered_within(df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v")), by, ["__v"], "__r")
+    place = {name: (F.col("__size") - 1) * share for name, share in shares.items()}
+    low = {name: F.floor(x) + 1 for name, x in place.items()}
+    held = functools.reduce(Column.__or__, [F.col("__r").isin(x, x + 1) for x in low.values()])
+    kept = rows.where(held)
+    part = {name: place[name] - F.floor(place[name]) for name in shares}
+    at = lambda name, k: F.max(F.when(F.col("__r") == low[name] + k, F.col("__v")))
+    between = lambda name: F.coalesce(at(name, 0) * (1 - F.max(part[name])) + at(name, 1) * F.max(part[name]), at(name, 0))
+    found = kept.groupBy(*by).agg(*[between(name).alias(name) for name in shares])
+    same = [F.col(c).eqNullSafe(F.col(f"__g{i}")) for i, c in enumerate(by)]
+    return n.join(found, same, "left").select(*[F.col(f"__g{i}").alias(c) for i, c in enumerate(by)], "n", *shares)
+
+
 def quartiles(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """(n, q1, median, q3) by linear interpolation between order statistics (type 7)."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.groupBy(*by).agg(F.count(value).alias("n"), q.alias("q")).select(*by, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    """(n, q1, median, q3), as quantiles() has them."""
+    return quantiles(df, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
 
 
 def sum_or_null(x: Column) -> Column:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.operators.checks import require
 from cairn.operators.joins import first_reason
 from cairn.operators.shared import Staged
-from cairn.operators.windows import hash_rank, hash_sample
+from cairn.operators.windows import first_rows, hash_rank, hash_sample
 
 
 def clustered(df: DataFrame, cluster: str, stratum: str, prediction: str, key: str, clusters: int, rows: int, seed: str) -> DataFrame:
@@ -19,9 +19,11 @@ def clustered(df: DataFrame, cluster: str, stratum: str, prediction: str, key: s
     value = F.when(F.count_distinct(stratum) > 1, "mixed").otherwise(F.min(stratum))
     strata = df.groupBy(cluster).agg(value.alias("cluster_stratum"))
     first = hash_sample(strata, "cluster_stratum", cluster, clusters, seed).withColumnRenamed("probability", "p1")
-    w = Window.partitionBy(cluster, prediction)
-    ranked = df.join(first, cluster).withColumns({"__r": F.row_number().over(w.orderBy(hash_rank(seed, prediction, key), key)), "__n": F.count("*").over(w)})
-    return ranked.where(F.col("__r") <= rows).withColumn("probability", F.col("p1") * F.least(F.lit(rows), "__n") / F.col("__n")).drop("__r", "__n", "p1")
+    inside = df.join(first, cluster)
+    sizes = inside.groupBy(F.col(cluster).alias("__c"), F.col(prediction).alias("__p")).agg(F.count("*").alias("__n"))
+    taken = first_rows(inside, [cluster, prediction], [hash_rank(seed, prediction, key), key], rows, "__r")
+    taken = taken.join(sizes, F.col(cluster).eqNullSafe(F.col("__c")) & F.col(prediction).eqNullSafe(F.col("__p")))
+    return taken.withColumn("probability", F.col("p1") * F.least(F.lit(rows), "__n") / F.col("__n")).drop("__r", "__n", "__c", "__p", "p1")
 
 
 def multi_arm(df: DataFrame, arms: list[str], key: str, k: int, seed: str) -> DataFrame:
@@ -62,5 +64,4 @@ def balanced(df: DataFrame, stratum: str, key: str, rules: list[tuple[Column, st
     left = judged.where("reason is null").drop("reason")
     sizes = df.select(stratum).distinct().join(left.groupBy(stratum).agg(F.count("*").alias("n")), stratum, "left").where(f"coalesce(n, 0) < {k}")
     require(sizes, "too few rows in a stratum")
-    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(hash_rank(seed, stratum, key), key))
-    return left.withColumn("rank", rank).where(F.col("rank") <= k), judged.where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
+    return first_rows(left, [stratum], [hash_rank(seed, stratum, key), key], k), judged.where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))

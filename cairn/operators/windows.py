@@ -15,20 +15,47 @@ def hash_rank(seed: str, *parts: str) -> Column:
     return F.sha2(F.concat_ws(NUL, F.lit(seed), *[F.col(p).cast("string") for p in parts]), 256)
 
 
+# First rows of a key that Spark keeps in each task before the shuffle (its default threshold of window group limits).
+LIMITED = 1000
+# Strata, one row each, that are broadcast; more are joined.
+STRATA = 100_000
+
+
+def first_rows(df: DataFrame, by: list[str], order: list, k: int, name: str = "rank") -> DataFrame:
+    """df with name, from 1, for the first k rows of each key in an explicit order.
+
+    Every task keeps the k first of its own rows of a key, and only those are shuffled, so a key with most of the rows is
+    as spread as they are. For a larger k the rows are numbered in one order of keys and rows.
+    """
+    if k <= LIMITED:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= k)
+    return numbered_within(df, by, order, name).where(F.col(name) <= k).withColumn(name, F.col(name).cast("int")).drop("__size")
+
+
+def numbered_within(df: DataFrame, by: list[str], order: list, name: str) -> DataFrame:
+    """df with the number (long) of each row within its key, from 1, and __size, the key's rows: no task holds a key.
+
+    Rows are sorted by key and order over all tasks and numbered once; a key's first number, known for all of its rows, is taken off.
+    """
+    rows = globally_numbered(df, [*by, *order], "__at")
+    first = staged(rows.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(F.min("__at").alias("__first"), F.count("*").alias("__size")), "sizes")
+    first = F.broadcast(first) if first.count() <= STRATA else first
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    return rows.join(first, same).withColumn(name, F.col("__at") - F.col("__first") + 1).drop("__at", "__first", *[f"__{c}" for c in by])
+
+
 def hash_sample(df: DataFrame, stratum: str, key: str, k: int, seed: str) -> DataFrame:
-    """k rows of each stratum in hash order, with their inclusion probability min(k, n) / n."""
-    w = Window.partitionBy(stratum)
-    ranked = df.withColumns({"__r": F.row_number().over(w.orderBy(hash_rank(seed, stratum, key), key)), "__n": F.count("*").over(w)})
-    return ranked.where(F.col("__r") <= k).withColumn("probability", F.least(F.lit(k), "__n") / F.col("__n")).drop("__r", "__n")
+    """k rows of each stratum in hash order, with their inclusion probability min(k, n) / n; n is counted apart."""
+    sizes = df.groupBy(F.col(stratum).alias("__s")).agg(F.count("*").alias("__n"))
+    taken = first_rows(df, [stratum], [hash_rank(seed, stratum, key), key], k, "__r").drop("__r")
+    return taken.join(sizes, F.col(stratum).eqNullSafe(F.col("__s"))).withColumn("probability", F.least(F.lit(k), "__n") / F.col("__n")).drop("__n", "__s")
 
 
 def fraction_split(df: DataFrame, stratum: str, key: str, fraction: float, least: int, seed: str) -> DataFrame:
     """df with side: the first max(least, floor(n * fraction)) rows of a stratum in hash order, n - 1 at most, are development."""
-    w = Window.partitionBy(stratum)
-    n = F.count("*").over(w)
-    cut = F.least(F.greatest(F.lit(least), F.floor(n * fraction)), n - 1)
-    rank = F.row_number().over(w.orderBy(hash_rank(seed, stratum, key), key))
-    return df.withColumns({"__c": cut, "__r": rank}).withColumn("side", F.when(F.col("__r") <= F.col("__c"), "development").otherwise("confirmation")).drop("__c", "__r")
+    ranked = numbered_within(df.withColumn("__h", hash_rank(seed, stratum, key)), [stratum], ["__h", key], "__r")
+    cut = F.least(F.greatest(F.lit(least), F.floor(F.col("__size") * fraction)), F.col("__size") - 1)
+    return ranked.withColumn("side", F.when(F.col("__r") <= cut, "development").otherwise("confirmation")).drop("__h", "__r", "__size")
 
 
 def cumulative_split(df: DataFrame, family: str, fraction: float, seed: str) -> DataFrame:
@@ -106,18 +133,11 @@ def outer_spans(spans: Column) -> Column:
 def round_robin(df: DataFrame, stratum: str, key: str) -> DataFrame:
     """df with turn (number of the row in its stratum) and place (number in the interleaved order: turn by turn, the strata in theirs).
 
-    Rows are numbered once in the order of stratum and key; a stratum may hold most of them. turn is what is left
-    of the number after the strata before, and place follows from the strata's sizes: all rows of earlier turns,
-    and the strata up to the row's own that have this turn. The list of sizes, one for each stratum, goes to every row.
+    Rows are numbered within their strata by a sort over all tasks, and turn by turn by another, so neither a stratum
+    with most of the rows nor a large number of strata meets in a task. Rows with a null stratum come first in a turn.
     """
-    sizes = df.groupBy(stratum).agg(F.count("*").alias("size"))
-    listed = sizes.agg(F.array_sort(F.collect_list(F.struct(F.col(stratum).alias("s"), F.col("size").alias("size")))).alias("__sizes"))
-    rows = globally_numbered(df, [stratum, key], "__number").crossJoin(F.broadcast(listed))
-    add = lambda condition, value: F.aggregate("__sizes", F.lit(0).cast("long"), lambda acc, x: acc + F.when(condition(x), value(x)).otherwise(0))
-    turn = F.col("__number") - add(lambda x: x["s"] < F.col(stratum), lambda x: x["size"])
-    rows = rows.withColumn("turn", turn)
-    earlier = add(lambda x: F.lit(True), lambda x: F.least(x["size"], F.col("turn") - 1))
-    return rows.withColumn("place", earlier + add(lambda x: (x["s"] <= F.col(stratum)) & (x["size"] >= F.col("turn")), lambda x: F.lit(1))).drop("__number", "__sizes")
+    turned = numbered_within(df, [stratum], [key], "turn").drop("__size")
+    return globally_numbered(turned, ["turn", stratum], "place")
 
 
 def family_round_robin(df: DataFrame, stratum: str, family: str, order: list[str], target: int) -> DataFrame:
@@ -155,7 +175,7 @@ def top_with_ties(df: DataFrame, keys: list[str], score: str) -> DataFrame:
 
 
 def budgeted(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
-    """The first k rows of each key, with truncated: whether the key had more."""
-    w = Window.partitionBy(*keys)
-    ranked = df.withColumns({"__r": F.row_number().over(w.orderBy(*order)), "truncated": F.count("*").over(w) > k})
-    return ranked.where(F.col("__r") <= k).drop("__r")
+    """The first k rows of each key, with truncated: whether the key had more, as its row k + 1 tells."""
+    ranked = first_rows(df, keys, order, k + 1, "__r")
+    more = F.max("__r").over(Window.partitionBy(*keys)) > k
+    return ranked.withColumn("truncated", more).where(F.col("__r") <= k).drop("__r")

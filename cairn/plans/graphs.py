@@ -98,16 +98,39 @@ def g_distance(s, d):
     return G.distances(_edges(s, d), s.range(1, 3))
 
 
+def deep_edges(s, d):
+    """The edges above and a chain through the first parts, so that the longest path has more than 12 edges."""
+    p = table(s, d, "part").where("p_partkey < 10").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") + 1).alias("dst"))
+    return _edges(s, d).where("src > 0").unionByName(p.where("src > 0")).distinct()
+
+
+def targets(s, *nodes):
+    return s.createDataFrame([(n,) for n in nodes], "t long")
+
+
+def multiples(s, d, of):
+    return table(s, d, "part").where(F.col("p_partkey") % of == 0).select("p_partkey")
+
+
+def shown(path):
+    return F.array_join(F.transform(path, lambda x: x.cast("string")), ">")
+
+
 def paths(s, d):
-    found = G.simple_paths(_edges(s, d), s.range(1, 2), s.createDataFrame([(40,), (60,), (94,)], "t long"))
-    return found.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "length")
+    found = G.simple_paths(deep_edges(s, d), s.range(1, 2), targets(s, 40, 60, 94))
+    return found.select(shown("path").alias("path"), "length")
+
+
+def g_first_paths(s, d):
+    """The three shortest paths to each target."""
+    found = G.first_paths(deep_edges(s, d), s.range(1, 2), targets(s, 40, 60, 94, 148), 3)
+    return found.select(F.col("node").alias("target"), "rank", shown("path").alias("path"))
 
 
 def g_audit(s, d):
-    """Of the paths to each target the one with the fewest nodes, unless a node that is a multiple of 7 mediates."""
-    found = G.simple_paths(_edges(s, d), s.range(1, 2), s.createDataFrame([(40,), (60,), (94,), (148,)], "t long"))
-    rows = found.select(F.element_at("path", -1).alias("target"), F.exists("path", lambda x: x % 7 == 0).alias("mediated"), "path", "length")
-    return rows.groupBy("target").agg(F.count("*").alias("paths"), F.count_if(~F.col("mediated")).alias("unmediated"))
+    """How many paths lead to each target, and how many of them hold no multiple of 7."""
+    found = G.path_counts(deep_edges(s, d), s.range(1, 2), targets(s, 40, 60, 94, 148), multiples(s, d, 7))
+    return found.select(F.col("node").alias("target"), F.col("paths").cast("long").alias("paths"), (F.col("paths") - F.col("mediated")).cast("long").alias("unmediated"))
 
 
 def cycle(s, d):
@@ -137,10 +160,11 @@ def matrix_cross(s, d):
     return r.crossJoin(p).crossJoin(f).withColumn("reason", reason)
 
 
-QUERIES = {f.__name__: f for f in (exact_dup_families, g_components_blob, g_components_mixed, near_copy_components, contamination, reach, g_distance, paths, g_audit, cycle, g_validate, g_reach_required, matrix_cross)}
+QUERIES = {f.__name__: f for f in (exact_dup_families, g_components_blob, g_components_mixed, near_copy_components, contamination, reach, g_distance, paths, g_first_paths, g_audit, cycle, g_validate, g_reach_required, matrix_cross)}
 
 _EDGES = "edges AS (SELECT p_partkey AS src, p_partkey*2 AS dst FROM part WHERE p_partkey*2<=(SELECT count(*) FROM part) UNION ALL SELECT p_partkey, p_partkey*3+1 FROM part WHERE p_partkey*3+1<=(SELECT count(*) FROM part))"
-_PATHS = _EDGES + ", p AS (SELECT [1::BIGINT] AS path UNION ALL SELECT list_append(path, dst) FROM p JOIN edges ON path[-1]=src AND NOT list_contains(path,dst) AND len(path)<=12)"
+_DEEP = _EDGES.replace("edges AS", "edges0 AS", 1) + ", edges AS (SELECT src, dst FROM edges0 UNION SELECT p_partkey, p_partkey+1 FROM part WHERE p_partkey<10)"
+_PATHS = _DEEP + ", p AS (SELECT [1::BIGINT] AS path UNION ALL SELECT list_append(path, dst) FROM p JOIN edges ON path[-1]=src AND NOT list_contains(path,dst))"
 _STARS = """t AS (SELECT doc_id, text, split_part(text, chr(10), 1) AS line FROM documents),
 e0 AS (SELECT DISTINCT doc_id AS a, min(doc_id) OVER (PARTITION BY text) AS b FROM t UNION SELECT doc_id, min(doc_id) OVER (PARTITION BY line) FROM t WHERE length(line)>=20), e AS (SELECT a, b FROM e0 WHERE a<>b UNION SELECT b, a FROM e0 WHERE a<>b),
 r AS (SELECT DISTINCT a AS node, a AS low FROM e UNION SELECT e.b, r.low FROM r JOIN e ON e.a=r.node)"""
@@ -153,6 +177,7 @@ SQL = {
     "reach": f"WITH RECURSIVE {_EDGES}, r AS (SELECT 1::BIGINT AS node UNION SELECT dst FROM r JOIN edges ON src=node) SELECT node FROM r",
     "g_distance": f"WITH RECURSIVE {_EDGES}, r AS (SELECT unnest([1::BIGINT,2]) AS node, 0 AS depth UNION SELECT dst, depth+1 FROM r JOIN edges ON src=node WHERE depth<20) SELECT node, min(depth) AS depth FROM r GROUP BY 1",
     "paths": f"WITH RECURSIVE {_PATHS} SELECT array_to_string(path,'>') AS path, len(path)-1 AS length FROM p WHERE path[-1] IN (40,60,94)",
+    "g_first_paths": f"WITH RECURSIVE {_PATHS} SELECT target, rank, array_to_string(path,'>') AS path FROM (SELECT path[-1] AS target, path, row_number() OVER (PARTITION BY path[-1] ORDER BY len(path), path)::INTEGER AS rank FROM p WHERE path[-1] IN (40,60,94,148)) WHERE rank<=3",
     "g_audit": f"WITH RECURSIVE {_PATHS} SELECT path[-1] AS target, count(*) AS paths, count(*) FILTER (len(list_filter(path, lambda x: x%7=0))=0) AS unmediated FROM p WHERE path[-1] IN (40,60,94,148) GROUP BY 1",
     "g_components_blob": "SELECT min(doc_id) AS component, arg_min(doc_id, sha256('blob'||chr(0)||doc_id::VARCHAR)) AS representative, count(*) AS members, count(DISTINCT lang) AS langs, count(DISTINCT source) AS sources FROM documents GROUP BY text HAVING count(*)>1",
     # on a cycle or between two: what a node of a cycle reaches and what reaches one

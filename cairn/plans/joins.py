@@ -59,8 +59,9 @@ def j_anti_contamination(s, d):
 def j_anti_exclusion_reasons(s, d):
     toxic = table(s, d, "labels").where("toxic = 1")
     flagged = J.flagged(_docs(s, d), toxic, ["doc_id"], "toxic")
-    repeated = _docs(s, d).groupBy("text").agg(F.count("*").alias("k")).where("k > 1").select("text")
-    flagged = J.flagged(flagged, repeated, ["text"], "repeated")
+    digest = F.sha2("text", 256).alias("digest")
+    repeated = _docs(s, d).groupBy(digest).agg(F.count("*").alias("k")).where("k > 1").select("digest")
+    flagged = J.flagged(flagged.withColumn("digest", digest).drop("text"), repeated, ["digest"], "repeated")
     reason = J.first_reason([(F.col("toxic"), "toxic"), (F.col("repeated"), "repeated"), (F.col("n_chars") < 100, "short")])
     return flagged.groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 

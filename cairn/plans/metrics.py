@@ -227,8 +227,9 @@ def _confusion(ctes: str, source: str, by: str) -> str:
 
 _W = {"tp": "gold='present' AND prediction='present'", "fp": "gold='absent' AND prediction='present'", "fn": "gold='present' AND prediction<>'present'", "tn": "gold='absent' AND prediction='absent'"}
 SQL = {
-    "bootstrap_ci": f"""WITH {PRED}, s AS (SELECT source, sum((gold=prediction)::INTEGER)::DOUBLE AS a, count(*)::DOUBLE AS b FROM pred WHERE arm='language' AND gold IS NOT NULL AND prediction<>'unknown' GROUP BY 1), c AS (SELECT *, row_number() OVER (ORDER BY source)-1 AS k, count(*) OVER () AS n FROM s),
-d AS (SELECT i, ('0x'||sha256('bootstrap'||chr(0)||i||chr(0)||j)[1:12])::BIGINT % n AS k FROM (SELECT DISTINCT n FROM c), range(200) r(i), LATERAL (SELECT unnest(range(n)) AS j)), x AS (SELECT i, sum(a)/sum(b) AS r FROM d JOIN c USING (k) GROUP BY 1)
+    "bootstrap_ci": f"""WITH {PRED}, s AS (SELECT source, sum((gold=prediction)::INTEGER)::DOUBLE AS a, count(*)::DOUBLE AS b FROM pred WHERE arm='language' AND gold IS NOT NULL AND prediction<>'unknown' GROUP BY 1),
+u AS (SELECT i, a, b, ('0x'||sha256('bootstrap'||chr(0)||i||chr(0)||source)[1:12])::BIGINT AS u FROM s, range(200) r(i)),
+x AS (SELECT i, sum(a*w)/nullif(sum(b*w),0) AS r FROM (SELECT i, a, b, {"+".join(f"(u>={step})::INTEGER" for step in M.poisson_steps())} AS w FROM u) GROUP BY 1)
 SELECT (SELECT round(sum(a)/sum(b),6) FROM s) AS point, round(quantile_cont(r,0.025),6) AS lower, round(quantile_cont(r,0.975),6) AS upper FROM x""",
     "confusion_by_arm": _confusion(PRED, "pred", "arm"),
     "confusion_by_arm_and_stratum": _confusion(PRED, "pred", "arm, lang"),

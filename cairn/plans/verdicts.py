@@ -13,7 +13,7 @@ from cairn.operators import verdicts as V
 from cairn.operators import windows as W
 from cairn.operators.joins import first_reason
 from cairn.plans.base import REC, WIDE, arms, records, table
-from cairn.plans.graphs import _EDGES, _edges
+from cairn.plans.graphs import _EDGES, _PATHS, _edges, deep_edges, multiples, shown, targets
 
 TRI = {"present": "true", "absent": "false"}
 
@@ -147,7 +147,7 @@ def f_lifecycle_class(s, d):
 
 
 def l_guard_lifecycle(s, d):
-    facts = s.createDataFrame([("langchain", "wrap_tool_call", "pre_effect"), ("crewai", "task_guardrail", "post_effect"), ("google-adk", "my_input_guardrail", "pre_effect")], "framework string, marker string, position string")
+    facts = s.createDataFrame([("langchain", "wrap_tool_call", "pre_effect_decidable"), ("crewai", "task_guardrail", "post_effect_dependent"), ("google-adk", "my_input_guardrail", "pre_effect_decidable")], "framework string, marker string, position string")
     return _counts(V.looked_up(_guards(s, d), facts, ["framework", "marker"], {"position": "unknown"}), "framework", "position")
 
 
@@ -184,7 +184,7 @@ def f_repo_policy_flags(s, d):
 
 
 def f_repair_class(s, d):
-    position = F.when(F.col("length") == "present", "pre_effect").when(F.col("length") == "absent", "post_effect")
+    position = F.when(F.col("length") == "present", "pre_effect_decidable").when(F.col("length") == "absent", "post_effect_dependent")
     return _counts(_wide(s, d).select(V.repair_class(F.col("gold") == "present", position, F.col("marks") == "absent").alias("class")), "class")
 
 
@@ -266,10 +266,8 @@ def o_islice(s, d):
 
 
 def o_min_counterexample(s, d):
-    found = G.simple_paths(_edges(s, d), s.range(1, 2), s.createDataFrame([(40,), (60,), (94,), (148,)], "t long"))
-    rows = found.select(F.element_at("path", -1).alias("target"), F.exists("path", lambda x: x % 5 == 0).alias("covered"), "path")
-    x = G.shortest_uncovered(rows, "target", "covered")
-    return x.select("target", "paths", "uncovered", F.array_join(F.transform("counterexample", lambda c: c.cast("string")), ">").alias("counterexample"))
+    x = G.shortest_uncovered(deep_edges(s, d), s.range(1, 2), targets(s, 40, 61, 94, 148), multiples(s, d, 5))
+    return x.select(F.col("node").alias("target"), F.col("paths").cast("long").alias("paths"), F.col("uncovered").cast("long").alias("uncovered"), shown("counterexample").alias("counterexample"))
 
 
 def g_effect_reach(s, d):
@@ -341,7 +339,6 @@ a AS (SELECT a1.*, CASE WHEN m>1 THEN 'repeated' WHEN o_orderkey IS NULL THEN 'u
 _UNITS = """u AS (SELECT l_orderkey AS k, l_orderkey%10=3 AS bad, CASE WHEN l_orderkey%6=0 AND l_linenumber=2 THEN ' ' ELSE l_returnflag END AS flag, CASE WHEN l_quantity<2 THEN 1 WHEN l_orderkey%6=0 AND l_linenumber=2 THEN 2 END AS rule FROM lineitem)"""
 _NAMED = "CASE rule WHEN 1 THEN 'amount' WHEN 2 THEN 'flag' END"
 _WHY = "CASE WHEN toxic=1 THEN 'toxic' WHEN n_chars<300 THEN 'short' WHEN doc_id%6=0 THEN 'ambiguous' END AS reason"
-_PATHS = _EDGES + ", p AS (SELECT [1::BIGINT] AS path UNION ALL SELECT list_append(path, dst) FROM p JOIN edges ON path[-1]=src AND NOT list_contains(path,dst) AND len(path)<=12)"
 
 
 def _one_per_family_sql(strata):
@@ -394,8 +391,14 @@ SELECT arm, p AS prediction, status, count(*) AS n FROM x GROUP BY ALL""",
     "l_assemble": """WITH g AS (SELECT DISTINCT l_orderkey, l_linenumber AS gd FROM lineitem WHERE l_linenumber<=2), e AS (SELECT l_orderkey, l_linenumber AS ef, bool_or(l_returnflag='R') AS v, bool_or(l_returnflag='A') AS m, bool_or(l_returnflag<>'N') AS w FROM lineitem WHERE l_linenumber>2 GROUP BY 1,2),
 x AS (SELECT g.l_orderkey, gd, count(ef) AS effects, count(*) FILTER (w) AS witnessed, coalesce(bool_or(v),false) AS v, count(*) FILTER (m) AS m FROM g LEFT JOIN e USING (l_orderkey) GROUP BY 1,2)
 SELECT effects, witnessed, CASE WHEN effects=0 THEN 'no_effect' WHEN v THEN 'violation' WHEN m=effects THEN 'mediated' ELSE 'open' END AS state, count(*) AS n FROM x GROUP BY ALL""",
-    "f_lifecycle_class": f"WITH {_GUARDS}, m(marker, position, reason) AS (VALUES ('my_input_guardrail','pre_effect','runs_before_the_tool'),('wrap_tool_call','pre_effect','runs_before_the_tool'),('tool_output_guardrail','post_effect','runs_after_the_tool'),('Before_Model_Callback','pre_effect','before_tool_selection'),('after_model_callback','unknown','order_not_established')) SELECT framework, marker, CASE WHEN framework='crewai' AND marker='task_guardrail' THEN 'post_effect' ELSE coalesce(position,'unknown') END AS position, CASE WHEN framework='crewai' AND marker='task_guardrail' THEN 'task_guardrail' ELSE coalesce(reason,'no_contract') END AS reason, count(*) AS n FROM g LEFT JOIN m USING (marker) GROUP BY ALL",
-    "l_guard_lifecycle": f"WITH {_GUARDS} SELECT framework, CASE WHEN framework='langchain' AND marker='wrap_tool_call' THEN 'pre_effect' WHEN framework='crewai' AND marker='task_guardrail' THEN 'post_effect' WHEN framework='google-adk' AND marker='my_input_guardrail' THEN 'pre_effect' ELSE 'unknown' END AS position, count(*) AS n FROM g GROUP BY ALL",
+    "f_lifecycle_class": f"""WITH {_GUARDS}, m(marker, position, reason) AS (VALUES
+('my_input_guardrail', 'pre_effect_decidable', 'guard contract executes before protected tool dispatch'), ('wrap_tool_call', 'pre_effect_decidable', 'guard contract executes before protected tool dispatch'),
+('tool_output_guardrail', 'post_effect_dependent', 'guard contract executes after protected tool or model output'), ('Before_Model_Callback', 'pre_effect_decidable', 'callback executes before model-driven tool selection'),
+('after_model_callback', 'unknown_dynamic', 'after-model position alone does not establish ordering relative to tool effects'))
+SELECT framework, marker, CASE WHEN framework='crewai' AND marker='task_guardrail' THEN 'post_effect_dependent' ELSE coalesce(position, 'unknown_dynamic') END AS position,
+CASE WHEN framework='crewai' AND marker='task_guardrail' THEN 'CrewAI task guardrail validates task output after task execution' ELSE coalesce(reason, 'no pinned lifecycle contract matched the guard marker') END AS reason,
+count(*) AS n FROM g LEFT JOIN m USING (marker) GROUP BY ALL""",
+    "l_guard_lifecycle": f"WITH {_GUARDS} SELECT framework, CASE WHEN framework='langchain' AND marker='wrap_tool_call' THEN 'pre_effect_decidable' WHEN framework='crewai' AND marker='task_guardrail' THEN 'post_effect_dependent' WHEN framework='google-adk' AND marker='my_input_guardrail' THEN 'pre_effect_decidable' ELSE 'unknown' END AS position, count(*) AS n FROM g GROUP BY ALL",
     "l_revalidate": f"WITH {REC}, c AS (SELECT CASE toxic WHEN 1 THEN 'noise' WHEN 0 THEN 'prose' END AS family, contains(text,'***') AS noise, contains(text,'. ') AS prose FROM rec) SELECT family, CASE WHEN family IS NULL THEN 'not_claimed' WHEN (family='noise' AND noise) OR (family='prose' AND prose) THEN 'confirmed' ELSE 'unconfirmed' END AS status, count(*) AS n FROM c GROUP BY ALL",
     "f_adjudicate": f"WITH {WIDE} SELECT CASE WHEN length<>'present' THEN 'unknown_path' WHEN toxic+1>0 THEN 'auditable' ELSE 'no_effect' END AS status, count(*) AS n FROM wide GROUP BY 1",
     "f_priority_rank_key": "SELECT lang, n, CASE WHEN lang='fr' THEN 'partial' WHEN lang='en' THEN 'unsupported' ELSE 'discovery' END AS support, row_number() OVER (ORDER BY lang NOT IN ('en','fr'), -n, lang)::INTEGER AS rank FROM (SELECT lang, count(*) AS n FROM documents GROUP BY 1)",
@@ -419,7 +422,7 @@ SELECT effects, witnessed, CASE WHEN effects=0 THEN 'no_effect' WHEN v THEN 'vio
     "src_model_replay": """WITH a AS (SELECT conv_id, turn, text FROM conversations WHERE role='user'), k AS (SELECT a.text, a.conv_id%9=1 AS bad FROM a JOIN conversations c ON c.conv_id=a.conv_id AND c.turn=a.turn+1 AND c.role<>'user' WHERE a.conv_id%4<>0), o AS (SELECT text, count(*) AS m, bool_or(bad) AS bad FROM k GROUP BY 1)
 SELECT CASE WHEN m IS NULL THEN 'missing' WHEN m>1 THEN 'ambiguous' WHEN bad THEN 'changed' ELSE 'replayed' END AS status, count(*) AS n FROM a LEFT JOIN o USING (text) GROUP BY 1""",
     "o_islice": "SELECT n_name, r_name, o_orderpriority FROM nation CROSS JOIN region CROSS JOIN (SELECT DISTINCT o_orderpriority FROM orders) ORDER BY ALL LIMIT 256",
-    "o_min_counterexample": f"WITH RECURSIVE {_PATHS}, c AS (SELECT path, len(list_filter(path, lambda x: x%5=0))>0 AS covered FROM p WHERE path[-1] IN (40,60,94,148)) SELECT path[-1] AS target, count(*) AS paths, count(*) FILTER (NOT covered) AS uncovered, array_to_string((min({{'n': len(path), 'p': path}}) FILTER (NOT covered)).p, '>') AS counterexample FROM c GROUP BY 1",
+    "o_min_counterexample": f"WITH RECURSIVE {_PATHS}, c AS (SELECT path, len(list_filter(path, lambda x: x%5=0))>0 AS covered FROM p WHERE path[-1] IN (40,61,94,148)) SELECT path[-1] AS target, count(*) AS paths, count(*) FILTER (NOT covered) AS uncovered, array_to_string((min({{'n': len(path), 'p': path}}) FILTER (NOT covered)).p, '>') AS counterexample FROM c GROUP BY 1",
     "g_effect_reach": f"WITH RECURSIVE {_EDGES}, r AS (SELECT p_partkey AS node, 'effect'||(p_partkey%3) AS effect, 0 AS depth FROM part WHERE p_partkey%97=0 UNION SELECT src, effect, depth+1 FROM r JOIN edges ON dst=node WHERE depth<30) SELECT node, effect, min(depth) AS depth FROM r GROUP BY 1,2",
     "g_local_calls": f"WITH RECURSIVE {_EDGES}, r AS (SELECT i AS root, i AS node, [i] AS chain FROM unnest([1::BIGINT,2,3]) t(i) UNION ALL SELECT root, dst, list_append(chain,dst) FROM r JOIN edges ON src=node WHERE NOT list_contains(chain,dst)) SELECT root, node, array_to_string((min({{'n': len(chain), 'c': chain}})).c, '>') AS chain FROM r GROUP BY 1,2",
     "p_identity_freeze": f"WITH c AS (SELECT d.*, {_WHY} FROM documents d LEFT JOIN labels l USING (doc_id)) SELECT doc_id, lang, r::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY sha256('freeze'||chr(0)||lang||chr(0)||doc_id::VARCHAR), doc_id) AS r FROM c WHERE reason IS NULL) WHERE r<=8",

@@ -70,13 +70,14 @@ def w_prefix_len(s, d):
 
 def w_representative(s, d):
     rank = W.hash_rank("rep", "doc_id")
-    return _docs(s, d).groupBy("text").agg(F.min_by("doc_id", F.struct(rank, "doc_id")).alias("doc_id"), F.count("*").alias("members")).where("members > 1").select("doc_id", "members")
+    return _docs(s, d).groupBy(F.sha2("text", 256)).agg(F.min_by("doc_id", F.struct(rank, "doc_id")).alias("doc_id"), F.count("*").alias("members")).where("members > 1").select("doc_id", "members")
 
 
 def w_dup_count(s, d):
-    from pyspark.sql import Window
-
-    return _docs(s, d).select("doc_id", F.count("*").over(Window.partitionBy("text")).alias("copies"))
+    """Numbers of copies, counted by digest; texts that stand once, and all rows of one that does not, never meet."""
+    rows = _docs(s, d).select("doc_id", F.sha2("text", 256).alias("digest"))
+    often = rows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
+    return rows.join(often, rows["digest"].eqNullSafe(often["digest"]), "left").select("doc_id", F.coalesce("n", F.lit(1).cast("long")).alias("copies"))
 
 
 def w_bounded_siblings(s, d):
@@ -179,10 +180,12 @@ def l_logical_verdict(s, d):
 
 
 def l_disposition(s, d):
+    """Labels in both modes: an exclusion is a recorded fact, agreement and a single role are not."""
     r = arms(records(s, d))
-    rules = [(F.col("toxic") == 1, "excluded", "exclusion"), ((F.col("length") == F.col("marks")) & (F.col("length") != "unknown"), "agreed", "consensus"), (F.col("language") != "unknown", "single", "role")]
-    x = L.disposition(rules)
-    return r.select(x["label"].alias("label"), x["authority"].alias("authority")).groupBy("label", "authority").agg(F.count("*").alias("n"))
+    agreed = (F.col("length") == F.col("marks")) & (F.col("length") != "unknown")
+    rules = [(F.col("toxic") == 1, "excluded", "exclusion", True), (agreed, "agreed", "consensus", False), (F.col("language") != "unknown", "single", "role", False)]
+    modes = F.array(*[F.struct(F.lit(name).alias("mode"), L.disposition(rules, strict).alias("x")) for name, strict in (("release", False), ("strict", True))])
+    return r.select(F.explode(modes).alias("m")).select("m.mode", "m.x.*").groupBy("mode", "label", "authority", "candidate").agg(F.count("*").alias("n"))
 
 
 def l_scope_admit(s, d):
@@ -299,7 +302,9 @@ SELECT doc_id, pos::INTEGER AS line, sha256(array_to_string(list_filter(list_tra
     "id_drift_check": "SELECT doc_id FROM documents WHERE doc_id%9=0",
     "lattice_truth_table": f"WITH {_TRUTH} SELECT * FROM o",
     "l_logical_verdict": "SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN bool_or(l_returnflag='R') THEN 'present' WHEN bool_and(l_returnflag='A') THEN 'blocked' ELSE 'unknown' END AS verdict FROM lineitem GROUP BY l_orderkey) GROUP BY 1",
-    "l_disposition": f"WITH {WIDE}, x AS (SELECT CASE WHEN toxic=1 THEN 'excluded' WHEN length=marks AND length<>'unknown' THEN 'agreed' WHEN language<>'unknown' THEN 'single' ELSE 'unknown' END AS label FROM wide) SELECT label, CASE label WHEN 'excluded' THEN 'exclusion' WHEN 'agreed' THEN 'consensus' WHEN 'single' THEN 'role' ELSE 'none' END AS authority, count(*) AS n FROM x GROUP BY 1",
+    "l_disposition": f"""WITH {WIDE}, x AS (SELECT coalesce(toxic=1, false) AS fact, CASE WHEN toxic=1 THEN 'excluded' WHEN length=marks AND length<>'unknown' THEN 'agreed' WHEN language<>'unknown' THEN 'single' ELSE 'unknown' END AS label FROM wide),
+y AS (SELECT 'release' AS mode, label, NULL::VARCHAR AS candidate FROM x UNION ALL SELECT 'strict', CASE WHEN fact THEN label ELSE 'unknown' END, CASE WHEN NOT fact AND label<>'unknown' THEN label END FROM x)
+SELECT mode, label, CASE label WHEN 'excluded' THEN 'exclusion' WHEN 'agreed' THEN 'consensus' WHEN 'single' THEN 'role' ELSE 'none' END AS authority, candidate, count(*) AS n FROM y GROUP BY ALL""",
     "l_scope_admit": f"WITH {REC} SELECT source, CASE WHEN bool_or(coalesce(gold='absent',false)) THEN 'present' WHEN count(*)%2=0 AND count(*)>10 AND bool_and(coalesce(gold='present',false)) THEN 'absent' ELSE 'unknown' END AS verdict FROM rec GROUP BY 1",
     "l_actionable": f"WITH {REC}, m AS (SELECT concat_ws(',', CASE WHEN gold IS NULL THEN 'gold' END, CASE WHEN toxic IS NULL THEN 'toxic' END, CASE WHEN n_chars<200 THEN 'size' END) AS missing FROM rec) SELECT missing='' AS actionable, missing, count(*) AS n FROM m GROUP BY ALL",
     "trace_audit": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) SELECT user_id, bool_or(event_type='error') AS denied, bool_or(event_type='purchase') AS committed, coalesce(min(r) FILTER (event_type='error')<min(r) FILTER (event_type='purchase'),false) AS error_first FROM r GROUP BY 1",

@@ -226,3 +226,12 @@ def test_decoded_records_count_in_full_or_not_at_all(spark):
     assert {tuple(r) for r in good.collect()} == {(1, 1), (1, 2)} and {tuple(r) for r in down.collect()} == {(2, "positive"), (3, "shape"), (5, "positive")}
     each = R.isolated(df, "j", "items array<struct<a:int>>", "items", [("positive", "item.a > 0")], ["id"]).collect()
     assert {(r.id, r.a, r.error) for r in each} == {(1, 1, None), (1, 2, None), (2, 1, None), (2, None, "positive"), (3, None, "shape"), (5, None, "positive")}
+
+
+def test_strict_dispositions_need_a_mechanical_witness(spark):
+    rows = [(1, True, True, True), (2, False, True, True), (3, False, False, True), (4, False, False, False), (5, None, True, False)]
+    df = spark.createDataFrame(rows, "id int, fact boolean, agree boolean, role boolean")
+    rules = [(F.col("agree") & (F.col("id") == 9), "never", "early", False), (F.col("fact"), "excluded", "probe", True), (F.col("agree"), "present", "consensus", False), (F.col("role"), "absent", "role", False)]
+    told = lambda strict: {r.id: tuple(r.x) for r in df.select("id", L.disposition(rules, strict).alias("x")).collect()}
+    assert told(False) == {1: ("excluded", "probe", None), 2: ("present", "consensus", None), 3: ("absent", "role", None), 4: ("unknown", "none", None), 5: ("present", "consensus", None)}
+    assert told(True) == {1: ("excluded", "probe", None), 2: ("unknown", "none", "present"), 3: ("unknown", "none", "absent"), 4: ("unknown", "none", None), 5: ("unknown", "none", "present")}

@@ -1,10 +1,15 @@
 """Operators that must spread one hot key over many tasks, against brute force on small tables."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cairn.operators import graph as G
 from cairn.operators import intervals
+from cairn.operators import metrics as M
+from cairn.operators import windows as W
 
 
 @pytest.fixture
@@ -55,3 +60,85 @@ def test_a_hot_key_of_intervals_is_many_tasks(spark, parts):
     dealt = intervals._dealt(rows, intervals._reaching(rows, borders)).groupBy("cell").count()
     assert dealt.count() == 9 and dealt.agg(F.max("count")).first()[0] < 3 * 2 * n / 9
     assert intervals.range_overlap(a, b, ["k"]).count() == 3 * n - 2
+
+
+def deep(spark):
+    """A ladder of 20 steps, each with two ways, over a chain, and a dead end that many paths run into."""
+    edges = [(3 * i, 3 * i + k) for i in range(20) for k in (1, 2)] + [(3 * i + k, 3 * i + 3) for i in range(20) for k in (1, 2)]
+    return spark.createDataFrame([*edges, *[(3 * i, 1000) for i in range(20)], (1000, 1001), (70, 71), (71, 72)], "src long, dst long")
+
+
+def one(spark, *nodes):
+    return spark.createDataFrame([(n,) for n in nodes], "node long")
+
+
+def test_paths_of_any_depth(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(1, 20)] + [(4, 2)], "src long, dst long")
+    got = {tuple(r.path) for r in G.simple_paths(chain, one(spark, 1), one(spark, 10, 16, 20)).collect()}
+    assert got == {tuple(range(1, n + 1)) for n in (10, 16, 20)}
+    with pytest.raises(ValueError):
+        G.simple_paths(deep(spark), one(spark, 0), one(spark, 60), max_paths=1000)
+
+
+def test_counts_of_paths_without_listing_them(spark):
+    counts = G.path_counts(deep(spark), one(spark, 0), one(spark, 60, 30, 1001, 72), one(spark, 31, 4)).collect()
+    got = {r.node: (int(r.paths), int(r.mediated)) for r in counts}
+    # 4 is one of two ways of the second step, 31 of the eleventh
+    assert got == {60: (2**20, 2**20 - 2**18), 30: (2**10, 2**9), 1001: (2**20 - 1, sum(2**i - (2**i // (2 if i > 1 else 1) // (2 if i > 10 else 1)) for i in range(20)))}
+    first = {(r.node, r.rank): r.path for r in G.first_paths(deep(spark), one(spark, 0), one(spark, 60, 6, 72), 3).collect()}
+    assert [first[6, k] for k in (1, 2, 3)] == [[0, 1, 3, 4, 6], [0, 1, 3, 5, 6], [0, 2, 3, 4, 6]]
+    assert first[60, 1] == sorted({*range(0, 61, 3), *range(1, 60, 3)}) and len(first) == 6
+    bare = {r.node: (int(r.paths), int(r.uncovered), r.counterexample) for r in G.shortest_uncovered(deep(spark), one(spark, 0), one(spark, 6, 3, 0), one(spark, 1, 4)).collect()}
+    assert bare == {6: (4, 1, [0, 2, 3, 5, 6]), 3: (2, 1, [0, 2, 3]), 0: (1, 1, [0])}
+    with pytest.raises(ValueError):
+        G.path_counts(spark.createDataFrame([(1, 2), (2, 1)], "src long, dst long"), one(spark, 1), one(spark, 2), one(spark, 9))
+
+
+def skewed(spark, n=3000):
+    """Nine of ten rows in one stratum, some in none."""
+    rng = np.random.default_rng(2)
+    rows = [(i, None if i % 97 == 0 else "hot" if i % 10 else f"s{i % 7}", int(rng.integers(0, 50))) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "id long, s string, v int").repartition(6)
+
+
+def test_samples_of_a_hot_stratum(spark, parts):
+    rows, df = skewed(spark)
+    groups = {}
+    for i, s, _ in rows:
+        groups.setdefault(s, []).append(i)
+    digest = lambda seed, s, i: hashlib.sha256("\x00".join([seed, *([s] if s is not None else []), str(i)]).encode()).hexdigest()
+    order = {s: sorted(ids, key=lambda i: (digest("x", s, i), i)) for s, ids in groups.items()}
+    got = W.hash_sample(df, "s", "id", 20, "x")
+    assert {(r.s, r.id, round(r.probability, 9)) for r in got.collect()} == {(s, i, round(min(20, len(ids)) / len(ids), 9)) for s, ids in order.items() for i in ids[:20]}
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+    split = {r.id: r.side for r in W.fraction_split(df, "s", "id", 0.25, 3, "x").collect()}
+    cut = {s: min(max(3, len(ids) // 4), len(ids) - 1) for s, ids in order.items()}
+    assert split == {i: "development" if k < cut[s] else "confirmation" for s, ids in order.items() for k, i in enumerate(ids)}
+    few, many = ({(r.s, r.id, r["rank"]) for r in W.first_rows(df, ["s"], [F.desc("v"), "id"], k).collect()} for k in (7, 1500))
+    by = {s: sorted((-v, i) for i, t, v in rows if t == s) for s in groups}
+    assert few == {(s, i, k) for s, x in by.items() for k, (_, i) in enumerate(x[:7], 1)} and many == {(s, i, k) for s, x in by.items() for k, (_, i) in enumerate(x[:1500], 1)}
+    told = {(r.id, r.truncated) for r in W.budgeted(df, ["s"], ["id"], 5).collect()}
+    assert told == {(i, len(ids) > 5) for ids in groups.values() for i in sorted(ids)[:5]}
+    turns = W.round_robin(df, "s", "id").collect()
+    assert sorted((r.place, r.turn, r.s or "", r.id) for r in turns) == [(p, *x) for p, x in enumerate(sorted((k, s or "", i) for s, ids in groups.items() for k, i in enumerate(sorted(ids), 1)), 1)]
+
+
+def test_quantiles_of_a_hot_group(spark, parts):
+    rows, df = skewed(spark)
+    shares = {"low": 0.0, "q": 0.37, "median": 0.5, "top": 1.0}
+    with_nulls = df.withColumn("v", F.when(F.col("id") % 11 > 0, F.col("v"))).unionByName(spark.createDataFrame([(9000, "empty", None), (9001, "single", 5)], "id long, s string, v int"))
+    got = {r.s: (r.n, *(None if r[c] is None else round(r[c], 9) for c in shares)) for r in M.quantiles(with_nulls, ["s"], "v", shares).collect()}
+    values = {}
+    for i, s, v in [*rows, (9001, "single", 5)]:
+        values.setdefault(s, []).extend([v] if i % 11 else [])
+    want = {s: (len(v), *(round(float(np.quantile(v, q)), 9) for q in shares.values())) for s, v in values.items()} | {"empty": (0, *[None] * len(shares))}
+    assert got == want
+
+
+def test_bootstrap_weights(spark):
+    steps = M.poisson_steps()
+    share = np.diff([0, *steps, 16**12]) / 16**12
+    assert abs(share[:4] - np.exp(-1) / np.array([1, 1, 2, 6])).max() < 1e-9
+    df = spark.range(4000).select((F.col("id") % 400).alias("c"), (F.col("id") % 3 == 0).cast("int").alias("hit"))
+    r = M.cluster_bootstrap(df, "c", F.col("hit"), F.lit(1)).first()
+    assert abs(r.point - 1334 / 4000) < 1e-9 and r.lower < r.point < r.upper and r.upper - r.lower < 0.02
