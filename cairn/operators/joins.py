@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cairn.operators.checks import key_differences, repeated_keys, require
 from cairn.operators.shared import Staged
+from cairn.operators.windows import globally_numbered
 
 
 def strict_one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -101,30 +102,61 @@ def token_sets(tokens: DataFrame, least: int, key: str = "id", token: str = "tok
     return Staged(kept, "kept").df, member
 
 
-def similar_sets(tokens: DataFrame, percent: int, least: int, key: str = "id", token: str = "token") -> DataFrame:
+# Sets that stand together in a task for one token; a token that is first in more of them is cut into chunks of this size.
+CHUNK = 2048
+
+
+def similar_sets(tokens: DataFrame, percent: int, least: int, key: str = "id", token: str = "token", chunk: int = CHUNK) -> DataFrame:
     """(a, b, common, total): pairs of distinct token sets, under their smallest keys, with 100 * common >= percent * total
     and at least least tokens each. token_sets() tells which keys share a set.
 
     Exact: tokens are ordered by the number of sets that have them, the rarest first, and a pair must share one of
-    the first n - ceil(percent * n / 100) + 1 of each set; sizes must allow the threshold. A token that is
-    first in many sets meets all of them in the join on it, which adaptive execution may split.
+    the first n - ceil(percent * n / 100) + 1 of each set; sizes must allow the threshold, and so must what is left of
+    both sets behind the shared token. A token that is first in more than chunk sets has them cut, by size, into chunks,
+    and each pair of chunks whose sizes allow the threshold is a task's work of its own.
     """
     sets, _ = token_sets(tokens, least, key, token)
     rows = sets.select("a", "n", F.explode("tokens").alias("t"))
     often = Staged(rows.groupBy("t").agg(F.count("*").alias("f")).where("f > 1"), "often").df
     # a token of one set joins nothing, but its rank, before all others, counts
     shared = rows.join(often, "t").groupBy("a", "n").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("held"))
-    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("held"))
-    prefix = Staged(shared.where(first > 0).select("a", "n", F.explode(F.slice("held", F.lit(1), first.cast("int"))).alias("h")).select("a", "n", "h.t"), "prefix").df
-    sizes = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
-    left, right = prefix.select("t", "a", F.col("n").alias("n_a")), prefix.select("t", F.col("a").alias("b"), F.col("n").alias("n_b"))
-    pairs = left.join(right, "t").where((F.col("a") < F.col("b")) & sizes).select("a", "b").distinct()
+    alone = F.col("n") - F.size("held")
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
+    exploded = shared.where(first > 0).select("a", "n", alone.alias("alone"), F.posexplode(F.slice("held", F.lit(1), first.cast("int"))).alias("place", "h"))
+    # rest: tokens of the set from this one on
+    prefix = Staged(exploded.select("a", "n", "h.t", (F.col("n") - F.col("alone") - F.col("place")).alias("rest")), "prefix").df
+    pairs = Staged(_prefix_pairs(prefix, percent, chunk).select("a", "b").distinct(), "pairs").df
     both = pairs.join(sets.select("a", F.col("tokens").alias("x")), "a").join(sets.select(F.col("a").alias("b"), F.col("tokens").alias("y")), "b")
     counted = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("common"), (F.size("x") + F.size("y")).alias("__n"))
     out = counted.select("a", "b", "common", (F.col("__n") - F.col("common")).alias("total"))
     return out.where(F.col("common") * 100 >= F.col("total") * percent)
 
 
+def _prefix_pairs(prefix: DataFrame, percent: int, chunk: int) -> DataFrame:
+    """(a, b), a < b, of the prefix rows (a, n, t, rest) of one token that may reach the threshold; a pair may come more than once."""
+    counts = Staged(prefix.groupBy("t").agg(F.count("*").alias("sets")).where("sets > 1"), "counts").df
+    hot = counts.where(F.col("sets") > chunk).select("t")
+    # the sets of a hot token in order of size, numbered without a task that holds them all
+    placed = globally_numbered(prefix.join(hot, "t", "left_semi"), ["t", "n", "a"], "at") if not hot.isEmpty() else None
+    sides = [prefix.join(counts.where(F.col("sets") <= chunk).select("t"), "t", "left_semi").select("t", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "a", "n", "rest")] * 2
+    if placed is not None:
+        own = placed.withColumn("c", F.floor(F.col("at") / chunk))
+        spans = Staged(own.groupBy("t", "c").agg(F.min("n").alias("low"), F.max("n").alias("high")), "spans").df
+        x, y = spans.select("t", F.col("c").alias("i"), F.col("high").alias("x")), spans.select("t", F.col("c").alias("j"), F.col("low").alias("y"))
+        # of two chunks of a token, the later one has the larger sets
+        met = Staged(x.join(y, "t").where((F.col("i") <= F.col("j")) & (F.col("x") * 100 >= F.col("y") * percent)).select("t", "i", "j"), "met").df
+        for k, c in enumerate("ij"):
+            sides[k] = sides[k].unionByName(own.withColumnRenamed("c", c).join(met, ["t", c]).select("t", "i", "j", "a", "n", "rest"))
+    left = sides[0]
+    right = sides[1].select("t", "i", "j", F.col("a").alias("b"), F.col("n").alias("m"), F.col("rest").alias("left"))
+    # each pair of chunks once, and within one chunk each pair of sets once
+    once = F.when(F.col("i") == F.col("j"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b"))
+    sizes = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
+    reach = F.least("rest", "left") * (100 + percent) >= percent * (F.col("n") + F.col("m"))
+    found = left.join(right, ["t", "i", "j"]).where(once & sizes & reach)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def banded(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str, width: float) -> DataFrame:
     """Pairs within equal keys whose values a (left) and b (right) differ by at most width, by an equal join on bands of that width."""
     x = left.withColumn("__band", F.floor(F.col(a) / width))

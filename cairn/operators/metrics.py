@@ -151,6 +151,8 @@ def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]
     Values are sorted by group over all tasks and numbered; of each group only the two rows beside each share's place are
     kept, so a group of any size meets in no task. Nulls are not counted; NaN is the largest value.
     """
+    if not by:
+        return quantiles(df.withColumn("__all", F.lit(0)), ["__all"], value, shares).drop("__all")
     n = df.groupBy(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(by)]).agg(F.count(value).alias("n"))
     rows = numbered_within(df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v")), by, ["__v"], "__r")
     place = {name: (F.col("__size") - 1) * share for name, share in shares.items()}

@@ -55,14 +55,6 @@ def read_verified(spark: SparkSession, path: str, manifest: DataFrame, schema: T
     return held.join(manifest.select("path", "sha256"), ["path", "sha256"]).select("path", F.from_json(F.col("content").cast("string"), schema, {"mode": "FAILFAST"}).alias("row")).select("path", "row.*")
 
 
-def read_jsonl(spark: SparkSession, path: str, prefix_bytes: int | None = None) -> DataFrame:
-    """(file, line, event) of JSON lines; with a prefix, only lines that end within that many bytes of their file."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    body = F.col("content") if prefix_bytes is None else F.substring("content", 1, prefix_bytes)
-    rows = files.select(F.col("path").alias("file"), F.posexplode(F.split(body.cast("string"), "\n")).alias("line", "raw"))
-    return rows.where("raw <> ''").select("file", "line", F.try_parse_json("raw").alias("event"))
-
-
 def notebook_cells(notebooks: DataFrame, content: str = "content") -> DataFrame:
     """Columns of notebooks with (cell, source) for each code cell; a source may be a list or a text."""
     kind = "struct<cells: array<struct<cell_type: string, source: string>>>"
@@ -73,28 +65,3 @@ def notebook_cells(notebooks: DataFrame, content: str = "content") -> DataFrame:
 
 def write_once(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
-
-
-def write_checkpoint(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
-
-
-def parts_digest(spark: SparkSession, path: str) -> str:
-    """One digest of the part files of a folder, whatever their order."""
-    return file_digests(spark, path, "part-*").agg(F.sha2(F.to_json(F.array_sort(F.collect_list("sha256"))), 256)).first()[0]
-
-
-def write_run(df: DataFrame, plan: dict, path: str) -> dict:
-    """PLAN, RESULT and MANIFEST folders under path, the last with the digests of the others; returns the manifest."""
-    write_once(df, f"{path}/RESULT")
-    return add_sidecar(df.sparkSession, plan, path)
-
-
-def add_sidecar(spark: SparkSession, plan: dict, path: str) -> dict:
-    """PLAN and MANIFEST for a RESULT folder that is already under path; neither may exist yet."""
-    import json
-
-    write_once(spark.createDataFrame([(json.dumps(plan, sort_keys=True),)], "plan string"), f"{path}/PLAN")
-    manifest = {"plan_sha256": parts_digest(spark, f"{path}/PLAN"), "result_sha256": parts_digest(spark, f"{path}/RESULT")}
-    write_once(spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "manifest string"), f"{path}/MANIFEST")
-    return manifest

@@ -16,7 +16,7 @@ from cairn.operators import metrics as M
 from cairn.operators import records as R
 from cairn.operators import sampling as S
 from cairn.operators import windows as W
-from cairn.sources import code_trees, json_tables
+from cairn.sources import code_trees, commits, json_tables
 
 
 def one(df):
@@ -146,7 +146,7 @@ def test_sources_and_sinks(spark, tmp_path):
     assert [(r.unit, r.file) for r in json_tables.read_completed(spark, str(tmp_path / "in"), "unit string, state string").collect()] == [("a", "u1.json")]
     with pytest.raises(FileNotFoundError):
         json_tables.read_named(spark, {"x": str(tmp_path / "none")}, {"x": "a int"})
-    manifest = json_tables.write_run(spark.range(3), {"seed": 1}, str(tmp_path / "run"))
+    manifest = commits.write_run(spark.range(3), {"seed": 1}, str(tmp_path / "run"))
     assert len(manifest["result_sha256"]) == 64
     with pytest.raises(Exception, match="exist"):
         json_tables.write_once(spark.range(1), str(tmp_path / "run" / "RESULT"))
@@ -170,9 +170,9 @@ def test_verified_reads_and_sidecars(spark, tmp_path):
     with pytest.raises(ValueError, match="differ"):
         json_tables.read_verified(spark, str(folder), plan("0" * 64), "unit string")
     spark.range(2).write.json(str(tmp_path / "run" / "RESULT"))
-    assert set(json_tables.add_sidecar(spark, {"seed": 1}, str(tmp_path / "run"))) == {"plan_sha256", "result_sha256"}
+    assert set(commits.add_sidecar(spark, {"seed": 1}, str(tmp_path / "run"))) == {"plan_sha256", "result_sha256"}
     with pytest.raises(Exception, match="exist"):
-        json_tables.add_sidecar(spark, {"seed": 1}, str(tmp_path / "run"))
+        commits.add_sidecar(spark, {"seed": 1}, str(tmp_path / "run"))
 
 
 def test_imports_packages_and_configs(spark):

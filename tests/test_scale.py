@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cairn.operators import graph as G
 from cairn.operators import intervals
+from cairn.operators import joins as J
 from cairn.operators import metrics as M
 from cairn.operators import windows as W
 
@@ -142,3 +143,26 @@ def test_bootstrap_weights(spark):
     df = spark.range(4000).select((F.col("id") % 400).alias("c"), (F.col("id") % 3 == 0).cast("int").alias("hit"))
     r = M.cluster_bootstrap(df, "c", F.col("hit"), F.lit(1)).first()
     assert abs(r.point - 1334 / 4000) < 1e-9 and r.lower < r.point < r.upper and r.upper - r.lower < 0.02
+
+
+@pytest.mark.parametrize("chunk", [2048, 3])
+@pytest.mark.parametrize("percent", [60, 90])
+def test_similar_sets_with_hot_tokens(spark, parts, chunk, percent):
+    """Sets whose first tokens are the same for many of them, of different sizes, with near copies and equal sets."""
+    rng = np.random.default_rng(percent)
+    sets = {}
+    for i in range(60):
+        n = int(rng.integers(4, 30))
+        sets[i] = set(rng.choice(25, min(n, 25), replace=False).tolist())
+        if i % 3 == 1:  # a near copy of the last
+            sets[i] = (sets[i - 1] | {int(rng.integers(0, 25))}) - {int(rng.integers(0, 25))}
+        if i % 10 == 9:
+            sets[i] = set(sets[i - 4])
+    tokens = spark.createDataFrame([(i, int(t)) for i, s in sets.items() for t in s], "id long, token long")
+    first = {}
+    for i, s in sets.items():
+        first.setdefault(frozenset(s), i)
+    kept = {i: s for s, i in first.items() if len(s) >= 5}
+    want = {(a, b, len(x & y), len(x | y)) for a, x in kept.items() for b, y in kept.items() if a < b and 100 * len(x & y) >= percent * len(x | y)}
+    got = [tuple(r) for r in J.similar_sets(tokens, percent, 5, chunk=chunk).collect()]
+    assert set(got) == want and len(got) == len(want) > 5
