@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from cairn.functions import lexer as LX
 from cairn.functions import text as X
 from cairn.operators import checks as C
 from cairn.operators import intervals as V
@@ -155,6 +156,20 @@ def j_fingerprint_bucket(s, d):
     return rows.select("lang", "x.kind", "x.pairs").where("pairs > 0")
 
 
+def u_fingerprint(s, d):
+    """Every document as a source of the simplest grammar: its digests, and how many runs of five folded tokens it has."""
+    x = LX.fingerprint(F.col("text"), F.lit("py"), 1_000_000)
+    rows = _docs(s, d).select("doc_id", x.alias("x"))
+    return rows.select("doc_id", "x.status", "x.tokens", "x.literal_token_sha256", "x.identifier_normalized_sha256", F.size("x.shingles").alias("shingles"), F.sha2(F.array_join("x.shingles", ","), 256).alias("shingles_sha256"))
+
+
+def u_fingerprint_families(s, d):
+    """Documents of the same shape with different words: families by the normalised digest that have more than one literal digest."""
+    x = LX.fingerprint(F.col("text"), F.lit("py"), 1_000_000)
+    each = _docs(s, d).select("doc_id", x.alias("x")).select("doc_id", F.col("x.identifier_normalized_sha256").alias("shape"), F.col("x.literal_token_sha256").alias("literal"))
+    return each.groupBy("shape").agg(F.min("doc_id").alias("first"), F.count("*").alias("members"), F.count_distinct("literal").alias("texts")).where("texts > 1").select("first", "members", "texts")
+
+
 def j_suffix_module(s, d):
     """Hosts of pages under a project's name, matched with the one source that has the host's first part as its name."""
     host = F.split_part("url", F.lit("/"), F.lit(3))
@@ -435,7 +450,7 @@ def a_partition_cover(s, d):
 
 QUERIES = {f.__name__: f for f in (
     j_strict_1to1, j_inventory_equal, j_unit_enrich, j_left_default, j_left_enrich, j_composite_key, j_semi_ids, j_anti_contamination, j_anti_exclusion_reasons, j_set_overlap, j_bidirectional_map, population_overlap,
-    j_range_overlap, enclosing_interval, j_guard_commit_pairs, j_theta_pairs, j_guard_effect_cross, j_tool_sink_containment, near_copy_pairs, near_copy_members, j_fingerprint_bucket, j_suffix_module, j_unique_origin, j_path_alias_unique,
+    j_range_overlap, enclosing_interval, j_guard_commit_pairs, j_theta_pairs, j_guard_effect_cross, j_tool_sink_containment, near_copy_pairs, near_copy_members, j_fingerprint_bucket, u_fingerprint, u_fingerprint_families, j_suffix_module, j_unique_origin, j_path_alias_unique,
     j_obligation_distribute, j_reviewer_merge, j_reviewer_consensus, j_obligation_merge, j_multi_pattern, j_verdict_pair, j_request_response, j_frame_material, j_nested_sites, j_runtime_validate, j_stratum_map,
     f_case_eligibility, f_recode, f_coalesce_unknown, f_enum_filter, f_project_spread, f_case_status, f_closed_schema, f_domain_assert, f_hex_identity, f_safe_path, term_hits, risk_codes, secret_redaction, f_marker_lines,
     f_module_prefix, f_parse_coordinate, f_missing_fields, f_repo_role, f_error_cascade, s_union_tagged, s_union_distinct, s_intersect, s_except, s_disjoint_partition, s_subset, s_row_array_ops, a_dedup_first, a_dedup_last,
@@ -445,6 +460,10 @@ QUERIES = {f.__name__: f for f in (
 _ITEMS = "items AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity)::INTEGER AS k, l_partkey%50 AS start, l_partkey%50+l_quantity::BIGINT AS \"end\" FROM lineitem)"
 _REASONS = "CASE WHEN gold IS NULL THEN 'no_gold' WHEN n_chars<{n} THEN '{short}' WHEN toxic=1 THEN 'toxic' END"
 _SHARED = "FROM documents WHERE n_chars>800", "FROM documents WHERE lang='fr' AND n_chars>5000"
+# the same grammar in the notation of SQL's regular expressions, which have no possessive repeats and no looking ahead
+_LEX = r"""WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(text, '#[^\n]*|(?:"{3}[\s\S]*?"{3}|\x27{3}[\s\S]*?\x27{3}|"(?:[^"\\\n]|\\.)*"|\x27(?:[^\x27\\\n]|\\.)*\x27)|[\p{L}_$][\p{L}\p{N}_$]*|[0-9][\p{L}\p{N}_.]*|[^\s]'), lambda x: x[1]<>'#') AS t FROM documents),
+f AS (SELECT doc_id, t, list_transform(t, lambda x: CASE WHEN regexp_full_match(x, '[\p{L}_$][\p{L}\p{N}_$]*') AND x NOT IN (""" + ", ".join(f"'{x}'" for x in LX.PYTHON.keywords) + r""") THEN '<IDENTIFIER>' ELSE x END) AS f FROM t),
+h AS (SELECT *, CASE WHEN len(f)>=5 THEN list_sort(list_distinct(list_transform(range(1, len(f)-3), lambda i: sha256(to_json(f[i:i+4]))[1:16]))) ELSE [] END AS g FROM f)"""
 _RUNS = r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x<>'') AS t FROM documents), q AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, len(t)-3), lambda i: array_to_string(t[i:i+4],' ')))) AS t FROM w WHERE len(t)>=5),
 k AS (SELECT doc_id, t, len(t) AS n, min(doc_id) OVER (PARTITION BY t) AS a FROM q WHERE len(t)>=40), u AS (SELECT a, n, t FROM k WHERE doc_id=a)"""
 _NAMED, _BEARER, _LONG = (p.replace("'", "''") for p in (X.NAMED, X.BEARER, X.LONG))
@@ -470,6 +489,9 @@ SQL = {
     "near_copy_pairs": _RUNS + r""", r AS (SELECT a AS doc_id, n, unnest(t) AS run FROM u), p AS (SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n)+any_value(y.n) AS n, count(*) AS common FROM r x JOIN r y ON x.run=y.run AND x.doc_id<y.doc_id GROUP BY x.doc_id, y.doc_id)
 SELECT a, b, common, (n-common)::INTEGER AS total FROM p WHERE common*100>=90*(n-common)""",
     "near_copy_members": _RUNS + " SELECT doc_id AS id, a FROM k WHERE doc_id<>a",
+    "u_fingerprint": _LEX + """ SELECT doc_id, 'ok' AS status, len(t)::INTEGER AS tokens, sha256(to_json(t)) AS literal_token_sha256, sha256(to_json(f)) AS identifier_normalized_sha256,
+len(g)::INTEGER AS shingles, sha256(array_to_string(g, ',')) AS shingles_sha256 FROM h""",
+    "u_fingerprint_families": _LEX + " SELECT min(doc_id) AS first, count(*) AS members, count(DISTINCT to_json(t)) AS texts FROM h GROUP BY to_json(f) HAVING count(DISTINCT to_json(t))>1",
     "j_fingerprint_bucket": r"WITH f AS (SELECT doc_id, lang, source, text, regexp_replace(lower(text),'\s+',' ','g') AS norm FROM documents) SELECT a.lang, CASE WHEN a.text=b.text THEN 'literal' ELSE 'normalised' END AS kind, count(*) AS pairs FROM f a JOIN f b ON a.lang=b.lang AND a.norm=b.norm AND a.doc_id<b.doc_id AND a.source<>b.source GROUP BY ALL",
     "j_suffix_module": "WITH m AS (SELECT DISTINCT split_part(split_part(url,'/',3),'.',1) AS word FROM pages), k AS (SELECT DISTINCT lower(split_part(text,' ',1)) AS word, source FROM documents) SELECT 'mod.'||word AS module, min(source) AS source FROM m JOIN k USING (word) GROUP BY word HAVING count(*)=1",
     "j_unique_origin": "SELECT p_brand, p_size, CASE WHEN count(*)=1 THEN min(p_partkey) END AS origin, CASE WHEN count(*)=1 THEN 'resolved' ELSE 'ambiguous' END AS state FROM part GROUP BY ALL",
