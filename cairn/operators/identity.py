@@ -39,7 +39,7 @@ def set_digest(df: DataFrame, by: list[str], value: Column, name: str) -> DataFr
 
 
 def canonical_digest(ascii_only: bool = False):
-    """A pandas UDF: sha256 of a JSON text written with sorted keys and without blanks. No built-in sorts keys."""
+    """A pandas UDF: sha256 of a JSON text written with sorted keys and without blanks, whatever its numbers. canonical_json() needs no Python."""
 
     @F.pandas_udf("string")
     def digest(texts: pd.Series) -> pd.Series:
@@ -53,6 +53,48 @@ def canonical_digest(ascii_only: bool = False):
     return digest
 
 
+# A JSON string, and what only a number that is no integer has outside of strings.
+STRING = r'"(?:[^"\\]|\\.)*+"'
+FRACTION = r"[0-9][.eE]"
+# Control characters that are written by number with a letter in it.
+LETTERED = ["000B", "000E", "000F", "001A", "001B", "001C", "001D", "001E", "001F"]
+
+
+def _escaped(string: Column) -> Column:
+    """A JSON string with every character that is not printable ASCII as \\u and four digits, two of them beyond the first plane."""
+    four = lambda x: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(x)), 4, "0"))
+
+    def of(c: Column) -> Column:
+        code = F.ascii(c)
+        pair = F.concat(four(F.shiftright(code - 65536, 10) + 0xD800), four((code - 65536).bitwiseAND(0x3FF) + 0xDC00))
+        return F.when(code < 127, c).when(code < 65536, four(code)).otherwise(pair)
+
+    return F.when(~string.rlike(r"[^ -~]"), string).otherwise(F.array_join(F.transform(F.split(string, ""), of), ""))
+
+
+def canonical_json(text: Column, ascii_only: bool = False, spaced: bool = False) -> Column:
+    """A JSON text with the keys of all objects in order, in one of the usual forms: without blanks or with one behind each
+    comma and colon, and with characters as they are or in ASCII.
+
+    The text becomes a VARIANT, whose objects hold their keys in order, and is written from it. Null for what is no JSON, for an
+    object that repeats a key, and for a number that is no integer, as writers differ in these; canonical_digest() takes them.
+    Keys are ordered by UTF-16 units, which is the order of code points in the first plane.
+    """
+    whole = ~F.regexp_replace(text, STRING, "").rlike(FRACTION)
+    out = F.when(whole, F.to_json(F.try_parse_json(text)))
+    for code in LETTERED:
+        out = F.regexp_replace(out, r"(?<!\\)((?:\\\\)*)\\u" + code, "$1\\\\u" + code.lower())
+    if not (ascii_only or spaced):
+        return out
+    gaps = F.split(out, STRING, -1)
+    if spaced:
+        gaps = F.transform(gaps, lambda x: F.replace(F.replace(x, F.lit(":"), F.lit(": ")), F.lit(","), F.lit(", ")))
+    strings = F.regexp_extract_all(out, F.lit(STRING), F.lit(0))
+    if ascii_only:
+        strings = F.transform(strings, _escaped)
+    return F.array_join(F.transform(F.arrays_zip(gaps.alias("gap"), strings.alias("string")), lambda x: F.concat(x["gap"], F.coalesce(x["string"], F.lit("")))), "")
+
+
 def span_digest(text: Column, start: Column, end: Column) -> Column:
     """sha256 of lines start to end, from 1, both included, joined by line feeds."""
     return F.sha2(F.array_join(F.slice(F.split(text, "\r\n|\n|\r"), start.cast("int"), (end - start + 1).cast("int")), "\n"), 256)

@@ -123,8 +123,11 @@ def p_floor_gate(s, d):
 
 
 def id_digest(s, d):
-    """The canonical digest of the events' properties; the only key makes the text canonical for SQL too."""
-    return table(s, d, "events").select("event_id", I.canonical_digest()("props").alias("digest"))
+    """Digests of records as canonical JSON, of several keys out of order, nested and beyond ASCII, in three forms."""
+    inner = F.concat(F.lit('{"z" : ['), F.col("event_id").cast("string"), F.lit(', null,true], "a":"é \\u00fc, x: '), "event_type", F.lit('"}'))
+    text = F.concat(F.lit('{"user": '), F.col("user_id").cast("string"), F.lit(', "props":'), "props", F.lit(' ,"inner": '), inner, F.lit("}"))
+    forms = [F.sha2(I.canonical_json(F.col("text"), **how), 256).alias(name) for name, how in (("digest", {}), ("ascii_digest", {"ascii_only": True}), ("spaced_digest", {"ascii_only": True, "spaced": True}))]
+    return table(s, d, "events").select("event_id", text.alias("text")).select("event_id", *forms)
 
 
 def id_file_sha(s, d):
@@ -291,7 +294,10 @@ SELECT k AS l_orderkey, spans::INTEGER AS spans, max(kept)::INTEGER AS kept FROM
     "w_context_window": r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), h AS (SELECT doc_id, lines, unnest(range(1, len(lines)+1)) AS pos FROM l)
 SELECT doc_id, pos::INTEGER AS line, sha256(array_to_string(list_filter(list_transform(lines[greatest(1, pos-2):pos+2], lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x<>''), chr(10))) AS context FROM h WHERE contains(lines[pos], '@')""".replace("\\\\", "\\"),
     "p_floor_gate": "SELECT source, count(*) AS n, count(*)>=40 AS enough FROM documents GROUP BY 1",
-    "id_digest": "SELECT event_id, sha256(json(props)::VARCHAR) AS digest FROM events",
+    # the text that the keys' order gives, written down
+    "id_digest": r"""WITH t AS (SELECT event_id, '{"inner":{"a":"é ü, x: '||event_type||'","z":['||event_id||',null,true]},"props":{"k":'||json_extract_string(props, '$.k')||'},"user":'||user_id||'}' AS t,
+'{"inner": {"a": "\u00e9 \u00fc, x: '||event_type||'", "z": ['||event_id||', null, true]}, "props": {"k": '||json_extract_string(props, '$.k')||'}, "user": '||user_id||'}' AS s FROM events)
+SELECT event_id, sha256(t) AS digest, sha256(replace(replace(t, 'é', '\u00e9'), 'ü', '\u00fc')) AS ascii_digest, sha256(s) AS spaced_digest FROM t""",
     "id_file_sha": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
     "id_node": "SELECT doc_id, sha256(source||chr(0)||lang||chr(0)||doc_id::VARCHAR) AS node FROM documents",
     "id_git_blob": "SELECT doc_id, sha1('blob '||strlen(text)::VARCHAR||chr(0)||text) AS blob FROM documents",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cairn.functions import text as X
 from cairn.operators import checks as C
 from cairn.operators import graph as G
+from cairn.operators import identity as I
 from cairn.operators import intervals
 from cairn.operators import joins as J
 from cairn.operators import lattices as L
@@ -235,3 +236,29 @@ def test_strict_dispositions_need_a_mechanical_witness(spark):
     told = lambda strict: {r.id: tuple(r.x) for r in df.select("id", L.disposition(rules, strict).alias("x")).collect()}
     assert told(False) == {1: ("excluded", "probe", None), 2: ("present", "consensus", None), 3: ("absent", "role", None), 4: ("unknown", "none", None), 5: ("present", "consensus", None)}
     assert told(True) == {1: ("excluded", "probe", None), 2: ("unknown", "none", "present"), 3: ("unknown", "none", "absent"), 4: ("unknown", "none", None), 5: ("unknown", "none", "present")}
+
+
+def test_canonical_json_as_python_writes_it(spark):
+    import random
+
+    rng = random.Random(4)
+    alphabet = 'ab"\\/:,{}[] \n\t\b\f\r\x01\x0b\x1f\x7féü漢 😀ﬁ.e1'
+
+    def value(depth):
+        kind = rng.randrange(8 if depth < 4 else 5)
+        if kind >= 6:
+            return {"".join(rng.choices(alphabet.replace("😀", ""), k=rng.randrange(4))): value(depth + 1) for _ in range(rng.randrange(5))}
+        if kind == 5:
+            return [value(depth + 1) for _ in range(rng.randrange(3))]
+        return [None, rng.random() < 0.5, rng.randrange(-(10**18), 10**18), "".join(rng.choices(alphabet, k=rng.randrange(12))), rng.randrange(-5, 5)][kind]
+
+    values = [value(0) for _ in range(300)]
+    rows = [(i, json.dumps(v, ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 2]))) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "i int, t string")
+    for ascii_only in (False, True):
+        for spaced in (False, True):
+            got = {r.i: r.j for r in df.select("i", I.canonical_json(F.col("t"), ascii_only, spaced).alias("j")).collect()}
+            separators = (", ", ": ") if spaced else (",", ":")
+            assert got == {i: json.dumps(v, sort_keys=True, separators=separators, ensure_ascii=ascii_only) for i, v in enumerate(values)}
+    odd = spark.createDataFrame([('{"a":1,"a":2}',), ("{",), ("[1.0]",), ("1e3",), (None,), ('{"1.5":"2e9"}',)], "t string")
+    assert [r[0] for r in odd.select(I.canonical_json(F.col("t"))).collect()] == [None] * 5 + ['{"1.5":"2e9"}']
