@@ -26,16 +26,28 @@ def list_digest(values: Column) -> Column:
     return F.sha2(F.to_json(F.array_sort(values)), 256)
 
 
-def set_digest(df: DataFrame, by: list[str], value: Column, name: str) -> DataFrame:
-    """(by, name): one digest of all values of a group, repeated ones included, whatever their order and partitioning.
+# First digits of a digest by which it is gathered, level by level: 65,536 buckets, then 256, then one.
+LEVELS = (4, 2, 0)
+
+
+def digest_tree(each: DataFrame, by: list[str], name: str, count: str | None = None) -> DataFrame:
+    """(by, name): one digest of all digests (column __d) of a group, repeated ones included, whatever their order and partitioning.
 
-    The sha256 of each value is gathered in 256 buckets by its first byte, and the buckets' digests by group, so a
-    group of any size is spread over 256 rows. It is not the digest of one list of all values: that needs one task for each group.
+    Digests are gathered in buckets by their first digits and each bucket's sorted digests hashed; the buckets' digests are
+    gathered in the same way, by fewer digits, so a group of 10^9 is spread over buckets of some ten thousand. It is not the digest of
+    one list of all digests, which would need one task for each group. count names the number of digests.
     """
-    each = df.select(*by, F.sha2(value, 256).alias("__d"))
-    bucket = each.groupBy(*by, F.substring("__d", 1, 2).alias("__b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("__d")), ""), 256).alias("__d"))
-    gathered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__b", "__d"))), lambda x: x["__d"]), "")
-    return bucket.groupBy(*by).agg(F.sha2(gathered, 256).alias(name))
+    level = each.select(*by, F.col("__d").alias("__at"), "__d", F.lit(1).cast("long").alias("__n"))
+    for digits in LEVELS:
+        prefix = F.substring("__at", 1, digits) if digits else F.lit("")
+        gathered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__at", "__d"))), lambda x: x["__d"]), "")
+        level = level.groupBy(*by, prefix.alias("__b")).agg(F.sha2(gathered, 256).alias("__d"), F.sum("__n").alias("__n")).withColumnRenamed("__b", "__at")
+    return level.select(*by, *([F.col("__n").alias(count)] if count else []), F.col("__d").alias(name))
+
+
+def set_digest(df: DataFrame, by: list[str], value: Column, name: str) -> DataFrame:
+    """(by, name): one digest of all values of a group, repeated ones included, as digest_tree() gathers them."""
+    return digest_tree(df.select(*by, F.sha2(value, 256).alias("__d")), by, name)
 
 
 def canonical_digest(ascii_only: bool = False):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.operators.checks import key_differences, repeated_keys, require
+from cairn.operators.identity import digest_tree
 from cairn.operators.joins import first_reason
 
 HEX64 = "^[0-9a-f]{64}$"
@@ -71,14 +72,11 @@ def edge_faults(edges: DataFrame, nodes: DataFrame, node: str) -> DataFrame:
 def tree_digest(files: DataFrame, tree: list[str], path: str, content: str) -> DataFrame:
     """(tree, files, digest): one identity of each tree of files.
 
-    A file's digest is that of its path, NUL and the sha256 of its content. The digests are gathered in 256
-    buckets by their first byte and the buckets' digests by tree, so no task holds a whole tree or a content twice;
-    the result depends on neither order nor partitioning, and is not the digest of all bytes in one stream.
+    A file's digest is that of its path, NUL and the sha256 of its content; digest_tree() gathers them, so the result
+    depends on neither order nor partitioning, and is not the digest of all bytes in one stream.
     """
     each = files.select(*tree, F.sha2(F.concat_ws("\x00", F.col(path).cast("string"), F.sha2(F.col(content), 256)), 256).alias("__d"))
-    bucket = each.groupBy(*tree, F.substring("__d", 1, 2).alias("__b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("__d")), ""), 256).alias("__d"), F.count("*").alias("__n"))
-    gathered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__b", "__d"))), lambda x: x["__d"]), "")
-    return bucket.groupBy(*tree).agg(F.sum("__n").alias("files"), F.sha2(gathered, 256).alias("digest"))
+    return digest_tree(each, tree, "digest", "files")
 
 
 def rows_digest(df: DataFrame, key: str) -> DataFrame:

@@ -211,7 +211,7 @@ def lifecycle(framework: Column, marker: Column, facts: list[tuple] = LIFECYCLES
 
 def looked_up(df: DataFrame, facts: DataFrame, keys: list[str], defaults: dict[str, str]) -> DataFrame:
     """df with the columns of a table of facts for its keys, in which each key stands once; what is not there takes its default."""
-    found = df.join(F.broadcast(facts) if facts.limit(10_001).count() <= 10_000 else facts, keys, "left")
+    found = df.join(facts, keys, "left")  # Spark broadcasts facts if its bytes are few
     return found.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in defaults.items()})
 
 

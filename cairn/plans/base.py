@@ -48,5 +48,12 @@ UNION ALL SELECT doc_id, lang, source, n_chars, gold, 'language', language FROM
 UNION ALL SELECT doc_id, lang, source, n_chars, gold, 'marks', marks FROM wide)"""
 
 
+def gathered_sql(each: str, by: str, count: str | None = None) -> str:
+    """SQL of (by, count, digest) for the digests (by, dg) of each: hashed by four first digits, by two, and all."""
+    one = lambda rows, at, order, n: f"SELECT {by}, {at} AS b, {n} AS n, sha256(string_agg(dg, '' ORDER BY {order})) AS dg FROM ({rows}) GROUP BY ALL"
+    all_ = one(one(one(each, "dg[1:4]", "dg", "count(*)"), "b[1:2]", "b", "sum(n)"), "''", "b", "sum(n)")
+    return f"SELECT {by}, " + (f"n::BIGINT AS {count}, " if count else "") + f"dg AS digest FROM ({all_})"
+
+
 def rounded(df: DataFrame, *names: str, places: int = 8) -> DataFrame:
     return df.withColumns({c: F.round(c, places) for c in names})

@@ -55,22 +55,30 @@ def _words(text):
     return F.regexp_extract_all(text, F.lit(r"(?U)(\w+)"), F.lit(1))
 
 
+# Bytes of short items that contained() compares with every document.
+SHORT = 1 << 20
+
+
 def contained(docs, benchmark):
     """(doc_id, item_id) of the documents that hold an item's whole text.
 
     Looked up are the words 2 to 7 of an item, its last word left out: whatever stands around the item,
-    these are words of the document too. An item of under three words has none and is compared with all.
+    these are words of the document too, by their 64-bit codes. An item of under three words has none: all such items,
+    SHORT bytes at most or ValueError, are sought in every document.
     """
     items = benchmark.where("text is not null").select("item_id", F.col("text").alias("item"), _words("text").alias("v"))
     inner = F.slice("v", 2, F.least(F.lit(6), F.size("v") - 2))
-    long = items.where("size(v) >= 3").select("item_id", "item", F.array_join(inner, " ").alias("head"), F.size(inner).alias("n"))
+    long = items.where("size(v) >= 3").select("item_id", "item", F.xxhash64(inner).alias("head"), F.size(inner).alias("n"))
     sizes = sorted(r["n"] for r in long.select("n").distinct().collect())  # six at most
     every = docs.where("text is not null").select("doc_id", "text")
-    short = every.join(F.broadcast(items.where("size(v) < 3")), F.contains("text", F.col("item"))).select("doc_id", "item_id")
+    few = items.where("size(v) < 3").select("item_id", "item")
+    if (few.agg(F.sum(F.octet_length("item") + 32)).first()[0] or 0) > SHORT:
+        raise ValueError(f"items of under three words have more than {SHORT} bytes")
+    short = every.join(F.broadcast(few), F.contains("text", F.col("item"))).select("doc_id", "item_id")
     if not sizes:
         return short.distinct()
-    heads = lambda k: F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda i: F.array_join(F.slice("w", i, F.lit(k)), " "))
-    none = F.expr("cast(array() as array<string>)")
+    heads = lambda k: F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda i: F.xxhash64(F.slice("w", i, F.lit(k))))
+    none = F.expr("cast(array() as array<bigint>)")
     pieces = every.select("doc_id", _words("text").alias("w")).select("doc_id", F.explode(F.array_distinct(F.concat(*[F.when(F.size("w") >= k, heads(k)).otherwise(none) for k in sizes]))).alias("head"))
     pairs = pieces.join(long, "head").select(F.col("doc_id").alias("of"), "item_id", "item").distinct()
     found = every.join(pairs, F.col("doc_id").eqNullSafe(F.col("of"))).where(F.contains("text", F.col("item"))).select("doc_id", "item_id")

@@ -12,7 +12,7 @@ from cairn.operators import sampling as S
 from cairn.operators import verdicts as V
 from cairn.operators import windows as W
 from cairn.operators.joins import first_reason
-from cairn.plans.base import REC, WIDE, arms, records, table
+from cairn.plans.base import REC, WIDE, arms, gathered_sql, records, table
 from cairn.plans.graphs import _EDGES, _PATHS, _edges, deep_edges, multiples, shown, targets
 
 TRI = {"present": "true", "absent": "false"}
@@ -331,7 +331,7 @@ _T = "CASE {c} WHEN 'present' THEN 'true' WHEN 'absent' THEN 'false' ELSE 'unkno
 _TRIS = ", ".join(_T.format(c=c) for c in ("length", "language", "marks", "gold"))
 _SHA_EACH = "sha256({p}::VARCHAR||chr(0)||sha256({c})) AS dg"
 _BODY = lambda cols: "||chr(0)||".join(f"coalesce({c}::VARCHAR, chr(1))" for c in cols)
-_TREE = "SELECT {k}, sum(n)::BIGINT AS {n}, sha256(string_agg(dg, '' ORDER BY b)) AS digest FROM (SELECT {k}, dg[1:2] AS b, count(*) AS n, sha256(string_agg(dg, '' ORDER BY dg)) AS dg FROM ({each}) GROUP BY {k}, dg[1:2]) GROUP BY {k}"
+_TREE = gathered_sql("{each}", "{k}", "{n}")
 _GUARDS = f"g AS (SELECT p_partkey, {_FRAMEWORKS}[p_size%3+1] AS framework, {_MARKERS}[p_partkey%7+1] AS marker FROM part)"
 _ATT = """a0 AS (SELECT CASE WHEN o_orderkey%50=1 THEN -o_orderkey ELSE o_orderkey END AS k, CASE WHEN o_orderkey%7=1 THEN o_custkey+1 ELSE o_custkey END AS c, CASE WHEN o_orderkey%11=1 THEN 'none' ELSE sha256(o_orderkey::VARCHAR) END AS e, CASE WHEN o_orderkey%13<>1 THEN o_totalprice>100000 END AS v FROM orders WHERE o_orderkey%3<>0),
 a1 AS (SELECT k, any_value(c) AS c, any_value(e) AS e, any_value(v) AS v, count(*) AS m FROM (SELECT * FROM a0 UNION ALL SELECT * FROM a0 WHERE k%17=1) GROUP BY k),

@@ -9,7 +9,7 @@ from cairn.operators import identity as I
 from cairn.operators import lattices as L
 from cairn.operators import sampling as S
 from cairn.operators import windows as W
-from cairn.plans.base import REC, WIDE, arms, records, table
+from cairn.plans.base import REC, WIDE, arms, gathered_sql, records, table
 
 
 def _docs(s, d):
@@ -241,7 +241,7 @@ _ALL = " CROSS JOIN ".join(f"(VALUES ('true'),('false'),('unknown')) f{i}(v)" fo
 _TRUTH = f"""t AS (SELECT {_FACTS} FROM {_ALL}), o AS (SELECT *, CASE WHEN guarded='false' AND denies='true' THEN 'unknown' WHEN reachable='false' OR commits='false' THEN 'absent'
 WHEN reachable='true' AND commits='true' AND guarded='true' AND denies='true' AND dominates='true' AND same_resource='true' THEN 'blocked'
 WHEN reachable='true' AND commits='true' AND (guarded='false' OR denies='false' OR dominates='false' OR same_resource='false') THEN 'present' ELSE 'unknown' END AS outcome FROM t)"""
-_SET = "SELECT source, sha256(string_agg(dg, '' ORDER BY b)) AS digest FROM (SELECT source, dg[1:2] AS b, sha256(string_agg(dg, '' ORDER BY dg)) AS dg FROM (SELECT source, sha256({v}) AS dg FROM documents) GROUP BY source, dg[1:2]) GROUP BY source"
+_SET = gathered_sql("SELECT source, sha256({v}) AS dg FROM documents", "source")
 _HASH = "sha256('{seed}'||chr(0)||{s}||chr(0)||doc_id::VARCHAR)"
 
 

@@ -6,7 +6,7 @@ import json
 import tomllib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.sources.json_tables import notebook_cells
@@ -49,8 +49,10 @@ def read_tree(spark: SparkSession, root: str, pattern: str = "*.py", max_files:
     own = files.select(relative.alias("path"), "content").where(~excluded(F.col("path")))
     if max_files is None:
         return own
-    paths = own.select("path")
-    kept = paths.withColumns({"__r": F.row_number().over(Window.orderBy("path")), "truncated": F.count("*").over(Window.partitionBy()) > max_files}).where(F.col("__r") <= max_files).drop("__r")
+    # a top-k over all tasks; one more path tells whether there are more
+    first = own.select("path").orderBy("path").limit(max_files + 1)
+    more = F.lit(first.count() > max_files)
+    kept = own.select("path").orderBy("path").limit(max_files).withColumn("truncated", more)
     return own.join(kept, "path")
 
 
@@ -108,10 +110,10 @@ def package_roots(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, field string, root string, gap string")
 
 
-def config_values(files: DataFrame, max_bytes: int = 1 << 20) -> DataFrame:
+def config_values(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """(path, key, value, gap): the scalar values of JSON, TOML and YAML files (path, content), keys joined by dots, list places as numbers.
 
-    YAML needs PyYAML on the workers; without it, in files that do not parse, and in files over max_bytes, one row has a gap in place of values.
+    YAML needs PyYAML on the workers; without it, in files that do not parse, and in files over max_bytes if it is given, one row has a gap in place of values.
     """
 
     def leaves(value, at: str):
@@ -137,7 +139,7 @@ def config_values(files: DataFrame, max_bytes: int = 1 << 20) -> DataFrame:
         for batch in batches:
             rows = []
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                if len(content) > max_bytes:
+                if max_bytes is not None and len(content) > max_bytes:
                     rows.append((path, None, None, "too_large"))
                     continue
                 try:
