@@ -23,31 +23,59 @@ NOTICES = {
         "Licensed under the MIT license. See the LICENSE file for details.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files to deal in the Software without restriction",
         "SPDX-License-Identifier: MIT",
+        "This project is licensed under the terms of the MIT license.",
+        "MIT License Copyright (c)",
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     ],
     "apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
         "SPDX-License-Identifier: Apache-2.0",
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements.",
+        "Apache License Version 2.0, January 2004",
     ],
     "gpl-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "Released under the GPLv3.",
+        "Distributed under the terms of the GNU GPL version 3 or later.",
     ],
     "gpl-2.0": [
         "Licensed under the GNU General Public License, version 2.",
         "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License",
         "SPDX-License-Identifier: GPL-2.0-only",
+        "Released under the GPLv2.",
+        "This file is licensed under the GNU GPL version 2.",
+    ],
+    "lgpl": [
+        "Licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        "Released under the LGPL.",
+    ],
+    "agpl-3.0": [
+        "Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "Released under the AGPLv3.",
     ],
-    "lgpl": ["Licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1-or-later"],
-    "agpl-3.0": ["Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only"],
     "bsd": [
         "Use of this source code is governed by a BSD-style license.",
         "Licensed under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "Released under the BSD 2-Clause License.",
+    ],
+    "mpl-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "Licensed under the Mozilla Public License, version 2.0.",
     ],
-    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
     "cc-by-nc": [
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
@@ -58,7 +86,11 @@ NOTICES = {
     ],
     "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "cc0": ["Released under CC0 1.0 Universal, dedicated to the public domain.", "This work has been dedicated to the public domain under CC0."],
-    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Licensed under the ISC License."],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Licensed under the ISC License.",
+        "provided that the above copyright notice and this permission notice appear in all copies.",
+        "SPDX-License-Identifier: ISC",
+    ],
     "proprietary": ["All rights reserved.", "All rights reserved. Unauthorized copying of this file is strictly prohibited.", "Proprietary and confidential. All rights reserved."],
 }
 # Prose that mentions licences without granting one.
@@ -79,6 +111,20 @@ OTHER = [
     "The public library is free and open to the general public.",
     "Version 3 of the report was published in March.",
     "Software costs and documentation were part of the budget.",
+    "The lawyer compared the two licenses and advised the company to wait.",
+    "Our guide explains how to choose a license for a new project and what a warranty covers.",
+    "Copyright law differs from country to country, as the lecture showed.",
+    "You may not redistribute the exam papers before the end of term.",
+    "The Apache helicopters flew over the valley twice in the afternoon.",
+    "Students at MIT built the robot in two weeks and published the design.",
+    "Mozilla released a new version of its browser with better protection.",
+    "The foundation publishes a report on free software in schools each year.",
+    "With the permission of the owner the path leads through the garden.",
+    "The software is provided with a printed manual and a cable.",
+    "All rights and duties of the tenant are listed in the second part.",
+    "The public domain of the village includes the meadow by the river.",
+    "Creative work needs time, and the commons need care, she wrote.",
+    "The terms of the loan were published by the bank in the spring.",
 ]
 ANCHOR = r"(?i)licen[sc]|copyright|all rights reserved|permission|warrant|redistribut|public domain|creative commons|spdx|mozilla public|proprietary"
 # The same with any signs between its words, as a line break and a comment mark may come there.
