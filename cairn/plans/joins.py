@@ -247,11 +247,10 @@ def j_frame_material(s, d):
 
 def j_nested_sites(s, d):
     """Sites of the two sides of an order, matched by their number: both are columns of one row."""
-    open_ = (F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "O")
-    each = table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("flag"), "l_linestatus").agg(F.count("*").alias("n"), F.count_if(open_).alias("open"))
-    own = each.groupBy("l_orderkey", "l_linenumber", "flag").agg(F.sum("n").alias("n"))
-    other = each.groupBy("l_orderkey", "l_linenumber").agg(F.sum("n").alias("m"), F.sum(F.when(F.col("l_linestatus") == "O", F.col("n")).otherwise(0)).alias("o"))
-    j = own.join(other, ["l_orderkey", "l_linenumber"])
+    each = table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("flag")).agg(F.count("*").alias("n"), F.count_if(F.col("l_linestatus") == "O").alias("o"))
+    # a row for each number, with a count for each flag it has
+    met = each.groupBy("l_orderkey", "l_linenumber").agg(F.sum("n").alias("m"), F.sum("o").alias("o"), F.collect_list(F.struct("flag", "n")).alias("flags"))
+    j = met.select("m", "o", F.inline("flags"))
     return j.groupBy("flag").agg(F.sum(F.col("n") * F.col("m")).alias("sites"), F.coalesce(F.sum(F.when(F.col("flag") == "N", F.col("n") * F.col("o"))), F.lit(0)).cast("long").alias("open"))
 
 
