@@ -28,9 +28,9 @@ from cairn.operators.shared import Staged
 
 U64 = np.uint64
 # Blocks of a table, cells looked into, scale of the projection and tables, by falling share of unrelated vectors that meet in a
-# table. Measured on vectors of 64 and 384 dimensions: each row finds 0.97 of the pairs with a cosine of 0.9, more of closer ones.
-SETTINGS = [(2, 8, 1.8, 10, 4e-5), (3, 16, 2.0, 16, 1.5e-6), (4, 32, 2.2, 20, 5e-8)]
-# Unrelated vectors that a vector meets, at most, as long as there is a row of SETTINGS for it.
+# table. Measured on vectors of 64 and 384 dimensions: each row finds 0.97 or more of the pairs with a cosine of 0.9, more of closer ones.
+SETTINGS = [(2, 8, 1.8, 10, 4e-5), (3, 16, 2.0, 16, 1.5e-6), (4, 32, 2.2, 20, 5e-8), (5, 64, 2.4, 26, 1.7e-9)]
+# Unrelated vectors that a vector meets, at most.
 MET = 100
 ROWS_IN_CHUNK = 8192
 BLOCK_ROWS = 32
@@ -69,9 +69,16 @@ def nearby(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def setting(n: int) -> tuple[int, int, float, int]:
-    """(blocks, probes, scale, tables) for n vectors: the first of SETTINGS with which unrelated ones meet MET others at most, or the last."""
-    fit = [x for x in SETTINGS if x[3] * x[4] * n <= MET] or SETTINGS[-1:]
-    return fit[0][:4]
+    """(blocks, probes, scale, tables) for n vectors: the first with which unrelated ones meet MET others at most.
+
+    Beyond the rows of SETTINGS each further block goes on as they do: twice the probes, a larger scale, three tenths more
+    tables, and a thirtieth of the unrelated vectors in a table, so there is one for every n.
+    """
+    rows = list(SETTINGS)
+    while rows[-1][3] * rows[-1][4] * n > MET:
+        blocks, probes, scale, tables, share = rows[-1]
+        rows.append((blocks + 1, 2 * probes, scale + 0.2, -(-13 * tables // 10), share / 30))
+    return next(x for x in rows if x[3] * x[4] * n <= MET)[:4]
 
 
 def cell_codes(unit: np.ndarray, table: int, blocks: int, probes: int, scale: float) -> np.ndarray:

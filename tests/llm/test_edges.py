@@ -151,6 +151,13 @@ def test_lattice_recall_at_the_threshold(setting, dim):
         assert met.mean() >= 0.94
 
 
+def test_lattice_settings_have_no_end():
+    sizes = [10**k for k in range(2, 14)]
+    found = [lattice_e8.setting(n) for n in sizes]
+    assert found[0] == lattice_e8.SETTINGS[0][:4] and all(a[0] <= b[0] and a[3] <= b[3] for a, b in zip(found, found[1:], strict=False))
+    assert lattice_e8.setting(10**9)[0] == 5 and lattice_e8.setting(10**12)[0] > 6
+
+
 def test_lattice_against_brute_force(spark):
     rng = np.random.default_rng(6)
     v = np.concatenate([pairs_at(0.96, 60, 48, 4), rng.normal(size=(60, 48)), np.tile(rng.normal(size=48), (40, 1)) + 0.02 * rng.normal(size=(40, 48)), np.zeros((1, 48))])
