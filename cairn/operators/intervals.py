@@ -164,3 +164,40 @@ def innermost(points: DataFrame, spans: DataFrame, keys: list[str], point: str,
     own = [F.col(f"point.{c}").alias(c) for c in dict.fromkeys([*keys, *point_id])]
     best = found.select(*own, F.col("span.name").alias("name"), rank.alias("r")).groupBy(*dict.fromkeys([*keys, *point_id])).agg(F.min_by("name", "r").alias("name"))
     return points.join(best, [*dict.fromkeys([*keys, *point_id])], "left")
+
+
+def nonoverlapping(df: DataFrame, keys: list[str], start: str, end: str, name: str = "kept") -> DataFrame:
+    """df with name: whether a row's span is kept when a key's spans are taken in order of start, the longer of equal starts first,
+    and each is kept that begins at or after the end of the last kept one.
+
+    A task reads its keys' spans in that order and remembers one number, so work is linear in the spans and memory does not
+    follow a key. Which span is kept depends on all before, so one key is one task's stream. Rows without a key, start or end are not kept.
+    """
+    code = "__k"
+    sound = _all([F.col(c).isNotNull() for c in (*keys, start, end)])
+    # rows that cannot be kept are dealt by their own values, not to one task
+    placed = df.withColumn(code, F.when(sound, F.xxhash64(*keys)).otherwise(F.xxhash64(*[F.col(c) for c in (*keys, start, end)], F.monotonically_increasing_id())))
+    placed = placed.withColumns({"__a": F.when(sound, F.col(start).cast("double")), "__b": F.when(sound, F.col(end).cast("double"))})
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = placed.repartition(n, code).sortWithinPartitions(code, *keys, "__a", F.desc("__b"))
+    columns = [c for c in df.columns if c != name]
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns) + f", `{name}` boolean"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, reach = None, -np.inf
+        for batch in batches:
+            code_, a, b = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in (code, "__a", "__b"))
+            kept = np.zeros(batch.num_rows, bool)
+            edges = [0, *(np.flatnonzero(code_[1:] != code_[:-1]) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if lo == hi:
+                    continue
+                if code_[lo] != last:
+                    last, reach = code_[lo], -np.inf
+                at = lo + int(np.searchsorted(a[lo:hi], reach))
+                while at < hi and not np.isnan(a[at]):
+                    kept[at], reach = True, b[at]
+                    at = max(at + 1, lo + int(np.searchsorted(a[lo:hi], reach)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in columns), pa.array(kept)], [*columns, name])
+
+    return ordered.select(*columns, code, "__a", "__b").mapInArrow(run, schema)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text as X
 from cairn.operators import identity as I
+from cairn.operators import intervals as V
 from cairn.operators import lattices as L
 from cairn.operators import sampling as S
 from cairn.operators import windows as W
@@ -47,9 +48,10 @@ def w_consecutive_ranges(s, d):
 
 
 def w_nonoverlap_spans(s, d):
-    spans = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.array_distinct(F.collect_list(F.struct((F.col("l_partkey") % 60).alias("start"), (F.col("l_partkey") % 60 + F.col("l_quantity").cast("long")).alias("end")))).alias("spans"))
-    kept = W.outer_spans(F.col("spans"))
-    return spans.select("l_orderkey", F.size("spans").alias("spans"), F.size(kept).alias("kept"))
+    start = F.col("l_partkey") % 60
+    spans = table(s, d, "lineitem").select("l_orderkey", start.alias("start"), (start + F.col("l_quantity").cast("long")).alias("end")).distinct()
+    kept = V.nonoverlapping(spans, ["l_orderkey"], "start", "end")
+    return kept.groupBy("l_orderkey").agg(F.count("*").cast("int").alias("spans"), F.count_if("kept").cast("int").alias("kept"))
 
 
 def w_context_window(s, d):

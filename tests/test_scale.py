@@ -166,3 +166,20 @@ def test_similar_sets_with_hot_tokens(spark, parts, chunk, percent):
     want = {(a, b, len(x & y), len(x | y)) for a, x in kept.items() for b, y in kept.items() if a < b and 100 * len(x & y) >= percent * len(x | y)}
     got = [tuple(r) for r in J.similar_sets(tokens, percent, 5, chunk=chunk).collect()]
     assert set(got) == want and len(got) == len(want) > 5
+
+
+def test_spans_that_do_not_overlap(spark, parts):
+    rng = np.random.default_rng(4)
+    rows = [(k, s, e, n) for k, s, e, n in spans_of(rng, 900, "hot") + spans_of(rng, 30, "x") + [("z", 5, 5, "a"), ("z", 5, 5, "b"), ("z", 5, 9, "c"), (None, 1, 2, "d"), ("z", None, 2, "e"), ("z", 7, None, "f")]]
+    want = set()
+    for key in ("hot", "x", "z"):
+        reach = float("-inf")
+        for k, s, e, n in sorted((r for r in rows if r[0] == key and None not in r), key=lambda r: (r[1], -r[2])):
+            if s >= reach:
+                want.add((k, s, e))
+                reach = e
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    got = intervals.nonoverlapping(spark.createDataFrame(rows, "k string, start long, end long, name string").repartition(5), ["k"], "start", "end").collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(rows) and {tuple(r)[:3] for r in got if r.kept} == want
+    assert sum(r.kept for r in got if r.k == "hot") == sum(w[0] == "hot" for w in want)
