@@ -31,16 +31,24 @@ def multi_arm(df: DataFrame, arms: list[str], key: str, k: int, seed: str) -> Da
     return hash_sample(df.withColumn("vector", F.to_json(F.array(*arms))), "vector", key, k, seed)
 
 
+# Strata that one_per_family() goes through, a job for each.
+MOST_STRATA = 1000
+
+
 def one_per_family(df: DataFrame, stratum: str, family: str, order: list[str], k: int) -> DataFrame:
     """The first k rows, in order, of each stratum, the strata in theirs, skipping families that a row was taken of before.
 
     Within a stratum only a family's first row can be taken, so one aggregate keeps these, and each stratum is a top-k
-    of its families without those of the strata before. The loop is over strata; no task sees more than a sort of one.
+    of its families without those of the strata before. The loop is over strata, MOST_STRATA at most or ValueError; no task sees
+    more than a sort of one.
     """
     row = F.struct(*order, *[c for c in df.columns if c not in order])
     best = Staged(df.groupBy(stratum, family).agg(F.min(row).alias("row")).select(*[F.col(f"row.{c}").alias(c) for c in df.columns]), "best").df
     chosen = None
-    for value in sorted(r[0] for r in best.select(stratum).where(F.col(stratum).isNotNull()).distinct().collect()):
+    strata = [r[0] for r in best.select(stratum).where(F.col(stratum).isNotNull()).distinct().limit(MOST_STRATA + 1).collect()]
+    if len(strata) > MOST_STRATA:
+        raise ValueError(f"more than {MOST_STRATA} strata")
+    for value in sorted(strata):
         pool = best.where(F.col(stratum) == value)
         if chosen is not None:
             pool = pool.join(chosen.select(family), family, "left_anti").select(df.columns)

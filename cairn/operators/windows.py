@@ -140,13 +140,20 @@ def round_robin(df: DataFrame, stratum: str, key: str) -> DataFrame:
     return globally_numbered(turned, ["turn", stratum], "place")
 
 
+# Names of families that a choice which depends on all before it may hold on the driver.
+MOST_NAMES = 1_000_000
+
+
 def family_round_robin(df: DataFrame, stratum: str, family: str, order: list[str], target: int) -> DataFrame:
     """Rows taken in turns, one of each stratum in their order, until there are target rows: a row is passed over if its family was taken.
 
     A turn takes at most one row of each stratum, and what may be taken in it depends on all before, so the work is a
     loop over turns; it reads one row for each family and stratum, of each stratum no more than target families.
-    Meant for targets that are small against the table, as the result is.
+    Meant for targets that are small against the table, as the result is: ValueError if strata times target exceed MOST_NAMES,
+    the names that the driver holds.
     """
+    if df.select(stratum).distinct().count() * target > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} strata times rows")
     row = F.struct(*order, *[c for c in df.columns if c not in order])
     best = df.groupBy(stratum, family).agg(F.min(row).alias("row")).select(*[F.col(f"row.{c}").alias(c) for c in df.columns])
     rank = F.row_number().over(Window.partitionBy(stratum).orderBy(*order))

@@ -422,6 +422,12 @@ count(*) AS n FROM g LEFT JOIN m USING (marker) GROUP BY ALL""",
     "src_model_replay": """WITH a AS (SELECT conv_id, turn, text FROM conversations WHERE role='user'), k AS (SELECT a.text, a.conv_id%9=1 AS bad FROM a JOIN conversations c ON c.conv_id=a.conv_id AND c.turn=a.turn+1 AND c.role<>'user' WHERE a.conv_id%4<>0), o AS (SELECT text, count(*) AS m, bool_or(bad) AS bad FROM k GROUP BY 1)
 SELECT CASE WHEN m IS NULL THEN 'missing' WHEN m>1 THEN 'ambiguous' WHEN bad THEN 'changed' ELSE 'replayed' END AS status, count(*) AS n FROM a LEFT JOIN o USING (text) GROUP BY 1""",
     "o_islice": "SELECT n_name, r_name, o_orderpriority FROM nation CROSS JOIN region CROSS JOIN (SELECT DISTINCT o_orderpriority FROM orders) ORDER BY ALL LIMIT 256",
+    # one step for each turn and stratum; idle counts the steps since a row was taken
+    "p_round_robin": """WITH RECURSIVE s AS (SELECT list(DISTINCT lang ORDER BY lang) AS names FROM documents), best AS (SELECT lang, source, min({'n': n_chars, 'd': doc_id}) AS x FROM documents GROUP BY 1, 2),
+r AS (SELECT 0 AS step, 0 AS idle, []::VARCHAR[] AS taken, NULL::BIGINT AS doc_id, NULL::VARCHAR AS lang, NULL::VARCHAR AS source, 0 AS place, names FROM s
+UNION ALL SELECT step+1, CASE WHEN y IS NULL THEN idle+1 ELSE 0 END, CASE WHEN y IS NULL THEN taken ELSE list_append(taken, y.s) END, y.x.d, names[step%len(names)+1], y.s, CASE WHEN y IS NULL THEN place ELSE place+1 END, names
+FROM (SELECT *, (SELECT min({'x': x, 's': b.source}) FROM best b WHERE b.lang=names[step%len(names)+1] AND NOT list_contains(taken, b.source)) AS y FROM r WHERE place<15 AND idle<len(names)))
+SELECT doc_id, lang, source, place FROM r WHERE doc_id IS NOT NULL""",
     "o_min_counterexample": f"WITH RECURSIVE {_PATHS}, c AS (SELECT path, len(list_filter(path, lambda x: x%5=0))>0 AS covered FROM p WHERE path[-1] IN (40,61,94,148)) SELECT path[-1] AS target, count(*) AS paths, count(*) FILTER (NOT covered) AS uncovered, array_to_string((min({{'n': len(path), 'p': path}}) FILTER (NOT covered)).p, '>') AS counterexample FROM c GROUP BY 1",
     "g_effect_reach": f"WITH RECURSIVE {_EDGES}, r AS (SELECT p_partkey AS node, 'effect'||(p_partkey%3) AS effect, 0 AS depth FROM part WHERE p_partkey%97=0 UNION SELECT src, effect, depth+1 FROM r JOIN edges ON dst=node WHERE depth<30) SELECT node, effect, min(depth) AS depth FROM r GROUP BY 1,2",
     "g_local_calls": f"WITH RECURSIVE {_EDGES}, r AS (SELECT i AS root, i AS node, [i] AS chain FROM unnest([1::BIGINT,2,3]) t(i) UNION ALL SELECT root, dst, list_append(chain,dst) FROM r JOIN edges ON src=node WHERE NOT list_contains(chain,dst)) SELECT root, node, array_to_string((min({{'n': len(chain), 'c': chain}})).c, '>') AS chain FROM r GROUP BY 1,2",
