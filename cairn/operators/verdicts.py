@@ -241,7 +241,7 @@ def policy_flags(owner: Column, path: Column, official: list[str], auxiliary: li
 def repair_class(effect: Column, position: Column, controlled: Column) -> Column:
     """Five classes: what it would take to place a guard before the effect."""
     return (
-        F.when(~holds(effect), "not_scored").when(holds(controlled), "controlled").when(position == "pre_effect", "placement_only").when(position == "post_effect", "requires_deferral").otherwise("manual_review")
+        F.when(~holds(effect), "not_scored").when(holds(controlled), "controlled").when(position == "pre_effect_decidable", "placement_only").when(position == "post_effect_dependent", "requires_deferral").otherwise("manual_review")
     )
 
 

@@ -64,9 +64,9 @@ def test_a_hot_key_of_intervals_is_many_tasks(spark, parts):
 
 
 def deep(spark):
-    """A ladder of 20 steps, each with two ways, over a chain, and a dead end that many paths run into."""
-    edges = [(3 * i, 3 * i + k) for i in range(20) for k in (1, 2)] + [(3 * i + k, 3 * i + 3) for i in range(20) for k in (1, 2)]
-    return spark.createDataFrame([*edges, *[(3 * i, 1000) for i in range(20)], (1000, 1001), (70, 71), (71, 72)], "src long, dst long")
+    """A ladder of ten steps, each with two ways, over a chain, and a dead end that many paths run into."""
+    edges = [(3 * i, 3 * i + k) for i in range(10) for k in (1, 2)] + [(3 * i + k, 3 * i + 3) for i in range(10) for k in (1, 2)]
+    return spark.createDataFrame([*edges, *[(3 * i, 1000) for i in range(10)], (1000, 1001), (70, 71), (71, 72)], "src long, dst long")
 
 
 def one(spark, *nodes):
@@ -78,17 +78,17 @@ def test_paths_of_any_depth(spark):
     got = {tuple(r.path) for r in G.simple_paths(chain, one(spark, 1), one(spark, 10, 16, 20)).collect()}
     assert got == {tuple(range(1, n + 1)) for n in (10, 16, 20)}
     with pytest.raises(ValueError):
-        G.simple_paths(deep(spark), one(spark, 0), one(spark, 60), max_paths=1000)
+        G.simple_paths(deep(spark), one(spark, 0), one(spark, 30), max_paths=1000)
 
 
 def test_counts_of_paths_without_listing_them(spark):
-    counts = G.path_counts(deep(spark), one(spark, 0), one(spark, 60, 30, 1001, 72), one(spark, 31, 4)).collect()
+    counts = G.path_counts(deep(spark), one(spark, 0), one(spark, 30, 15, 1001, 72), one(spark, 16, 4)).collect()
     got = {r.node: (int(r.paths), int(r.mediated)) for r in counts}
-    # 4 is one of two ways of the second step, 31 of the eleventh
-    assert got == {60: (2**20, 2**20 - 2**18), 30: (2**10, 2**9), 1001: (2**20 - 1, sum(2**i - (2**i // (2 if i > 1 else 1) // (2 if i > 10 else 1)) for i in range(20)))}
-    first = {(r.node, r.rank): r.path for r in G.first_paths(deep(spark), one(spark, 0), one(spark, 60, 6, 72), 3).collect()}
+    # 4 is one of two ways of the second step, 16 of the sixth
+    assert got == {30: (2**10, 2**10 - 2**8), 15: (2**5, 2**4), 1001: (2**10 - 1, sum(2**i - (2**i // (2 if i > 1 else 1) // (2 if i > 5 else 1)) for i in range(10)))}
+    first = {(r.node, r.rank): r.path for r in G.first_paths(deep(spark), one(spark, 0), one(spark, 30, 6, 72), 3).collect()}
     assert [first[6, k] for k in (1, 2, 3)] == [[0, 1, 3, 4, 6], [0, 1, 3, 5, 6], [0, 2, 3, 4, 6]]
-    assert first[60, 1] == sorted({*range(0, 61, 3), *range(1, 60, 3)}) and len(first) == 6
+    assert first[30, 1] == sorted({*range(0, 31, 3), *range(1, 30, 3)}) and len(first) == 6
     bare = {r.node: (int(r.paths), int(r.uncovered), r.counterexample) for r in G.shortest_uncovered(deep(spark), one(spark, 0), one(spark, 6, 3, 0), one(spark, 1, 4)).collect()}
     assert bare == {6: (4, 1, [0, 2, 3, 5, 6]), 3: (2, 1, [0, 2, 3]), 0: (1, 1, [0])}
     with pytest.raises(ValueError):
