@@ -20,6 +20,8 @@ from cairn.operators.windows import range_sorted
 
 # Spans that one task takes, and pairs in a batch of its results.
 MOST, PAIRS = 1_000_000, 1 << 15
+# Rows of both sides of a key that are joined as they are; a key with more goes through the parts.
+EACH = 256
 
 
 def _events(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str) -> tuple[DataFrame, DataFrame]:
@@ -66,6 +68,16 @@ def _dealt(rows: DataFrame, copies: DataFrame) -> DataFrame:
     return own.unionByName(other).select((F.col("__part") * (1 << 20) + F.col("share")).alias("cell"), "k", "at", "until", "point", "span")
 
 
+def _by_size(a: DataFrame, b: DataFrame, keys: list[str], plain, parts) -> DataFrame:
+    """plain(a, b) of the keys with EACH rows or fewer, whose pairs are few, and parts(a, b) of the others."""
+    counts = a.select(*keys).unionByName(b.select(*keys)).groupBy(*keys).agg(F.count("*").alias("n"))
+    hot = staged(counts.where((F.col("n") > EACH) & _all([F.col(c).isNotNull() for c in keys])).select(*keys), "hot")
+    if hot.isEmpty():
+        return plain(a, b)
+    of = lambda df, how: df.join(hot, keys, how).select(df.columns)
+    return plain(of(a, "left_anti"), of(b, "left_anti")).unionByName(parts(of(a, "left_semi"), of(b, "left_semi")))
+
+
 def _runs(table: pa.Table, after_start: bool) -> tuple[pa.Table, pa.Table, np.ndarray, np.ndarray]:
     """(points in order, spans, first and end of the run of points that each span holds)."""
     is_span = table.column("until").is_valid()
@@ -112,9 +124,16 @@ def stabbed(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start
 def range_overlap(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs of closed intervals (a_start, a_end) of left and (b_start, b_end) of right that share a point, within equal keys.
 
-    Of two intervals that overlap, the later one starts in the other: pairs are those in which a starts in b, and those in
-    which b starts in a and after it.
+    Keys of up to EACH rows are joined as they are. For others, of two intervals that overlap the later one starts in the other:
+    pairs are those in which a starts in b, and those in which b starts in a and after it.
     """
+    sound = (F.col("a_start") <= F.col("a_end")) & (F.col("b_start") <= F.col("b_end"))
+    met = sound & (F.col("a_start") <= F.col("b_end")) & (F.col("b_start") <= F.col("a_end"))
+    plain = lambda a, b: a.join(b, keys).where(met).select(*left.columns, *[c for c in right.columns if c not in keys])
+    return _by_size(left, right, keys, plain, lambda a, b: _overlap_in_parts(a, b, keys))
+
+
+def _overlap_in_parts(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     a_in_b = stabbed(left, right, keys, "a_start", "b_start", "b_end").select(F.col("point").alias("l"), F.col("span").alias("r"))
     b_in_a = stabbed(right, left, keys, "b_start", "a_start", "a_end", after_start=True).select(F.col("span").alias("l"), F.col("point").alias("r"))
     empty = (F.col("l.a_start") > F.col("l.a_end")) | (F.col("r.b_start") > F.col("r.b_end"))
@@ -124,9 +143,20 @@ def range_overlap(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFra
 def innermost(points: DataFrame, spans: DataFrame, keys: list[str], point: str, point_id: list[str]) -> DataFrame:
     """points with the name of the narrowest span (start, end, name) that holds each, null without one; ties go to the smaller name.
 
-    No pair is formed: in a part, spans in order of width and name mark the points of their run that have none yet, each once. Of
+    Keys of up to EACH rows are joined as they are. Of others no pair is formed: in a part, spans in order of width and name mark the points of their run that have none yet, each once. Of
     the spans that hold a whole part of the sort, only the narrowest is sent there.
     """
+
+    def plain(p: DataFrame, x: DataFrame) -> DataFrame:
+        inside = p.join(x.select(*keys, F.col("start").alias("__s"), F.col("end").alias("__e"), F.col("name").alias("__name")), keys).where((F.col("__s") <= F.col(point)) & (F.col(point) <= F.col("__e")))
+        ids = [*dict.fromkeys([*keys, *point_id])]
+        best = inside.groupBy(*ids).agg(F.min_by("__name", F.struct(F.col("__e") - F.col("__s"), "__name")).alias("name"))
+        return p.join(best, ids, "left").select(*p.columns, "name")
+
+    return _by_size(points, spans, keys, plain, lambda p, x: _innermost_in_parts(p, x, keys, point, point_id).select(*p.columns, "name"))
+
+
+def _innermost_in_parts(points: DataFrame, spans: DataFrame, keys: list[str], point: str, point_id: list[str]) -> DataFrame:
     rows, borders = _events(points.select(*keys, point, *[c for c in point_id if c not in (*keys, point)]), spans, keys, point, "start", "end")
     copies = _reaching(rows, borders)
     rank = F.struct((F.col("span.end") - F.col("span.start")).alias("width"), F.col("span.name").alias("name"))

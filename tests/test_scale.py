@@ -31,9 +31,10 @@ def spans_of(rng, n, key):
     return [(key, int(a), int(a + d), f"s{i}") for i, (a, d) in enumerate(zip(start, size, strict=True))]
 
 
-@pytest.mark.parametrize("most", [1_000_000, 3])
-def test_interval_joins(spark, parts, monkeypatch, most):
+@pytest.mark.parametrize(("most", "each"), [(1_000_000, 0), (3, 0), (3, 100), (3, 10**6)])
+def test_interval_joins(spark, parts, monkeypatch, most, each):
     monkeypatch.setattr(intervals, "MOST", most)
+    monkeypatch.setattr(intervals, "EACH", each)
     monkeypatch.setattr(intervals, "PAIRS", 100)
     rng = np.random.default_rng(1)
     a = spans_of(rng, 250, "hot") + spans_of(rng, 20, "x") + [("y", 5, 5, "one"), ("y", 9, 3, "inverted"), (None, 1, 9, "no key"), ("y", None, 3, "no start"), ("hot", 0, 1000, "all"), ("hot", 0, 1000, "all")]
