@@ -36,7 +36,10 @@ def joined_traces(traces: list[tuple], gap: int) -> list[tuple]:
 
 
 class TraceAudit(StatefulProcessor):
-    """Per user the open traces, a few numbers each; a timer behind each closes it and gives its row."""
+    """Per user the open traces, a few numbers each; a timer behind the first to end closes all whose end the watermark has passed.
+
+    One timer a user, so what is held is read and written once a step and not once for each trace.
+    """
 
     def __init__(self, gap_us: int):
         self.gap = gap_us
@@ -48,9 +51,14 @@ class TraceAudit(StatefulProcessor):
     def _held(self) -> list[tuple]:
         return [tuple(x) for x in self.open.get()] if self.open.exists() else []
 
+    def _closes(self, trace: tuple) -> int:
+        """The first millisecond of a watermark that closes a trace."""
+        return (trace[1] + self.gap) // 1000 + 1
+
     def _keep(self, traces: list[tuple]) -> None:
         if traces:
             self.open.put(traces)
+            self.handle.registerTimer(min(map(self._closes, traces)))
         else:
             self.open.clear()
 
@@ -63,16 +71,15 @@ class TraceAudit(StatefulProcessor):
                 traces.append((at, at, 1, *denied, *committed))
             # what is held follows the traces that are open and not the rows that came
             traces = joined_traces(traces, self.gap)
-        for trace in traces:
-            self.handle.registerTimer((trace[1] + self.gap) // 1000 + 1)
         self._keep(traces)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = expiredTimerInfo.getExpiryTimeInMs()
+        # timers of before a trace went on come too: those find nothing to close
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
         traces = self._held()
-        done = [t for t in traces if (t[1] + self.gap) // 1000 + 1 <= now]
-        self._keep([t for t in traces if t not in done])
+        done = [t for t in traces if self._closes(t) <= now]
+        self._keep([t for t in traces if self._closes(t) > now])
         if done:
             rows = [(key[0], *t[:3], t[3] is not None, t[5] is not None, t[3] is not None and t[5] is not None and t[3:5] < t[5:7]) for t in done]
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in TRACE.split(", ")])

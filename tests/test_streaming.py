@@ -3,6 +3,7 @@
 import datetime
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from cairn.streaming import traces
@@ -42,3 +43,47 @@ def test_stream_and_batch_give_equal_rows(spark, rocks, tmp_path):
     kept = spark.createDataFrame(rows, SCHEMA)
     want = sorted(tuple(r) for r in traces.closed_traces(kept).collect())
     assert got == want and len(got) > 100 and {r[6] for r in got} == {True, False}
+
+
+class Held:
+    """List state and timers of one user, counted."""
+
+    def __init__(self):
+        self.rows, self.calls, self.timers = [], 0, set()
+
+    def getListState(self, name, schema):  # noqa: N802
+        return self
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        self.calls += 1
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.calls += 1
+        self.rows = list(rows)
+
+    def clear(self):
+        self.rows = []
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.add(at)
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return 150 * 3_600_000
+
+    def getExpiryTimeInMs(self):  # noqa: N802
+        return min(self.timers)
+
+
+def test_one_timer_closes_all_traces_behind_the_watermark():
+    held, audit = Held(), traces.TraceAudit(60_000_000)
+    audit.init(held)
+    hours = pd.DataFrame({"at": [h * 3_600_000_000 for h in range(200)], "event_id": range(200), "event_type": "click"})
+    list(audit.handleInputRows((1,), iter([hours]), held))
+    assert len(held.timers) == 1
+    out = pd.concat(audit.handleExpiredTimer((1,), held, held))
+    # those of hours 0 to 149 are closed at hour 150; the others stay behind one more timer
+    assert out["began"].tolist() == [h * 3_600_000_000 for h in range(150)] and len(held.rows) == 50 and len(held.timers) == 2 and held.calls <= 4
