@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -262,3 +263,13 @@ def test_canonical_json_as_python_writes_it(spark):
             assert got == {i: json.dumps(v, sort_keys=True, separators=separators, ensure_ascii=ascii_only) for i, v in enumerate(values)}
     odd = spark.createDataFrame([('{"a":1,"a":2}',), ("{",), ("[1.0]",), ("1e3",), (None,), ('{"1.5":"2e9"}',)], "t string")
     assert [r[0] for r in odd.select(I.canonical_json(F.col("t"))).collect()] == [None] * 5 + ['{"1.5":"2e9"}']
+
+
+def test_masks_of_long_runs_take_linear_time(spark):
+    """A run of 200,000 signs that may stand before a secret's word, with the word at the end of one and none in the other."""
+    rows = [(0, "a." * 100_000 + "token=abc,x"), (1, "a." * 100_000 + " nothing here, tokens none")]
+    began = time.monotonic()
+    out = spark.createDataFrame(rows, "id int, t string").select("id", X.mask_secrets(F.col("t")).alias("m"), X.mask_counts(F.col("t")).alias("c"), X.redact_structured(F.col("t")).alias("r")).orderBy("id").collect()
+    assert time.monotonic() - began < 30
+    assert out[0].m == out[0].r == "a." * 100_000 + "token=[MASKED],x" and tuple(out[0].c) == (1, 0, 0)
+    assert out[1].m == out[1].r == rows[1][1] and tuple(out[1].c) == (0, 0, 0)
