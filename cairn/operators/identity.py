@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.functions.text import let
+
 
 def text_digest(*parts: Column) -> Column:
     """sha256 of the parts with NUL between them."""
@@ -72,16 +74,30 @@ FRACTION = r"[0-9][.eE]"
 LETTERED = ["000B", "000E", "000F", "001A", "001B", "001C", "001D", "001E", "001F"]
 
 
-def _escaped(string: Column) -> Column:
-    """A JSON string with every character that is not printable ASCII as \\u and four digits, two of them beyond the first plane."""
+# What lies outside of strings up to and with the next colon or comma, from the end of the one before on.
+SEPARATED = r'\G((?:[^":,]|' + STRING + r")*+[:,])"
+# A character that is not printable ASCII.
+BEYOND = r"[^ -~]"
+
+
+def _escaped(text: Column) -> Column:
+    """A text with every character that is not printable ASCII as \\u and four digits, two of them beyond the first plane."""
     four = lambda x: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(x)), 4, "0"))
 
     def of(c: Column) -> Column:
         code = F.ascii(c)
         pair = F.concat(four(F.shiftright(code - 65536, 10) + 0xD800), four((code - 65536).bitwiseAND(0x3FF) + 0xDC00))
-        return F.when(code < 127, c).when(code < 65536, four(code)).otherwise(pair)
+        return F.when(code < 65536, four(code)).otherwise(pair)
+
+    odd = F.transform(F.regexp_extract_all(text, F.lit(BEYOND), F.lit(0)), of)
+    parts = F.zip_with(F.split(text, BEYOND, -1), odd, lambda plain, code: F.concat(plain, F.coalesce(code, F.lit(""))))
+    return F.when(text.rlike(BEYOND), F.array_join(parts, "")).otherwise(text)
 
-    return F.when(~string.rlike(r"[^ -~]"), string).otherwise(F.array_join(F.transform(F.split(string, ""), of), ""))
+
+def json_form(canonical: Column, ascii_only: bool = False, spaced: bool = False) -> Column:
+    """Another form of what canonical_json() gives, for queries that need several of one text."""
+    out = F.regexp_replace(canonical, SEPARATED, "$1 ") if spaced else canonical
+    return let(out, _escaped) if ascii_only else out
 
 
 def canonical_json(text: Column, ascii_only: bool = False, spaced: bool = False) -> Column:
@@ -92,19 +108,16 @@ def canonical_json(text: Column, ascii_only: bool = False, spaced: bool = False)
     object that repeats a key, and for a number that is no integer, as writers differ in these; canonical_digest() takes them.
     Keys are ordered by UTF-16 units, which is the order of code points in the first plane.
     """
-    whole = ~F.regexp_replace(text, STRING, "").rlike(FRACTION)
-    out = F.when(whole, F.to_json(F.try_parse_json(text)))
-    for code in LETTERED:
-        out = F.regexp_replace(out, r"(?<!\\)((?:\\\\)*)\\u" + code, "$1\\\\u" + code.lower())
-    if not (ascii_only or spaced):
-        return out
-    gaps = F.split(out, STRING, -1)
-    if spaced:
-        gaps = F.transform(gaps, lambda x: F.replace(F.replace(x, F.lit(":"), F.lit(": ")), F.lit(","), F.lit(", ")))
-    strings = F.regexp_extract_all(out, F.lit(STRING), F.lit(0))
-    if ascii_only:
-        strings = F.transform(strings, _escaped)
-    return F.array_join(F.transform(F.arrays_zip(gaps.alias("gap"), strings.alias("string")), lambda x: F.concat(x["gap"], F.coalesce(x["string"], F.lit("")))), "")
+    whole = lambda x: ~x.rlike(FRACTION) | ~F.regexp_replace(x, STRING, "").rlike(FRACTION)
+
+    def lettered(out: Column) -> Column:
+        low = out
+        for code in LETTERED:
+            low = F.regexp_replace(low, r"(?<!\\)((?:\\\\)*)\\u" + code, "$1\\\\u" + code.lower())
+        return F.when(F.contains(out, F.lit("\\u00")), low).otherwise(out)
+
+    written = let(text, lambda x: F.when(whole(x), F.to_json(F.try_parse_json(x))))
+    return json_form(let(written, lettered), ascii_only, spaced)
 
 
 def span_digest(text: Column, start: Column, end: Column) -> Column:

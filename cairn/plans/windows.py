@@ -128,8 +128,10 @@ def id_digest(s, d):
     """Digests of records as canonical JSON, of several keys out of order, nested and beyond ASCII, in three forms."""
     inner = F.concat(F.lit('{"z" : ['), F.col("event_id").cast("string"), F.lit(', null,true], "a":"é \\u00fc, x: '), "event_type", F.lit('"}'))
     text = F.concat(F.lit('{"user": '), F.col("user_id").cast("string"), F.lit(', "props":'), "props", F.lit(' ,"inner": '), inner, F.lit("}"))
-    forms = [F.sha2(I.canonical_json(F.col("text"), **how), 256).alias(name) for name, how in (("digest", {}), ("ascii_digest", {"ascii_only": True}), ("spaced_digest", {"ascii_only": True, "spaced": True}))]
-    return table(s, d, "events").select("event_id", text.alias("text")).select("event_id", *forms)
+    forms = (("digest", {}), ("ascii_digest", {"ascii_only": True}), ("spaced_digest", {"ascii_only": True, "spaced": True}))
+    # a generated row is computed once, so that the three forms come from one canonical text
+    digests = lambda j: F.struct(*[F.sha2(I.json_form(j, **how), 256).alias(name) for name, how in forms])
+    return table(s, d, "events").select("event_id", F.inline(F.transform(F.array(I.canonical_json(text)), digests)))
 
 
 def id_file_sha(s, d):

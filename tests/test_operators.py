@@ -273,3 +273,18 @@ def test_masks_of_long_runs_take_linear_time(spark):
     assert time.monotonic() - began < 30
     assert out[0].m == out[0].r == "a." * 100_000 + "token=[MASKED],x" and tuple(out[0].c) == (1, 0, 0)
     assert out[1].m == out[1].r == rows[1][1] and tuple(out[1].c) == (0, 0, 0)
+
+
+def test_three_forms_of_a_record_come_from_one_parsed_text(spark, tmp_path):
+    from cairn.plans.windows import id_digest
+
+    values = {1: 3, 2: 'x:,\\" \x1f\U0001f600'}
+    rows = [(i, 2, "kind", json.dumps({"k": k})) for i, k in values.items()]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, props string").write.parquet(str(tmp_path / "events.parquet"))
+    found = id_digest(spark, str(tmp_path))
+    assert found._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson(") == 1
+    got = {r.event_id: r for r in found.collect()}
+    for i, k in values.items():
+        record = {"inner": {"a": "é ü, x: kind", "z": [i, None, True]}, "props": {"k": k}, "user": 2}
+        for name, how in (("digest", {"ensure_ascii": False, "separators": (",", ":")}), ("ascii_digest", {"separators": (",", ":")}), ("spaced_digest", {})):
+            assert got[i][name] == hashlib.sha256(json.dumps(record, sort_keys=True, **how).encode()).hexdigest(), (i, name)
