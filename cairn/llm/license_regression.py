@@ -126,9 +126,10 @@ OTHER = [
     "Creative work needs time, and the commons need care, she wrote.",
     "The terms of the loan were published by the bank in the spring.",
 ]
-ANCHOR = r"(?i)licen[sc]|copyright|all rights reserved|permission|warrant|redistribut|public domain|creative commons|spdx|mozilla public|proprietary"
+# Every notice holds one of these.
+ANCHOR = r"(?i)licen[sc]|copyright|all rights reserved|permission|warrant|redistribut|public domain|creative commons|spdx|mozilla public|mozilla org|the mpl|gpl|proprietary"
 # The same with any signs between its words, as a line break and a comment mark may come there.
-WRAPPED = ANCHOR.replace(" ", r"\W+")
+WRAPPED = ANCHOR.replace(" ", "[^a-z0-9]+")
 # A word mark of a comment at the beginning of a line; signs are no words.
 MARK = r"(?i)^\s*(?:dnl|rem)\s"
 WORD = r"[a-z0-9]+"
@@ -218,31 +219,37 @@ def grams_of(words: Column) -> Column:
 def spoken(lines: Column) -> Column:
     """(paragraph, before, line, after) of the lines in which words of a licence begin; before and after are the words around in its block.
 
-    A block is a run of lines with a letter or digit. before and after have at most the widest window.
+    A block is a run of lines with a letter or digit, of any length. before and after have at most the widest window.
     """
     reach = WIDTHS[-1]
     none = F.expr("cast(array() as array<string>)")
     blank = lambda x: ~x.rlike(r"[\p{L}\p{N}]")
-    plain = lambda x: words_of(F.regexp_replace(x, MARK, " "))
+    unmarked = lambda x: F.regexp_replace(x, MARK, " ")
+    plain = lambda x: words_of(unmarked(x))
+    # each of these lines has a word or ends a block, so reach of them hold all words that a window can have; others, of letters without words, do neither
+    telling = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda y: blank(y["x"]) | F.lower(unmarked(y["x"])).rlike(WORD))
 
-    def before(i: Column) -> Column:
-        above = F.slice(lines, F.greatest(i - reach + 1, F.lit(1)), F.least(i, F.lit(reach)))
-        last = lambda w: F.slice(w, F.greatest(F.size(w) - reach + 1, F.lit(1)), reach)
-        return F.aggregate(above, none, lambda acc, x: F.when(blank(x), none).otherwise(let(F.concat(acc, plain(x)), last)))
+    def of(kept: Column) -> Column:
+        def before(k: Column) -> Column:
+            above = F.slice(kept, F.greatest(k - reach + 1, F.lit(1)), F.least(k, F.lit(reach)))["x"]
+            last = lambda w: F.slice(w, F.greatest(F.size(w) - reach + 1, F.lit(1)), reach)
+            return F.aggregate(above, none, lambda acc, x: F.when(blank(x), none).otherwise(let(F.concat(acc, plain(x)), last)))
 
-    def after(i: Column) -> Column:
-        below = F.slice(lines, i + 2, reach)
-        start = F.struct(F.lit(False).alias("over"), none.alias("words"))
-        step = lambda acc, x: F.struct((acc["over"] | blank(x)).alias("over"), F.when(acc["over"] | blank(x), acc["words"]).otherwise(F.slice(F.concat(acc["words"], plain(x)), 1, reach)).alias("words"))
-        return F.aggregate(below, start, step)["words"]
+        def after(k: Column) -> Column:
+            below = F.slice(kept, k + 2, reach)["x"]
+            start = F.struct(F.lit(False).alias("over"), none.alias("words"))
+            step = lambda acc, x: F.struct((acc["over"] | blank(x)).alias("over"), F.when(acc["over"] | blank(x), acc["words"]).otherwise(F.slice(F.concat(acc["words"], plain(x)), 1, reach)).alias("words"))
+            return F.aggregate(below, start, step)["words"]
 
-    def speaks(x: Column, i: Column) -> Column:
-        return F.concat_ws("\n", x, F.slice(lines, i + 2, 2)).rlike(r"\A[^\n]*?(?:" + WRAPPED + ")")
+        def speaks(x: Column, k: Column) -> Column:
+            return F.concat_ws("\n", x, F.slice(kept, k + 2, 2)["x"]).rlike(r"\A[^\n]*?(?:" + WRAPPED + ")")
 
-    numbered = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), speaks(x, i).alias("yes"))), lambda y: y["yes"])
-    return F.transform(
-        numbered, lambda y: F.struct(y["i"].alias("paragraph"), before(y["i"]).alias("before"), words_of(F.element_at(lines, y["i"] + 1)).alias("line"), after(y["i"]).alias("after"))
-    )
+        numbered = F.filter(F.transform(kept, lambda y, k: F.struct(k.alias("k"), y["i"].alias("i"), y["x"].alias("x"), speaks(y["x"], k).alias("yes"))), lambda y: y["yes"])
+        return F.transform(
+            numbered, lambda y: F.struct(y["i"].alias("paragraph"), before(y["k"]).alias("before"), words_of(y["x"]).alias("line"), after(y["k"]).alias("after"))
+        )
+
+    return let(telling, of)
 
 
 def windows_of(every: Column, first: Column, n: Column, notices: Column) -> Column:
@@ -277,7 +284,8 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     """(doc_id, paragraph, family, probability, similarity) for each paragraph that speaks of a licence.
 
     A paragraph is a line in which words of a licence begin; paragraph is its number from 0. Judged are the
-    line and, around each such word, windows of the block of lines around it, since notices are wrapped. A
+    line and, around each such word, windows of the block of lines around it, since notices are wrapped; lines
+    without a word of a-z or digits, however many, lie inside a block and add no words. A
     family is right where the model's probability reaches the calibrated threshold and similarity, the
     largest share of a family notice's n-grams that is there, is CONFIRM or more; at each word the most
     similar one counts. A line has one row for each family, or one with "unknown". Null and empty texts

@@ -136,3 +136,19 @@ def test_scan_against_a_plain_scorer(spark):
         got.setdefault(i, []).append((paragraph, family, round(probability, 6), round(similarity, 9)))
     for i, t in enumerate(texts):
         assert sorted(got.get(i, [])) == plain_scan(t or ""), (i, t)
+
+
+def test_lines_without_words_keep_a_notice_whole(spark):
+    """Lines of other letters between the lines of a notice, more than the widest window, hide none of its words."""
+    words = next(t for _, t in UNSEEN if t.startswith("This document is licensed")).split()
+    far = lambda lines: "\n".join(x for line in lines for x in [line, *["\u0436\u0443\u043a"] * 60])
+    texts = [far([" ".join(words[i : i + 3]) for i in range(0, len(words), 3)]), "\n".join(words), far(["Copyright Hill Ltd. All", "rights", "reserved."]), "Her\n\nAll\n" + "\u0436\n" * 3 + "rights\nreserved."]
+    got = {(r.doc_id, r.family): r.paragraph for r in L.scan(spark.createDataFrame([(i, t, "x", 7) for i, t in enumerate(texts)], DOCS)).collect() if r.family != L.UNKNOWN}
+    assert set(got) == {(0, "gpl-3.0"), (1, "gpl-3.0"), (2, "proprietary"), (3, "proprietary")} and got[3, "proprietary"] == 2
+
+
+def test_every_notice_is_read(spark):
+    """A text that is one notice has a row, also where it does not say licence."""
+    notices = [t for ts in L.NOTICES.values() for t in ts]
+    rows = spark.createDataFrame([(i, t, "x", 7) for i, t in enumerate(notices)], DOCS)
+    assert {r.doc_id for r in L.scan(rows).select("doc_id").collect()} == set(range(len(notices)))
