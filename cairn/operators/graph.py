@@ -87,6 +87,18 @@ def distances(edges: DataFrame, sources: DataFrame, max_depth: int = 10_000) ->
     raise RuntimeError(f"more than {max_depth} levels")
 
 
+def _leading(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """The distinct edges (src, dst) from which a target can be reached, written: no path to one has others.
+
+    All edges are shuffled once and then read once for each step back from the targets.
+    """
+    edge = Staged(edges.select("src", "dst").distinct(), "edges")
+    useful = distances(edge.df.select(F.col("dst").alias("src"), F.col("src").alias("dst")), targets.select(targets.columns[0])).select(F.col("node").alias("__useful"))
+    kept = Staged(edge.df.join(useful, F.col("dst") == F.col("__useful"), "left_semi"), "leading").df
+    edge.drop()
+    return kept
+
+
 def simple_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_paths: int = 100_000) -> DataFrame:
     """(path, length): all paths without a repeated node from a source to a target, however long.
 
@@ -96,8 +108,7 @@ def simple_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_p
     """
     src, dst = F.col("src"), F.col("dst")
     ends = targets.select(F.col(targets.columns[0]).alias("__end")).distinct()
-    useful = distances(edges.select(dst.alias("src"), src.alias("dst")), ends).select(F.col("node").alias("__useful"))
-    edge = Staged(edges.select(src, dst).distinct().join(useful, dst == F.col("__useful"), "left_semi"), "edges").df
+    edge = _leading(edges, ends)
     live = Staged(sources.select(F.array(F.col(sources.columns[0])).alias("path")).distinct(), "paths").df
     done, found = None, 0
     while True:
@@ -121,17 +132,22 @@ def _acyclic(edges: DataFrame) -> None:
 def path_counts(edges: DataFrame, sources: DataFrame, targets: DataFrame, mediators: DataFrame) -> DataFrame:
     """(node, paths, mediated): for each target that is reached, how many paths lead to it from the sources, and how many of them hold a mediator.
 
-    Counts by dynamic programming over an acyclic graph, one round for each length: nodes, and never paths, are rows, so a
-    graph with 10^30 paths is no more work than one with few. Numbers are decimals of 38 digits; sources and targets count
-    among a path's nodes. ValueError if the edges have a cycle.
+    Counts by dynamic programming over the edges that lead to a target, one round for each length: nodes, and never paths, are
+    rows, so a graph with 10^30 paths is no more work than one with few. Numbers are decimals of 38 digits; sources and targets
+    count among a path's nodes. ValueError if the edges that lead to a target have a cycle.
     """
-    edge = Staged(edges.select("src", "dst").distinct(), "edges").df
+    edge = _leading(edges, targets)
     _acyclic(edge)
+    return _path_counts(edge, sources, targets, mediators)
+
+
+def _path_counts(edge: DataFrame, sources: DataFrame, targets: DataFrame, mediators: DataFrame) -> DataFrame:
+    """path_counts() over written edges without a cycle."""
     stop = mediators.select(F.col(mediators.columns[0]).alias("node")).distinct().withColumn("__stop", F.lit(True))
     number = lambda x: x.cast("decimal(38,0)")
     # of the paths to a node those without a mediator end where the node is one
     through = lambda df: df.join(stop, "node", "left").withColumn("clear", F.when(F.col("__stop"), number(F.lit(0))).otherwise(F.col("clear"))).drop("__stop")
-    one = sources.select(F.col(sources.columns[0]).cast(edges.schema["src"].dataType).alias("node")).distinct()
+    one = sources.select(F.col(sources.columns[0]).cast(edge.schema["src"].dataType).alias("node")).distinct()
     live = Staged(through(one.withColumns({"paths": number(F.lit(1)), "clear": number(F.lit(1))})), "counts").df
     ends = targets.select(F.col(targets.columns[0]).alias("node")).distinct()
     done = None
@@ -149,13 +165,18 @@ def path_counts(edges: DataFrame, sources: DataFrame, targets: DataFrame, mediat
 def first_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, k: int = 1) -> DataFrame:
     """(node, rank, path): for each target the k first paths from a source, by length and then by their nodes in order.
 
-    Grown on demand over an acyclic graph: each round keeps k paths of its length for each node, as the first paths to a node
-    pass through first paths of one edge less, and the rounds end when all targets that can be reached have k or nothing grows. ValueError
-    if the edges have a cycle.
+    Grown on demand over the edges that lead to a target: each round keeps k paths of its length for each node, as the first paths to a
+    node pass through first paths of one edge less, and the rounds end when all targets have k or nothing grows. ValueError
+    if the edges that lead to a target have a cycle.
     """
-    edge = Staged(edges.select("src", "dst").distinct(), "edges").df
+    edge = _leading(edges, targets)
     _acyclic(edge)
-    kind = edges.schema["src"].dataType
+    return _first_paths(edge, sources, targets, k)
+
+
+def _first_paths(edge: DataFrame, sources: DataFrame, targets: DataFrame, k: int) -> DataFrame:
+    """first_paths() over written edges without a cycle."""
+    kind = edge.schema["src"].dataType
     rank = lambda by: F.row_number().over(Window.partitionBy("node").orderBy(*by))
     ends = targets.select(F.col(targets.columns[0]).cast(kind).alias("node")).distinct()
     source = F.col(sources.columns[0]).cast(kind)
@@ -198,11 +219,17 @@ def invalid_edges(nodes: DataFrame, edges: DataFrame, node: str = "node") -> Dat
 
 
 def shortest_uncovered(edges: DataFrame, sources: DataFrame, targets: DataFrame, covering: DataFrame) -> DataFrame:
-    """(node, paths, uncovered, counterexample): the paths to each target, those that hold no covering node, and the first of them by length and nodes, or null."""
-    counts = path_counts(edges, sources, targets, covering)
+    """(node, paths, uncovered, counterexample): the paths to each target, those that hold no covering node, and the first of them by length and nodes, or null.
+
+    ValueError if the edges that lead to a target have a cycle.
+    """
+    edge = _leading(edges, targets)
+    _acyclic(edge)
+    counts = _path_counts(edge, sources, targets, covering)
     bare = covering.select(F.col(covering.columns[0]).alias("__c")).distinct()
     off = lambda df, c: df.join(bare, F.col(c) == F.col("__c"), "left_anti")
-    first = first_paths(off(off(edges, "src"), "dst"), off(sources, sources.columns[0]), off(targets, targets.columns[0]))
+    clear = Staged(off(off(edge, "src"), "dst"), "clear").df
+    first = _first_paths(clear, off(sources, sources.columns[0]), off(targets, targets.columns[0]), 1)
     out = counts.join(first.select("node", F.col("path").alias("counterexample")), "node", "left")
     return out.select("node", "paths", (F.col("paths") - F.col("mediated")).cast("decimal(38,0)").alias("uncovered"), "counterexample")
 

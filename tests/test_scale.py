@@ -96,6 +96,16 @@ def test_counts_of_paths_without_listing_them(spark):
         G.path_counts(spark.createDataFrame([(1, 2), (2, 1)], "src long, dst long"), one(spark, 1), one(spark, 2), one(spark, 9))
 
 
+def test_paths_do_not_follow_edges_that_lead_to_no_target(spark):
+    """A cycle behind the targets and one beside the sources change no path to a target."""
+    edges = spark.createDataFrame([(0, 1), (0, 2), (1, 3), (2, 3), (3, 4), (4, 5), (5, 4), (8, 9), (9, 8), (0, 8)], "src long, dst long")
+    assert [(r.node, int(r.paths), int(r.mediated)) for r in G.path_counts(edges, one(spark, 0), one(spark, 3), one(spark, 1)).collect()] == [(3, 2, 1)]
+    assert [(r.node, r.path) for r in G.first_paths(edges, one(spark, 0), one(spark, 3), 1).collect()] == [(3, [0, 1, 3])]
+    assert [(r.node, int(r.paths), int(r.uncovered), r.counterexample) for r in G.shortest_uncovered(edges, one(spark, 0), one(spark, 3), one(spark, 1)).collect()] == [(3, 2, 1, [0, 2, 3])]
+    with pytest.raises(ValueError):
+        G.path_counts(edges, one(spark, 0), one(spark, 5), one(spark, 1))
+
+
 def skewed(spark, n=3000):
     """Nine of ten rows in one stratum, some in none."""
     rng = np.random.default_rng(2)
