@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cairn.functions.text import let
+
 WORD = r"[\p{L}_$][\p{L}\p{N}_$]*"
 NUMBER = r"[0-9][\p{L}\p{N}_.]*"
 OTHER = r"[^\s]"
@@ -30,7 +32,8 @@ class Grammar:
 
     @property
     def token(self) -> str:
-        return "|".join([self.comment, self.literal, WORD, NUMBER, OTHER])
+        """Comments, and all else as the first group."""
+        return self.comment + "|(" + "|".join([self.literal, WORD, NUMBER, OTHER]) + ")"
 
 
 # The reserved words of the languages' specifications, those with a meaning only in places left out.
@@ -65,19 +68,32 @@ GRAMMARS = {
 
 def lexemes(source: Column, grammar: Grammar) -> Column:
     """The tokens of a source in order, without comments and white space."""
-    return F.filter(F.regexp_extract_all(source, F.lit(grammar.token), F.lit(0)), lambda x: ~x.rlike("^(?:" + grammar.comment + ")$"))
+    return F.filter(F.regexp_extract_all(source, F.lit(grammar.token), F.lit(1)), lambda x: x != "")
 
 
 def folded(tokens: Column, grammar: Grammar) -> Column:
     """Tokens with FOLDED in the place of every word that is no keyword."""
-    reserved = F.array(*map(F.lit, grammar.keywords))
-    return F.transform(tokens, lambda x: F.when(x.rlike(f"^{WORD}$") & ~F.array_contains(reserved, x), FOLDED).otherwise(x))
+    return F.transform(tokens, lambda x: F.when(x.rlike(f"^{WORD}$") & ~x.isin(*grammar.keywords), FOLDED).otherwise(x))
 
 
 def token_digest(tokens: Column) -> Column:
     return F.sha2(F.to_json(tokens), 256)
 
 
+def quoted(tokens: Column) -> Column:
+    """Every token as a JSON string."""
+    inner = lambda x: let(F.to_json(F.array(x)), lambda j: j.substr(F.lit(2), F.length(j) - 2))
+    return F.transform(tokens, lambda x: F.when(x == FOLDED, f'"{FOLDED}"').otherwise(inner(x)))
+
+
+def runs_of_five(each: Column) -> Column:
+    """The distinct runs of five strings, joined by commas: twos, fours of them and fives. Five strings at least."""
+    n = F.size(each)
+    joined = lambda a, b: F.zip_with(a, b, lambda x, y: F.concat(x, F.lit(","), y))
+    five = lambda two: joined(joined(F.slice(two, 1, n - 4), F.slice(two, 3, n - 4)), F.slice(each, 5, n - 4))
+    return F.array_distinct(let(joined(F.slice(each, 1, n - 1), F.slice(each, 2, n - 1)), five))
+
+
 def fingerprint(source: Column, language: Column, most: int = 100_000) -> Column:
     """struct(status, tokens, literal_token_sha256, identifier_normalized_sha256, shingles) of a source.
 
@@ -88,17 +104,18 @@ def fingerprint(source: Column, language: Column, most: int = 100_000) -> Column
 
     def one(grammar: Grammar) -> Column:
         def of(tokens: Column) -> Column:
-            return F.element_at(F.transform(F.array(folded(tokens, grammar)), lambda shape: told(tokens, shape)), 1)
+            return let(folded(tokens, grammar), lambda shape: let(quoted(shape), lambda each: told(tokens, shape, each)))
 
-        return F.element_at(F.transform(F.array(lexemes(F.coalesce(source, F.lit("")), grammar)), of), 1)
+        return let(lexemes(F.coalesce(source, F.lit("")), grammar), of)
 
-    def told(tokens: Column, shape: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(1), F.size(shape) - 4), lambda i: F.substring(token_digest(F.slice(shape, i, F.lit(5))), 1, 16))
+    def told(tokens: Column, shape: Column, each: Column) -> Column:
+        # runs as JSON are told apart before they are digested: most sources repeat few runs
+        digest = lambda inner: F.sha2(F.concat(F.lit("["), inner, F.lit("]")), 256)
         fits = F.size(tokens) <= most
-        shingles = F.when(F.size(shape) >= 5, F.array_sort(F.array_distinct(runs))).otherwise(F.expr("cast(array() as array<string>)"))
+        shingles = F.when(F.size(shape) >= 5, F.sort_array(F.array_distinct(F.transform(runs_of_five(each), lambda x: F.substring(digest(x), 1, 16))))).otherwise(F.expr("cast(array() as array<string>)"))
         return F.struct(
             F.when(fits, "ok").otherwise("token_budget_exceeded").alias("status"), F.when(fits, F.size(tokens)).alias("tokens"), F.when(fits, token_digest(tokens)).alias("literal_token_sha256"),
-            F.when(fits, token_digest(shape)).alias("identifier_normalized_sha256"), F.when(fits, shingles).alias("shingles"),
+            F.when(fits, digest(F.array_join(each, ","))).alias("identifier_normalized_sha256"), F.when(fits, shingles).alias("shingles"),
         )
 
     kind = "struct<status:string,tokens:int,literal_token_sha256:string,identifier_normalized_sha256:string,shingles:array<string>>"

@@ -38,3 +38,18 @@ def test_budgets_and_long_literals(spark):
     got = [r.x for r in spark.createDataFrame(rows, "l string, s string").select(x.alias("x")).collect()]
     assert [(r.status, r.tokens) for r in got] == [("ok", 5), ("token_budget_exceeded", None), ("unknown_language", None), ("unknown_language", None), ("ok", 1), ("ok", 1)]
     assert got[1].literal_token_sha256 is None and got[1].shingles is None
+
+
+def test_runs_are_told_apart_before_they_are_digested(spark):
+    """Runs over tokens with the signs of JSON in them, and no more digests than distinct runs."""
+    source = r"""a = '\"]' + "],[" , '\\' # x""" + "\n"
+    source = source * 40 + "b " * 100
+    x = lexer.fingerprint(F.col("s"), F.lit("py"))
+    row = spark.createDataFrame([(source,)], "s string").select(x.alias("x"), lexer.lexemes(F.col("s"), lexer.PYTHON).alias("t"))
+    r = row.first()
+    shape = [lexer.FOLDED if t in ("a", "b") else t for t in r.t]
+    as_json = lambda v: json.dumps(v, ensure_ascii=False, separators=(",", ":"))
+    runs = {as_json(shape[i : i + 5]) for i in range(len(shape) - 4)}
+    assert r.x.tokens == len(r.t) == 40 * 7 + 100 and r.x.shingles == sorted({hashlib.sha256(run.encode()).hexdigest()[:16] for run in runs})
+    each = spark.createDataFrame([(shape,)], "t array<string>").select(lexer.runs_of_five(lexer.quoted(F.col("t"))).alias("runs")).first()
+    assert sorted(f"[{run}]" for run in each.runs) == sorted(runs)
