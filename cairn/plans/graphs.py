@@ -43,9 +43,10 @@ def g_components_mixed(s, d):
 
 
 def near_copy_components(s, d):
-    from cairn.plans.joins import near_copy_members, near_copy_pairs
+    from cairn.plans.joins import near_copies
 
-    links = near_copy_pairs(s, d).select("a", "b").unionByName(near_copy_members(s, d).select("a", F.col("id").alias("b")))
+    pairs, members = near_copies(s, d)
+    links = pairs.select("a", "b").unionByName(members.select("a", F.col("id").alias("b")))
     comps = G.connected_components(links, "a", "b")
     nodes = _docs(s, d).select("doc_id").join(table(s, d, "labels"), "doc_id", "left").select("doc_id", F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("exposed"))
     return G.tainted(nodes, comps, "doc_id", "exposed").groupBy("status").agg(F.count("*").alias("n"))

@@ -255,3 +255,13 @@ def test_near_copies(spark, parts, monkeypatch, small):
     own = {i: set(kept[i]) for i in first.values()}
     want = sorted((f"k{a:03}", f"k{b:03}", len(x & y), len(x | y)) for a, x in own.items() for b, y in own.items() if a < b and 100 * len(x & y) >= 90 * len(x | y))
     assert sorted(map(tuple, pairs.collect())) == want and len(want) > 50
+
+
+def test_components_of_near_copies_make_the_sets_once(spark, monkeypatch):
+    """Pairs and members come from one pass over the texts."""
+    from cairn.plans import graphs, joins
+
+    calls, made = [], joins._sets
+    monkeypatch.setattr(joins, "_sets", lambda s, d: calls.append(d) or made(s, d))
+    got = {r.status: r.n for r in graphs.near_copy_components(spark, "/root/testdata/sf0.001").collect()}
+    assert len(calls) == 1 and sum(got.values()) == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
